@@ -61,7 +61,7 @@ PRIOR = {
     "outside_article": -2.5,
 }
 #: P(child is 1 | parent) before training, and the counts this weighs as (fixed values).
-EDGE_PRIOR, EDGE_WEIGHT = (0.002, 0.6), 2000.0
+EDGE_PRIOR, EDGE_WEIGHT = (1e-7, 0.6), 2000.0
 PRIOR_PRECISION = 2.0
 
 
