@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 LAST = 9223372036854775807
@@ -26,3 +30,24 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def original_id(doc: Column | str = "_doc") -> Column:
     doc = F.col(doc) if isinstance(doc, str) else doc
     return F.when(doc != LAST, doc)
+
+
+def zipped(base: DataFrame) -> DataFrame:
+    """``_text`` as zstd bytes, so that a shuffle of whole texts moves and keeps less; ``unzipped`` undoes it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        at = base_names.index("_text")
+        for batch in batches:
+            cols = list(batch.columns)
+            cols[at] = pa.array([pack(t.encode()) for t in cols[at].to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays(cols, names=base_names)
+
+    base_names = base.columns
+    kinds = ", ".join(f"{f.name} {'binary' if f.name == '_text' else f.dataType.simpleString()}" for f in base.schema)
+    return base.mapInArrow(run, kinds)
+
+
+def unzipped(column: pa.Array) -> pa.Array:
+    unpack = zstandard.ZstdDecompressor().decompress
+    return pa.array([unpack(z) for z in column.to_pylist()], pa.binary())

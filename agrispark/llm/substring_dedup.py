@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from agrispark.llm import textops as T
-from agrispark.llm.common import keyed, original_id
+from agrispark.llm.common import keyed, original_id, unzipped, zipped
 
 ROWS = 2
 BLOCK_BITS = 22
@@ -120,7 +120,7 @@ def substring_dedup(
     id and text are one document given twice: both get the same result. A
     null or empty text has no words. Other columns are ignored.
     """
-    base = keyed(docs, id_col, text_col)
+    base = keyed(docs, id_col, text_col).withColumn("_tk", F.hash("_text"))  # 32 bits tell rows with the same id apart
     shared = docs.sparkSession.sparkContext.broadcast(sketch(base, window, gram, width_bits))
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +140,7 @@ def substring_dedup(
                 )
 
     firsts = (
-        base.mapInArrow(places, "k1 long, k2 long, _doc long, at int, _tk long")
+        base.mapInArrow(places, "k1 long, k2 long, _doc long, at int, _tk int")
         .groupBy("k1", "k2")
         .agg(F.min(F.struct("_doc", "at", "_tk")).alias("p"))
         .groupBy(F.col("p._doc").alias("_doc"), F.col("p._tk").alias("_tk"))
@@ -151,7 +151,7 @@ def substring_dedup(
         for batch in batches:
             flat, of = T.list_column(batch.column(2))
             n_words, n_removed, kept = [], [], []
-            for i, j, raw, at in T.chunks(batch.column(1)):
+            for i, j, raw, at in T.chunks(unzipped(batch.column(1))):
                 start, stop, row, _, lo, hi, seed = _seeds(raw, at, window, gram)
                 gone = np.zeros(len(start) + 1, np.int64)
                 take = _repeated(shared.value, seed, width_bits)
@@ -174,7 +174,7 @@ def substring_dedup(
             )
 
     return (
-        base.join(firsts, ["_doc", "_tk"], "left")
+        zipped(base).join(firsts, ["_doc", "_tk"], "left")
         .select("_doc", "_text", "firsts")
         .mapInArrow(keep, "_doc long, n_words long, n_removed long, kept_text string")
         .select(original_id().alias(id_col), "n_words", "n_removed", "kept_text")
