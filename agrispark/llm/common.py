@@ -9,6 +9,9 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 LAST = 9223372036854775807
+#: Rows of an Arrow batch of whole texts, where the session has Spark's default of 10,000.
+BATCH_ROWS = 2000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,6 +24,9 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     A row's id and text name it, so that no row number has to stay the same
     when a lost partition is computed again; rows alike in both get alike results.
     """
+    conf = docs.sparkSession.conf
+    if conf.get(_ROWS) == "10000":
+        conf.set(_ROWS, str(BATCH_ROWS))
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("_doc"), F.xxhash64(text).alias("_tk"), text.alias("_text")
