@@ -134,7 +134,7 @@ def _stretches(length: int, gram: int):
 
 def _classes(stretches: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Marks of stretches that occur twice or more, and one of each class (with its count m) where a key has several."""
-    met = stretches.groupBy("h").count().where("count > 1").select("h")
+    met = stored(stretches.groupBy("h").count().where("count > 1").select("h"))  # a plain side, so that a hot key's partition can be split
     some = stored(stretches.join(met, "h", "left_semi"))
     classes = stored(some.groupBy("h", "d1", "d2").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct(*OWNER)).alias("p")))
     full = some.join(classes.where("m > 1").select("h", "d1", "d2"), ["h", "d1", "d2"], "left_semi").select("_doc", "_tk", "lo", "hi")
