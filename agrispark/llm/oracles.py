@@ -1,5 +1,43 @@
-"""DuckDB SQL for the text operators that SQL can express."""
+"""DuckDB SQL for the text operators that SQL can express on whole tables."""
 
 from __future__ import annotations
 
-ORACLES: dict[str, str] = {}
+_WORDS = r"d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents)"
+
+QUALITY = rf"""WITH {_WORDS},
+g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS k FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 2)) AS i FROM d) u),
+r AS (SELECT doc_id, k FROM g GROUP BY doc_id, k HAVING count(*) > 1),
+p AS (SELECT DISTINCT g.doc_id, g.i + o AS pos FROM g JOIN r ON r.doc_id = g.doc_id AND r.k = g.k, (VALUES (0), (1), (2)) x(o)),
+n AS (SELECT doc_id, count(*) AS rep FROM p GROUP BY doc_id),
+c AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+ CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls,
+ coalesce(rep, 0) AS n_repeat_words, len(regexp_extract_all(t, '[A-Z]')) AS up, len(regexp_extract_all(t, '[A-Za-z]')) AS letters, len(regexp_extract_all(t, '!')) AS bangs,
+ len(list_filter(w, lambda x: regexp_matches(x, '[^\x00-\x40\x5B-\x60\x7B-\x7F]'))) AS lettered FROM d LEFT JOIN n ON n.doc_id = d.doc_id),
+b AS (SELECT *, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+ NOT (base_failed OR 10 * n_symbols > 3 * n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR (len(ls) >= 6 AND 2 * n_dup_lines > len(ls))
+ OR 10 * up > 3 * letters OR 5 * bangs > n_words OR 2 * lettered < n_words) AS kept FROM b"""
+
+SUBSTRING = rf"""WITH {_WORDS},
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS k FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 19)) AS i FROM d) u),
+a AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS r FROM g) q WHERE r > 1),
+gone AS (SELECT DISTINCT doc_id, pos FROM (SELECT doc_id, unnest(generate_series(i, i + 19)) AS pos FROM a) q),
+e AS (SELECT doc_id, i AS pos, w[i] AS word FROM (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS i FROM d) u),
+k AS (SELECT e.doc_id, count(gone.pos) AS n_removed, string_agg(CASE WHEN gone.pos IS NULL THEN word END, ' ' ORDER BY e.pos) AS kept
+ FROM e LEFT JOIN gone ON gone.doc_id = e.doc_id AND gone.pos = e.pos GROUP BY e.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k ON k.doc_id = d.doc_id"""
+
+
+def _escaped_length(c: str) -> str:
+    return rf"(length({c}) + length({c}) - length(replace({c}, '\', '')) + len(regexp_extract_all({c}, '<\||<s>|</s>|\[INST\]|\[/INST\]')))"
+
+
+CHAT = f"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+ UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+l AS (SELECT *, sum(16 + {_escaped_length('role')} + length(role) - length(replace(role, chr(10), '')) + {_escaped_length('text')}) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) AS stop FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+ CAST(coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0) AS BIGINT) AS loss_chars,
+ sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+ CAST(coalesce(sum(CASE WHEN role = 'assistant' THEN stop END), 0) AS BIGINT) AS formatted_chars FROM l GROUP BY conv_id"""
+
+ORACLES: dict[str, str] = {"op3_quality_rules": QUALITY, "op4_substring_dedup": SUBSTRING, "op10_chat_format": CHAT}
