@@ -86,12 +86,12 @@ def segment_labels(segs: DataFrame, size: int) -> DataFrame:
 
 def glcm(objects: DataFrame) -> DataFrame:
     """Symmetric co-occurrence shares at distance 1 and four angles of ``obj, x, y, v``: ``obj, angle, i, j, p``."""
-    out = None
-    for angle, (dx, dy) in {0: (1, 0), 45: (1, -1), 90: (0, 1), 135: (1, 1)}.items():
-        near = objects.select("obj", (F.col("x") - dx).alias("x"), (F.col("y") - dy).alias("y"), F.col("v").alias("j"))
-        pairs = objects.join(near, ["obj", "x", "y"]).select("obj", F.lit(angle).alias("angle"), F.col("v").alias("i"), "j")
-        out = pairs if out is None else out.union(pairs)
-    both = out.union(out.select("obj", "angle", F.col("j").alias("i"), F.col("i").alias("j")))
+    steps = {0: (1, 0), 45: (1, -1), 90: (0, 1), 135: (1, 1)}
+    places = F.array(*(F.struct(F.lit(angle).alias("angle"), (F.col("x") - dx).alias("x"), (F.col("y") - dy).alias("y")) for angle, (dx, dy) in steps.items()))
+    near = objects.select("obj", F.col("v").alias("j"), F.explode(places).alias("at")).select("obj", "j", "at.*")
+    pairs = objects.join(near, ["obj", "x", "y"]).select("obj", "angle", F.col("v").alias("i"), "j")
+    ways = F.explode(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))).alias("p")
+    both = pairs.select("obj", "angle", ways).select("obj", "angle", "p.i", "p.j")
     counts = both.groupBy("obj", "angle", "i", "j").agg(F.count(F.lit(1)).alias("n"))
     total = counts.groupBy("obj", "angle").agg(F.sum("n").alias("total"))
     return counts.join(total, ["obj", "angle"]).select("obj", "angle", "i", "j", (F.col("n") / F.col("total")).alias("p"))
