@@ -105,11 +105,15 @@ def scale_u8(value: Column, name: str) -> Column:
     return F.coalesce(F.floor((F.least(F.greatest(clean, F.lit(lo)), F.lit(hi)) - lo) / (hi - lo + 1e-6) * 255).cast("int"), F.lit(0))
 
 
-def hsv_green(r: Column, g: Column, b: Column) -> Column:
-    """1 where the 8-bit colour has hue 35..85 (half degrees) and saturation and value of 40 or more."""
-    hi, lo = F.greatest(r, g, b).cast("double"), F.least(r, g, b).cast("double")
-    d = hi - lo
-    hue = F.when(d == 0, F.lit(0.0)).when(hi == r, (g - b) * 30 / d).when(hi == g, (b - r) * 30 / d + 60).otherwise((r - g) * 30 / d + 120)
-    hue = F.when(hue < 0, hue + 180).otherwise(hue)
-    sat = F.when(hi == 0, F.lit(0.0)).otherwise(d * 255 / hi)
-    return (F.bround(hue).between(35, 85) & (F.bround(sat) >= 40) & (hi >= 40)).cast("int")
+def fixed_u8(value: Column, lo: float, hi: float) -> Column:
+    """A value clipped to a fixed range and scaled to 0..255, truncated."""
+    return F.floor((F.least(F.greatest(value, F.lit(lo)), F.lit(hi)) - lo) / (hi - lo) * 255).cast("int")
+
+
+def band_refs(names: list[str | int], bands: list[str]) -> list[int]:
+    """One-based positions of bands and indices in a stack: bands first, then indices in the order of FORMULAS; numbers stay."""
+    order = {n: i for i, n in enumerate([*bands, *FORMULAS], 1)}
+    unknown = [n for n in names if not isinstance(n, int) and n not in order]
+    if unknown:
+        raise ValueError(f"unknown bands: {unknown}")
+    return [n if isinstance(n, int) else order[n] for n in names]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from agrispark.functions.geometry import inside_ring, ring_bounds
 from agrispark.operators.components import connected_components
 
 TILE = ["tile_row", "tile_col"]
@@ -111,3 +112,70 @@ def glcm_props(pairs: DataFrame) -> DataFrame:
     )
     names = ["asm", "contrast", "correlation", "dissimilarity", "energy", "entropy", "homogeneity", "mean", "std", "variance"]
     return each.groupBy("obj").agg(*(F.avg(n).alias(n) for n in names))
+
+
+def segment_pixels(mask: DataFrame) -> DataFrame:
+    """The rows of ``mask`` with the ``seg_id`` of their 8-neighbour component in the tile."""
+    row = Window.partitionBy(*TILE, "y").orderBy("x")
+    marked = mask.withColumn("_g", F.col("x") - F.row_number().over(row))
+    first = Window.partitionBy(*TILE, "y", "_g")
+    marked = marked.withColumn("_run", F.min("pix_id").over(first))
+    runs = marked.groupBy(*TILE, "y", "_run").agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
+    b = runs.select(*TILE, (F.col("y") - 1).alias("y"), F.col("_run").alias("v"), F.col("x0").alias("b0"), F.col("x1").alias("b1"))
+    touch = runs.join(b, [*TILE, "y"]).where("b0 <= x1 + 1 and x0 <= b1 + 1").select(F.col("_run").alias("u"), "v")
+    comp = connected_components(touch).select(F.col("id").alias("_run"), "component")
+    return marked.join(comp, "_run", "left").withColumn("seg_id", F.coalesce("component", "_run")).drop("_g", "_run", "component")
+
+
+def pixels_in_rings(rings: DataFrame, key: str = "ring_id") -> DataFrame:
+    """Pixels whose centre is inside a polygon: ``key, x, y`` of ``key, ring`` (array of x, y in pixel units).
+
+    Candidates are the pixels of the polygon's bounds, by arithmetic, so no
+    join is needed. Rings under three corners and null rings hold none.
+    """
+    lo_x, lo_y, hi_x, hi_y = ring_bounds(F.col("ring"))
+    boxes = rings.where(F.size("ring") >= 3).select(key, "ring", lo_x.alias("_ax"), lo_y.alias("_ay"), hi_x.alias("_bx"), hi_y.alias("_by"))
+    span = lambda a, b: F.sequence(F.floor(a).cast("int"), F.floor(b).cast("int"))
+    cand = boxes.withColumn("y", F.explode(span("_ay", "_by"))).withColumn("x", F.explode(span("_ax", "_bx")))
+    return cand.where(inside_ring(F.col("ring"), F.col("x") + F.lit(0.5), F.col("y") + F.lit(0.5))).select(key, "x", "y")
+
+
+def box_pixels(boxes: DataFrame, key: str) -> DataFrame:
+    """Whole pixels of boxes ``key, x, y, w, h`` (first pixel and size): ``key, x, y``."""
+    b = boxes.where("w > 0 and h > 0").select(key, F.col("x").alias("_x"), F.col("y").alias("_y"), "w", "h")
+    rows = b.withColumn("y", F.explode(F.sequence(F.col("_y"), F.col("_y") + F.col("h") - 1)))
+    return rows.withColumn("x", F.explode(F.sequence(F.col("_x"), F.col("_x") + F.col("w") - 1))).select(key, "x", "y")
+
+
+def tighten_boxes(boxes: DataFrame, mask: DataFrame, key: str, least: int = 4) -> DataFrame:
+    """Boxes drawn to the bounds of the largest mask segment in them: ``key, x, y, w, h, n_px``.
+
+    Largest by pixels, ties by the upper left corner. A box keeps its own
+    bounds, n_px null, if it has no segment or one whose bounds are under ``least`` pixels.
+    """
+    inside = box_pixels(boxes, key).join(mask.select("x", "y").distinct(), ["x", "y"])
+    name = F.concat_ws(":", F.col(key).cast("string"), F.lpad(F.col("y").cast("string"), 10, "0"), F.lpad(F.col("x").cast("string"), 10, "0"))
+    segs = segments(inside.select(F.col(key).alias("tile_row"), F.lit(0).alias("tile_col"), "x", "y", name.alias("pix_id")))
+    best = segs.groupBy(F.col("tile_row").alias(key)).agg(F.max_by(F.struct("x", "y", "w", "h", "n_px"), F.struct("n_px", -F.col("y"), -F.col("x"))).alias("s"))
+    good = F.col("s.w") * F.col("s.h") >= least
+    own = boxes.select(key, "x", "y", "w", "h").join(best, key, "left")
+    return own.select(key, *(F.when(good, F.col(f"s.{c}")).otherwise(F.col(c)).alias(c) for c in "xywh"), F.when(good, F.col("s.n_px")).alias("n_px"))
+
+
+def resample(targets: DataFrame, source: DataFrame, bands: list[str], keys: list[str]) -> DataFrame:
+    """Bilinear values of ``source`` (x, y, bands) at the places ``sx, sy`` (pixel units, centres at .5) of ``targets``.
+
+    Each place goes to its four neighbours, which meet the source in one
+    equi-join; neighbours outside the source lose their weight, and a place
+    without one gives null.
+    """
+    fx, fy = F.col("sx") - 0.5, F.col("sy") - 0.5
+    x0, y0 = F.floor(fx), F.floor(fy)
+    four = [
+        F.struct((x0 + i).cast("int").alias("x"), (y0 + j).cast("int").alias("y"), ((fx - x0 if i else 1 - fx + x0) * (fy - y0 if j else 1 - fy + y0)).alias("w"))
+        for i in (0, 1) for j in (0, 1)
+    ]
+    near = targets.select(*keys, F.explode(F.array(*four)).alias("n")).select(*keys, "n.*")
+    met = near.join(source.select("x", "y", *bands), ["x", "y"], "left").groupBy(*keys)
+    total = lambda b: F.sum(F.when(F.col(b).isNotNull(), F.col("w")))
+    return met.agg(*((F.sum(F.col("w") * F.col(b)) / F.when(total(b) > 0, total(b))).alias(b) for b in bands))

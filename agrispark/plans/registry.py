@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from agrispark.functions import spectral as S
 from agrispark.operators import labels as L, models as M, normalize as N, segments as G, spatial as J
-from agrispark.plans.fixtures import oracle, view
+from agrispark.plans.fixtures import view
+from agrispark.plans.register import ORACLE_SQL, QUERIES, query  # noqa: F401  the registry's interface
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
 BANDS = ["red", "green", "blue", "ext_green", "ext_red", "rededge", "nir"]
 IOU = """CASE WHEN least(a.maxx, b.maxx) > greatest(a.minx, b.minx) AND least(a.maxy, b.maxy) > greatest(a.miny, b.miny) THEN
  (least(a.maxx, b.maxx) - greatest(a.minx, b.minx)) * (least(a.maxy, b.maxy) - greatest(a.miny, b.miny)) /
@@ -21,18 +18,6 @@ RATIO = """CASE WHEN least(a.maxx, b.maxx) > greatest(a.minx, b.minx) AND least(
  least((a.maxx - a.minx) * (a.maxy - a.miny), (b.maxx - b.minx) * (b.maxy - b.miny)) ELSE 0 END"""
 
 
-def query(name: str, sql: str | None = None):
-    """Register a query; ``sql`` may name the shared views."""
-
-    def put(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLE_SQL[name] = oracle(sql)
-        return f
-
-    return put
-
-
 def _i(c: str) -> str:
     return f"CAST(floor({c}) AS INTEGER)"
 
@@ -438,3 +423,6 @@ def r3_r6_zone_routes(spark, sf):
 @query("r1_route_length", """SELECT zone, count(*) AS n_points, round(coalesce(sum(sqrt(power(x - px, 2) + power(y - py, 2))), 0), 6) AS length FROM (SELECT zone, x, y, lag(x) OVER w AS px, lag(y) OVER w AS py FROM v_points WINDOW w AS (PARTITION BY zone ORDER BY fid)) t GROUP BY zone""")
 def r1_route_length(spark, sf):
     return M.route_length(view(spark, sf, "v_points").withColumn("seq", F.col("fid"))).withColumn("length", F.round("length", 6))
+
+
+from agrispark.plans import rasters  # noqa: E402,F401  registers more queries
