@@ -85,9 +85,18 @@ def inside_ring(ring: Column, x: Column, y: Column) -> Column:
 RADIUS, FLATTENING, SCALE, EASTING = 6378137.0, 1 / 298.257223563, 0.9996, 500000.0
 _N = FLATTENING / (2 - FLATTENING)
 _A = RADIUS / (1 + _N) * (1 + _N**2 / 4 + _N**4 / 64)
-_ALPHA = (_N / 2 - 2 * _N**2 / 3 + 5 * _N**3 / 16, 13 * _N**2 / 48 - 3 * _N**3 / 5, 61 * _N**3 / 240)
-_BETA = (_N / 2 - 2 * _N**2 / 3 + 37 * _N**3 / 96, _N**2 / 48 + _N**3 / 15, 17 * _N**3 / 480)
-_DELTA = (2 * _N - 2 * _N**2 / 3 - 2 * _N**3, 7 * _N**2 / 3 - 8 * _N**3 / 5, 56 * _N**3 / 15)
+_ALPHA = (
+    _N / 2 - 2 * _N**2 / 3 + 5 * _N**3 / 16 + 41 * _N**4 / 180, 13 * _N**2 / 48 - 3 * _N**3 / 5 + 557 * _N**4 / 1440,
+    61 * _N**3 / 240 - 103 * _N**4 / 140, 49561 * _N**4 / 161280,
+)
+_BETA = (
+    _N / 2 - 2 * _N**2 / 3 + 37 * _N**3 / 96 - _N**4 / 360, _N**2 / 48 + _N**3 / 15 - 437 * _N**4 / 1440,
+    17 * _N**3 / 480 - 37 * _N**4 / 840, 4397 * _N**4 / 161280,
+)
+_DELTA = (
+    2 * _N - 2 * _N**2 / 3 - 2 * _N**3 + 116 * _N**4 / 45, 7 * _N**2 / 3 - 8 * _N**3 / 5 - 227 * _N**4 / 45,
+    56 * _N**3 / 15 - 136 * _N**4 / 35, 4279 * _N**4 / 630,
+)
 _E = 2 * math.sqrt(_N) / (1 + _N)
 
 
@@ -96,7 +105,7 @@ def _atanh(x: Column) -> Column:
 
 
 def to_utm(lon: Column, lat: Column, zone: int = 32) -> tuple[Column, Column]:
-    """Easting and northing of the northern half, by Krüger's series to the third order (well under a millimetre in a zone)."""
+    """Easting and northing of the northern half, by Krüger's series to the fourth order."""
     phi, d = F.radians(lat), F.radians(lon - (zone * 6 - 183))
     t = F.sinh(_atanh(F.sin(phi)) - _atanh(F.sin(phi) * _E) * _E)
     xi, eta = F.atan2(t, F.cos(d)), _atanh(F.sin(d) / F.sqrt(t * t + 1))

@@ -39,6 +39,13 @@ def dot(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+def against_all(queries: DataFrame, base: DataFrame, most: int = 10_000) -> DataFrame:
+    """Every row of a stated query set beside every row of ``base``; the set's size is checked before it is broadcast."""
+    if queries.count() > most:
+        raise ValueError(f"query sets beyond {most} vectors go in blocks")
+    return base.crossJoin(F.broadcast(queries))
+
+
 def similar(queries: DataFrame, base: DataFrame, k: int = 5, metric: str = "cosine") -> DataFrame:
     """Each query's k best of ``base`` (``desc_id, vec``), itself left out: ``query_id, desc_id, score, rank``.
 
@@ -46,9 +53,7 @@ def similar(queries: DataFrame, base: DataFrame, k: int = 5, metric: str = "cosi
     broadcast; each task keeps k of a query before anything is shuffled.
     """
     q = queries.select(F.col("desc_id").alias("query_id"), F.col("vec").alias("qvec"))
-    if queries.count() > 10_000:
-        raise ValueError("query sets beyond 10,000 vectors go in blocks")
-    pairs = base.crossJoin(F.broadcast(q)).where("desc_id <> query_id")
+    pairs = against_all(q, base).where("desc_id <> query_id")
     if metric == "cosine":
         score = dot("vec", "qvec") / (F.sqrt(dot("vec", "vec")) * F.sqrt(dot("qvec", "qvec")) + 1e-12)
     else:

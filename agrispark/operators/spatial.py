@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from agrispark.operators.components import connected_components
+from agrispark.session import checkpoint as checkpointed
 
 BOX = ["minx", "miny", "maxx", "maxy"]
 
@@ -144,3 +145,105 @@ def fuse(a: Column, b: Column, strategy: str, weight: float = 0.5, fallback: flo
         "yolo_only": lambda: y,
         "svm_only": lambda: s,
     }[strategy]()
+
+
+def within_buffer(a: DataFrame, b: DataFrame, buffer: float, key: str, size: float = 1.0) -> DataFrame:
+    """``key, inside``: 1 if all of a box is within ``buffer`` of one box of ``b`` (rounded corners), else 0."""
+
+    def gap(x: str, y: str) -> Column:
+        dx = F.greatest(F.col("b_minx") - F.col(x), F.col(x) - F.col("b_maxx"), F.lit(0.0))
+        dy = F.greatest(F.col("b_miny") - F.col(y), F.col(y) - F.col("b_maxy"), F.lit(0.0))
+        return dx * dx + dy * dy
+
+    far = F.greatest(*(gap(x, y) for x in ("minx", "maxx") for y in ("miny", "maxy")))
+    met = box_pairs(a, b, size, buffer).where(far <= buffer * buffer).select(key).distinct().withColumn("_in", F.lit(1))
+    return a.select(key).join(met, key, "left").select(key, F.coalesce("_in", F.lit(0)).alias("inside"))
+
+
+def clip_to_tiles(boxes: DataFrame, size: float) -> DataFrame:
+    """A row for each box and square tile that share some area, cut to the tile: bounds, ``tile_row``, ``tile_col``, ``whole``."""
+    last = lambda hi, lo: F.greatest(F.ceil(F.col(hi) / size) - 1, F.floor(F.col(lo) / size))
+    spread = boxes.drop("tile_row", "tile_col").withColumn("tile_col", F.explode(F.sequence(F.floor(F.col("minx") / size), last("maxx", "minx"))))
+    spread = spread.withColumn("tile_row", F.explode(F.sequence(F.floor(F.col("miny") / size), last("maxy", "miny"))))
+    cut = {
+        "_ax": F.greatest(F.col("minx"), F.col("tile_col") * size), "_ay": F.greatest(F.col("miny"), F.col("tile_row") * size),
+        "_bx": F.least(F.col("maxx"), (F.col("tile_col") + 1) * size), "_by": F.least(F.col("maxy"), (F.col("tile_row") + 1) * size),
+    }
+    whole = (F.col("_ax") == F.col("minx")) & (F.col("_ay") == F.col("miny")) & (F.col("_bx") == F.col("maxx")) & (F.col("_by") == F.col("maxy"))
+    out = spread.withColumns(cut).withColumn("whole", whole)
+    return out.withColumns({"minx": F.col("_ax"), "miny": F.col("_ay"), "maxx": F.col("_bx"), "maxy": F.col("_by")}).drop(*cut)
+
+
+def rotate_layer(boxes: DataFrame, degrees: float) -> DataFrame:
+    """Boxes turned about the centre of the layer's bounds, as ``ring``; counter-clockwise in map axes."""
+    c = boxes.agg(((F.min("minx") + F.max("maxx")) / 2).alias("_cx"), ((F.min("miny") + F.max("maxy")) / 2).alias("_cy"))
+    cos, sin = F.cos(F.radians(F.lit(float(degrees)))), F.sin(F.radians(F.lit(float(degrees))))
+
+    def corner(x: str, y: str) -> Column:
+        dx, dy = F.col(x) - F.col("_cx"), F.col(y) - F.col("_cy")
+        return F.struct((F.col("_cx") + dx * cos - dy * sin).alias("x"), (F.col("_cy") + dx * sin + dy * cos).alias("y"))
+
+    ring = F.array(corner("minx", "miny"), corner("maxx", "miny"), corner("maxx", "maxy"), corner("minx", "maxy"))
+    return boxes.crossJoin(F.broadcast(c)).withColumn("ring", ring).drop("_cx", "_cy")  # one row
+
+
+def fuse_layers(first: DataFrame, second: DataFrame, buffer: float = 2.0, least: float = 0.3, method: str = "minmax", size: float = 1.0) -> DataFrame:
+    """Two detectors' boxes as one layer: ``minx, miny, maxx, maxy, conf_first, conf_second, confidence, source``.
+
+    ``second`` (margin) is normalised, kept from ``least`` up, and confirmed by
+    the nearest boxes of ``first`` (conf) within ``buffer``: harmonic mean of
+    both. All of ``first`` follows; of equal boxes the most confident stays.
+    """
+    strong = normalised(second, "margin", method, "score").where(F.col("score") >= least)
+    near = nearest(strong, first.select("pred_id", *BOX, "conf"), buffer, "svm_id", size).where("dist is not null")
+    both = near.select(*BOX, F.col("b_conf").alias("conf_first"), F.col("score").alias("conf_second"), F.round(fuse(F.col("b_conf"), F.col("score"), "harmonic"), 6).alias("confidence"), F.lit("both").alias("source"))
+    alone = first.select(*BOX, F.col("conf").alias("conf_first"), F.lit(None).cast("double").alias("conf_second"), F.round("conf", 6).alias("confidence"), F.lit("first").alias("source"))
+    row = F.struct("conf_first", "conf_second", "confidence", "source")
+    best = both.unionByName(alone).groupBy(*BOX).agg(F.max_by(row, F.struct("confidence", F.when(F.col("source") == "both", 1).otherwise(0), "conf_first", F.coalesce("conf_second", F.lit(-1.0)))).alias("r"))
+    return best.select(*BOX, "r.*")
+
+
+def tagged(scored: DataFrame, threshold: float, score: str = "score", truth: str = "truth") -> DataFrame:
+    """With ``result``: TP, FP, FN or TN of accepting scores from ``threshold`` up."""
+    on = F.col(score) >= threshold
+    real = F.col(truth) == 1
+    return scored.withColumn("result", F.when(on & real, "TP").when(on, "FP").when(real, "FN").otherwise("TN"))
+
+
+def auc(points: DataFrame) -> DataFrame:
+    """``auc`` of the points of ``roc_points`` (0, 0 included), by trapezoids; null without both kinds."""
+    down = Window.orderBy("tp", "fp")  # distinct scores only
+    p = points.select("tp", "fp", F.coalesce(F.lag("tp").over(down), F.lit(0)).alias("tp0"), F.coalesce(F.lag("fp").over(down), F.lit(0)).alias("fp0"))
+    area = p.agg(F.sum((F.col("fp") - F.col("fp0")) * (F.col("tp") + F.col("tp0")) / 2).alias("a"), F.max("tp").alias("p"), F.max("fp").alias("n"))
+    return area.select(F.when(F.col("p") * F.col("n") > 0, F.col("a") / (F.col("p") * F.col("n"))).alias("auc"))
+
+
+def neighbour_graph(points: DataFrame, key: str, k: int, size: float, most_rings: int = 12) -> DataFrame:
+    """Each point's k nearest others (ties by key): ``key, other, dist, rank``.
+
+    Points look into the grid cells around them. A point is settled if its
+    k-th neighbour is no further than the ring just searched; the rest look
+    twice as far, so only sparse places pay for wide rings. Points still open
+    after ``most_rings`` doublings are an error, never left out.
+    """
+    n = points.count()
+    base = points.select(key, "x", "y")
+    open_, out, rings = base, None, 1
+    for _ in range(most_rings):
+        cell = size * rings
+        at = lambda c: F.floor(F.col(c) / cell)  # noqa: B023, E731
+        right = base.select(F.col(key).alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), at("x").alias("_cx"), at("y").alias("_cy"))
+        around = lambda c: F.explode(F.sequence(at(c) - 1, at(c) + 1))  # noqa: B023, E731
+        left = open_.withColumn("_cx", around("x")).withColumn("_cy", around("y"))
+        d2 = F.pow(F.col("ox") - F.col("x"), 2) + F.pow(F.col("oy") - F.col("y"), 2)
+        near = left.join(right, ["_cx", "_cy"]).where(F.col("other") != F.col(key)).select(key, "other", d2.alias("_d"))
+        w = Window.partitionBy(key).orderBy("_d", "other")
+        ranked = checkpointed(near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
+        done = ranked.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.max("_d").alias("_far")).where((F.col("_n") >= min(k, n - 1)) & (F.col("_far") < cell * cell))
+        settled = ranked.join(done.select(key), key, "left_semi").select(key, "other", F.sqrt("_d").alias("dist"), "rank")
+        out = settled if out is None else out.unionByName(settled)
+        open_ = checkpointed(open_.join(done.select(key), key, "left_anti"))
+        if n < 2 or open_.isEmpty():
+            return out
+        rings *= 2
+    raise RuntimeError(f"points further apart than {size * rings}: take a larger cell")
