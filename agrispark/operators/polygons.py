@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -70,7 +70,10 @@ def hull(points: np.ndarray) -> np.ndarray:
     for part in (points, points[::-1]):
         chain: list[np.ndarray] = []
         for p in part:
-            while len(chain) > 1 and np.linalg.det(np.stack([chain[-1] - chain[-2], p - chain[-2]])) <= 0:
+            while len(chain) > 1:
+                (ax, ay), (bx, by) = chain[-2], chain[-1]
+                if (bx - ax) * (p[1] - ay) - (by - ay) * (p[0] - ax) > 0:
+                    break
                 chain.pop()
             chain.append(p)
         chains += chain[:-1]
@@ -100,21 +103,28 @@ def rectangle(points: np.ndarray) -> np.ndarray:
 def smallest_rectangles(points: DataFrame, key: str, parts: int = 16) -> DataFrame:
     """The smallest turned rectangle of each group of ``key, x, y``: ``key, ring`` (four corners).
 
-    Groups are cut into salted parts whose hulls are taken first, so that a
-    large group meets in one task only as the hulls of its parts.
+    Every batch keeps only the hulls of its groups, before the first shuffle
+    and again after one by salted key, so that a large group meets in one task
+    as a small number of corners. Nulls are left out.
     """
     kind = points.schema[key].dataType.simpleString()
+    schema = f"{key} {kind}, x double, y double"
 
-    def corners(pdf: pd.DataFrame) -> pd.DataFrame:
-        h = hull(pdf[["x", "y"]].to_numpy(float))
-        return pd.DataFrame({key: pdf[key].iloc[0], "x": h[:, 0], "y": h[:, 1]})
+    def corners(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            large = b.groupby(key)["x"].transform("size") > 8
+            out = [b[~large]]
+            for k, g in b[large].groupby(key):
+                h = hull(g[["x", "y"]].to_numpy())
+                out.append(pd.DataFrame({key: k, "x": h[:, 0], "y": h[:, 1]}))
+            yield pd.concat(out)[[key, "x", "y"]].astype({key: b[key].dtype})
 
     def final(pdf: pd.DataFrame) -> pd.DataFrame:
         r = rectangle(hull(pdf[["x", "y"]].to_numpy(float)))
         return pd.DataFrame({key: [pdf[key].iloc[0]], "xs": [r[:, 0].tolist()], "ys": [r[:, 1].tolist()]})
 
     p = points.select(key, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).na.drop()
-    some = p.withColumn("_part", F.pmod(F.xxhash64("x", "y"), F.lit(parts))).groupBy(key, "_part").applyInPandas(corners, f"{key} {kind}, x double, y double")
+    some = p.mapInPandas(corners, schema).repartition(F.col(key), F.pmod(F.xxhash64("x", "y"), F.lit(parts))).mapInPandas(corners, schema)
     out = some.groupBy(key).applyInPandas(final, f"{key} {kind}, xs array<double>, ys array<double>")
     return out.select(key, F.zip_with("xs", "ys", lambda x, y: F.struct(x.alias("x"), y.alias("y"))).alias("ring"))
 
