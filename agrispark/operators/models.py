@@ -73,51 +73,122 @@ def mean_similarity(base: DataFrame) -> DataFrame:
     return both.select("desc_id", ((dot("u", "sum") - dot("u", "u")) / (F.col("n") - 1)).alias("mean_sim"))
 
 
-def nearest_tour(points: np.ndarray) -> list[int]:
-    """Nearest-neighbour order from the first point, then 2-opt on the open path until nothing is gained."""
-    n = len(points)
-    left, route = set(range(1, n)), [0]
-    while left:
-        rest = np.fromiter(left, int)
-        rest.sort()
+def nearest_order(points: np.ndarray, start: int = 0) -> list[int]:
+    """Nearest-neighbour order from one point."""
+    left, route = np.ones(len(points), bool), [start]
+    left[start] = False
+    for _ in range(len(points) - 1):
+        rest = np.flatnonzero(left)
         d = np.hypot(*(points[rest] - points[route[-1]]).T)
         route.append(int(rest[d.argmin()]))
-        left.discard(route[-1])
+        left[route[-1]] = False
+    return route
+
+
+def two_opt(points: np.ndarray, route: list[int], near: int | None = None) -> list[int]:
+    """2-opt on the open path until nothing is gained; with ``near``, a point is joined only to that many nearest points."""
+    n = len(points)
+    route = np.array(route)
+    close = None
+    if near is not None and near < n - 1:
+        close = np.array([np.argsort(np.hypot(*(points - p).T), kind="stable")[1 : near + 1] for p in points])
     gained = n > 3
     while gained:
         gained = False
         p = points[route]
+        place = np.argsort(route)
         for i in range(n - 2):
-            j = np.arange(i + 2, n)
+            j = np.arange(i + 2, n) if close is None else place[close[route[i]]]
+            j = j[j > i + 1]
+            if not len(j):
+                continue
             old = np.hypot(*(p[i] - p[i + 1])) + np.where(j + 1 < n, np.hypot(*(p[j] - p[np.minimum(j + 1, n - 1)]).T), 0)
             new = np.hypot(*(p[i] - p[j]).T) + np.where(j + 1 < n, np.hypot(*(p[i + 1] - p[np.minimum(j + 1, n - 1)]).T), 0)
             k = int((old - new).argmax())
             if old[k] - new[k] > 1e-9:
-                route[i + 1 : j[k] + 1] = route[i + 1 : j[k] + 1][::-1]
-                p = points[route]
+                route[i + 1 : j[k] + 1] = route[i + 1 : j[k] + 1][::-1].copy()
+                p, place = points[route], np.argsort(route)
                 gained = True
-    return route
+    return route.tolist()
+
+
+def zone_bands(points: DataFrame, most: int) -> DataFrame:
+    """Points with the ``band`` of their zone: bands along x of at most ``most`` points; zones under 3 points are left out."""
+    n = points.groupBy("zone").agg(F.count(F.lit(1)).alias("_n"))
+    bands = F.ceil(F.col("_n") / most)
+    share = Window.partitionBy("zone").orderBy("x", "fid")
+    cut = points.join(n, "zone").where("_n >= 3").withColumn("band", F.floor((F.row_number().over(share) - 1) * bands / F.col("_n")))
+    return cut.select("zone", "band", "fid", "x", "y")
 
 
-def zone_routes(points: DataFrame, most: int = 5000) -> DataFrame:
+def in_sequence(routes: DataFrame) -> DataFrame:
+    """Bands one after the other: ``zone, seq, fid, x, y``."""
+    w = Window.partitionBy("zone").orderBy("band", "seq")
+    return routes.select("zone", (F.row_number().over(w) - 1).alias("seq"), "fid", "x", "y")
+
+
+def zone_routes(points: DataFrame, most: int = 5000, near: int | None = None) -> DataFrame:
     """A short open route through the points of each zone: ``zone, seq, fid, x, y``; zones under 3 points have none.
 
     Zones are independent groups; one with more than ``most`` points is cut
     into bands along x first, so that no group grows with the input.
     """
-    n = points.groupBy("zone").agg(F.count(F.lit(1)).alias("_n"))
-    bands = F.ceil(F.col("_n") / most)
-    share = Window.partitionBy("zone").orderBy("x", "fid")
-    band = points.join(n, "zone").where("_n >= 3").withColumn("band", F.floor((F.row_number().over(share) - 1) * bands / F.col("_n")))
 
     def order(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["x", "fid"]).reset_index(drop=True)
-        route = nearest_tour(pdf[["x", "y"]].to_numpy())
+        at = pdf[["x", "y"]].to_numpy()
+        route = two_opt(at, nearest_order(at), near)
         return pdf.loc[route, ["zone", "band", "fid", "x", "y"]].assign(seq=range(len(route)))
 
-    out = band.select("zone", "band", "fid", "x", "y").groupBy("zone", "band").applyInPandas(order, "zone int, band long, fid long, x double, y double, seq long")
-    w = Window.partitionBy("zone").orderBy("band", "seq")
-    return out.select("zone", (F.row_number().over(w) - 1).alias("seq"), "fid", "x", "y")
+    return in_sequence(zone_bands(points, most).groupBy("zone", "band").applyInPandas(order, "zone int, band long, fid long, x double, y double, seq long"))
+
+
+def evolved(points: np.ndarray, rng: np.random.Generator, size: int, rounds: int, patience: int, mutation: float, elite: int = 3, seeds: int = 10) -> tuple[np.ndarray, float]:
+    """The best open path of one population: order crossover of tournament winners (5), reversals, elites improved by 2-opt."""
+    n = len(points)
+    starts = rng.choice(n, min(seeds, size, n), replace=False)
+    pop = np.array([nearest_order(points, int(s)) for s in starts] + [rng.permutation(n) for _ in range(size - len(starts))])
+    lengths = lambda p: np.hypot(*np.diff(points[p], axis=1).transpose(2, 0, 1)).sum(axis=1)
+    cost, best, idle = lengths(pop), np.inf, 0
+    for _ in range(rounds):
+        top = np.array([two_opt(points, r, 15) for r in pop[np.argsort(cost, kind="stable")[:elite]]])
+        picks = rng.integers(0, size, (2, size - len(top), 5))
+        mothers, fathers = (pop[np.take_along_axis(p, cost[p].argmin(axis=1)[:, None], 1)[:, 0]] for p in picks)
+        cuts = np.sort(rng.integers(0, n + 1, (size - len(top), 2)), axis=1)
+        young = mothers.copy()
+        for child, father, (lo, hi) in zip(young, fathers, cuts):
+            held = np.zeros(n, bool)
+            held[child[lo:hi]] = True
+            rest = np.roll(father, -hi)
+            child[np.r_[hi:n, 0:lo]] = rest[~held[rest]]
+            if rng.random() < mutation:
+                a, b = np.sort(rng.integers(0, n + 1, 2))
+                child[a:b] = child[a:b][::-1].copy()
+        pop = np.vstack([top, young])
+        cost = lengths(pop)
+        idle = 0 if cost.min() < best - 1e-6 else idle + 1
+        best = min(best, cost.min())
+        if patience and idle >= patience:
+            break
+    return pop[cost.argmin()], float(cost.min())
+
+
+def genetic_routes(points: DataFrame, islands: int = 4, size: int = 60, rounds: int = 150, patience: int = 10, mutation: float = 0.015, most: int = 500, seed: int = 42) -> DataFrame:
+    """Routes like ``zone_routes``, each the best of independent populations that Spark runs side by side."""
+    cut = zone_bands(points, most)
+
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["x", "fid"], ignore_index=True)
+        first = pdf.iloc[0]
+        rng = np.random.default_rng([seed, int(first.zone) % 2**32, int(first.band), int(first.island)])
+        route, length = evolved(pdf[["x", "y"]].to_numpy(), rng, size, rounds, patience, mutation)
+        stops = [{"seq": i, "fid": f, "x": x, "y": y} for i, (f, x, y) in enumerate(pdf.loc[route, ["fid", "x", "y"]].itertuples(index=False))]
+        return pd.DataFrame({"zone": [first.zone], "band": [first.band], "island": [first.island], "length": [length], "stops": [stops]})
+
+    tried = cut.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(islands - 1)))).groupBy("zone", "band", "island")
+    found = tried.applyInPandas(search, "zone int, band long, island int, length double, stops array<struct<seq: long, fid: long, x: double, y: double>>")
+    best = found.groupBy("zone", "band").agg(F.min_by("stops", F.struct("length", "island")).alias("stops"))
+    return in_sequence(best.select("zone", "band", F.inline("stops")))
 
 
 def route_length(route: DataFrame) -> DataFrame:

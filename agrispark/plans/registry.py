@@ -425,4 +425,4 @@ def r1_route_length(spark, sf):
     return M.route_length(view(spark, sf, "v_points").withColumn("seq", F.col("fid"))).withColumn("length", F.round("length", 6))
 
 
-from agrispark.plans import detections, files, learning, rasters  # noqa: E402,F401  register more queries
+from agrispark.plans import detections, features, files, learning, rasters  # noqa: E402,F401  register more queries
