@@ -74,11 +74,11 @@ class Mixture:
 class OneClass:
     """A one-class machine over random Fourier features."""
 
-    def __init__(self, columns: list[str], nu: float = 0.1):
-        self.columns, self.nu = columns, nu
+    def __init__(self, columns: list[str], nu: float = 0.1, features: int = 64, steps: int = 30):
+        self.columns, self.nu, self.size, self.steps = columns, nu, features, steps
 
     def fit(self, features: DataFrame) -> OneClass:
-        self.model = E.fit_one_class(features, self.columns, self.nu)
+        self.model = E.fit_one_class(features, self.columns, self.nu, self.size, self.steps)
         return self
 
     def score(self, features: DataFrame) -> DataFrame:
