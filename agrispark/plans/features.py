@@ -10,7 +10,7 @@ from agrispark.plans.fixtures import view
 from agrispark.plans.register import query
 
 COLUMNS = ["nir", "red"]
-CUT = 0.534065766
+CUT = round(2 * 0.534065766 - 1, 9)  # the threshold is stated for the index scaled to 0..1
 
 
 def _rings(spark, sf):

@@ -7,7 +7,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import oracle
 from agrispark.operators import detectors, features, models
+from agrispark.plans import registry
 
 RING = "obj long, ring array<struct<x: double, y: double>>"
 PIXELS = "x int, y int, nir double, red double"
@@ -135,3 +137,8 @@ def test_genetic_routes(spark):
     near = models.zone_routes(df, near=3).collect()
     assert sorted(x.fid for x in near) == sorted(x.fid for x in rows)
     assert models.genetic_routes(df.limit(0)).count() == 0
+
+
+def test_queries_are_not_empty(spark):
+    for name in ("f5_f7_feature_matrix", "f4_binary_patterns", "x1_tile_callback", "r5_genetic_routes"):
+        assert registry.QUERIES[name](spark, f"{oracle.DATA}/sf0.001").count() > 0, name
