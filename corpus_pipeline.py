@@ -11,10 +11,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from agrispark.llm.common import LAST
 from agrispark.llm.decontaminate import contaminated
+from agrispark.llm.near_copies import near_copies
 from agrispark.llm.packing import default_tokenizer, pack
 from agrispark.llm.pii import find_spans, redacted
 from agrispark.llm.quality_rules import quality_rules
-from agrispark.llm.simhash_golay import near_duplicates
 from agrispark.session import stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -32,8 +32,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group of near copies."""
-    first = near_duplicates(docs).where("doc_id <=> component_id")
+    """One document, the one with the smallest id, of each group of near copies: texts whose
+    sets of 5-word shingles have a similarity of 0.8 or more."""
+    first = near_copies(docs).where("_doc = first._doc").select(F.col("_doc").alias("doc_id"))
     return _keep(docs, first, "left_semi").dropDuplicates(["doc_id"])
 
 
@@ -57,7 +58,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality rules", quality),
-    ("SimHash near-dedup", near_dedup),
+    ("MinHash near-dedup", near_dedup),
     ("benchmark decontamination", decontaminate),
     ("PII", redact),
     ("packing", packing),
