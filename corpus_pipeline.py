@@ -20,28 +20,37 @@ from agrispark.session import stored
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _keep(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """Rows whose id is (left_semi) or isn't (left_anti) among ``ids``; a null id counts as the largest."""
-    named = ids.select(F.coalesce("doc_id", F.lit(LAST)).alias("_doc")).distinct()
-    return docs.withColumn("_doc", F.coalesce("doc_id", F.lit(LAST))).join(named, "_doc", how).select(*COLUMNS)
+def _named(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_row``, a hash of id and text: the operators judge rows by both, so ids may be null or repeat."""
+    return docs.withColumn("_row", F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text"))
+
+
+def _keep(named: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """Rows of ``named`` whose ``_row`` is (left_semi) or isn't (left_anti) among ``rows``; operators give the largest long as null."""
+    some = rows.select(F.coalesce("_row", F.lit(LAST)).alias("_row")).distinct()
+    return named.join(some, "_row", how).select(*COLUMNS)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep."""
-    return _keep(docs, quality_rules(docs).where("kept"), "left_semi")
+    named = _named(docs)
+    return _keep(named, quality_rules(named, id_col="_row").where("kept"), "left_semi")
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest id, of each group of near copies: texts whose
-    sets of 5-word shingles have a similarity of 0.8 or more."""
-    first = near_copies(docs).where("_doc = first._doc").select(F.col("_doc").alias("doc_id"))
-    return _keep(docs, first, "left_semi").dropDuplicates(["doc_id"])
+    sets of 5-word shingles have a similarity of 0.8 or more. Of rows with that id the one
+    with the least hash of its text stays."""
+    first = near_copies(docs).where("_doc = first._doc and _tk = first._tk").select("_doc", "_tk").distinct()
+    keyed = docs.withColumn("_doc", F.coalesce("doc_id", F.lit(LAST))).withColumn("_tk", F.xxhash64(F.coalesce("text", F.lit(""))))
+    return keyed.join(first, ["_doc", "_tk"], "left_semi").dropDuplicates(["_doc", "_tk"]).select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a benchmark item."""
-    bad = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _keep(docs, bad, "left_anti")
+    named = _named(docs)
+    bad = contaminated(named, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col="_row")
+    return _keep(named, bad, "left_anti")
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
