@@ -91,12 +91,24 @@ def _sets(docs: DataFrame, shingle: int) -> DataFrame:
                         batch.column(1).slice(i, j - i),
                         pa.array(np.array(h, T.U64).view(np.int64)),
                         pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys.ravel().view(np.int64))),
-                        pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(grams.view(np.int64))),
                     ],
-                    names=["_doc", "_tk", "h", "keys", "grams"],
+                    names=["_doc", "_tk", "h", "keys"],
                 )
 
-    return docs.select("_doc", "_tk", "_text").mapInArrow(make, "_doc long, _tk long, h long, keys array<long>, grams array<long>")
+    return docs.select("_doc", "_tk", "_text").mapInArrow(make, "_doc long, _tk long, h long, keys array<long>")
+
+
+def _grams(texts: DataFrame, shingle: int) -> DataFrame:
+    """The sets themselves, of few texts, so that those of all are neither kept nor shuffled."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, raw, at in T.chunks(batch.column(1)):
+                grams, offsets = shingle_sets(raw, at, shingle)
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(grams.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), lists], names=["h", "grams"])
+
+    return texts.select("h", "_text").mapInArrow(make, "h long, grams array<long>")
 
 
 def _compared(groups: DataFrame, similarity: float) -> DataFrame:
@@ -134,7 +146,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     if similarity < 0.8:
         raise ValueError("the keys are made for a similarity of 0.8 and more")
-    sets = stored(_sets(keyed(docs, id_col, text_col), shingle))
+    base = keyed(docs, id_col, text_col)
+    sets = stored(_sets(base, shingle))
     classes = stored(sets.groupBy("h").agg(F.min(F.struct("_doc", "_tk")).alias("low"), F.first("keys").alias("keys")))
     keys = classes.select("h", F.explode("keys").alias("key"))
     members = [F.bit_xor(F.xxhash64("h", F.lit(x))) for x in (1, 2)]
@@ -143,8 +156,9 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     part = F.pmod(F.xxhash64("h", "key"), F.col("parts")).cast("int")
     each = keys.join(once, "key").select("key", "h", part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     each = stored(each.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "h"))
-    wanted = each.select("h").distinct().join(classes.select("h", "low._doc", "low._tk"), "h")
-    whole = sets.select("_doc", "_tk", "h", "grams").join(wanted, ["_doc", "_tk", "h"]).select("h", "grams")
+    # stored, so that Spark knows its size and broadcasts it where it is small
+    wanted = stored(each.select("h").distinct().join(classes.select("h", "low._doc", "low._tk"), "h"))
+    whole = _grams(base.join(wanted, ["_doc", "_tk"]), shingle)
     links = stored(_compared(each.join(whole, "h"), similarity))
     parts = connected_components(links).select(F.col("id").alias("h"), "component")
     classes = classes.join(parts, "h", "left").select("h", "low", F.coalesce("component", "h").alias("group"))
