@@ -134,7 +134,8 @@ def find_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
             score = F.when(s["kind"] == kind, F.lit(SCORES[kind])).otherwise(score)
             near = F.when(s["kind"] == kind, around.rlike(rf"(?:^|[^a-z])(?:{CONTEXT[kind]})")).otherwise(near)
         score = F.least(F.lit(1.0), score + F.when(near, CONTEXT_GAIN).otherwise(0.0))
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["rank"].alias("rank"), s["kind"].alias("kind"), score.alias("score"))
+        # the order of the fields is the order of the spans: by start, then kind
+        return F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"), score.alias("score"))
 
     base = F.transform(F.concat(*(F.col(f"__s_{k}") for k in BASE_KINDS)), scored)
     more = F.transform(F.concat(*(F.col(f"__s_{k}") for k in PATTERNS if k not in BASE_KINDS)), scored)
