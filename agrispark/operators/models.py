@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -40,17 +42,22 @@ def dot(a: Column | str, b: Column | str) -> Column:
 
 
 def against_all(queries: DataFrame, base: DataFrame, most: int = 10_000) -> DataFrame:
-    """Every row of a stated query set beside every row of ``base``; the set's size is checked before it is broadcast."""
-    if queries.count() > most:
-        raise ValueError(f"query sets beyond {most} vectors go in blocks")
-    return base.crossJoin(F.broadcast(queries))
+    """Every row of a stated query set (``query_id``) beside every row of ``base``.
+
+    A set of more than ``most`` rows is dealt by a hash of its id into blocks of
+    half as many on average, each of which is broadcast by itself.
+    """
+    n = queries.count()
+    blocks = 1 if n <= most else -(-2 * n // most)
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    parts = [base.crossJoin(F.broadcast(queries.where(block == i) if blocks > 1 else queries)) for i in range(blocks)]
+    return reduce(DataFrame.union, parts)
 
 
 def similar(queries: DataFrame, base: DataFrame, k: int = 5, metric: str = "cosine") -> DataFrame:
     """Each query's k best of ``base`` (``desc_id, vec``), itself left out: ``query_id, desc_id, score, rank``.
 
-    The stated query set is small and goes to all tasks in a size-checked
-    broadcast; each task keeps k of a query before anything is shuffled.
+    The stated query set goes to all tasks in blocks of bounded size; each task keeps k of a query before anything is shuffled.
     """
     q = queries.select(F.col("desc_id").alias("query_id"), F.col("vec").alias("qvec"))
     pairs = against_all(q, base).where("desc_id <> query_id")
