@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -99,8 +101,72 @@ KNOWN: dict[str, list[str]] = {
         "SPDX-License-Identifier: MPL-2.0",
     ],
 }
-#: Every known text has one of these in its canonical form, so other texts need no canonical form.
-HINT = r"(?i)licen[cs]e|permission|redistribut"
+#: How notices begin, and the names by which they call a licence; every beginning goes with every name.
+BEGINNINGS = [
+    f"{subject}{verb} under {article}"
+    for subject in ("", *(f"This {x} is " for x in ("work", "software", "project", "program", "file")))
+    for verb in ("Licensed", "Released", "Distributed")
+    for article in ("", "the ", "a ", "the terms of the ")
+]
+
+
+def _gnu(name: str, short: str, number: str) -> list[str]:
+    named = [f"{x}{sep}{v}" for x in (f"GNU {name}", f"GNU {short}", short) for v in {number, number.removesuffix(".0")} for sep in (" version ", " v", " ", "v")]
+    return [f"{x}{later}" for x in named for later in ("", " or later", " or any later version")]
+
+
+def _cc(words: str, short: str, number: str) -> list[str]:
+    kinds = ("", " License", " International", " International License", " Unported License")
+    return [f"{x} {number}{k}" for x in (f"Creative Commons {words}", f"CC {short}", f"Creative Commons {short}") for k in kinds]
+
+
+NAMES: dict[str, list[str]] = {
+    "MIT": ["MIT", "MIT License", "Expat License", "MIT/Expat License"],
+    "ISC": ["ISC", "ISC License"],
+    "0BSD": ["0BSD", "0BSD License", "Zero-Clause BSD License", "BSD Zero Clause License"],
+    "BSD-2-Clause": ["BSD 2-Clause", "BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License", "BSD 2-Clause Simplified License", "FreeBSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause", "BSD 3-Clause License", "3-Clause BSD License", "New BSD License", "Modified BSD License", "Revised BSD License"],
+    "Apache-2.0": [f"{x}{v}{k}" for x in ("Apache", "Apache License", "Apache Software License") for v in (" 2.0", " v2.0", " Version 2.0", " v2", " 2", " Version 2") for k in ("", " License")],
+    "GPL-2.0": _gnu("General Public License", "GPL", "2.0"),
+    "GPL-3.0": _gnu("General Public License", "GPL", "3.0"),
+    "LGPL-2.1": _gnu("Lesser General Public License", "LGPL", "2.1"),
+    "LGPL-3.0": _gnu("Lesser General Public License", "LGPL", "3.0"),
+    "AGPL-3.0": _gnu("Affero General Public License", "AGPL", "3.0"),
+    "MPL-2.0": [f"{x}{v}" for x in ("Mozilla Public License", "MPL") for v in (" 2.0", " v2.0", " v. 2.0", " Version 2.0")],
+    "CC0-1.0": ["CC0", "CC0 1.0", "CC0 1.0 Universal", "CC0 1.0 Universal License", "Creative Commons Zero v1.0 Universal", "Creative Commons CC0 1.0 Universal License"],
+    "Unlicense": ["Unlicense", "Unlicense License"],
+    **{
+        f"CC-{short}-{number}": _cc(words, short, number)
+        for words, short in (
+            ("Attribution", "BY"),
+            ("Attribution-ShareAlike", "BY-SA"),
+            ("Attribution-NonCommercial", "BY-NC"),
+            ("Attribution-NoDerivatives", "BY-ND"),
+            ("Attribution-NonCommercial-ShareAlike", "BY-NC-SA"),
+            ("Attribution-NonCommercial-NoDerivatives", "BY-NC-ND"),
+        )
+        for number in ("2.0", "2.5", "3.0", "4.0")
+    },
+}
+
+
+def _complete() -> None:
+    """Adds to KNOWN the notices, SPDX lines, full texts (with and without what follows their terms) and texts without their title."""
+    for name, named in NAMES.items():
+        texts = KNOWN.setdefault(name, [])
+        texts += [t.partition("\n\n")[2] for t in list(texts) if "\n\n" in t and t.partition("\n\n")[0].endswith("License")]
+        texts += [f"{x}{y}" for x in BEGINNINGS for y in named]
+        spdx = [name, f"{name}-only", f"{name}-or-later"] if "GPL" in name else [name]
+        texts += [f"SPDX-License-Identifier: {x}" for x in spdx]
+    for path in sorted((Path(__file__).parent / "license_texts").glob("*.txt")):
+        text = path.read_text(encoding="utf-8")
+        KNOWN[path.stem].append(text)
+        for end in ("END OF TERMS AND CONDITIONS", "For more information"):
+            if end in text:
+                KNOWN[path.stem].append(text.partition(end)[0] + (end if end.isupper() else ""))
+
+
+_complete()
 #: Spellings that count as equal (fixed values).
 SPELLINGS = {
     "acknowledgement": "acknowledgment",
@@ -131,9 +197,13 @@ SPELLINGS = {
     "utilisation": "utilization",
     "wilful": "willful",
 }
-#: (pattern, replacement), in their order; each means the same in Java's, Python's and RE2's syntax.
+#: Words that follow "copyright" or "(c)" inside the known texts; other words there name a holder.
+INSIDE = "|".join(sorted({w for texts in KNOWN.values() for t in texts for w in re.findall(r"(?:\bcopyright|\(c\))\s+([a-z]+)", t.lower())} - {"by", "copyright"}))
+_HOLDER = rf"(?:©|[0-9]{{4}}|[<\[{{{{]|(?!(?:{INSIDE})\b)[a-z\x{{80}}-\x{{10FFFF}}])"
+#: (pattern, replacement), in their order; each means the same in Java's and Python's syntax. A line that starts like
+#: a copyright line goes only if a sign, a year or a holder follows, as lines of wrapped texts may start with the word.
 STEPS = [
-    (r"(?m)^[ \t/*#;-]*(?:copyright|\(c\)|©)[^\n]*$", " "),
+    (rf"(?m)^[ \t/*#;-]*(?:©|copyright\b[ \t:]*(?:\(c\)|{_HOLDER})|\(c\)[ \t]*{_HOLDER})[^\n]*$", " "),
     (r"all rights reserved", " "),
     (r"©|\(c\)", " copyright "),
     (r"https?://", " http "),
@@ -144,6 +214,9 @@ STEPS = [
 ]
 
 
+COMPILED = [(re.compile(re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\U{int(m[1], 16):08x}", pattern)), by) for pattern, by in STEPS]
+
+
 def canonical(text: Column) -> Column:
     out = F.lower(text)
     for pattern, by in STEPS:
@@ -154,11 +227,27 @@ def canonical(text: Column) -> Column:
 def canonical_text(text: str) -> str:
     """``canonical`` of one Python string, for the known texts."""
     out = text.lower()
-    for pattern, by in STEPS:
-        out = re.sub(re.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\U{int(m[1], 16):08x}", pattern), by, out)
+    for pattern, by in COMPILED:
+        out = pattern.sub(by, out)
     return out
 
 
+def _hint() -> str:
+    """A pattern that every known text meets: what notices have, and as many long words as the other texts need."""
+    words = ["licen[cs]e", "(?:released|distributed)[^a-z0-9]+under"]
+    left = [set(re.findall("[a-z]{8,}", t.lower())) for texts in KNOWN.values() for t in texts if not re.search("|".join(words), t.lower())]
+    while left:
+        n = Counter(w for t in left for w in t)
+        word = max(n, key=lambda w: (n[w], len(w), w))
+        words += [word, *(a for a, b in SPELLINGS.items() if b == word)]
+        left = [t for t in left if word not in t]
+    return "(?iu)" + "|".join(words)
+
+
+#: Every known text has one of these, so other texts need no canonical form.
+HINT = _hint()
+
+
 def known_digests(spark: SparkSession, known: dict[str, list[str]] | None = None) -> DataFrame:
     rows = {hashlib.sha256(canonical_text(t).encode()).hexdigest(): name for name, texts in (known or KNOWN).items() for t in texts}
     return spark.createDataFrame(sorted(rows.items()), "digest string, license string")
@@ -181,7 +270,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         units.unionByName(lines)
         .withColumn("digest", F.sha2(canonical(F.col("unit")), 256))
         .drop("unit")
-        .join(F.broadcast(known), "digest")  # a fixed list of a few dozen digests
+        .join(F.broadcast(known), "digest")  # a fixed list of some 60,000 digests
     )
     whole = F.col("line") < 0
     found = hits.groupBy("_doc", "_tk").agg(
