@@ -33,7 +33,7 @@ def word_hashes(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray,
     low = pa.array([(x or "").lower() for x in column.to_pylist()], pa.large_string())
     for i, j, raw, at in T.chunks(low):
         start, stop, row = T.word_spans(raw, at, GAP)
-        yield i, T.range_hash(raw, start, stop, T.BASES[0]), row, np.searchsorted(row, np.arange(j - i + 1))
+        yield i, T.span_hash(raw, start, stop), row, np.searchsorted(row, np.arange(j - i + 1))
 
 
 def best_alignment(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:

@@ -55,25 +55,15 @@ class Texts:
     def lines(self) -> tuple[np.ndarray, np.ndarray]:
         """Lines with a word, and those equal to an earlier one, by text."""
         start, stop, row = self._lines()
-        key = T.mix(T.range_hash(self.raw, start, stop, T.BASES[0]) ^ T.mix(row.astype(T.U64)))
-        order = np.argsort(key, kind="stable")
-        again = np.zeros(len(key), bool)
-        again[order[1:]] = key[order[1:]] == key[order[:-1]]
+        again, _ = T.repeats_in_row(T.span_codes(self.raw, start, stop)[0], row)
         return np.bincount(row, minlength=self.n), np.bincount(row[again], minlength=self.n)
 
     def n_repeat_words(self) -> np.ndarray:
         n = len(self.start) - 2
         if n <= 0:
             return np.zeros(self.n, np.int64)
-        words = T.range_hash(self.raw, self.start, self.stop, T.BASES[0])
-        inside = self.row[2:] == self.row[:-2]
-        at = np.flatnonzero(inside)
-        key = T.mix(T.window_hash(words, 3, T.BASES[1])[at] ^ T.mix(self.row[at].astype(T.U64)))
-        order = np.argsort(key)
-        same = key[order[1:]] == key[order[:-1]]
-        twice = np.zeros(len(at), bool)
-        twice[order[1:]] |= same
-        twice[order[:-1]] |= same
+        at = np.flatnonzero(self.row[2:] == self.row[:-2])
+        _, twice = T.repeats_in_row(T.window_codes(T.span_codes(self.raw, self.start, self.stop)[0], 3)[at], self.row[at])
         hit = np.zeros(len(self.start), bool)
         for k in range(3):
             hit[at[twice] + k] = True

@@ -107,19 +107,13 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
                 raw = np.where((raw >= 65) & (raw <= 90), raw + 32, raw).astype(np.uint8)
                 start, stop, row = T.word_spans(raw, at)
                 n = np.bincount(row, minlength=len(at) - 1)
-                keep = ~T.SPACE[raw]
-                gap = stop[:-1][row[1:] == row[:-1]] if len(row) else stop
-                keep[gap] = True
-                place = np.cumsum(keep) - 1
-                raw = raw.copy()
-                raw[gap] = 32
-                text = raw[keep].tobytes()
+                text, begin, end = T.joined_words(raw, start, stop, row)
                 first = np.cumsum(n) - n
                 count = np.where(n >= shingle, n - shingle + 1, (n > 0).astype(n.dtype))
                 ends = np.minimum(shingle, np.maximum(n, 1))
                 owner = np.repeat(np.arange(len(n)), count)
                 k = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + first[owner]
-                a, b = place[start[k]], place[stop[k + ends[owner] - 1] - 1] + 1
+                a, b = begin[k], end[k + ends[owner] - 1]
                 h = np.array([digest(text[x:y], 42) for x, y in zip(a.tolist(), b.tolist(), strict=True)], T.U64)
                 fp = np.zeros(len(n), T.U64)
                 some = np.flatnonzero(count)

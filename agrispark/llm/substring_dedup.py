@@ -5,18 +5,19 @@
    as any window that has it: the sketch overestimates window counts).
 2. The sketches are merged block by block; what is left is one bit for each
    counter, "two or more", of a size fixed by ``width_bits``.
-3. A second pass groups, exactly, only the windows estimated repeated and
-   finds each one's first place; none is lost, as the estimate is never low.
+3. A second pass groups only the windows estimated repeated, by XXH3-128 of
+   their words' bytes, and finds each one's first place; none is lost, as the
+   estimate is never low.
 4. Places join back to the texts; other places of a repeated window go.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from agrispark.llm import textops as T
@@ -27,14 +28,14 @@ BLOCK_BITS = 22
 
 
 def _seeds(raw, at, window: int, gram: int):
-    """Words, and runs of windows by seed: (first, last, seed) of each, over one chunk."""
+    """Words, and runs of windows by seed: (first, last, seed) of each, over one chunk. Equal windows have equal seeds; others may."""
     start, stop, row = T.word_spans(raw, at)
     words = T.range_hash(raw, start, stop, T.BASES[0])
     grams = T.window_hash(words, gram, T.BASES[1])
     n = len(words) - window + 1
     valid = row[window - 1 :] == row[: max(n, 0)] if n > 0 else np.zeros(0, bool)
     lo, hi, low = T.winnow(grams, window - gram + 1, valid)
-    return start, stop, row, words, lo, hi, grams[low]
+    return start, stop, row, lo, hi, grams[low]
 
 
 def _counters(seed: np.ndarray, j: int, width_bits: int) -> np.ndarray:
@@ -127,15 +128,17 @@ def substring_dedup(
         for batch in batches:
             doc, tk = (batch.column(i).to_numpy() for i in (0, 1))
             for i, _, raw, at in T.chunks(batch.column(2)):
-                start, _, row, words, lo, hi, seed = _seeds(raw, at, window, gram)
+                start, stop, row, lo, hi, seed = _seeds(raw, at, window, gram)
                 take = _repeated(shared.value, seed, width_bits)
                 if not take.any():
                     continue
                 w, _ = T.concat_ranges(lo[take], hi[take])
-                two = (T.window_hash(words, window, b)[w].view(np.int64) for b in (T.BASES[0], 0xA0761D6478BD642F))
+                text, a, b = T.joined_words(raw, start, stop, row)
+                digest = xxhash.xxh3_128_digest
+                two = np.frombuffer(b"".join([digest(text[x:y]) for x, y in zip(a[w].tolist(), b[w + window - 1].tolist(), strict=True)]), "<i8").reshape(-1, 2)
                 first = np.searchsorted(row, np.arange(len(at) - 1), side="left")
                 yield pa.RecordBatch.from_arrays(
-                    [*(pa.array(x) for x in two), pa.array(doc[i + row[w]]), pa.array((w - first[row[w]]).astype(np.int32)), pa.array(tk[i + row[w]])],
+                    [*(pa.array(two[:, k].copy()) for k in (0, 1)), pa.array(doc[i + row[w]]), pa.array((w - first[row[w]]).astype(np.int32)), pa.array(tk[i + row[w]])],
                     names=["k1", "k2", "_doc", "at", "_tk"],
                 )
 
@@ -152,7 +155,7 @@ def substring_dedup(
             flat, of = T.list_column(batch.column(2))
             n_words, n_removed, kept = [], [], []
             for i, j, raw, at in T.chunks(unzipped(batch.column(1))):
-                start, stop, row, _, lo, hi, seed = _seeds(raw, at, window, gram)
+                start, stop, row, lo, hi, seed = _seeds(raw, at, window, gram)
                 gone = np.zeros(len(start) + 1, np.int64)
                 take = _repeated(shared.value, seed, width_bits)
                 w, _ = T.concat_ranges(lo[take], hi[take])

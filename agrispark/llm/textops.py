@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U64 = np.uint64
 #: Bytes that separate words: blank and \t \n \v \f \r.
@@ -47,7 +48,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def range_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
-    """A hash of values[start:end] for each pair, by prefix sums."""
+    """A hash of values[start:end] for each pair, by prefix sums. For choosing only: unlike values may share it."""
     n = len(values)
     up, down = powers(base, n + 1)
     total = np.zeros(n + 1, dtype=U64)
@@ -56,7 +57,7 @@ def range_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int
 
 
 def window_hash(values: np.ndarray, width: int, base: int) -> np.ndarray:
-    """range_hash of every run of ``width`` values."""
+    """range_hash of every run of ``width`` values, for choosing only."""
     n = len(values) - width + 1
     if n <= 0:
         return np.zeros(0, U64)
@@ -107,6 +108,61 @@ def word_spans(raw: np.ndarray, at: np.ndarray, gap: np.ndarray = SPACE) -> tupl
     return start, stop, np.searchsorted(at, start, side="right") - 1
 
 
+def span_codes(raw: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """A number for each of the ascending, disjoint spans, the same for equal bytes only, and the bytes of each number."""
+    edge = np.zeros(len(raw) + 1, np.int8)
+    np.add.at(edge, start, 1)
+    np.subtract.at(edge, stop, 1)
+    inside = raw[np.cumsum(edge[:-1], dtype=np.int8) > 0]
+    ends = np.concatenate([[0], np.cumsum(stop - start)]).astype(np.int64)
+    spans = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(inside)])
+    coded = spans.dictionary_encode()
+    return coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+
+
+def span_hash(raw: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """XXH3-64 of the bytes of each span, made once for equal ones."""
+    code, spans = span_codes(raw, start, stop)
+    return np.array([xxhash.xxh3_64_intdigest(x) for x in spans], U64)[code] if len(code) else np.zeros(0, U64)
+
+
+def window_codes(code: np.ndarray, width: int) -> np.ndarray:
+    """A number for each run of ``width`` codes, the same for equal runs only."""
+    n = len(code) - width + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    own = int(code.max()) + 1
+    out, size = code[:n], own
+    for k in range(1, width):
+        if size > (1 << 62) // own:
+            out = np.unique(out, return_inverse=True)[1].astype(np.int64)
+            size = int(out.max()) + 1
+        out, size = out * own + code[k : n + k], size * own
+    return out
+
+
+def repeats_in_row(code: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For places in order of their rows: whether the code stood before in the row, and whether it stands there twice or more."""
+    order = np.argsort(code, kind="stable")
+    same = (code[order[1:]] == code[order[:-1]]) & (row[order[1:]] == row[order[:-1]])
+    before = np.zeros(len(code), bool)
+    before[order[1:]] = same
+    twice = before.copy()
+    twice[order[:-1]] |= same
+    return before, twice
+
+
+def joined_words(raw: np.ndarray, start: np.ndarray, stop: np.ndarray, row: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """The words with one blank between those of a row, and each word's first and end byte there."""
+    keep = ~SPACE[raw]
+    gap = stop[:-1][row[1:] == row[:-1]] if len(row) else stop
+    keep[gap] = True
+    place = np.cumsum(keep) - 1
+    raw = raw.copy()
+    raw[gap] = 32
+    return raw[keep].tobytes(), place[start] if len(start) else start, place[stop - 1] + 1 if len(stop) else stop
+
+
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     """min(x[i : i + width]) for each i, by doubling."""
     have = 1
