@@ -8,6 +8,8 @@ neither recurse nor are tried again from each of their characters.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from agrispark.llm.common import documents
@@ -36,6 +38,59 @@ CONTEXT = {
     "secret": "token|key|secret|password|credential",
 }
 CONTEXT_GAIN, THRESHOLD, BEFORE, AFTER = 0.3, 0.6, 40, 20
+CHUNK = 1024
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value made once, however often the body and lambdas in it name it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(items: Column, value: Callable[[Column], Column], op: Callable[[Column, Column], Column], zero: Column) -> Column:
+    """Array of (x, before): each item, and ``op`` over the values of all items before it.
+
+    Items go in blocks of 64, so no array grows item by item over a whole text.
+    """
+
+    def block(items: Column, b: Column) -> Column:
+        part = F.slice(items, b * 64 + 1, F.lit(64))
+        return let(part, lambda p: F.struct(F.aggregate(p, zero, lambda s, x: op(s, value(x))).alias("total"), p.alias("part")))
+
+    def grow(state: Column, next_at: Column, item: Column) -> Column:
+        return F.struct(next_at.alias("at"), F.concat(state["out"], F.array(item)).alias("out"))
+
+    def inside(b: Column, offset: Column) -> Column:
+        none = F.slice(F.transform(b["part"], lambda x: F.struct(x.alias("x"), offset.alias("before"))), F.lit(1), F.lit(0))
+        step = lambda s, x: grow(s, op(s["at"], value(x)), F.struct(x.alias("x"), s["at"].alias("before")))
+        return F.aggregate(b["part"], F.struct(offset.alias("at"), none.alias("out")), step, lambda s: s["out"])
+
+    def whole(blocks: Column) -> Column:
+        none = F.slice(F.array(zero), F.lit(1), F.lit(0))
+        step = lambda s, b: grow(s, op(s["at"], b["total"]), s["at"])
+        offsets = F.aggregate(blocks, F.struct(zero.alias("at"), none.alias("out")), step, lambda s: s["out"])
+        return F.flatten(F.zip_with(blocks, offsets, inside))
+
+    cut = lambda a: F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / 64).cast("int")), lambda b: block(a, b))
+    return let(items, lambda a: F.when(F.size(a) > 0, let(cut(a), whole)).otherwise(F.array()))
+
+
+def chunked(text: Column) -> Column:
+    """The text in parts of ``CHUNK`` code points, so that a place late in a long text is found without counting from its start."""
+
+    def cut(t: Column, size: int) -> Column:
+        n = F.length(t)
+        return F.transform(F.sequence(F.lit(0), F.floor(F.greatest(n - 1, F.lit(0)) / size).cast("int")), lambda i: F.substr(t, i * size + 1, F.lit(size)))
+
+    return let(text, lambda t: F.flatten(F.transform(cut(t, CHUNK * 128), lambda part: cut(part, CHUNK))))
+
+
+def piece(chunks: Column, a: Column, b: Column) -> Column:
+    """Code points a to b of a chunked text."""
+    first, last = F.floor(a / CHUNK).cast("int"), F.floor(b / CHUNK).cast("int")
+    get = lambda i: F.coalesce(F.get(chunks, i), F.lit(""))
+    head, tail = F.substr(get(first), a % CHUNK + 1), F.substr(get(last), F.lit(1), b % CHUNK)
+    middle = F.array_join(F.slice(chunks, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+    return F.when(b <= a, "").when(first == last, F.substr(get(first), a % CHUNK + 1, b - a)).otherwise(F.concat(head, middle, tail))
 
 
 def digits(c: Column) -> Column:
@@ -45,23 +100,27 @@ def digits(c: Column) -> Column:
 def luhn(number: Column) -> Column:
     """Whether a string of digits passes Luhn's check (empty: no)."""
 
-    def weigh(i: Column) -> Column:
+    def weigh(number: Column, i: Column) -> Column:
         d = F.substr(number, F.length(number) - i + 1, F.lit(1)).cast("int") * F.when(i % 2 == 0, 2).otherwise(1)
         return F.when(d > 9, d - 9).otherwise(d)
 
-    total = F.aggregate(F.transform(F.sequence(F.lit(1), F.length(number)), weigh), F.lit(0), lambda a, x: a + x)
-    return F.when(F.length(number) > 0, total % 10 == 0).otherwise(False)
+    def total(n: Column) -> Column:
+        return F.aggregate(F.transform(F.sequence(F.lit(1), F.length(n)), lambda i: weigh(n, i)), F.lit(0), lambda a, x: a + x)
+
+    return let(number, lambda n: F.when(F.length(n) > 0, total(n) % 10 == 0).otherwise(False))
 
 
 def mod97(iban: Column) -> Column:
     """Whether an account number without blanks passes the mod-97 check."""
-    turned = F.concat(F.substr(iban, F.lit(5)), F.substr(iban, F.lit(1), F.lit(4)))
 
-    def step(a: Column, i: Column) -> Column:
+    def step(turned: Column, a: Column, i: Column) -> Column:
         c = F.ascii(F.substr(turned, i, F.lit(1)))
         return F.when(c >= 65, (a * 100 + c - 55) % 97).otherwise((a * 10 + c - 48) % 97)
 
-    return F.when(F.length(iban) > 4, F.aggregate(F.sequence(F.lit(1), F.length(iban)), F.lit(0), step) == 1).otherwise(False)
+    def rest(turned: Column) -> Column:
+        return F.aggregate(F.sequence(F.lit(1), F.length(turned)), F.lit(0), lambda a, i: step(turned, a, i))
+
+    return F.when(F.length(iban) > 4, let(F.concat(F.substr(iban, F.lit(5)), F.substr(iban, F.lit(1), F.lit(4))), rest) == 1).otherwise(False)
 
 
 def valid(kind: str, found: Column) -> Column:
@@ -70,41 +129,36 @@ def valid(kind: str, found: Column) -> Column:
         part = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
         return found.rlike(rf"^{part}(?:\.{part}){{3}}$")
     if kind == "card":
-        n = digits(found)
-        return F.when(F.length(n).between(14, 19), luhn(n)).otherwise(False)
+        return let(digits(found), lambda n: F.when(F.length(n).between(14, 19), luhn(n)).otherwise(False))
     if kind == "phone":
         return F.length(digits(found)).between(10, 15)
     if kind == "iban":
-        bare = F.replace(found, F.lit(" "), F.lit(""))
-        return F.when(F.length(bare).between(15, 34), mod97(bare)).otherwise(False)
+        return let(F.replace(found, F.lit(" "), F.lit("")), lambda n: F.when(F.length(n).between(15, 34), mod97(n)).otherwise(False))
     return F.lit(True)
 
 
-def _confirmed(kind: str):
-    return lambda span: valid(kind, span["found"])
-
-
-def _of(kind: str):
-    return lambda span: span["kind"] == kind
+def _places(text: Column, kind: str) -> Column:
+    """Array of (start, end, rank, kind) of the confirmed matches, in code points."""
+    pattern, rank = PATTERNS[kind], list(PATTERNS).index(kind)
 
+    def placed(matches: Column) -> Column:
+        # a match with the gap before it; the last gap has no match
+        parts = F.zip_with(
+            F.split(text, pattern, -1),
+            matches,
+            lambda gap, found: F.struct(F.length(gap).alias("gap"), F.length(found).alias("size"), F.coalesce(valid(kind, found), F.lit(False)).alias("ok")),
+        )
+        walked = running(F.filter(parts, lambda p: p["size"].isNotNull()), lambda p: p["gap"] + p["size"], lambda a, b: a + b, F.lit(0))
 
-def _places(text: Column, kind: str, matches: Column) -> Column:
-    """Array of (start, end, rank, kind, found) of all matches, in code points."""
-    gaps = F.split(text, PATTERNS[kind], -1)
+        def span(r: Column) -> Column:
+            start = r["before"] + r["x"]["gap"]
+            return F.struct(start.alias("start"), F.lit(rank).alias("rank"), (start + r["x"]["size"]).alias("end"), F.lit(kind).alias("kind"))
 
-    def step(acc: Column, i: Column) -> Column:
-        found = F.get(matches, i)
-        start = acc["at"] + F.length(F.get(gaps, i))
-        end = start + F.length(found)
-        span = F.struct(
-            start.cast("int").alias("start"), end.cast("int").alias("end"), F.lit(list(PATTERNS).index(kind)).alias("rank"), F.lit(kind).alias("kind"), found.alias("found")
-        )
-        return F.struct(end.cast("int").alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+        return F.transform(F.filter(walked, lambda r: r["x"]["ok"]), span)
 
-    empty = F.array().cast("array<struct<start:int,end:int,rank:int,kind:string,found:string>>")
-    zero = F.struct(F.lit(0).alias("at"), empty.alias("spans"))
-    some = F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), zero, step, lambda acc: acc["spans"])
-    return F.when(F.size(matches) > 0, some).otherwise(empty)
+    empty = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
+    some = let(F.regexp_extract_all(text, F.lit(pattern), 0), lambda m: F.when(F.exists(m, lambda x: valid(kind, x)), placed(m)).otherwise(empty))
+    return F.when(F.instr(text, NEEDS[kind]) > 0, some).otherwise(empty) if kind in NEEDS else some
 
 
 def find_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -113,57 +167,55 @@ def find_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
     Base kinds (email, ip, card, phone) keep every confirmed match. Other
     kinds (iban, ssn, secret) need a score of 0.6 with the words around them
     and no base span in their place. A null or empty text has none. ``docs``
-    may have a column named spans already: it is replaced.
+    may have a column named spans already: it is replaced; no other column is
+    touched. The work grows with the text's length, not with its square,
+    however many spans it has.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    out = docs.withColumn("__text", text)
-    for kind, pattern in PATTERNS.items():
-        all_of = F.regexp_extract_all("__text", F.lit(pattern), 0)
-        if kind in NEEDS:
-            all_of = F.when(F.instr("__text", NEEDS[kind]) > 0, all_of).otherwise(F.array().cast("array<string>"))
-        out = out.withColumn(f"__m_{kind}", all_of)
-    for kind in PATTERNS:
-        placed = _places(F.col("__text"), kind, F.col(f"__m_{kind}"))
-        out = out.withColumn(f"__s_{kind}", F.filter(placed, _confirmed(kind)))
-
-    def scored(s: Column) -> Column:
-        first = F.greatest(s["start"] - BEFORE, F.lit(0))
-        around = F.lower(F.concat(F.substr("__text", first + 1, s["start"] - first), F.lit(" "), F.substr("__text", s["end"] + 1, F.lit(AFTER))))
+    latest, soonest = F.lit(-1), F.lit(2**31 - 1)
+
+    def scored(chunks: Column, s: Column) -> Column:
+        around = F.lower(F.concat(piece(chunks, F.greatest(s["start"] - BEFORE, F.lit(0)), s["start"]), F.lit(" "), piece(chunks, s["end"], s["end"] + AFTER)))
         score, near = F.lit(0.0), F.lit(False)
         for kind in PATTERNS:
             score = F.when(s["kind"] == kind, F.lit(SCORES[kind])).otherwise(score)
             near = F.when(s["kind"] == kind, around.rlike(rf"(?:^|[^a-z])(?:{CONTEXT[kind]})")).otherwise(near)
         score = F.least(F.lit(1.0), score + F.when(near, CONTEXT_GAIN).otherwise(0.0))
-        # the order of the fields is the order of the spans: by start, then kind
-        return F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"), score.alias("score"))
-
-    base = F.transform(F.concat(*(F.col(f"__s_{k}") for k in BASE_KINDS)), scored)
-    more = F.transform(F.concat(*(F.col(f"__s_{k}") for k in PATTERNS if k not in BASE_KINDS)), scored)
-    out = out.withColumn("__base", base).withColumn("__more", more)
-    free = F.filter(
-        "__more", lambda s: (s["score"] >= THRESHOLD) & ~F.exists("__base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    )
-    ordered = F.array_sort(F.concat("__base", free))
-    final = F.transform(
-        ordered, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), s["score"].alias("score"), s["kind"].isin(*BASE_KINDS).alias("base"))
-    )
-    return out.withColumn("spans", final).drop("__text", "__base", "__more", *(f"__{x}_{k}" for x in "ms" for k in PATTERNS))
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), score.alias("score"), (s["rank"] < len(BASE_KINDS)).alias("base"))
+
+    def kept(spans: Column) -> Column:
+        """Without those of the other kinds that are unlikely or in the place of a base span, before or after them in the order."""
+        left = running(spans, lambda s: F.when(s["base"], s["end"]).otherwise(latest), F.greatest, latest)
+        both = running(F.reverse(left), lambda r: F.when(r["x"]["base"], r["x"]["start"]).otherwise(soonest), F.least, soonest)
+        free = F.filter(
+            both,
+            lambda r: r["x"]["x"]["base"]
+            | ((r["x"]["x"]["score"] >= THRESHOLD) & (r["x"]["before"] <= r["x"]["x"]["start"]) & (r["before"] >= r["x"]["x"]["end"])),
+        )
+        return F.reverse(F.transform(free, lambda r: r["x"]["x"]))
+
+    def judged(spans: Column) -> Column:
+        marked = let(chunked(text), lambda chunks: F.transform(spans, lambda s: scored(chunks, s)))
+        sure = F.transform(F.filter(spans, lambda s: F.lit(False)), lambda s: scored(F.array(F.lit("")), s))
+        return F.when(F.size(spans) > 0, let(marked, lambda m: F.when(F.exists(m, lambda s: ~s["base"]), kept(m)).otherwise(m))).otherwise(sure)
+
+    # structs sort by start, then kind
+    return docs.withColumn("spans", let(F.array_sort(F.concat(*(_places(text, k) for k in PATTERNS))), judged))
 
 
 def redacted(text: Column, spans: Column) -> Column:
     """The text with each span replaced by its kind in brackets; spans that overlap an earlier one are merged into it."""
 
-    def step(acc: Column, s: Column) -> Column:
-        inside = s["start"] < acc["at"]
-        cut = F.substr(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        return F.struct(
-            F.greatest(s["end"], acc["at"]).alias("at"),
-            F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], cut, F.lit("["), F.upper(s["kind"]), F.lit("]"))).alias("out"),
-        )
+    def joined(chunks: Column, walked: Column) -> Column:
+        def part(r: Column) -> Column:
+            s, at = r["x"], r["before"]
+            return F.when(s["start"] < at, "").otherwise(F.concat(piece(chunks, at, s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]")))
 
-    done = F.aggregate(
-        spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1))
-    )
+        last = F.array_max(F.transform(walked, lambda r: r["x"]["end"]))
+        return F.concat(F.array_join(F.transform(walked, part), ""), piece(chunks, last, F.length(text)))
+
+    walked = running(spans, lambda s: s["end"], F.greatest, F.lit(0))
+    done = let(walked, lambda w: let(chunked(text), lambda chunks: joined(chunks, w)))
     return F.when(F.size(spans) > 0, done).otherwise(text)
 
 
@@ -171,7 +223,8 @@ def op9_pii(spark, sf_dir: str) -> DataFrame:
     out = find_spans(documents(spark, sf_dir))
     name = lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))
     base = F.filter("spans", lambda s: s["base"])
-    count = [F.size(F.filter("spans", _of(k))).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
+    of = lambda k: lambda s: s["kind"] == k
+    count = [F.size(F.filter("spans", of(k))).cast("long").alias(f"n_{k}") for k in BASE_KINDS]
     return out.select(
         "doc_id", *count, F.sha2(F.array_join(F.transform(base, name), ","), 256).alias("base_sha256"), F.array_join(F.transform("spans", name), ",").alias("spans")
     )
