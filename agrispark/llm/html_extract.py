@@ -14,17 +14,23 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+#: Comments, declarations and tags; a ``<`` before anything else is text. Values end as in a browser: at their quote, or,
+#: unquoted or with a quote that never closes, at white space or ``>``.
+_ATTRS = r"""(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))?+)*+"""
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>script|style|noscript|template|title|iframe|svg|textarea|select|button|object|canvas)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>"
-    r".*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S | re.I,
+    rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>{_ATTRS})(?:>|\Z)|<(?:[!?]|/(?![a-zA-Z]))[^>]*+(?:>|\Z)",
+    re.S,
 )
+#: Elements that are skipped with all they hold: those whose content is no markup (and so lasts to the end if never closed), and others.
+OPAQUE = {"script", "style", "noscript", "title", "iframe", "textarea", "xmp", "noembed", "noframes"}
+SKIPPED = OPAQUE | {"template", "svg", "select", "button", "object", "canvas", "datalist", "audio", "video", "math"}
 NAMES = re.compile(r"(?:^|\s)(?:class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*.?true", re.I)
 BLOCKS = set(
@@ -60,8 +66,8 @@ PRIOR = {
     "in_article": 1.5,
     "outside_article": -2.5,
 }
-#: P(child is 1 | parent) before training, and the counts this weighs as (fixed values).
-EDGE_PRIOR, EDGE_WEIGHT = (1e-7, 0.6), 2000.0
+#: P(child is 1 | parent) before training, the counts this weighs as, and the precision of the weights' prior (fixed values).
+EDGE_PRIOR, EDGE_WEIGHT = (1e-7, 0.6), 20.0
 PRIOR_PRECISION = 2.0
 
 
@@ -85,18 +91,37 @@ class Tree:
                 parts.clear()
             linked = 0
 
-        at = 0
-        for m in TOKEN.finditer(source):
+        at = here = 0
+        open_tags: Counter[str] = Counter()
+        ends: dict[str, int] = {}  # by skipped tag: the place of its next end tag, so that none is looked for twice
+
+        def pop(k: int):
+            open_tags.subtract(self.tag[i] for i in stack[k:])
+            del stack[k:]
+
+        while m := TOKEN.search(source, here):
             if m.start() > at:
                 said = html.unescape(source[at : m.start()])
                 parts.append(said)
                 if in_link:
                     linked += len(said.strip())
-            at = m.end()
+            at = here = m.end()
             tag = m["tag"]
             if tag is None:
                 continue
             tag = tag.lower()
+            if tag in SKIPPED:
+                if m["end"] or m["attrs"].endswith("/") and tag in ("svg", "math"):
+                    continue
+                if ends.get(tag, -1) < at:
+                    found = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(source, at)
+                    ends[tag] = found.start() if found else len(source)
+                if ends[tag] < len(source):
+                    close = source.find(">", ends[tag])
+                    at = here = close + 1 if close >= 0 else len(source)
+                elif tag in OPAQUE:
+                    at = here = len(source)
+                continue
             if tag not in BLOCKS:
                 if tag == "br":
                     parts.append(" ")
@@ -105,17 +130,18 @@ class Tree:
                 continue
             flush()
             if m["end"]:
-                for k in range(len(stack) - 1, 0, -1):
+                for k in range(len(stack) - 1, 0, -1) if open_tags[tag] else ():
                     if self.tag[stack[k]] == tag:
-                        del stack[k:]
+                        pop(k)
                         break
                 in_link = 0
                 continue
             if self.tag[stack[-1]] == "p":
-                stack.pop()
-            for k in range(len(stack) - 1, 0, -1):
-                if self.tag[stack[k]] in CLOSES.get(tag, ()):
-                    del stack[k:]
+                pop(len(stack) - 1)
+            closes = CLOSES.get(tag, ())
+            for k in range(len(stack) - 1, 0, -1) if any(open_tags[x] for x in closes) else ():
+                if self.tag[stack[k]] in closes:
+                    pop(k)
                     break
                 if self.tag[stack[k]] in STOPS:
                     break
@@ -124,8 +150,9 @@ class Tree:
             node = self._add(stack[-1], tag, names, bool(attrs and HIDDEN.search(attrs)), None, 0)
             if tag != "hr":
                 stack.append(node)
+                open_tags[tag] += 1
         if at < len(source):
-            parts.append(html.unescape(source[at:]) if "<" not in source[at:] else html.unescape(source[at:].split("<")[0]))
+            parts.append(html.unescape(source[at:]))
         flush()
 
     def _add(self, parent, tag, names, hidden, text, links) -> int:
@@ -241,7 +268,6 @@ def train(labelled: DataFrame, sample_pages: int = 400) -> tuple[np.ndarray, tup
         return w, edge
     x, y, n = np.array([r["x"] for r in got]), np.array([r["y"] for r in got]), np.array([r["count"] for r in got], float)
     over = np.array([r["over"] for r in got])
-    n = n * min(1.0, 2000 / n.sum())
     mean = w.copy()
     for _ in range(50):  # Newton steps of the penalised likelihood
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
