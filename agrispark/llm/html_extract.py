@@ -161,25 +161,42 @@ class Tree:
         return len(self.parent) - 1
 
     def features(self) -> list[list[float]]:
+        """A row of ``PRIOR``'s features for each node; what speaks against a block speaks against all under it.
+
+        A block whose names speak against it counts as a wrapper, and not as one of these, if it holds an article or main
+        element or, on pages without, four fifths of the text. An article starts anew, unless it is in another one and its names speak against it.
+        """
+        n = len(self.tag)
         has_main = any(t in ("article", "main") for t in self.tag)
-        inside = [False] * len(self.tag)
+        holds, size = [t in ("article", "main") for t in self.tag], [len(t or "") for t in self.text]
+        for i in range(n - 1, 0, -1):
+            size[self.parent[i]] += size[i]
+            if holds[i]:
+                holds[self.parent[i]] = True
+        inside, boilers, againsts, hiddens = [False] * n, [False] * n, [False] * n, [False] * n
         rows = []
         for i, tag in enumerate(self.tag):
             p = self.parent[i]
-            inside[i] = tag in ("article", "main") or (p >= 0 and inside[p])
+            article = tag in ("article", "main")
+            nested = p >= 0 and inside[p]
+            inside[i] = article or nested
             text = self.text[i]
             leaf = text is not None
             over = self.tag[p] if p >= 0 else ""
             names = self.names[i]
-            boiler = tag in ("nav", "footer", "aside", "form", "dialog", "menu") or (tag == "header" and not (p >= 0 and inside[p]))
+            boilers[i] = tag in ("nav", "footer", "aside", "form", "dialog", "menu") or (tag == "header" and not nested) or (p >= 0 and boilers[p])
+            own = bool(names) and tag not in ("body", "html") and (nested or not article) and AGAINST.search(names) is not None
+            wrapper = not article and (holds[i] if has_main else 5 * size[i] > 4 * size[0])
+            againsts[i] = own and not wrapper if article or own else p >= 0 and againsts[p]
+            hiddens[i] = self.hidden[i] or (p >= 0 and hiddens[p])
             rows.append(
                 [
                     1.0,
-                    float(tag in ("article", "main")),
-                    float(boiler),
-                    float(bool(names) and tag not in ("article", "main", "body", "html") and AGAINST.search(names) is not None),
+                    float(article),
+                    float(boilers[i]),
+                    float(againsts[i]),
                     float(bool(names) and FOR.search(names) is not None),
-                    float(self.hidden[i]),
+                    float(hiddens[i]),
                     float(leaf),
                     float(leaf and over in ("p", "pre", "blockquote")),
                     float(leaf and len(over) == 2 and over[0] == "h" and over != "hr"),

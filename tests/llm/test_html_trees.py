@@ -85,3 +85,18 @@ def test_held_out_pages(spark):
         total += 1
         right += html_extract.extract_text(r.html, *model) == "\n\n".join(b for b in blocks if b)
     assert total > 50 and right >= 0.99 * total
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<div id=header>Site</div><div id=content><h1>Title here</h1><p>First paragraph of text.</p></div><div id=sidebar><p>Side.</p></div>", "Title here\n\nFirst paragraph of text."),
+        ("<article class='post tag-x'><h1>T</h1><p>Main text.</p><div class=comments><h3>Comments</h3><p>Nice article, I agree.</p><p>So do I, and more.</p></div><p>End.</p></article>", "T\n\nMain text.\n\nEnd."),
+        ("<div class='page-with-ads'><article><p>Main text.</p><article class=comment><p>My comment is that I like it.</p></article></article></div>", "Main text."),
+        ("<body class=has-sidebar><div class='with-sidebar'><div class=post><p>Main text number one is here, long.</p><p>More.</p></div></div><div class=sidebar><p>Side.</p></div>", "Main text number one is here, long.\n\nMore."),
+    ],
+)
+def test_kinds_of_pages_not_trained_on(spark, page, want):
+    read = lambda t: spark.read.parquet(f"{oracle.DATA}/sf0.01/{t}.parquet")
+    model = html_extract.train(html_extract.labelled_pages(read("pages"), read("documents")))
+    assert html_extract.extract_text(page, *model) == want
