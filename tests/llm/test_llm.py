@@ -351,14 +351,28 @@ def test_chat_round_trip(spark):
     rows = [(1, 0, "user", odd), (1, 1, "assistant", odd), (1, 2, "assistant", None), (None, 0, "a\nb\\", "x"), (None, None, None, None), (2, 0, "user", "q"), (2, 0, "user", "q"), (2, 1, "assistant", "|turn|>" * 2000)]
     df = spark.createDataFrame([(*r, "p", 1) for r in rows], "conv_id long, turn long, role string, text string, piece string, position int")
     turns = chat_format.format_turns(df)
-    back = chat_format.read_turns(turns).collect()
-    assert sorted(((r.conv_id, r.role, r.text) for r in back), key=repr) == sorted(((c, r or "", t or "") for c, _, r, t in rows), key=repr)
-    assert all(r.piece.count("<|") == 2 and "[INST]" not in r.piece and "</s>" not in r.piece for r in back)
-    whole = chat_format.written_out(turns).collect()
-    assert len(whole) == chat_format.examples(turns).count() == 3
+    expanded = chat_format.examples(turns)
+    back = [(r.conv_id, t.role, t.text) for r in chat_format.read_back(expanded).collect() for t in r.turns]
+    assert sorted(back, key=repr) == sorted(((c, r or "", t or "") for c, _, r, t in rows), key=repr)
+    assert all(r.piece.count("<|") == 2 and "[INST]" not in r.piece and "</s>" not in r.piece for r in turns.collect())
+    whole = chat_format.written_out(expanded).collect()
+    assert len(whole) == 3 and expanded.where("loss_start is null").count() == 1
+    trained = {(r.conv_id, r.example): (r.trained, r.n_chars) for r in chat_format.read_back(expanded).collect()}
     for r in whole:
         assert r.text.endswith("<|end|>") and r.text[r.loss_end :] == "<|end|>" and r.text[: r.loss_start].endswith("<|turn|>assistant\n")
-    assert chat_format.format_turns(df.limit(0)).count() == 0
+        masked = spark.range(1).select(chat_format.unescaped(chat_format.F.lit(r.text[r.loss_start : r.loss_end]))).first()[0]
+        assert trained[r.conv_id, r.example] == (masked, len(r.text))
+    assert chat_format.examples(chat_format.format_turns(df.limit(0))).count() == 0
+
+
+def test_wrong_prefix_shows(spark):
+    df = spark.createDataFrame([(1, i, ("user", "assistant")[i % 2], f"turn {i} " * (i + 1)) for i in range(6)], "conv_id long, turn long, role string, text string")
+    expanded = chat_format.examples(chat_format.format_turns(df))
+    right = {r.example: r.trained for r in chat_format.read_back(expanded).collect()}
+    assert right == {k: f"turn {2 * k - 1} " * (2 * k) for k in (1, 2, 3)}
+    for wrong in (expanded.where("example <> 2"), expanded.withColumn("fresh", chat_format.F.expr("if(example = 2, substr(fresh, 2), fresh)"))):
+        got = {r.example: r.trained for r in chat_format.read_back(wrong).collect()}
+        assert got[3] != right[3]
 
 
 # --- pipeline ---
