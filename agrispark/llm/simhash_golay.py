@@ -61,6 +61,33 @@ def code_indices(x: np.ndarray) -> np.ndarray:
     return np.where(e < 0, -1, (x[:, None] ^ e) >> 11)
 
 
+def _codewords() -> np.ndarray:
+    """The 4096 codewords by index, as rows of 23 signs."""
+    words = np.zeros(4096, np.int64)
+    for i in range(12):
+        words ^= np.where(np.arange(4096) >> i & 1, GENERATOR << i, 0)
+    of = np.zeros(4096, np.int64)
+    of[words >> 11] = words
+    return ((of[:, None] >> np.arange(23) & 1) * 2 - 1).astype(np.float32)
+
+
+CODEWORDS = _codewords()
+
+
+def likely_indices(vote: np.ndarray, most: int) -> np.ndarray:
+    """For each row of votes of a segment the indices of the ``most`` codewords that agree best with them.
+
+    The votes say how sure each bit is, so the codewords named are those that
+    another text's segment is likely near to, though many weak bits may differ.
+    """
+    out = []
+    for i in range(0, len(vote), 512):
+        part = vote[i : i + 512].astype(np.float32)
+        part /= np.abs(part).max(axis=1, keepdims=True) + 1e-9
+        out.append(np.argpartition(-(part @ CODEWORDS[:, : part.shape[1]].T), most, axis=1)[:, :most])
+    return np.concatenate(out) if out else np.zeros((0, most), np.int64)
+
+
 def keys_of(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All keys of 64-bit fingerprints, and the row that each key is of."""
     seg = [(fp >> T.U64(a) & T.U64((1 << n) - 1)).astype(np.int64) for a, n in SEGMENTS]
@@ -96,31 +123,44 @@ def spanning_links(fp: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
             left = left[~near]
 
 
+def shingle_hashes(raw: np.ndarray, at: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 (seed 42) of the shingles of each row, A-Z lower-cased, and the number of each row's; fewer words are one shingle."""
+    digest = xxhash.xxh64_intdigest
+    raw = np.where((raw >= 65) & (raw <= 90), raw + 32, raw).astype(np.uint8)
+    start, stop, row = T.word_spans(raw, at)
+    n = np.bincount(row, minlength=len(at) - 1)
+    text, begin, end = T.joined_words(raw, start, stop, row)
+    first = np.cumsum(n) - n
+    count = np.where(n >= shingle, n - shingle + 1, (n > 0).astype(n.dtype))
+    owner = np.repeat(np.arange(len(n)), count)
+    k = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + first[owner]
+    a, b = begin[k], end[k + np.minimum(shingle, np.maximum(n, 1))[owner] - 1]
+    return np.array([digest(text[x:y], 42) for x, y in zip(a.tolist(), b.tolist(), strict=True)], T.U64), count
+
+
+def votes(h: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """For each row with hashes and each of the 64 bits: how many more of its hashes have the bit than lack it."""
+    some = np.flatnonzero(count)
+    if not len(some):
+        return np.zeros((0, 64), np.int64)
+    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return 2 * np.add.reduceat(bits, (np.cumsum(count) - count)[some], axis=0, dtype=np.int64) - count[some][:, None]
+
+
+def packed(vote: np.ndarray) -> np.ndarray:
+    return np.packbits(vote > 0, axis=1, bitorder="little").view("<u8").ravel()
+
+
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
     """``_doc, fp`` for every row of ``keyed`` texts."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh64_intdigest
         for batch in batches:
             fps = []
             for _, _, raw, at in T.chunks(batch.column(1)):
-                raw = np.where((raw >= 65) & (raw <= 90), raw + 32, raw).astype(np.uint8)
-                start, stop, row = T.word_spans(raw, at)
-                n = np.bincount(row, minlength=len(at) - 1)
-                text, begin, end = T.joined_words(raw, start, stop, row)
-                first = np.cumsum(n) - n
-                count = np.where(n >= shingle, n - shingle + 1, (n > 0).astype(n.dtype))
-                ends = np.minimum(shingle, np.maximum(n, 1))
-                owner = np.repeat(np.arange(len(n)), count)
-                k = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + first[owner]
-                a, b = begin[k], end[k + ends[owner] - 1]
-                h = np.array([digest(text[x:y], 42) for x, y in zip(a.tolist(), b.tolist(), strict=True)], T.U64)
-                fp = np.zeros(len(n), T.U64)
-                some = np.flatnonzero(count)
-                if len(some):
-                    bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                    votes = np.add.reduceat(bits, (np.cumsum(count) - count)[some], axis=0, dtype=np.int64)
-                    fp[some] = np.packbits(2 * votes > count[some][:, None], axis=1, bitorder="little").view("<u8").ravel()
+                h, count = shingle_hashes(raw, at, shingle)
+                fp = np.zeros(len(count), T.U64)
+                fp[count > 0] = packed(votes(h, count))
                 fps.append(fp)
             fp = np.concatenate(fps) if fps else np.zeros(0, T.U64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=["_doc", "fp"])

@@ -138,6 +138,11 @@ def simhash(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
+def shingles(text):
+    w = WORDS.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} if w else set()
+
+
 def test_near_duplicates_match_brute_force(spark, docs):
     fps = {i: simhash(t) for i, t in docs.items()}
     low = classes(list(fps), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 4)
@@ -381,8 +386,8 @@ def test_pipeline_matches_brute_force(spark, docs):
     import corpus_pipeline
 
     kept = {r.doc_id for r in quality_rules.op3_quality_rules(spark, SF).collect() if r.kept}
-    fps = {i: simhash(docs[i]) for i in kept}
-    low = classes(list(kept), lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 4)
+    sets = {i: shingles(docs[i]) for i in kept}
+    low = classes(list(kept), lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
     leaks = {r.doc_id for r in decontaminate.op6_decontaminate(spark, SF).collect()}
     want = {i for i in kept if low[i] == i} - leaks
     out = corpus_pipeline.run(spark, SF).collect()

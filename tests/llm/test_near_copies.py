@@ -1,16 +1,12 @@
-"""Near copies of the pipeline against brute force."""
+"""Near copies at a similarity against brute force."""
 
 import random
 
+import numpy as np
 import pytest
-from test_llm import SF, WORDS, classes
+from test_llm import SF, classes, shingles
 
-from agrispark.llm import near_copies
-
-
-def shingles(text):
-    w = WORDS.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
-    return {tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} if w else set()
+from agrispark.llm import near_copies, simhash_golay
 
 
 def alike(a, b):
@@ -49,3 +45,25 @@ def test_stage_keeps_one_of_near_copies(spark):
     low = classes(list(sets), lambda a, b: alike(sets[a], sets[b]))
     assert low[177] == 1  # of similarity 0.83, and 9 bits apart
     assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, SF).collect()} == {i for i in low if low[i] == i}
+
+
+@pytest.mark.parametrize("similarity, least", [(0.8, 0.985), (0.85, 0.995), (0.9, 0.999)])
+def test_share_of_pairs_that_meet(similarity, least):
+    """Of pairs of sets of just this similarity nearly all share a key and have near fingerprints."""
+    rng = np.random.default_rng(12)
+    met = total = 0
+    for common in (16, 40, 160, 640):
+        own = round(common * (1 / similarity - 1) / 2)
+        n = 1500 if common < 600 else 400
+        sides = []
+        shared = rng.integers(0, 2**64, (n, common), dtype=np.uint64)
+        for _ in range(2):
+            h = np.concatenate([shared, rng.integers(0, 2**64, (n, own), dtype=np.uint64)], axis=1)
+            vote = simhash_golay.votes(h.ravel(), np.full(n, common + own))
+            sides.append((simhash_golay.packed(vote), [simhash_golay.likely_indices(vote[:, a : a + b], near_copies.CODES) for a, b in simhash_golay.SEGMENTS]))
+        near = np.bitwise_count(sides[0][0] ^ sides[1][0]) <= near_copies.DISTANCE
+        some = sum((x[:, :, None] == y[:, None, :]).any((1, 2)).astype(int) for x, y in zip(sides[0][1], sides[1][1], strict=True))
+        met += int((near & (some >= 2)).sum())
+        total += n
+    print(similarity, met / total)
+    assert met >= least * total
