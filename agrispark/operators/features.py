@@ -118,7 +118,19 @@ def local_patterns(objects: DataFrame, radius: int = 3, points: int = 8) -> Data
 def pattern_stats(codes: DataFrame) -> DataFrame:
     """``obj, lbp_mean, lbp_var, lbp_energy, lbp_entropy`` (log2) of the histogram of ``obj, code``."""
     n = codes.groupBy("obj", "code").agg(F.count(F.lit(1)).alias("n"))
-    sums = n.groupBy("obj").agg(F.sum("n").alias("t"), F.sum(F.col("n") * F.col("code")).alias("s"), F.sum(F.col("n") * F.col("code") * F.col("code")).alias("q"),
-                                F.sum(F.col("n") * F.col("n")).alias("e"), F.sum(F.col("n") * F.log2("n")).alias("l"))
-    t = F.col("t").cast("double")
-    return sums.select("obj", (F.col("s") / t).alias("lbp_mean"), (F.col("q") / t - F.pow(F.col("s") / t, 2)).alias("lbp_var"), (F.col("e") / t / t).alias("lbp_energy"), (F.log2(t) - F.col("l") / t).alias("lbp_entropy"))
+    # at most as many bins as codes an object, summed in the order of their codes
+    bins = n.groupBy("obj").agg(F.array_sort(F.collect_list(F.struct("code", "n"))).alias("bins"), F.sum("n").cast("double").alias("t"))
+    bins = bins.select("obj", F.transform("bins", lambda b: F.struct(b["code"].alias("code"), (b["n"] / F.col("t")).alias("p"))).alias("bins"))
+
+    def total(value) -> Column:
+        return F.aggregate("bins", F.lit(0.0), lambda s, b: s + value(b["code"], b["p"]))
+
+    bins = bins.withColumn("lbp_mean", total(lambda code, p: p * code))
+    from_mean = lambda code: code - F.col("lbp_mean")
+    return bins.select(
+        "obj",
+        "lbp_mean",
+        total(lambda code, p: p * from_mean(code) * from_mean(code)).alias("lbp_var"),
+        total(lambda code, p: p * p).alias("lbp_energy"),
+        (-total(lambda code, p: p * F.log2(p))).alias("lbp_entropy"),
+    )

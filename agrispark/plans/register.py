@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from agrispark.plans.fixtures import oracle
 
@@ -22,3 +22,8 @@ def query(name: str, sql: str | None = None):
         return f
 
     return put
+
+
+def half_up(name: str, places: int) -> Column:
+    """A double rounded as SQL engines without decimals do: the scaled double, halves away from zero, scaled back."""
+    return F.round(F.col(name) * 10.0**places) / 10.0**places
