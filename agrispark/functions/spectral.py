@@ -77,6 +77,16 @@ def indices(pixels: DataFrame, names: list[str], **bands) -> DataFrame:
     return pixels.select("*", *(index(n, **bands).alias(n.lower()) for n in names))
 
 
+def configured(setting: str) -> list[str]:
+    """Index names of a comma-separated setting, whatever their case; an unknown one is an error."""
+    known = {n.upper(): n for n in FORMULAS}
+    asked = [x.strip().upper() for x in setting.split(",") if x.strip()]
+    unknown = [x for x in asked if x not in known]
+    if unknown:
+        raise ValueError(f"unknown indices: {unknown}")
+    return [known[x] for x in asked]
+
+
 def masked(value: Column, alpha: Column) -> Column:
     """Null where alpha is 0."""
     return F.when(alpha != 0, value)

@@ -49,6 +49,11 @@ def band_stack(pixels: DataFrame, parts: list[str | int], names: list[str] | Non
     return raw.join(stats, list(tile)).select(*kept, *out)
 
 
+def exported(pixels: DataFrame, bands: list[str]) -> DataFrame:
+    """Chosen bands stretched to 0..255 of each tile, as ``c1, c2, ...`` in the reverse of their order (so that red, green, blue gives blue first)."""
+    return band_stack(pixels, bands[::-1], [f"c{i + 1}" for i in range(len(bands))])
+
+
 def composite(pixels: DataFrame, name: str) -> DataFrame:
     """A named composite as ``c1, c2, c3``, each channel by its tile's range; an unknown name is an error."""
     if name == "NEN":

@@ -11,6 +11,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from agrispark.operators.models import dot, mahalanobis, moments
+from agrispark.operators.ranges import running_sums
 
 # --- principal components --------------------------------------------------------------------------------------
 
@@ -50,14 +51,10 @@ def thresholds(scored: DataFrame, column: str, shares: tuple[float, ...] = (0.95
 
 
 def ecdf(scored: DataFrame, column: str) -> DataFrame:
-    """``value, share``: the share of rows up to each distinct value; the window is over distinct values in range parts."""
-    by = scored.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    parts = by.withColumn("_part", F.floor(F.col("value")))
-    sums = parts.groupBy("_part").agg(F.sum("n").alias("_n"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each whole number
-    sums = sums.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy()).alias("_all"))
-    up = Window.partitionBy("_part").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return parts.join(sums, "_part").select("value", ((F.col("_before") + F.sum("n").over(up)) / F.col("_all")).alias("share"))
+    """``value, share``: the share of rows up to each distinct value; nulls count in none."""
+    by = scored.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    total = by.agg(F.sum("n").alias("all"))
+    return running_sums(by, "value", {"upto": "n"}).crossJoin(F.broadcast(total)).select("value", (F.col("upto") / F.col("all")).alias("share"))  # one row
 
 
 def score_histogram(scored: DataFrame, column: str, lo: float, hi: float, bins: int, inlier: Column) -> DataFrame:
@@ -69,11 +66,12 @@ def score_histogram(scored: DataFrame, column: str, lo: float, hi: float, bins:
 def permutation_importance(df: DataFrame, columns: list[str], score, key: str, seed: int = 42) -> DataFrame:
     """``feature, drop``: how far the mean score falls when a column's values are dealt out anew.
 
-    Values move by one place in a seeded order within 256 slices of it, so no
+    Values move by one place in a seeded order (MD5) within 256 slices of it, so no
     row meets all others in one task. score: a Column over ``columns``.
     """
     base = df.select(key, *columns)
-    w = Window.partitionBy(F.pmod(F.xxhash64(F.lit(seed), key), F.lit(256))).orderBy(F.xxhash64(F.lit(seed + 1), key), key)
+    lot = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+    w = Window.partitionBy(F.substr(lot, F.lit(1), F.lit(2))).orderBy(lot, key)
     moved = base.select("*", *(F.coalesce(F.lag(c).over(w), F.col(c)).alias(f"_m_{c}") for c in columns))
     plain = moved.select("*", score.alias("_s"))
     out = None

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from agrispark.operators.components import connected_components
+from agrispark.operators.ranges import running_sums
 from agrispark.session import checkpoint as checkpointed
 
 BOX = ["minx", "miny", "maxx", "maxy"]
@@ -105,16 +106,15 @@ def merge_boxes(boxes: DataFrame, key: str, least: float = 0.1, size: float = 1.
 
 
 def roc_points(scored: DataFrame, score: str = "score", truth: str = "truth") -> DataFrame:
-    """``score, tp, fp`` of accepting everything from each score up; one window over distinct scores only."""
+    """``score, p, n, tp, fp``: rows of each score that are true and not, and the same of accepting everything from it up."""
     by = scored.groupBy(F.col(score).alias("score")).agg(F.sum(truth).alias("p"), F.sum(1 - F.col(truth)).alias("n"))
-    down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return by.select("score", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("fp"))
+    return running_sums(by, "score", {"tp": "p", "fp": "n"}, descending=True)
 
 
 def youden(points: DataFrame) -> DataFrame:
     """The first threshold with the greatest TPR - FPR: ``threshold, j``."""
-    total = points.agg(F.max("tp").alias("p"), F.max("fp").alias("n"))
-    j = F.col("tp") / F.col("p") - F.col("fp") / F.col("n")
+    total = points.agg(F.max("tp").alias("_p"), F.max("fp").alias("_n"))
+    j = F.col("tp") / F.col("_p") - F.col("fp") / F.col("_n")
     return points.crossJoin(F.broadcast(total)).agg(F.max_by("score", F.struct(F.round(j, 9), F.col("score"))).alias("threshold"), F.round(F.max(j), 6).alias("j"))  # one row
 
 
@@ -123,8 +123,7 @@ def normalised(df: DataFrame, column: str, method: str, out: str) -> DataFrame:
     c = F.col(column)
     if method == "rank":
         by = df.groupBy(column).agg(F.count(F.lit(1)).alias("_ties"))
-        below = Window.orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
-        by = by.withColumn("_below", F.coalesce(F.sum("_ties").over(below), F.lit(0)))
+        by = running_sums(by.where(c.isNotNull()), column, {"_below": "_ties"}, inclusive=False)
         total = df.agg(F.count(F.lit(1)).alias("_n"))
         ranked = by.crossJoin(F.broadcast(total)).select(column, ((F.col("_below") + (F.col("_ties") + 1) / 2) / F.col("_n")).alias(out))  # one row
         return df.join(ranked, column)
@@ -211,10 +210,8 @@ def tagged(scored: DataFrame, threshold: float, score: str = "score", truth: str
 
 
 def auc(points: DataFrame) -> DataFrame:
-    """``auc`` of the points of ``roc_points`` (0, 0 included), by trapezoids; null without both kinds."""
-    down = Window.orderBy("tp", "fp")  # distinct scores only
-    p = points.select("tp", "fp", F.coalesce(F.lag("tp").over(down), F.lit(0)).alias("tp0"), F.coalesce(F.lag("fp").over(down), F.lit(0)).alias("fp0"))
-    area = p.agg(F.sum((F.col("fp") - F.col("fp0")) * (F.col("tp") + F.col("tp0")) / 2).alias("a"), F.max("tp").alias("p"), F.max("fp").alias("n"))
+    """``auc`` of the points of ``roc_points``, by trapezoids; null without both kinds."""
+    area = points.agg(F.sum(F.col("n") * (2 * F.col("tp") - F.col("p")) / 2).alias("a"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     return area.select(F.when(F.col("p") * F.col("n") > 0, F.col("a") / (F.col("p") * F.col("n"))).alias("auc"))
 
 

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import functions as F
 
 from agrispark.functions import geometry as P
 from agrispark.operators import labels as L, matching as A, polygons as Q, segments as G, spatial as J
 from agrispark.plans.fixtures import view
 from agrispark.plans.register import ORACLE_SQL, half_up, query
-from agrispark.plans.registry import _BEST, _TRUTH, IOU, _scored, a2_a3_confusion, mask_pixels
+from agrispark.plans.registry import _BEST, _BOUNDS, _TRUTH, IOU, RATIO, _scored, a2_a3_confusion, mask_pixels
 from agrispark.session import stored
 
 BOX = ["minx", "miny", "maxx", "maxy"]
@@ -36,9 +35,13 @@ def j4_quad_iou(spark, sf):
     return pairs.select("pred_id", "gt_id", Q.quad_iou(F.col("a"), F.col("b")).alias("iou")).where("iou > 0.001").withColumn("iou", half_up("iou", 6))
 
 
-@query("j6_one_to_one")
+# a prediction of the views meets the truth of its own cell alone, so the best assignment is each truth's best prediction
+_ONE = "(SELECT arg_max(pred_id, (iou, -pred_id)) AS pred_id, gt_id, max(iou) AS iou FROM (SELECT a.pred_id, a.conf, b.gt_id, {iou} AS iou FROM {pred} a JOIN v_gt b ON a.class_id = b.class_id AND {iou} > 0) p GROUP BY gt_id HAVING max(iou) >= 0.5)"
+
+
+@query("j6_one_to_one", f"SELECT pred_id, gt_id, round(iou, 6) AS iou FROM {_ONE.format(iou=IOU, pred='v_pred')} m")
 def j6_one_to_one(spark, sf):
-    return A.one_to_one(*_pair(spark, sf))
+    return A.one_to_one(*_pair(spark, sf)).withColumn("iou", F.round("iou", 6))
 
 
 _GAP = "greatest(" + ", ".join(f"power(greatest(b.minx - a.{x}, a.{x} - b.maxx, 0), 2) + power(greatest(b.miny - a.{y}, a.{y} - b.maxy, 0), 2)" for x in ("minx", "maxx") for y in ("miny", "maxy")) + ")"
@@ -70,7 +73,7 @@ def j13_within_tiles(spark, sf):
 
 
 @query("j14_clip_to_tiles", """SELECT pred_id, CAST(r AS BIGINT) AS tile_row, CAST(c AS BIGINT) AS tile_col, greatest(minx, c * 10) AS minx, greatest(miny, r * 10) AS miny, least(maxx, c * 10 + 10) AS maxx, least(maxy, r * 10 + 10) AS maxy
- FROM v_pred, range(-1, 6) a(c), range(-1, 400) b(r) WHERE minx < c * 10 + 10 AND maxx > c * 10 AND miny < r * 10 + 10 AND maxy > r * 10""")
+ FROM v_pred, range(-1, 26) a(c), range(-1, 400) b(r) WHERE minx < c * 10 + 10 AND maxx > c * 10 AND miny < r * 10 + 10 AND maxy > r * 10""")
 def j14_clip_to_tiles(spark, sf):
     return J.clip_to_tiles(view(spark, sf, "v_pred"), 10.0).select("pred_id", "tile_row", "tile_col", *BOX)
 
@@ -116,12 +119,12 @@ def j23_centres(spark, sf):
 
 
 @query("j24_lines_per_tile", """SELECT t.tile_row, t.tile_col, count(g.gt_id) AS n FROM (SELECT DISTINCT tile_row, tile_col FROM v_gt UNION SELECT DISTINCT tile_row, tile_col FROM v_pred) t LEFT JOIN
- (SELECT gt_id, floor(minx / 10) AS c, floor(miny / 10) AS r FROM v_gt WHERE maxx <= floor(minx / 10) * 10 + 10 AND maxy <= floor(miny / 10) * 10 + 10 AND gt_id % 3 = 0) g ON g.r = t.tile_row AND g.c = t.tile_col GROUP BY 1, 2""")
+ (SELECT gt_id, floor(minx / 10) AS c, floor(miny / 10) AS r FROM v_gt WHERE maxx <= floor(minx / 10) * 10 + 10 AND maxy <= floor(miny / 10) * 10 + 10 ) g ON g.r = t.tile_row AND g.c = t.tile_col GROUP BY 1, 2""")
 def j24_lines_per_tile(spark, sf):
-    """Every tile of either layer, those without a whole box among a third of the truths with 0."""
+    """Every tile of either layer, those without a whole truth with 0."""
     pred, gt = _pair(spark, sf)
     tiles = gt.select("tile_row", "tile_col").union(pred.select("tile_row", "tile_col")).distinct()
-    n = J.clip_to_tiles(gt.where("gt_id % 3 = 0"), 10.0).where("whole").groupBy("tile_row", "tile_col").agg(F.count(F.lit(1)).alias("n"))
+    n = J.clip_to_tiles(gt, 10.0).where("whole").groupBy("tile_row", "tile_col").agg(F.count(F.lit(1)).alias("n"))
     return tiles.join(n, ["tile_row", "tile_col"], "left").na.fill(0, ["n"])
 
 
@@ -157,7 +160,7 @@ def u6_weighted_confidence(spark, sf):
     pred, gt = _pair(spark, sf)
     base = F.col("conf") * 0.6 + F.col("margin") * 0.4 / 6
     overlap = F.coalesce("iou", F.lit(0.0))
-    return pred.join(J.best_match(pred, gt), "pred_id").select("pred_id", F.round(base + overlap * 0.2, 6).alias("added"), F.round(base * overlap, 6).alias("scaled"))
+    return pred.join(J.best_match(pred, gt), "pred_id").select("pred_id", (base + overlap * 0.2).alias("added"), (base * overlap).alias("scaled")).select("pred_id", half_up("added", 6).alias("added"), half_up("scaled", 6).alias("scaled"))
 
 
 _FIELD = "CASE tile_col % 3 WHEN 0 THEN 'small' WHEN 1 THEN 'mid' ELSE 'large' END"
@@ -191,17 +194,31 @@ def a5_auc(spark, sf):
     return J.auc(J.roc_points(_scored(spark, sf))).withColumn("auc", F.round("auc", 6))
 
 
-@query("a7_pr_sweep")
+_SWEEP = f"""WITH best AS (SELECT gt_id, max(conf) AS conf FROM (SELECT a.conf, b.gt_id, {IOU} AS iou FROM v_pred a JOIN v_gt b ON a.class_id = b.class_id AND {IOU} >= 0.5) p GROUP BY gt_id),
+ level AS (SELECT CASE WHEN i = 199 THEN 0.001::DOUBLE ELSE 1::DOUBLE + i * ((0.001::DOUBLE - 1::DOUBLE) / 199) END AS t FROM range(200) r(i)),
+ c AS (SELECT t, (SELECT count(*) FROM best WHERE conf >= t) AS tp, (SELECT count(*) FROM v_pred WHERE conf >= t) AS n, (SELECT count(*) FROM v_gt) AS m FROM level),
+ sweep AS (SELECT t AS threshold, tp, n - tp AS fp, m - tp AS fn, tp / (n + 1e-9) AS precision, tp / (m + 1e-9) AS recall FROM c)"""
+
+
+@query("a7_pr_sweep", f"{_SWEEP} SELECT round(threshold, 6) AS threshold, tp, fp, fn, round(precision, 6) AS precision, round(recall, 6) AS recall FROM sweep")
 def a7_pr_sweep(spark, sf):
-    return A.pr_sweep(*_pair(spark, sf))
+    points = A.pr_sweep(*_pair(spark, sf))
+    return points.select(F.round("threshold", 6).alias("threshold"), "tp", "fp", "fn", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
 
 
-@query("a7_average_precision")
+@query("a7_average_precision", f"""{_SWEEP}, e AS (SELECT recall, threshold, max(precision) OVER (ORDER BY recall, threshold DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS p FROM sweep)
+ SELECT round(sum(a), 6) AS ap FROM (SELECT (recall - lag(recall) OVER w) * (p + lag(p) OVER w) / 2 AS a FROM e WINDOW w AS (ORDER BY recall, threshold DESC)) z""")
 def a7_average_precision(spark, sf):
-    return A.average_precision(A.pr_sweep(*_pair(spark, sf)))
+    return A.average_precision(A.pr_sweep(*_pair(spark, sf))).withColumn("ap", F.round("ap", 6))
 
 
-@query("a8_a9_evaluate_runs")
+def _run_sql(run: int) -> str:
+    kept = f"(SELECT * FROM v_pred WHERE pred_id % 2 = {run} AND conf >= 0.3 AND (tile_row, tile_col) IN (SELECT (tile_row, tile_col) FROM v_gt))"
+    return f"SELECT {run} AS run, (SELECT count(*) FROM {_ONE.format(iou=IOU, pred=kept)} o) AS tp, (SELECT count(*) FROM {kept} k) AS n, (SELECT count(*) FROM v_gt) AS m, (SELECT avg(conf) FROM {kept} k) AS mean_conf"
+
+
+@query("a8_a9_evaluate_runs", f"""SELECT run, tp, n - tp AS fp, m - tp AS fn, round(mean_conf, 6) AS mean_conf, round(tp / n::DOUBLE, 4) AS precision, round(tp / m::DOUBLE, 4) AS recall, round(2 * tp / (n + m)::DOUBLE, 4) AS f1, round(tp / (n + m - tp)::DOUBLE, 4) AS accuracy
+ FROM ({_run_sql(0)} UNION ALL {_run_sql(1)}) r""")
 def a8_a9_evaluate_runs(spark, sf):
     """Scores of two runs, told apart by the predictions' ids."""
     pred, gt = _pair(spark, sf)
@@ -209,10 +226,21 @@ def a8_a9_evaluate_runs(spark, sf):
     for r in (0, 1):
         one = J.scores(A.evaluate(pred.where(F.col("pred_id") % 2 == r), gt, ["tile_row", "tile_col"])).withColumn("run", F.lit(r))
         runs = one if runs is None else runs.unionByName(one)
-    return runs
+    return runs.withColumn("mean_conf", F.round("mean_conf", 6))
+
+
+_SIDE = lambda f, *at: f"{f}(" + ", ".join(f"c[{i}]" for i in at) + ")"
+_X, _Y = (1, 3, 5, 7), (2, 4, 6, 8)
+_MAP = f"""SELECT line_no AS pred_id, CAST(t[1] AS INTEGER) AS class_id, CASE WHEN k IN (1, 3) THEN CAST(t[2] AS DOUBLE) ELSE 1 END AS conf,
+ (col + CASE WHEN k < 2 THEN c[1] - c[3] / 2 ELSE {_SIDE('least', *_X)} END) * 10 AS minx, (col + CASE WHEN k < 2 THEN c[1] + c[3] / 2 ELSE {_SIDE('greatest', *_X)} END) * 10 AS maxx,
+ (row_ + 1 - CASE WHEN k < 2 THEN c[2] + c[4] / 2 ELSE {_SIDE('greatest', *_Y)} END) * 10 AS miny, (row_ + 1 - CASE WHEN k < 2 THEN c[2] - c[4] / 2 ELSE {_SIDE('least', *_Y)} END) * 10 AS maxy
+ FROM (SELECT *, CAST(regexp_extract(stem, 'tile_([0-9]+)_([0-9]+)', 1) AS INTEGER) AS row_, CAST(regexp_extract(stem, 'tile_([0-9]+)_([0-9]+)', 2) AS INTEGER) AS col FROM {_BOUNDS} y) z"""
 
 
-@query("j25_merged_map_layer")
+@query("j25_merged_map_layer", f"""WITH RECURSIVE m AS ({_MAP}), e AS (SELECT a.pred_id AS u, b.pred_id AS v FROM m a JOIN m b ON a.pred_id <> b.pred_id AND {RATIO} >= 0.1),
+ reach AS (SELECT pred_id AS n, pred_id AS low FROM m UNION SELECT e.v, r.low FROM reach r JOIN e ON e.u = r.n), comp AS (SELECT n, min(low) AS group_id FROM reach GROUP BY n)
+ SELECT group_id, count(*) AS n, round(min(minx), 6) AS minx, round(min(miny), 6) AS miny, round(max(maxx), 6) AS maxx, round(max(maxy), 6) AS maxy, max(conf) AS conf, arg_min(class_id, pred_id) AS class_id
+ FROM m JOIN comp ON comp.n = pred_id GROUP BY group_id HAVING (max(maxx) - min(minx)) * (max(maxy) - min(miny)) BETWEEN 0.003 AND 0.41""")
 def j25_merged_map_layer(spark, sf):
     """Label files to map boxes, merged where they overlap, of bounded area."""
     lines = L.parse_labels(view(spark, sf, "v_label_lines"))

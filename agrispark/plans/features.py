@@ -45,16 +45,17 @@ def f5_f7_feature_matrix(spark, sf):
     return _matrix(spark, sf).select("obj", *(F.round(n, 5).alias(n) for n in T.feature_names(COLUMNS)))
 
 
-_RING = ", ".join(f"({k}, {dx}, {dy}, {w}::BIGINT)" for k, dx, dy, w in T.circle_weights())
-_LBP = f"""WITH o AS (SELECT tile_row * 1000 + tile_col AS obj, x, y, CAST(floor(nir / 64.0) AS INTEGER) AS v FROM v_pixels), c AS (SELECT * FROM (VALUES {_RING}) t(k, dx, dy, w)),
+def lbp_sql(band: str = "nir", radius: int = 3, points: int = 8) -> str:
+    ring = ", ".join(f"({k}, {dx}, {dy}, {w}::BIGINT)" for k, dx, dy, w in T.circle_weights(radius, points))
+    return f"""WITH o AS (SELECT tile_row * 1000 + tile_col AS obj, x, y, CAST(floor({band} / 64.0) AS INTEGER) AS v FROM v_pixels), c AS (SELECT * FROM (VALUES {ring}) t(k, dx, dy, w)),
  n AS (SELECT a.obj, a.x, a.y, c.k, coalesce(sum(c.w * b.v), 0) >= 10000000000 * any_value(a.v) AS bit FROM o a CROSS JOIN c LEFT JOIN o b ON b.obj = a.obj AND b.x = a.x + c.dx AND b.y = a.y + c.dy GROUP BY 1, 2, 3, 4),
  l AS (SELECT obj, x, y, k, CAST(bit AS INTEGER) AS bit, CAST(bit <> lag(bit) OVER (PARTITION BY obj, x, y ORDER BY k) AS INTEGER) AS change FROM n),
- t AS (SELECT obj, x, y, CASE WHEN sum(change) <= 2 THEN sum(bit) ELSE 9 END AS code FROM l GROUP BY 1, 2, 3), h AS (SELECT obj, code, count(*) AS n FROM t GROUP BY 1, 2),
+ t AS (SELECT obj, x, y, CASE WHEN sum(change) <= 2 THEN sum(bit) ELSE {points + 1} END AS code FROM l GROUP BY 1, 2, 3), h AS (SELECT obj, code, count(*) AS n FROM t GROUP BY 1, 2),
  q AS (SELECT obj, code, n / CAST(sum(n) OVER (PARTITION BY obj) AS DOUBLE) AS p FROM h), mu AS (SELECT obj, sum(p * code ORDER BY code) AS mu FROM q GROUP BY 1)
  SELECT q.obj, round(max(mu), 6) AS lbp_mean, round(sum(p * (code - mu) * (code - mu) ORDER BY code), 6) AS lbp_var, round(sum(p * p ORDER BY code), 6) AS lbp_energy, round(-sum(p * log2(p) ORDER BY code), 6) AS lbp_entropy FROM q JOIN mu ON mu.obj = q.obj GROUP BY q.obj"""
 
 
-@query("f4_binary_patterns", _LBP)
+@query("f4_binary_patterns", lbp_sql())
 def f4_binary_patterns(spark, sf):
     o = view(spark, sf, "v_pixels").select((F.col("tile_row") * 1000 + F.col("tile_col")).alias("obj"), "x", "y", F.floor(F.col("nir") / 64).cast("int").alias("v"))
     return T.pattern_stats(T.local_patterns(o)).select("obj", *(half_up(n, 6).alias(n) for n in ("lbp_mean", "lbp_var", "lbp_energy", "lbp_entropy")))

@@ -41,12 +41,12 @@ SELECT o_orderkey AS pred_id, 0 AS class_id, conf, margin,
        cx - w / 2 AS minx, cy - h / 2 AS miny, cx + w / 2 AS maxx, cy + h / 2 AS maxy,
        CAST(floor(cx / 10.0) AS INT) AS tile_col, CAST(floor(cy / 10.0) AS INT) AS tile_row
 FROM (SELECT o_orderkey,
-             (o_custkey % 50) + CAST(0.5 AS DOUBLE) + ((o_orderkey * 37 % 129) - 64) / CAST(256 AS DOUBLE) AS cx,
+             (o_custkey % 50) + 50 * (o_orderkey % 5) + CAST(0.5 AS DOUBLE) + ((o_orderkey * 37 % 129) - 64) / CAST(256 AS DOUBLE) AS cx,
              floor(o_custkey / 50.0) + CAST(0.5 AS DOUBLE) + ((o_orderkey * 53 % 129) - 64) / CAST(256 AS DOUBLE) AS cy,
              CAST(0.40625 AS DOUBLE) + (o_orderkey * 5 % 16) / CAST(64 AS DOUBLE) AS w, CAST(0.40625 AS DOUBLE) + (o_orderkey * 3 % 16) / CAST(64 AS DOUBLE) AS h,
              (CAST(round(o_totalprice * 100) AS BIGINT) % 1024) / CAST(1024 AS DOUBLE) AS conf,
              ((CAST(round(o_totalprice * 100) AS BIGINT) % 8192) - 2048) / CAST(1024 AS DOUBLE) AS margin
-      FROM orders WHERE o_orderkey % 5 = 0) p
+      FROM orders) p
 """,
     "v_label_lines": """
 SELECT CASE WHEN k % 10 < 7 THEN 'train' WHEN k % 10 < 9 THEN 'val' ELSE 'test' END AS split,

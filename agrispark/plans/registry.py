@@ -313,7 +313,7 @@ def _scored(spark, sf):
 @query("a5_roc_points", f"""SELECT score, CAST(sum(p) OVER w AS BIGINT) AS tp, CAST(sum(n) OVER w AS BIGINT) AS fp FROM (SELECT score, sum(truth) AS p, sum(1 - truth) AS n FROM {_TRUTH} t GROUP BY score) q
  WINDOW w AS (ORDER BY score DESC)""")
 def a5_roc_points(spark, sf):
-    return J.roc_points(_scored(spark, sf))
+    return J.roc_points(_scored(spark, sf)).select("score", "tp", "fp")
 
 
 @query("a6_youden", f"""SELECT arg_max(score, (round(j, 9), score)) AS threshold, round(max(j), 6) AS j FROM (SELECT score, sum(p) OVER w / CAST(sum(p) OVER () AS DOUBLE) - sum(n) OVER w / CAST(sum(n) OVER () AS DOUBLE) AS j
@@ -425,4 +425,4 @@ def r1_route_length(spark, sf):
     return M.route_length(view(spark, sf, "v_points").withColumn("seq", F.col("fid"))).withColumn("length", F.round("length", 6))
 
 
-from agrispark.plans import detections, features, files, learning, rasters  # noqa: E402,F401  register more queries
+from agrispark.plans import detections, exports, features, files, learning, rasters  # noqa: E402,F401  register more queries

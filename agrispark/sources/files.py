@@ -39,3 +39,28 @@ def write_parameters(spark: SparkSession, values: dict[str, str | float | int |
     """The parameters of a run as one JSON row beside its output."""
     columns = [F.lit(v).alias(k) for k, v in sorted(values.items())]
     spark.range(1).select(*columns).write.mode("overwrite").json(path)
+
+
+def write_detections(boxes: DataFrame, path: str, key: str = "pred_id") -> None:
+    """A layer of detections as a table of ``key, class_id, conf, minx, miny, maxx, maxy``; a table already there is replaced."""
+    boxes.select(key, "class_id", "conf", "minx", "miny", "maxx", "maxy").write.mode("overwrite").parquet(path)
+
+
+def read_detections(spark: SparkSession, path: str, key: str = "pred_id") -> DataFrame:
+    """A layer that ``write_detections`` wrote; rows without bounds are left out."""
+    kind = f"{key} long, class_id int, conf double, minx double, miny double, maxx double, maxy double"
+    return spark.read.schema(kind).parquet(path).where("minx <= maxx AND miny <= maxy")
+
+
+def read_parameters(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """The record that ``write_parameters`` wrote, with the columns of the schema ``kind``."""
+    return spark.read.schema(kind).json(path)
+
+
+def append_histograms(histograms: DataFrame, path: str, image: str = "image_id") -> None:
+    """Adds rows ``image, word, weight`` to a feature table; images that are in it already are left as they are."""
+    spark = histograms.sparkSession
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+        histograms = histograms.join(spark.read.parquet(path).select(image).distinct(), image, "left_anti")
+    histograms.write.mode("append").parquet(path)

@@ -188,3 +188,43 @@ def test_names(spark):
     assert [r.n for r in df.select(labels.field_name(F.col("name")).alias("n")).collect()] == ["F_small_tile_1_2.jpg", "plain.txt", None]
     with pytest.raises(ValueError):
         labels.combined({})
+
+
+def test_running_sums_in_parts(spark):
+    import random
+
+    from agrispark.operators.ranges import running_sums
+
+    rng = random.Random(3)
+    values = sorted({rng.choice((0.5, 1e3, -7.0)) * rng.random() for _ in range(700)})
+    df = spark.createDataFrame([(v, i % 5) for i, v in enumerate(values)], "v double, n long").repartition(5)
+    total, want = 0, {}
+    for i, v in enumerate(values):
+        want[v] = (total, total := total + i % 5)
+    up = running_sums(running_sums(df, "v", {"upto": "n"}), "v", {"before": "n"}, inclusive=False)
+    assert {r.v: (r.before, r.upto) for r in up.collect()} == want
+    down = {r.v: r.s for r in running_sums(df, "v", {"s": "n"}, descending=True).collect()}
+    assert down == {v: total - b for v, (b, _) in want.items()}
+    assert running_sums(df.limit(0), "v", {"s": "n"}).count() == 0
+
+
+def test_unknown_indices_are_an_error():
+    import pytest
+
+    from agrispark.functions import spectral
+
+    assert spectral.configured(" ndvi,, Rvi") == ["NDVI", "RVI"]
+    with pytest.raises(ValueError, match="NOPE"):
+        spectral.configured("NDVI, nope")
+
+
+def test_route_file_holds_the_route(spark):
+    import oracle
+    from agrispark.operators import models
+    from agrispark.plans import registry
+    from agrispark.plans.fixtures import view
+
+    sf = f"{oracle.DATA}/sf0.001"
+    route = models.zone_routes(view(spark, sf, "v_points"))
+    got = sorted((r.sequence, r.orig_fid, r.x, r.y) for r in registry.QUERIES["s8_route_csv"](spark, sf).collect())
+    assert got == sorted((r.seq, r.fid, r.x, r.y) for r in route.collect())
