@@ -1,11 +1,14 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Words are lower-cased runs of letters and digits. The corpus frequency of each
-item's n-grams is counted over all documents; an item's rare n-grams are its
-seeds. Where a seed stands in a document, the words around it are aligned with
-the item, and the share of the item's words that the best local alignment
-matches is the similarity. The benchmark is the stated query set: it is taken
-in blocks of items of bounded size, each against all documents.
+Words are lower-cased runs of letters and digits. An item's seeds are n-grams
+so short that a copy with up to a fifth of its words replaced, dropped or put
+in between still has one of them whole (pigeonhole: 4 words, fewer for items
+under 16 words, the whole item under 5). The corpus frequency of each n-gram is
+counted over all documents; an item's rare n-grams are its seeds. Where a seed
+stands in a document, the words around it are aligned with the item, and the
+share of the item's words that the best local alignment matches is the
+similarity. The benchmark is the stated query set: it is taken in blocks of
+items of bounded size, each against all documents.
 """
 
 from __future__ import annotations
@@ -56,74 +59,97 @@ def best_alignment(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return best & (COUNT - 1), end
 
 
-def _hits(words: np.ndarray, row: np.ndarray, gram: int, table: np.ndarray, small: np.ndarray):
-    """Positions whose gram is in the sorted table, and its place there."""
-    h = T.window_hash(words, gram, T.BASES[1])
-    if not len(h):
-        return h.astype(np.int64), h.astype(np.int64)
-    ok = small[(h >> T.U64(44)).astype(np.int64)]
-    ok &= row[gram - 1 :] == row[: len(h)]
-    at = np.flatnonzero(ok)
-    place = np.searchsorted(table, h[at])
-    same = table[np.minimum(place, len(table) - 1)] == h[at] if len(table) else np.zeros(len(at), bool)
-    return at[same], place[same]
+def seed_width(n_words: int, similarity: float, most: int) -> int:
+    """Words in the longest run that is left whole by as many edits as the similarity allows, ``most`` at most."""
+    edits = int(n_words * (1 - similarity) + 1e-9)
+    return max(1, min(most, -(-(n_words - edits) // (edits + 1))))
+
+
+class Seeds:
+    """The n-grams of a block of items that are ``width`` words wide, as arrays: their hashes, and the places of each.
+
+    Hashes only find places; what is found there is aligned word by word.
+    """
+
+    def __init__(self, width: int, sequences: list[np.ndarray], items: list[int]):
+        self.width = width
+        grams = [T.window_hash(sequences[k], width, T.BASES[1]) for k in items]
+        size = np.array([len(g) for g in grams], np.int64)
+        self.table, place = np.unique(np.concatenate(grams) if grams else np.zeros(0, T.U64), return_inverse=True)
+        order = np.argsort(place, kind="stable")
+        self.gram = place[order]
+        self.item = np.repeat(np.array(items, np.int64), size)[order]
+        self.place = (np.arange(len(place)) - np.repeat(np.cumsum(size) - size, size))[order]
+        self.start = np.searchsorted(self.gram, np.arange(len(self.table) + 1))
+        self.small = np.zeros(1 << 20, bool)
+        self.small[(self.table >> T.U64(44)).astype(np.int64)] = True
+
+    def hits(self, words: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions whose gram is in the table, and its number there."""
+        h = T.window_hash(words, self.width, T.BASES[1])
+        if not len(h) or not len(self.table):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = np.flatnonzero(self.small[(h >> T.U64(44)).astype(np.int64)] & (row[self.width - 1 :] == row[: len(h)]))
+        number = np.searchsorted(self.table, h[at])
+        same = self.table[np.minimum(number, len(self.table) - 1)] == h[at]
+        return at[same], number[same]
+
+    def keep_rare(self, frequency: np.ndarray) -> None:
+        """Drops places whose gram is over 8 times as frequent as the item's median gram; half of an item's places always stay."""
+        own = frequency[self.gram]
+        order = np.lexsort((own, self.item))
+        first = np.searchsorted(self.item[order], self.item[order], side="left")
+        last = np.searchsorted(self.item[order], self.item[order], side="right")
+        median = own[order][(first + last) // 2]
+        keep = np.zeros(len(own), bool)
+        keep[order] = own[order] <= np.maximum(64, 8 * median)
+        self.gram, self.item, self.place = self.gram[keep], self.item[keep], self.place[keep]
+        self.start = np.searchsorted(self.gram, np.arange(len(self.table) + 1))
 
 
 def _block(base: DataFrame, items: list[tuple[int, str]], gram: int, similarity: float) -> DataFrame:
     sc = base.sparkSession.sparkContext
-    grams, sequences = [], []
-    for k, words, row, at in word_hashes(pa.array([t for _, t in items], pa.string())):
-        for r in range(len(at) - 1):
-            w = words[at[r] : at[r + 1]]
-            g = T.window_hash(w, min(gram, max(len(w), 1)), T.BASES[1])
-            sequences.append(w)
-            grams += [(int(x), k + r, p) for p, x in enumerate(g)] if len(w) >= gram else []
-    table = np.unique(np.array([g for g, _, _ in grams], T.U64))
-    small = np.zeros(1 << 20, bool)
-    small[(table >> T.U64(44)).astype(np.int64)] = True
-    shared = sc.broadcast((table, small))
+    sequences = [words[at[r] : at[r + 1]] for _, words, _, at in word_hashes(pa.array([t for _, t in items], pa.string())) for r in range(len(at) - 1)]
+    by_width: dict[int, list[int]] = {}
+    for k, w in enumerate(sequences):
+        if len(w):
+            by_width.setdefault(seed_width(len(w), similarity, gram), []).append(k)
+    tables = [Seeds(width, sequences, own) for width, own in sorted(by_width.items())]
+    shared = sc.broadcast(tables)
 
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, small = shared.value
-        total = np.zeros(len(table), np.int64)
+        totals = [np.zeros(len(t.table), np.int64) for t in shared.value]
         for batch in batches:
             for _, words, row, _ in word_hashes(batch.column(0)):
-                at, place = _hits(words, row, gram, table, small)
-                one = np.unique(row[at] * len(table) + place) % max(len(table), 1)
-                total += np.bincount(one, minlength=len(table))
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["gram", "n"])
+                for t, total in zip(shared.value, totals, strict=True):
+                    at, number = t.hits(words, row)
+                    one = np.unique(row[at] * max(len(total), 1) + number) % max(len(total), 1)
+                    total += np.bincount(one, minlength=len(total))
+        for k, total in enumerate(totals):
+            some = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k, np.int32)), pa.array(some), pa.array(total[some])], names=["of", "gram", "n"])
 
     # a row for each gram of the block at most
-    df = np.zeros(len(table), np.int64)
-    for r in base.select("_text").mapInArrow(frequency, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
-        df[r["gram"]] = r["n"]
-
-    seeds: dict[int, list[tuple[int, int]]] = {}
-    place = np.searchsorted(table, np.array([g for g, _, _ in grams], T.U64)) if grams else []
-    by_item: dict[int, list[tuple[int, int]]] = {}
-    for (_, k, p), g in zip(grams, place, strict=True):
-        by_item.setdefault(k, []).append((int(g), p))
-    for k, own in by_item.items():
-        # rare: no more frequent than 8 times the item's median gram; at least half of an item's grams always are
-        limit = max(64, 8 * int(np.median([df[g] for g, _ in own])))
-        for g, p in own:
-            if df[g] <= limit:
-                seeds.setdefault(g, []).append((k, p))
-    ids = [i for i, _ in items]
-    found = sc.broadcast((table, small, seeds, sequences, ids))
+    counted = base.select("_text").mapInArrow(frequency, "of int, gram long, n long").groupBy("of", "gram").agg(F.sum("n").alias("n")).toPandas()
+    for k, t in enumerate(tables):
+        df = np.zeros(len(t.table), np.int64)
+        own = counted[counted["of"] == k]
+        df[own["gram"].to_numpy(np.int64)] = own["n"].to_numpy(np.int64)
+        t.keep_rare(df)
+    found = sc.broadcast((tables, sequences, [i for i, _ in items]))
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, small, seeds, sequences, ids = found.value
+        tables, sequences, ids = found.value
         for batch in batches:
             out: list[list] = [[] for _ in range(5)]
             doc = batch.column(0).to_pylist()
             for i, words, row, offset in word_hashes(batch.column(1)):
-                at, place = _hits(words, row, gram, table, small)
                 near: dict[tuple[int, int], list[int]] = {}
-                for a, g in zip(at.tolist(), place.tolist(), strict=True):
-                    for k, p in seeds.get(g, ()):
-                        near.setdefault((int(row[a]), k), []).append(a - p)
+                for t in tables:
+                    at, number = t.hits(words, row)
+                    place, owner = T.concat_ranges(t.start[number], t.start[number + 1] - 1)
+                    for r, k, line in zip(row[at[owner]].tolist(), t.item[place].tolist(), (at[owner] - t.place[place]).tolist(), strict=True):
+                        near.setdefault((r, k), []).append(line)
                 for (r, k), lines in near.items():
                     item, best = sequences[k], (0, 0)
                     lines.sort()
@@ -139,7 +165,7 @@ def _block(base: DataFrame, items: list[tuple[int, str]], gram: int, similarity:
                         if x is not None:
                             first = last = x
                     share = best[0] / len(item)
-                    if share >= similarity:
+                    if share >= similarity - 1e-9:
                         for c, v in zip(out, (doc[i + r], ids[k], share, best[1], len(lines)), strict=True):
                             c.append(v)
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
@@ -153,19 +179,22 @@ def contaminated(
     benchmark: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    gram: int = 5,
+    gram: int = 4,
     similarity: float = 0.8,
     block_items: int = 20_000,
-    block_chars: int = 20_000_000,
+    block_chars: int = 8_000_000,
 ) -> DataFrame:
     """Documents that hold a copy, verbatim, edited or paraphrased in part, of a benchmark item.
 
     One row for each pair: ``doc_id, item_id, similarity`` (share of the item's
     words in the best alignment, at least ``similarity``), ``end_word`` and
-    ``n_seeds``. Items of fewer than ``gram`` words have no seed and match
-    nothing; null and empty texts match nothing; a document or item row that is
+    ``n_seeds``. Copies with up to a fifth of the words edited are found unless
+    all n-grams left whole are over 8 times as frequent as the item's median
+    one. An item of under 5 words matches where it stands word for word; null
+    and empty texts and items match nothing; a document or item row that is
     repeated gives repeated rows. A block of items that is broadcast has at
-    most ``block_items`` items and about ``block_chars`` characters.
+    most ``block_items`` items and about ``block_chars`` characters, so some
+    50 MB of arrays.
     """
     base = keyed(docs, id_col, text_col)
     out, block, chars = None, [], 0

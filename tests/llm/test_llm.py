@@ -241,7 +241,7 @@ def test_leaks_verbatim_and_edited(spark, docs):
     words = [f"word{rng.randrange(10**6)}" for _ in range(40)]
     edited = words[:12] + ["changed"] + words[13:25] + words[26:33] + ["one", "more"] + words[33:]
     rows = [(1, "Before it. " + " ".join(edited).upper() + " after"), (2, " ".join(words[:20])), (3, "nothing"), (None, " ".join(words)), (4, None), (1, "other")]
-    bench = spark.createDataFrame([(9, " ".join(words)), (10, "too few"), (None, None)], "item_id long, text string")
+    bench = spark.createDataFrame([(9, " ".join(words)), (10, "too few"), (11, ""), (None, None)], "item_id long, text string")
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert result(decontaminate.contaminated(df, bench), "doc_id", "item_id") == [(1, 9), (None, 9)]
     assert result(decontaminate.contaminated(df, bench, block_items=1), "doc_id", "item_id") == [(1, 9), (None, 9)]
