@@ -253,24 +253,28 @@ def known_digests(spark: SparkSession, known: dict[str, list[str]] | None = None
     return spark.createDataFrame(sorted(rows.items()), "digest string, license string")
 
 
-def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: DataFrame | None = None, hint: str = HINT) -> DataFrame:
+def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", known: DataFrame | None = None, hint: str | None = None) -> DataFrame:
     """Documents that are, or hold a line that is, a known licence or notice.
 
     ``doc_id, license`` (of the entire text, else null), ``line_licenses``
     (names found as entire lines, sorted, comma-joined) and ``n_license_lines``.
-    Only texts with ``hint`` are brought to canonical form: every known text
-    has it. Null and empty texts match nothing; rows alike in id and text
+    known: digests of canonical forms and their names, in place of the texts
+    here. hint: only texts and lines that have it are brought to canonical
+    form; by default every known text here has it, and with ``known`` all are
+    tried. Null and empty texts match nothing; rows alike in id and text
     give one row each; a null id stays null; other columns are ignored.
     """
-    known = known_digests(docs.sparkSession) if known is None else known
-    likely = keyed(docs, id_col, text_col).where(F.col("_text").rlike(hint))
+    if known is None:
+        known, hint = F.broadcast(known_digests(docs.sparkSession)), hint or HINT  # a fixed list of some 60,000 digests
+    has = lambda c: F.col(c).rlike(hint) if hint else F.lit(True)
+    likely = keyed(docs, id_col, text_col).where(has("_text"))
     units = likely.select("_doc", "_tk", F.lit(-1).alias("line"), F.col("_text").alias("unit"))
-    lines = likely.select("_doc", "_tk", F.posexplode(F.split("_text", "\n")).alias("line", "unit")).where(F.col("unit").rlike(hint))
+    lines = likely.select("_doc", "_tk", F.posexplode(F.split("_text", "\n")).alias("line", "unit")).where(has("unit"))
     hits = (
         units.unionByName(lines)
         .withColumn("digest", F.sha2(canonical(F.col("unit")), 256))
         .drop("unit")
-        .join(F.broadcast(known), "digest")  # a fixed list of some 60,000 digests
+        .join(known, "digest")
     )
     whole = F.col("line") < 0
     found = hits.groupBy("_doc", "_tk").agg(

@@ -18,3 +18,10 @@ def test_notices_full_texts_and_wrapped_texts(spark):
     assert {got.get(10 + k, [None])[0] for k in range(len(wrapped))} == {"ISC"}
     assert [got.get(100 + k, [None])[0] for k in range(len(full))] == sorted(full)
     assert [got.get(k, [None])[0] for k in (200, 201, 203)] == ["ISC", "ISC", "Unlicense"]
+
+
+def test_own_texts_need_no_hint(spark):
+    known = licenses.known_digests(spark, {"own": ["You may do as you like."]})
+    rows = spark.createDataFrame([(1, "YOU may do, as you like!"), (2, "x\nyou may do as you like\n"), (3, "as you like"), (None, None), (4, "")], "doc_id long, text string")
+    got = sorted((r.doc_id, r.license, r.line_licenses) for r in licenses.license_scan(rows, known=known).collect())
+    assert got == [(1, "own", "own"), (2, None, "own")]

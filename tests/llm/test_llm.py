@@ -297,6 +297,20 @@ def test_packing_loses_nothing(spark, odd):
     assert packing.pack(odd.limit(0), packing.default_tokenizer()).count() == 0
 
 
+def test_ids_are_those_of_the_tokenizer(spark):
+    """Every id of every document of the tables, as CRC of its pieces, against the other library."""
+    from tokenizers import Tokenizer
+
+    tok, sf = Tokenizer.from_file(packing.default_tokenizer()), f"{oracle.DATA}/sf0.01"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    ids = {i: np.array([*e.ids, 1], "<u4") for i, e in zip(texts, tok.encode_batch(list(texts.values()), add_special_tokens=False), strict=True)}
+    seen = collections.Counter()
+    for r in packing.op8_packing(spark, sf).collect():
+        assert r.doc_tokens == len(ids[r.doc_id]) and r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes())
+        seen[r.doc_id] += r.length
+    assert seen == {i: len(v) for i, v in ids.items()}
+
+
 def test_little_padding(spark):
     by = collections.Counter()
     for r in packing.op8_packing(spark, f"{oracle.DATA}/sf0.01").collect():
