@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from agrispark.operators import labels as L, models as M, spatial as J
 from agrispark.plans.fixtures import view
 from agrispark.plans.register import query
 from agrispark.plans.registry import _TOK
-from agrispark.session import shared_dir
+from agrispark.session import scratch
 from agrispark.sources import files as S
 from agrispark.streaming import labels as T
 
 
 def _folder(spark) -> str:
-    return f"{shared_dir(spark)}/files-{uuid.uuid4().hex}"
+    return scratch(spark, "files")
 
 
 # --- sources and sinks -----------------------------------------------------------------------------------------
