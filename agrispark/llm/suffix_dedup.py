@@ -7,8 +7,11 @@ with a count. Where a minimiser has different stretches, a run-length index
 over them (Burrows-Wheeler runs with the text positions and common prefixes
 sampled at run ends) streams each position's matching statistic, the longest
 match that starts anywhere else; windows that reach ``length`` are marked. A
-minimiser with more stretches than one index may hold is dealt out again by
-blocks of windows, exactly, with counts combined before each shuffle.
+minimiser with more text than one index may hold is known by its size before
+anything is shuffled: its stretches are cut into blocks of 16 windows and dealt
+out anew by what all windows of a block share, and the blocks go to indexes of
+their own. Only a share that again has too many different blocks around it is
+counted window by window.
 """
 
 from __future__ import annotations
@@ -31,10 +34,10 @@ STRETCH = "h long, d1 long, d2 long, _doc long, _tk long, at int, lo int, hi int
 class RunLengthIndex:
     """Burrows-Wheeler runs over several byte strings, sampled at run ends.
 
-    ``char``: each run's character (the start of a string counts as a
-    character of its own); ``head``, ``tail``: text position of the first and
-    last suffix of each run; ``common``: bytes that each run's first suffix
-    shares with the one before it, the last of the run before.
+    Of the runs (the start of a string counts as a character of its own) only
+    samples are kept. ``head``, ``tail``: text position of the first and last
+    suffix of each run; ``common``: bytes that each run's first suffix shares
+    with the one before it, the last of the run before.
     """
 
     def __init__(self, strings: list[bytes]):
@@ -51,7 +54,7 @@ class RunLengthIndex:
         before[left[order] == 0] = np.where(size[owner[order][left[order] == 0]] > 0, before[left[order] == 0], -1 - owner[order][left[order] == 0])
         new = np.append(True, before[1:] != before[:-1])
         first = np.flatnonzero(new)
-        self.char, self.head, self.tail = before[first], order[first], order[np.append(first[1:], n) - 1]
+        self.head, self.tail = order[first], order[np.append(first[1:], n) - 1]
         self.common = np.zeros(len(first), np.int64)
         self.common[1:] = self._common(text, self.head[1:], self.tail[:-1], left)
 
@@ -132,144 +135,148 @@ def _stretches(length: int, gram: int):
     return make
 
 
-def _classes(stretches: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Marks of stretches that occur twice or more, and one of each class (with its count m) where a key has several."""
+def _classes(stretches: DataFrame, length: int, limit: int) -> tuple[DataFrame, DataFrame]:
+    """Marks of stretches that occur twice or more, and one of each class (with its count m) where a key has several.
+
+    big: whether the key's classes have more text than ``limit`` bytes.
+    """
     met = stored(stretches.groupBy("h").count().where("count > 1").select("h"))  # a plain side, so that a hot key's partition can be split
     some = stored(stretches.join(met, "h", "left_semi"))
     classes = stored(some.groupBy("h", "d1", "d2").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct(*OWNER)).alias("p")))
     full = some.join(classes.where("m > 1").select("h", "d1", "d2"), ["h", "d1", "d2"], "left_semi").select("_doc", "_tk", "lo", "hi")
-    several = classes.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("least")).where("n > 1 and least = 1").select("h")
-    return full, classes.join(several, "h", "left_semi").select("h", "m", "p.*")
+    size = F.sum(F.col("p.hi") - F.col("p.lo") + length)
+    several = classes.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("least"), (size > limit).alias("big"))
+    several = stored(several.where("n > 1 and least = 1").select("h", "big"))
+    return full, classes.join(several, "h").select("h", "m", "big", "p.*")
+
+
+CONTENT = "h long, m long, big boolean, _doc long, _tk long, lo int, hi int, content binary"
+_KINDS = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
 
 
-def _contents(mixed: DataFrame, base: DataFrame, length: int) -> DataFrame:
-    """The bytes of each stretch, cut from its text."""
+def _content_batch(rows: list[tuple]) -> pa.RecordBatch:
+    names = ["h", "m", "big", "_doc", "_tk", "lo", "hi", "content"]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(_KINDS)], names=names)
+
+
+def _contents(mixed: DataFrame, texts: DataFrame, by: list[str], length: int) -> DataFrame:
+    """The bytes of each stretch, cut from ``_text``, which starts at byte ``at`` of its document; ``by`` names a text."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, at = T.text_bytes(batch.column(2))
-            for doc, tk, a, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), at[:-1].tolist(), batch.column(3).to_pylist(), strict=True):
-                cols = list(zip(*((p["h"], p["m"], doc, tk, p["lo"], p["hi"], raw[a + p["lo"] : a + p["hi"] + length].tobytes()) for p in parts), strict=True))
-                kinds = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["h", "m", "_doc", "_tk", "lo", "hi", "content"])
-
-    wanted = mixed.groupBy("_doc", "_tk").agg(F.collect_list(F.struct("h", "m", "lo", "hi")).alias("parts"))
-    return base.join(wanted, ["_doc", "_tk"]).select("_doc", "_tk", "_text", "parts").mapInArrow(
-        cut, "h long, m long, _doc long, _tk long, lo int, hi int, content binary"
-    )
+            raw, offset = T.text_bytes(batch.column(3))
+            for doc, tk, at, a, parts in zip(*(batch.column(k).to_pylist() for k in range(3)), offset[:-1].tolist(), batch.column(4).to_pylist(), strict=True):
+                a -= at
+                yield _content_batch([(p["h"], p["m"], p["big"], doc, tk, p["lo"], p["hi"], raw[a + p["lo"] : a + p["hi"] + length].tobytes()) for p in parts])
+
+    wanted = mixed.groupBy(*by).agg(F.collect_list(F.struct("h", "m", "big", "lo", "hi")).alias("parts"))
+    return texts.join(wanted, by).select("_doc", "_tk", "at", "_text", "parts").mapInArrow(cut, CONTENT)
 
 
 def _indexed(contents: DataFrame, length: int, limit: int) -> DataFrame:
-    """Marks from an index over each batch of keys; keys over ``limit`` bytes come back as they are."""
+    """Marks (without content) from an index over each batch of keys; rows of big keys come back as they are."""
 
     def mark(rows: list[tuple]) -> Iterator[tuple]:
-        index = RunLengthIndex([r[6] for r in rows])
+        index = RunLengthIndex([r[7] for r in rows])
         ms = index.matching_statistics()
         for r, a in zip(rows, index.start.tolist(), strict=True):
             if r[1] > 1:
                 continue
-            hit = np.flatnonzero(ms[a : a + r[5] - r[4] + 1] >= length)
+            hit = np.flatnonzero(ms[a : a + r[6] - r[5] + 1] >= length)
             if len(hit):
                 first = np.append(True, np.diff(hit) > 1)
                 ends = np.append(np.flatnonzero(first)[1:], len(hit)) - 1
                 for x, y in zip(hit[first].tolist(), hit[ends].tolist(), strict=True):
-                    yield (None, 0, r[2], r[3], r[4] + x, r[4] + y, None)
-
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.binary()]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=["h", "m", "_doc", "_tk", "lo", "hi", "content"]
-        )
+                    yield (None, 0, False, r[3], r[4], r[5] + x, r[5] + y, None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: list[tuple] = []  # of whole keys
         held: list[tuple] = []  # of the last key
         done_size = held_size = 0
-        key, over = None, False
 
         def flush():
             if any(r[1] == 1 for r in done) and (rows := list(mark(done))):
-                yield batch_of(rows)
+                yield _content_batch(rows)
 
         for batch in batches:
             passed = []
             for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if r[0] != key:
+                if r[2]:
+                    passed.append(r)
+                    continue
+                if held and r[0] != held[0][0]:
                     if done_size + held_size > limit:
                         yield from flush()
                         done, done_size = [], 0
-                    done += held if len(held) > 1 else []
+                    done += held
                     done_size += held_size
-                    held, held_size, key, over = [], 0, r[0], False
-                if over:
-                    passed.append(r)
-                    continue
+                    held, held_size = [], 0
                 held.append(r)
-                held_size += len(r[6])
-                if held_size > limit:
-                    passed += held
-                    held, held_size, over = [], 0, True
+                held_size += len(r[7])
             if passed:
-                yield batch_of(passed)
+                yield _content_batch(passed)
         if done_size + held_size > limit:
             yield from flush()
             done = []
         done += held
         yield from flush()
 
-    return contents.repartition("h").sortWithinPartitions("h").mapInArrow(run, "h long, m long, _doc long, _tk long, lo int, hi int, content binary")
+    # a big key's rows are dealt out by their place, any other key's go together
+    dealt = F.when(F.col("big"), F.xxhash64("_doc", "_tk", "lo")).otherwise(F.lit(0).cast("long"))
+    return contents.repartition(F.col("h"), dealt).sortWithinPartitions("h").mapInArrow(run, CONTENT)
 
 
-def _by_blocks(over: DataFrame, length: int, gram: int, block: int = 16) -> DataFrame:
-    """Marks for keys with very many stretches: by blocks of windows, then by window.
+def _by_blocks(over: DataFrame, length: int, gram: int, limit: int, block: int = 16) -> DataFrame:
+    """Marks for keys with very much text, by blocks of windows.
 
-    Blocks lie alike relative to the minimiser. What all windows of a block
-    share must occur twice for any of them to; blocks equal as a whole
-    collapse; windows of the others are counted one by one.
+    Blocks lie alike relative to the minimiser, so what all windows of a block
+    share is a new key: equal windows meet under it. Blocks equal as a whole
+    collapse; different ones go to an index by their key. Windows of keys that
+    are big again, of which there is one place or two around a long text that
+    very many documents hold, are counted one by one.
     """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in range(8)]
-            for _, m, doc, tk, lo, hi, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for _, m, _, doc, tk, lo, hi, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 grams = T.window_hash(np.frombuffer(text, np.uint8), gram, T.BASES[0])
                 low = int(T.winnow(grams, length - gram + 1, np.ones(1, bool))[2][0])
                 for b in range((0 - low) // block, (hi - lo - low) // block + 1):
                     first, a, z = b * block + low, max(0, b * block + low), min(hi - lo, b * block + block - 1 + low)
-                    core = text[first + block - 1 : first + length]
+                    core = text[max(0, first + block - 1) : first + length]
                     d = xxhash.xxh3_128_digest(text[a : z + length])
                     for _ in range(min(m, 2)):
                         for k, v in enumerate((xxhash.xxh3_64_intdigest(core) - (1 << 63), int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), doc, tk, lo, lo + a, lo + z)):
                             out[k].append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k < 5 else pa.int32()) for k, c in enumerate(out)], names=["h", "d1", "d2", *OWNER])
 
-    full, mixed = _classes(stored(over.mapInArrow(deal, STRETCH)))
+    full, mixed = _classes(stored(over.mapInArrow(deal, STRETCH)), length, limit)
+    texts = over.select("_doc", "_tk", F.col("lo").alias("at"), F.col("content").alias("_text"))
+    found = stored(_indexed(_contents(mixed, texts, ["_doc", "_tk", "at"], length), length, limit))
+    marks = full.union(found.where("content is null").select("_doc", "_tk", "lo", "hi"))
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], []]
             digests = []
-            for doc, tk, at, text, parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                for p in parts:
-                    for s in range(p["lo"] - at, p["hi"] - at + 1):
-                        digests.append(xxhash.xxh3_128_digest(text[s : s + length]))
-                        for k, v in enumerate((p["m"], doc, tk, at + s)):
-                            out[k].append(v)
+            for _, m, _, doc, tk, lo, hi, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for s in range(hi - lo + 1):
+                    digests.append(xxhash.xxh3_128_digest(text[s : s + length]))
+                    for k, v in enumerate((m, doc, tk, lo + s)):
+                        out[k].append(v)
             w = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(w[:, 0].copy()), pa.array(w[:, 1].copy()), *(pa.array(c, pa.int64()) for c in out)], names=["w1", "w2", "m", "_doc", "_tk", "s"]
             )
 
-    wanted = mixed.groupBy("_doc", "_tk", "at").agg(F.collect_list(F.struct("m", "lo", "hi")).alias("parts"))
-    each = stored(
-        over.select("_doc", "_tk", F.col("lo").alias("at"), "content")
-        .join(wanted, ["_doc", "_tk", "at"])
-        .mapInArrow(windows, "w1 long, w2 long, m long, _doc long, _tk long, s long")
-    )
+    again = found.where("content is not null")
+    if again.isEmpty():
+        return marks
+    each = stored(again.mapInArrow(windows, "w1 long, w2 long, m long, _doc long, _tk long, s long"))
     twice = each.groupBy("w1", "w2").agg(F.sum("m").alias("n")).where("n > 1").select("w1", "w2")
     s = F.col("s").cast("int")
-    single = each.where("m = 1").join(twice, ["w1", "w2"], "left_semi").select("_doc", "_tk", s.alias("lo"), s.alias("hi"))
-    return full.union(single)
+    return marks.union(each.where("m = 1").join(twice, ["w1", "w2"], "left_semi").select("_doc", "_tk", s.alias("lo"), s.alias("hi")))
 
 
 def repeat_removal(
@@ -285,12 +292,12 @@ def repeat_removal(
     text that one index is built over; larger keys are dealt out by blocks.
     """
     base = keyed(docs, id_col, text_col)
-    full, mixed = _classes(stored(base.mapInArrow(_stretches(length, gram), STRETCH)))
-    found = stored(_indexed(_contents(mixed, base, length), length, index_bytes))
+    full, mixed = _classes(stored(base.mapInArrow(_stretches(length, gram), STRETCH)), length, index_bytes)
+    found = stored(_indexed(_contents(mixed, base.withColumn("at", F.lit(0)), ["_doc", "_tk"], length), length, index_bytes))
     marks = full.union(found.where("content is null").select("_doc", "_tk", "lo", "hi"))
     over = found.where("content is not null")
     if not over.isEmpty():
-        marks = marks.union(_by_blocks(over, length, gram))
+        marks = marks.union(_by_blocks(over, length, gram, index_bytes))
     marks = marks.groupBy("_doc", "_tk").agg(F.collect_list(F.struct("lo", "hi")).alias("p")).select(
         "_doc", "_tk", F.col("p.lo").alias("los"), F.col("p.hi").alias("his")
     )

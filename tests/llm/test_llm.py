@@ -83,7 +83,7 @@ def test_index_gives_matching_statistics():
             assert got[index.start[k] + i] == best
 
 
-@pytest.mark.parametrize("index_bytes", [1 << 20, 400])
+@pytest.mark.parametrize("index_bytes", [1 << 20, 2000, 400, 60])
 def test_repeats_match_brute_force(spark, index_bytes):
     rng = random.Random(5)
     text = lambda n: "".join(rng.choice("abc") for _ in range(n))
