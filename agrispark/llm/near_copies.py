@@ -8,9 +8,10 @@ its votes shares one with that of such a set in 19 of 20 cases. Pigeonhole: of
 the three segments two share one in 99 of 100 cases, so the pairs of codeword
 indices of two segments, 3 x 36, are the keys.
 
-Sets that share a key and whose fingerprints are within ``DISTANCE`` bits are
-compared whole: first each with one of its group, then, group by group, those
-that are not connected yet. A group of many is compared in pairs of blocks.
+Every set also has 128 further SimHash bits. Sets that share a key and differ
+in up to ``DISTANCE`` of these, which unlike sets do in two of a million cases,
+are compared whole: first each with two in the middle of its groups, then, group by
+group, those that are not connected yet. A large group is compared in parts.
 """
 
 from __future__ import annotations
@@ -24,14 +25,16 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from agrispark.llm import textops as T
-from agrispark.llm.common import keyed
-from agrispark.llm.simhash_golay import SEGMENTS, likely_indices, packed, shingle_hashes, spanning_links, votes
+from agrispark.llm.common import keyed, unzipped, zipped
+from agrispark.llm.simhash_golay import SEGMENTS, likely_indices, packed, shingle_hashes, votes
 from agrispark.operators.components import connected_components
 from agrispark.session import stored
 
-#: Codewords of a segment, and the most bits in which the fingerprints of two sets of similarity 0.8 differ (9.7 in the mean, deviation 2.9).
-CODES, DISTANCE = 6, 22
-#: Members of a key that are sorted out by their fingerprints in one piece; groups of more are compared whole.
+#: Codewords of a segment, and the most of the 128 further bits in which sets may differ (at a similarity of 0.8: 19.3 in the mean, deviation 4.1).
+CODES, DISTANCE = 6, 36
+#: What makes further hashes of a shingle's (fixed values).
+FURTHER = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+#: Members of a key that are sorted out by their further bits in one piece; groups of more are compared whole.
 MOST_AT_ONCE = 1 << 15
 
 
@@ -69,6 +72,24 @@ def set_links(grams: np.ndarray, at: np.ndarray, similarity: float) -> Iterator[
             left &= ~near
 
 
+def further_bits(grams: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Two words of SimHash bits for each row with hashes."""
+    return np.stack([packed(votes(T.mix(grams ^ T.U64(x)), count)) for x in FURTHER], axis=1)
+
+
+def linked(bits: np.ndarray) -> np.ndarray:
+    """For each row of bits the number of the first row that it is connected to by rows within ``DISTANCE`` bits."""
+    up, left = np.arange(len(bits)), np.arange(len(bits))
+    while len(left):
+        root, queue, left = int(left[0]), [int(left[0])], left[1:]
+        while queue and len(left):
+            near = np.bitwise_count(bits[left] ^ bits[queue.pop()]).sum(axis=1) <= DISTANCE
+            up[left[near]] = root
+            queue += left[near].tolist()
+            left = left[~near]
+    return up
+
+
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -77,8 +98,8 @@ def _sets(docs: DataFrame, shingle: int) -> DataFrame:
                 h = [xxhash.xxh3_64_intdigest(grams[a:b].tobytes()) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
                 size = np.diff(offsets)
                 vote = votes(grams, size)
-                fp = np.zeros(j - i, T.U64)
-                fp[size > 0] = packed(vote)
+                bits = np.zeros((j - i, len(FURTHER)), T.U64)
+                bits[size > 0] = further_bits(grams, size)
                 codes = np.concatenate([likely_indices(vote[:, a : a + n], CODES) for a, n in SEGMENTS], axis=1)
                 ends = np.concatenate([[0], np.cumsum((size > 0) * codes.shape[1])])
                 yield pa.RecordBatch.from_arrays(
@@ -86,90 +107,115 @@ def _sets(docs: DataFrame, shingle: int) -> DataFrame:
                         batch.column(0).slice(i, j - i),
                         batch.column(1).slice(i, j - i),
                         pa.array(np.array(h, T.U64).view(np.int64)),
-                        pa.array(fp.view(np.int64)),
+                        *(pa.array(bits[:, k].copy().view(np.int64)) for k in range(len(FURTHER))),
                         pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(codes.ravel().astype(np.int16))),
                     ],
-                    names=["_doc", "_tk", "h", "fp", "codes"],
+                    names=["_doc", "_tk", "h", "b0", "b1", "codes"],
                 )
 
-    return docs.select("_doc", "_tk", "_text").mapInArrow(make, "_doc long, _tk long, h long, fp long, codes array<short>")
+    return docs.select("_doc", "_tk", "_text").mapInArrow(make, "_doc long, _tk long, h long, b0 long, b1 long, codes array<short>")
 
 
 def _dealt(classes: DataFrame) -> DataFrame:
-    """``key, h, fp``: a row for each key of each set; sets without a shingle have none."""
+    """``key, h, b0, b1``: a row for each key of each set; sets without a shingle have none."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flat, at = T.list_column(batch.column(2))
+            flat, at = T.list_column(batch.column(3))
             some = np.flatnonzero(np.diff(at))
             code = flat.astype(np.int64).reshape(-1, len(SEGMENTS), CODES)
             keys = [k << 24 | code[:, a, :, None] << 12 | code[:, b, None, :] for k, (a, b) in enumerate(combinations(range(len(SEGMENTS)), 2))]
             keys = np.stack(keys, axis=1).reshape(len(some), -1).astype(np.int32)
-            h, fp = (batch.column(c).to_numpy()[some] for c in (0, 1))
+            own = [batch.column(c).to_numpy()[some] for c in range(3)]
             for i in range(0, len(some), 2048):
                 k = keys[i : i + 2048]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(k.ravel()), *(pa.array(np.repeat(x[i : i + 2048], k.shape[1])) for x in (h, fp))], names=["key", "h", "fp"]
+                    [pa.array(k.ravel()), *(pa.array(np.repeat(x[i : i + 2048], k.shape[1])) for x in own)], names=["key", "h", "b0", "b1"]
                 )
 
-    return classes.select("h", "fp", "codes").mapInArrow(deal, "key int, h long, fp long")
+    return classes.select("h", "b0", "b1", "codes").mapInArrow(deal, "key int, h long, b0 long, b1 long")
+
+
+def middle(bits: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the row of its group that is nearest to the group's majority bits, and their distance."""
+    flat = np.unpackbits(bits.view(np.uint8).reshape(len(bits), -1), axis=1, bitorder="little")
+    order = np.argsort(group, kind="stable")
+    first = np.flatnonzero(np.append(True, group[order][1:] != group[order][:-1]))
+    n = np.diff(np.append(first, len(group)))
+    most = 2 * np.add.reduceat(flat[order], first, axis=0, dtype=np.int64) > n[:, None]
+    number = np.empty(len(group), np.int64)
+    number[order] = np.repeat(np.arange(len(first)), n)
+    far = (flat != most[number]).sum(axis=1)
+    near = np.lexsort((far, number))
+    chosen = near[np.searchsorted(number[near], np.arange(len(first)))][number]
+    return chosen, np.bitwise_count(bits ^ bits[chosen]).sum(axis=1).astype(np.int32)
 
 
 def _groups(dealt: DataFrame) -> DataFrame:
-    """``key, part, h``: members of a key that hang together by fingerprints within ``DISTANCE`` bits; part: the least of them."""
+    """``key, least, part, n, far, h``: members of a key that hang together by ``DISTANCE`` bits and less.
+
+    least: the least of the n of them; part: the one in the middle, and far,
+    how many bits off. Of a key with more than ``MOST_AT_ONCE`` members all are
+    one group, with part 0.
+    """
+    names, kinds = ["key", "least", "part", "n", "far", "h"], (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64())
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held, passing = None, [], False
 
-        def batch_of(key, part, h):
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in ((key, pa.int32()), (part, pa.int64()), (h, pa.int64()))], names=["key", "part", "h"])
-
-        def parted(key, h, fp, out):
-            up = np.arange(len(h))
-            for i, j in spanning_links(fp.view(T.U64), DISTANCE):
-                up[j] = up[i]
-            least = np.full(len(h), np.iinfo(np.int64).max)
-            np.minimum.at(least, up, h)
-            many = np.bincount(up, minlength=len(h))[up] > 1
-            for c, v in zip(out, (np.full(int(many.sum()), key), least[up[many]], h[many]), strict=True):
-                c.append(v)
+        def batch_of(*columns):
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=names)
+
+        def parted(key, h, bits, out):
+            order = np.argsort(h)
+            h, bits = h[order], bits[order]
+            up = linked(bits)
+            n = np.bincount(up, minlength=len(h))[up]
+            many = np.flatnonzero(n > 1)
+            if len(many):
+                chosen, far = middle(bits[many], up[many])
+                for c, v in zip(out, (np.full(len(many), key), h[up[many]], h[many][chosen], n[many], far, h[many]), strict=True):
+                    c.append(v)
 
         def closed(out):
             if held and not passing:
                 parted(key, *(np.concatenate([x[k] for x in held]) for k in (0, 1)), out)
 
         for batch in batches:
-            keys, h, fp = (c.to_numpy() for c in batch.columns)
-            out: list[list] = [[], [], []]
+            keys, h, *words = (c.to_numpy() for c in batch.columns)
+            bits = np.stack(words, axis=1).view(T.U64)
+            out: list[list] = [[] for _ in names]
             first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
             ends = np.append(first[1:], len(keys))
             inner = (first > 0) & (ends < len(keys))
             two = first[inner & (ends - first == 2)]
-            two = two[np.bitwise_count(fp[two].view(T.U64) ^ fp[two + 1].view(T.U64)) <= DISTANCE]
-            both = np.sort(np.concatenate([two, two + 1]))
-            for c, v in zip(out, (keys[both], np.repeat(np.minimum(h[two], h[two + 1]), 2), h[both]), strict=True):
+            apart = np.bitwise_count(bits[two] ^ bits[two + 1]).sum(axis=1).astype(np.int32)
+            two, apart = two[apart <= DISTANCE], apart[apart <= DISTANCE]
+            least, other = np.minimum(h[two], h[two + 1]), np.maximum(h[two], h[two + 1])
+            for c, v in zip(out, (np.tile(keys[two], 2), np.tile(least, 2), np.tile(least, 2), np.full(2 * len(two), 2), np.concatenate([0 * apart, apart]), np.concatenate([least, other])), strict=True):
                 c.append(v)
             edge = (first == 0) | (ends == len(keys))
             for s, e in zip(first[edge | (ends - first > 2)].tolist(), ends[edge | (ends - first > 2)].tolist(), strict=True):
                 if s > 0 and e < len(keys):
-                    parted(keys[s], h[s:e], fp[s:e], out)
+                    parted(keys[s], h[s:e], bits[s:e], out)
                     continue
                 if keys[s] != key:
                     closed(out)
                     key, held, passing = keys[s], [], False
-                held.append((h[s:e], fp[s:e]))
+                held.append((h[s:e], bits[s:e]))
                 if passing or sum(len(x[0]) for x in held) > MOST_AT_ONCE:
                     for x, _ in held:
-                        yield batch_of(np.full(len(x), key), np.zeros(len(x), np.int64), x)
+                        none = np.zeros(len(x), np.int64)
+                        yield batch_of(np.full(len(x), key), none, none, none, none, x)
                     held, passing = [], True
             if any(len(x) for x in out[0]):
                 yield batch_of(*(np.concatenate(c) for c in out))
-        out = [[], [], []]
+        out = [[] for _ in names]
         closed(out)
         if out[0]:
             yield batch_of(*(np.concatenate(c) for c in out))
 
-    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(split, "key int, part long, h long")
+    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(split, "key int, least long, part long, n int, far int, h long")
 
 
 def _with_first(pairs: DataFrame, whole: DataFrame, similarity: float, block: int) -> DataFrame:
@@ -200,14 +246,14 @@ def _with_first(pairs: DataFrame, whole: DataFrame, similarity: float, block: in
 
 
 def _grams(texts: DataFrame, shingle: int) -> DataFrame:
-    """The sets themselves, of few texts, so that those of all are neither kept nor shuffled."""
+    """``h, grams``: the sets, made anew from ``h, _text`` (compressed)."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, raw, at in T.chunks(batch.column(1)):
+            for i, j, raw, at in T.chunks(unzipped(batch.column(1))):
                 grams, offsets = shingle_sets(raw, at, shingle)
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(grams.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), lists], names=["h", "grams"])
+                sets = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(grams.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), sets], names=["h", "grams"])
 
     return texts.select("h", "_text").mapInArrow(make, "h long, grams array<long>")
 
@@ -249,30 +295,39 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         raise ValueError("the keys are made for a similarity of 0.8 and more")
     base = keyed(docs, id_col, text_col)
     sets = stored(_sets(base, shingle))
-    classes = stored(sets.groupBy("h").agg(F.min(F.struct("_doc", "_tk")).alias("low"), F.first("fp").alias("fp"), F.first("codes").alias("codes")))
-    groups = stored(_groups(_dealt(classes)).select(F.xxhash64("key", "part").alias("key"), F.when(F.col("part") != 0, F.col("part")).alias("part"), "h"))
-
-    def sets_of(wanted: DataFrame) -> DataFrame:
-        # stored, so that Spark knows its size and broadcasts it where it is small
-        texts = stored(wanted.distinct().join(classes.select("h", "low._doc", "low._tk"), "h"))
-        return _grams(base.join(texts, ["_doc", "_tk"]), shingle)
-
-    pairs = stored(groups.where("part is not null and h <> part").select(F.col("part").alias("u"), F.col("h").alias("v")).distinct())
-    links = stored(_with_first(pairs, sets_of(pairs.select(F.explode(F.array("u", "v")).alias("h"))), similarity, block))
+    classes = stored(sets.groupBy("h").agg(F.min(F.struct("_doc", "_tk")).alias("low"), F.first("b0").alias("b0"), F.first("b1").alias("b1"), F.first("codes").alias("codes")))
+    found = _groups(_dealt(classes))
+    # groups with the same least member go together; a key's whole group goes by its key
+    gid = F.when(F.col("part") != 0, F.xxhash64("least")).otherwise(F.xxhash64("key", F.lit(0)))
+    groups = stored(found.select(gid.alias("key"), F.when(F.col("part") != 0, F.col("part")).alias("part"), "n", "far", "h"))
+
+    # the sets of proposed texts alone are kept; the table of these is stored, so that Spark knows its size and broadcasts it where it is small
+    proposed = stored(groups.select("h").distinct().join(classes.select("h", "low._doc", "low._tk"), "h"))
+    whole = stored(_grams(zipped(base).join(proposed, ["_doc", "_tk"]), shingle))
+
+    # each set meets the nearest of all middles of its groups, and that of the largest group
+    beside = groups.where("part is not null and part <> h").groupBy("h")
+    middles = beside.agg(F.min_by("part", F.struct("far", "part")).alias("a"), F.max_by("part", F.struct("n", "part")).alias("b"))
+    pairs = stored(middles.select(F.explode(F.array_distinct(F.array("a", "b"))).alias("u"), F.col("h").alias("v")))
+    links = stored(_with_first(pairs, whole, similarity, block))
     parts = connected_components(links).select(F.col("id").alias("h"), "component")
 
-    # groups that are not one component yet, each only once for the same members
-    named = groups.join(parts, "h", "left").select("key", "h", F.coalesce("component", "h").alias("component"))
+    # Groups that are not one component yet, each only once for the same members. Members of a group's largest component
+    # are dealt into parts and meet the others, which go to every part; if those are many, all meet in pairs of parts.
+    named = groups.select("key", "h").distinct().join(parts, "h", "left").select("key", "h", F.coalesce("component", "h").alias("component"))
     members = [F.bit_xor(F.xxhash64("h", F.lit(x))) for x in (1, 2)]
-    met = named.groupBy("key").agg(
-        F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high"), *(m.alias(f"m{i}") for i, m in enumerate(members))
+    sizes = named.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), *(m.alias(f"m{i}") for i, m in enumerate(members)))
+    met = sizes.groupBy("key").agg(
+        F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("most"), F.count(F.lit(1)).alias("several"), F.bit_xor("m0").alias("m0"), F.bit_xor("m1").alias("m1")
     )
-    met = met.where("low < high").groupBy("n", "m0", "m1").agg(F.min("key").alias("key"))
-    once = met.select("key", F.ceil(F.col("n") / block).cast("int").alias("parts"))
+    once = met.where("several > 1").groupBy("n", "m0", "m1").agg(F.min(F.struct("key", "most")).alias("k"))
+    once = stored(once.select("k.key", F.ceil(F.col("n") / block).cast("int").alias("parts"), F.col("k.most.component").alias("largest"), (F.col("n") - F.col("k.most.n") > block).alias("many")))
     part = F.pmod(F.xxhash64("h", "key"), F.col("parts")).cast("int")
-    each = groups.join(once, "key").select("key", "h", part.alias("part"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    each = stored(each.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "h"))
-    more = stored(_compared(each.join(sets_of(each.select("h")), "h"), similarity))
+    each = named.join(once, "key").select("key", "h", "parts", "many", part.alias("part"), (F.col("component") == F.col("largest")).alias("inside"))
+    alone = F.when(F.col("many"), F.sequence(F.lit(0), F.col("parts") - 1)).when(F.col("inside"), F.array("part")).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
+    each = each.select("key", "h", "many", "part", F.explode(alone).alias("other"))
+    each = each.select("key", F.when(F.col("many"), F.least("part", "other")).otherwise(F.col("other")).alias("i"), F.when(F.col("many"), F.greatest("part", "other")).otherwise(F.col("other")).alias("j"), "h")
+    more = stored(_compared(each.join(whole, "h"), similarity))
     if not more.isEmpty():
         parts = connected_components(links.unionByName(more)).select(F.col("id").alias("h"), "component")
     classes = classes.join(parts, "h", "left").select("h", "low", F.coalesce("component", "h").alias("group"))
