@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -24,22 +25,33 @@ SYMBOL[np.frombuffer(b"#*$%&|<>", np.uint8)] = True
 
 
 class Texts:
-    """A chunk of texts with its words; what several rules need is made once, when first asked for."""
+    """A chunk of texts with its words; what several rules need is made once, when first asked for, and goes along into subsets."""
 
-    def __init__(self, raw: np.ndarray, at: np.ndarray):
-        self.raw, self.at, self.n = raw, at, len(at) - 1
-        self.start, self.stop, self.row = T.word_spans(raw, at)
-        self.n_words = np.bincount(self.row, minlength=self.n)
+    def __init__(self, raw: np.ndarray, at: np.ndarray, counts: dict[str, np.ndarray] | None = None):
+        self.raw, self.at, self.n, self.counts = raw, at, len(at) - 1, counts or {}
+
+    @cached_property
+    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return T.word_spans(self.raw, self.at)
+
+    def once(self, name: str, make: Callable[[], np.ndarray]) -> np.ndarray:
+        if name not in self.counts:
+            self.counts[name] = make()
+        return self.counts[name]
+
+    @property
+    def n_words(self) -> np.ndarray:
+        return self.once("n_words", lambda: np.bincount(self.words[2], minlength=self.n))
 
     def per_text(self, flag: np.ndarray) -> np.ndarray:
         total = np.concatenate([[0], np.cumsum(flag, dtype=np.int64)])
         return total[self.at[1:]] - total[self.at[:-1]]
 
     def word_chars(self) -> np.ndarray:
-        return self.per_text(~T.SPACE[self.raw] & ((self.raw & 0xC0) != 0x80))
+        return self.once("word_chars", lambda: self.per_text(~T.SPACE[self.raw] & ((self.raw & 0xC0) != 0x80)))
 
     def n_symbols(self) -> np.ndarray:
-        return self.per_text(SYMBOL[self.raw])
+        return self.once("n_symbols", lambda: self.per_text(SYMBOL[self.raw]))
 
     def _lines(self):
         cut = np.flatnonzero(self.raw == 10)
@@ -52,26 +64,31 @@ class Texts:
         some = solid[stop] > solid[start]
         return start[some], stop[some], row[some]
 
-    def lines(self) -> tuple[np.ndarray, np.ndarray]:
-        """Lines with a word, and those equal to an earlier one, by text."""
+    def _count_lines(self) -> np.ndarray:
         start, stop, row = self._lines()
         again, _ = T.repeats_in_row(T.span_codes(self.raw, start, stop)[0], row)
-        return np.bincount(row, minlength=self.n), np.bincount(row[again], minlength=self.n)
+        return np.stack([np.bincount(row, minlength=self.n), np.bincount(row[again], minlength=self.n)], axis=1)
+
+    def lines(self) -> tuple[np.ndarray, np.ndarray]:
+        """Lines with a word, and those equal to an earlier one, by text."""
+        both = self.once("lines", self._count_lines)
+        return both[:, 0], both[:, 1]
 
     def n_repeat_words(self) -> np.ndarray:
-        n = len(self.start) - 2
-        if n <= 0:
+        start, stop, row = self.words
+        if len(start) < 3:
             return np.zeros(self.n, np.int64)
-        at = np.flatnonzero(self.row[2:] == self.row[:-2])
-        _, twice = T.repeats_in_row(T.window_codes(T.span_codes(self.raw, self.start, self.stop)[0], 3)[at], self.row[at])
-        hit = np.zeros(len(self.start), bool)
+        at = np.flatnonzero(row[2:] == row[:-2])
+        _, twice = T.repeats_in_row(T.window_codes(T.span_codes(self.raw, start, stop)[0], 3)[at], row[at])
+        hit = np.zeros(len(start), bool)
         for k in range(3):
             hit[at[twice] + k] = True
-        return np.bincount(self.row[hit], minlength=self.n)
+        return np.bincount(row[hit], minlength=self.n)
 
     def subset(self, rows: np.ndarray) -> "Texts":
         parts = [self.raw[self.at[r] : self.at[r + 1]] for r in rows.tolist()]
-        return Texts(np.concatenate(parts) if parts else self.raw[:0], np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64))
+        at = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
+        return Texts(np.concatenate(parts) if parts else self.raw[:0], at, {k: v[rows] for k, v in self.counts.items()})
 
 
 def _share(a, b):
@@ -111,7 +128,8 @@ def few_letters(t: Texts) -> np.ndarray:
     """Under half of all words with a letter (a byte a-z, A-Z or beyond ASCII)."""
     low = t.raw | 32
     total = np.concatenate([[0], np.cumsum(((low >= 97) & (low <= 122)) | (t.raw > 127))])
-    return 2 * np.bincount(t.row[total[t.stop] > total[t.start]], minlength=t.n) < t.n_words
+    start, stop, row = t.words
+    return 2 * np.bincount(row[total[stop] > total[start]], minlength=t.n) < t.n_words
 
 
 RULES: dict[str, Callable[[Texts], np.ndarray]] = {
@@ -161,6 +179,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             for _, _, raw, at in T.chunks(batch.column(1)):
                 t = Texts(raw, at)
                 repeat = t.n_repeat_words()
+                counted = t.n_words, t.word_chars(), t.n_symbols(), t.lines()[1], repeat
                 failed = (t.n_words < 50) | (2 * repeat > t.n_words)
                 kept = ~failed
                 left = t
@@ -175,7 +194,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                     if bad.any():
                         kept[rows[bad]] = False
                         rows, left = rows[~bad], left.subset(np.flatnonzero(~bad))
-                for c, v in zip(cols, (t.n_words, t.word_chars(), t.n_symbols(), t.lines()[1], repeat, failed, kept), strict=True):
+                for c, v in zip(cols, (*counted, failed, kept), strict=True):
                     c.append(v)
             flat = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in cols]
             yield pa.RecordBatch.from_arrays(
