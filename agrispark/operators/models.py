@@ -150,34 +150,61 @@ def zone_routes(points: DataFrame, most: int = 5000, near: int | None = None) ->
     return in_sequence(zone_bands(points, most).groupBy("zone", "band").applyInPandas(order, "zone int, band long, fid long, x double, y double, seq long"))
 
 
+def crossed(mothers: np.ndarray, fathers: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Order crossover of many pairs of routes at once.
+
+    A child keeps its mother's stops at places lo to hi; its other stops come,
+    going round from place hi, in the order in which the father visits them
+    going round from there.
+    """
+    n, at = mothers.shape[1], np.arange(mothers.shape[1])
+    lo, hi = lo[:, None], hi[:, None]
+    kept = (at >= lo) & (at < hi)
+    has = np.zeros_like(kept)
+    np.put_along_axis(has, mothers, kept, axis=1)
+    visit = np.argsort(fathers, axis=1)  # by stop: its place in the father's route
+    stops = np.argsort((visit - hi) % n + n * has, axis=1)  # those that the child lacks come first
+    places = np.argsort((at - hi) % n + n * kept, axis=1)  # open places come first
+    child = mothers.copy()
+    row, k = np.nonzero(at < n - (hi - lo))
+    child[row, places[row, k]] = stops[row, k]
+    return child
+
+
+def turned(routes: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Routes with their stops at places lo to hi in reverse."""
+    at = np.arange(routes.shape[1])
+    return np.take_along_axis(routes, np.where((at >= lo[:, None]) & (at < hi[:, None]), lo[:, None] + hi[:, None] - 1 - at, at), axis=1)
+
+
 def evolved(points: np.ndarray, rng: np.random.Generator, size: int, rounds: int, patience: int, mutation: float, elite: int = 3, seeds: int = 10) -> tuple[np.ndarray, float]:
-    """The best open path of one population: order crossover of tournament winners (5), reversals, elites improved by 2-opt."""
+    """The best open path of one population of ``size`` routes and its length.
+
+    Some routes start from nearest neighbours, others at random. In each round
+    the ``elite`` best, improved by 2-opt, stay; all others are children of the
+    best of five drawn routes each, some of them with a stretch turned round.
+    Ends after ``rounds``, or ``patience`` of them in a row without a gain.
+    """
     n = len(points)
-    starts = rng.choice(n, min(seeds, size, n), replace=False)
-    pop = np.array([nearest_order(points, int(s)) for s in starts] + [rng.permutation(n) for _ in range(size - len(starts))])
-    lengths = lambda p: np.hypot(*np.diff(points[p], axis=1).transpose(2, 0, 1)).sum(axis=1)
-    cost, best, idle = lengths(pop), np.inf, 0
-    for _ in range(rounds):
-        top = np.array([two_opt(points, r, 15) for r in pop[np.argsort(cost, kind="stable")[:elite]]])
-        picks = rng.integers(0, size, (2, size - len(top), 5))
-        mothers, fathers = (pop[np.take_along_axis(p, cost[p].argmin(axis=1)[:, None], 1)[:, 0]] for p in picks)
-        cuts = np.sort(rng.integers(0, n + 1, (size - len(top), 2)), axis=1)
-        young = mothers.copy()
-        for child, father, (lo, hi) in zip(young, fathers, cuts):
-            held = np.zeros(n, bool)
-            held[child[lo:hi]] = True
-            rest = np.roll(father, -hi)
-            child[np.r_[hi:n, 0:lo]] = rest[~held[rest]]
-            if rng.random() < mutation:
-                a, b = np.sort(rng.integers(0, n + 1, 2))
-                child[a:b] = child[a:b][::-1].copy()
-        pop = np.vstack([top, young])
-        cost = lengths(pop)
-        idle = 0 if cost.min() < best - 1e-6 else idle + 1
-        best = min(best, cost.min())
-        if patience and idle >= patience:
-            break
-    return pop[cost.argmin()], float(cost.min())
+    cost = lambda routes: np.hypot(*np.moveaxis(np.diff(points[routes], axis=1), 2, 0)).sum(axis=1)
+    span = lambda k: np.sort(rng.integers(0, n + 1, (2, k)), axis=0)
+    grown = [nearest_order(points, int(s)) for s in rng.permutation(n)[: min(seeds, size)]]
+    routes = np.array([*grown, *(rng.permutation(n) for _ in range(size - len(grown)))])
+    length = cost(routes)
+    history = [float(length.min())]
+    while len(history) <= rounds and not (patience and len(history) > patience and history[-1 - patience] - history[-1] <= 1e-6):
+        leaders = routes[np.argpartition(length, min(elite, size - 1))[:elite]]
+        leaders = np.array([two_opt(points, r, 15) for r in leaders])
+        k = size - len(leaders)
+        drawn = rng.integers(0, size, (2, k, 5))
+        parents = routes[np.take_along_axis(drawn, length[drawn].argmin(axis=2)[:, :, None], axis=2)[:, :, 0]]
+        children = crossed(*parents, *span(k))
+        some = rng.random(k) < mutation
+        children[some] = turned(children[some], *span(int(some.sum())))
+        routes = np.concatenate([leaders, children])
+        length = cost(routes)
+        history.append(min(history[-1], float(length.min())))
+    return routes[length.argmin()], float(length.min())
 
 
 def genetic_routes(points: DataFrame, islands: int = 4, size: int = 60, rounds: int = 150, patience: int = 10, mutation: float = 0.015, most: int = 500, seed: int = 42) -> DataFrame:

@@ -228,3 +228,21 @@ def test_route_file_holds_the_route(spark):
     route = models.zone_routes(view(spark, sf, "v_points"))
     got = sorted((r.sequence, r.orig_fid, r.x, r.y) for r in registry.QUERIES["s8_route_csv"](spark, sf).collect())
     assert got == sorted((r.seq, r.fid, r.x, r.y) for r in route.collect())
+
+
+def test_order_crossover_and_turning():
+    import numpy as np
+
+    from agrispark.operators.models import crossed, turned
+
+    rng = np.random.default_rng(2)
+    mothers, fathers = (np.array([rng.permutation(9) for _ in range(200)]) for _ in range(2))
+    lo, hi = np.sort(rng.integers(0, 10, (2, 200)), axis=0)
+    for child, mother, father, a, b in zip(crossed(mothers, fathers, lo, hi), mothers, fathers, lo, hi, strict=True):
+        want = mother.copy()
+        rest = [s for s in [*father[b:], *father[:b]] if s not in set(mother[a:b])]
+        for place, stop in zip([*range(b, 9), *range(a)], rest, strict=True):
+            want[place] = stop
+        assert (child == want).all()
+    for new, old, a, b in zip(turned(mothers, lo, hi), mothers, lo, hi, strict=True):
+        assert (new == np.concatenate([old[:a], old[a:b][::-1], old[b:]])).all()
