@@ -31,12 +31,25 @@ for _a, _b in ((48, 58), (65, 91), (97, 123)):
 MATCH, MISS, COUNT = 2, 1, 1 << 20
 
 
-def word_hashes(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first row, hashes, row of each, offsets by row) of the words of each chunk of lower-cased texts."""
+class Words:
+    """The words of a chunk of lower-cased texts from row ``first`` on: a hash to look seeds up by, and the bytes for what is found."""
+
+    def __init__(self, first: int, raw: np.ndarray, at: np.ndarray):
+        self.first, self.raw = first, raw
+        self.start, self.stop, self.row = T.word_spans(raw, at, GAP)
+        self.hash = T.range_hash(raw, self.start, self.stop, T.BASES[0])
+        self.offset = np.searchsorted(self.row, np.arange(len(at)))
+
+    def said(self, lo: int, hi: int) -> list[bytes]:
+        base = int(self.start[lo]) if lo < hi else 0
+        text = self.raw[base : self.stop[hi - 1]].tobytes() if lo < hi else b""
+        return [text[a - base : b - base] for a, b in zip(self.start[lo:hi].tolist(), self.stop[lo:hi].tolist(), strict=True)]
+
+
+def words_of(column: pa.Array) -> Iterator[Words]:
     low = pa.array([(x or "").lower() for x in column.to_pylist()], pa.large_string())
-    for i, j, raw, at in T.chunks(low):
-        start, stop, row = T.word_spans(raw, at, GAP)
-        yield i, T.span_hash(raw, start, stop), row, np.searchsorted(row, np.arange(j - i + 1))
+    for i, _, raw, at in T.chunks(low):
+        yield Words(i, raw, at)
 
 
 def best_alignment(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
@@ -68,7 +81,7 @@ def seed_width(n_words: int, similarity: float, most: int) -> int:
 class Seeds:
     """The n-grams of a block of items that are ``width`` words wide, as arrays: their hashes, and the places of each.
 
-    Hashes only find places; what is found there is aligned word by word.
+    Hashes only find places; what is found there is aligned by the words themselves.
     """
 
     def __init__(self, width: int, sequences: list[np.ndarray], items: list[int]):
@@ -109,7 +122,9 @@ class Seeds:
 
 def _block(base: DataFrame, items: list[tuple[int, str]], gram: int, similarity: float) -> DataFrame:
     sc = base.sparkSession.sparkContext
-    sequences = [words[at[r] : at[r + 1]] for _, words, _, at in word_hashes(pa.array([t for _, t in items], pa.string())) for r in range(len(at) - 1)]
+    spoken = [(w, int(w.offset[r]), int(w.offset[r + 1])) for w in words_of(pa.array([t for _, t in items], pa.string())) for r in range(len(w.offset) - 1)]
+    sequences = [w.hash[a:b] for w, a, b in spoken]
+    said = [w.said(a, b) for w, a, b in spoken]
     by_width: dict[int, list[int]] = {}
     for k, w in enumerate(sequences):
         if len(w):
@@ -120,10 +135,10 @@ def _block(base: DataFrame, items: list[tuple[int, str]], gram: int, similarity:
     def frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals = [np.zeros(len(t.table), np.int64) for t in shared.value]
         for batch in batches:
-            for _, words, row, _ in word_hashes(batch.column(0)):
+            for w in words_of(batch.column(0)):
                 for t, total in zip(shared.value, totals, strict=True):
-                    at, number = t.hits(words, row)
-                    one = np.unique(row[at] * max(len(total), 1) + number) % max(len(total), 1)
+                    at, number = t.hits(w.hash, w.row)
+                    one = np.unique(w.row[at] * max(len(total), 1) + number) % max(len(total), 1)
                     total += np.bincount(one, minlength=len(total))
         for k, total in enumerate(totals):
             some = np.flatnonzero(total)
@@ -136,22 +151,24 @@ def _block(base: DataFrame, items: list[tuple[int, str]], gram: int, similarity:
         own = counted[counted["of"] == k]
         df[own["gram"].to_numpy(np.int64)] = own["n"].to_numpy(np.int64)
         t.keep_rare(df)
-    found = sc.broadcast((tables, sequences, [i for i, _ in items]))
+    found = sc.broadcast((tables, said, [i for i, _ in items]))
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables, sequences, ids = found.value
+        tables, said, ids = found.value
         for batch in batches:
             out: list[list] = [[] for _ in range(5)]
             doc = batch.column(0).to_pylist()
-            for i, words, row, offset in word_hashes(batch.column(1)):
+            for w in words_of(batch.column(1)):
+                i, row, offset = w.first, w.row, w.offset
                 near: dict[tuple[int, int], list[int]] = {}
                 for t in tables:
-                    at, number = t.hits(words, row)
+                    at, number = t.hits(w.hash, row)
                     place, owner = T.concat_ranges(t.start[number], t.start[number + 1] - 1)
                     for r, k, line in zip(row[at[owner]].tolist(), t.item[place].tolist(), (at[owner] - t.place[place]).tolist(), strict=True):
                         near.setdefault((r, k), []).append(line)
                 for (r, k), lines in near.items():
-                    item, best = sequences[k], (0, 0)
+                    best, numbers = (0, 0), {x: n for n, x in enumerate(dict.fromkeys(said[k]))}
+                    item = np.array([numbers[x] for x in said[k]])
                     lines.sort()
                     pad = len(item) // 4 + gram
                     first = last = lines[0]
@@ -160,7 +177,7 @@ def _block(base: DataFrame, items: list[tuple[int, str]], gram: int, similarity:
                             last = x
                             continue
                         lo, hi = max(offset[r], first - pad), min(offset[r + 1], last + len(item) + pad)
-                        m, end = best_alignment(item, words[lo:hi])
+                        m, end = best_alignment(item, np.array([numbers.get(x, -1) for x in w.said(lo, hi)], np.int64))
                         best = max(best, (m, int(lo + end - offset[r])))
                         if x is not None:
                             first = last = x
