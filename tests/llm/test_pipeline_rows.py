@@ -39,3 +39,20 @@ def test_decontamination(spark, texts):
     leak = texts[0] + " " + max((r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()), key=len)
     rows = [(None, leak), (None, texts[1]), (3, leak), (3, texts[2]), (None, texts[3])]
     assert out(spark, corpus_pipeline.decontaminate, rows) == sorted([(None, texts[1]), (3, texts[2]), (None, texts[3])], key=repr)
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_odd_rows_in_every_stage(spark, texts, name, stage):
+    """Nulls in every column, empty and very long texts, repeated rows, an empty table, and columns with the names used inside."""
+    long = " ".join(f"word{i}" for i in range(120_000))
+    rows = [(1, texts[0], None, None, None), (2, None, "en", "s", 0), (3, "", "en", "s", 0), (4, long, "en", "s", 5), (None, texts[1], "en", "s", 5), (5, texts[2], "en", "s", 5), (5, texts[2], "en", "s", 5)]
+    extra = "_row long, _doc string, _tk string, _text int, spans string, kept string, first int, h string, key string, grams string, similarity int, rest string"
+    df = spark.createDataFrame([(*r, 7, "a", "b", 8, "c", "d", 9, "e", "f", "g", 10, "i") for r in rows], f"{KIND}, {extra}")
+    got = stage(spark, df, SF)
+    ids = {r.doc_id for r in got.collect()}
+    assert {1, 4, 5, None} <= ids and (name == "quality rules" or {2, 3} & ids)
+    assert stage(spark, df.limit(0), SF).count() == 0
+    if name != "packing":
+        assert got.columns == corpus_pipeline.COLUMNS
+        once = {(r.doc_id, r.lang, r.source) for r in got.collect()}
+        assert (1, None, None) in once
