@@ -246,3 +246,20 @@ def test_order_crossover_and_turning():
         assert (child == want).all()
     for new, old, a, b in zip(turned(mothers, lo, hi), mothers, lo, hi, strict=True):
         assert (new == np.concatenate([old[:a], old[a:b][::-1], old[b:]])).all()
+
+
+def test_vocabulary_finds_the_middles_of_clusters(spark):
+    import numpy as np
+
+    from agrispark.operators import learning
+
+    rng = np.random.default_rng(6)
+    centres = np.array([[0.0, 0.0, 9.0], [9.0, 0.0, 0.0], [0.0, 9.0, 0.0], [5.0, 5.0, 5.0]])
+    points = np.concatenate([c + rng.normal(scale=0.1, size=(50, 3)) for c in centres])
+    d = spark.createDataFrame([(i, i // 10, v.tolist()) for i, v in enumerate(points)], "desc_id long, image_id long, vec array<double>")
+    words = learning.vocabulary(d, 4)
+    order = [int(((words - c) ** 2).sum(axis=1).argmin()) for c in centres]
+    assert sorted(order) == [0, 1, 2, 3]
+    assert np.allclose(words[order], points.reshape(4, 50, 3).mean(axis=1))
+    named = {r.desc_id: r.w for r in d.select("desc_id", learning.nearest_word(d.vec, words).alias("w")).collect()}
+    assert all(named[i] == order[i // 50] for i in range(200))

@@ -1,5 +1,7 @@
 """Query sets beyond one broadcast."""
 
+import numpy as np
+
 from agrispark.operators import models
 
 
@@ -8,3 +10,19 @@ def test_blocks_give_the_same(spark):
     q = d.selectExpr("desc_id as query_id", "vec as qvec")
     pairs = lambda most: sorted((r.query_id, r.desc_id) for r in models.against_all(q, d, most).collect())
     assert pairs(7) == pairs(100) == [(a, b) for a in range(60) for b in range(60)]
+
+
+def test_search_matches_brute_force(spark):
+    rng = np.random.default_rng(4)
+    points = np.round(rng.normal(size=(300, 6)), 1)
+    points[50:90] = points[7]  # more equal vectors than are asked for
+    d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(points)] + [(999, None)], "desc_id long, vec array<double>").repartition(4)
+    norm = np.linalg.norm(points, axis=1)
+    for metric, score in (("cosine", points @ points.T / (norm[:, None] * norm + 1e-12)), ("euclidean", -np.linalg.norm(points[:, None] - points[None], axis=2))):
+        want = []
+        for q in range(0, 300, 7):
+            best = sorted((-round(float(s), 9), i) for i, s in enumerate(score[q]) if i != q)[:5]
+            want += [(q, i, n + 1) for n, (_, i) in enumerate(best)]
+        for most in (1000, 9):
+            got = models.similar(d.where("desc_id % 7 = 0 and desc_id < 300"), d, 5, metric, most).collect()
+            assert sorted((r.query_id, r.desc_id, r["rank"]) for r in got) == sorted(want)
