@@ -1,8 +1,8 @@
 """Vectorised helpers for whole texts inside Arrow batches.
 
-A batch's texts are worked on as one byte array, in chunks of about a
-megabyte (a longer text is a chunk of its own), so memory follows the longest
-text and not the batch.
+A batch's texts are worked on as one byte array, in chunks of about a quarter
+of a megabyte (a longer text is a chunk of its own), so memory follows the
+longest text and not the batch.
 """
 
 from __future__ import annotations
@@ -82,7 +82,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def chunks(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def chunks(column: pa.Array, limit: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row + 1, bytes, offsets) of runs of rows with at most ``limit`` bytes, or one long row."""
     raw, at = text_bytes(column)
     i, n = 0, len(at) - 1
@@ -108,7 +108,7 @@ def word_spans(raw: np.ndarray, at: np.ndarray, gap: np.ndarray = SPACE) -> tupl
     return start, stop, np.searchsorted(at, start, side="right") - 1
 
 
-def span_codes(raw: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+def span_codes(raw: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, pa.Array]:
     """A number for each of the ascending, disjoint spans, the same for equal bytes only, and the bytes of each number."""
     edge = np.zeros(len(raw) + 1, np.int8)
     np.add.at(edge, start, 1)
@@ -117,13 +117,7 @@ def span_codes(raw: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np
     ends = np.concatenate([[0], np.cumsum(stop - start)]).astype(np.int64)
     spans = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(inside)])
     coded = spans.dictionary_encode()
-    return coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
-
-
-def span_hash(raw: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    """XXH3-64 of the bytes of each span, made once for equal ones."""
-    code, spans = span_codes(raw, start, stop)
-    return np.array([xxhash.xxh3_64_intdigest(x) for x in spans], U64)[code] if len(code) else np.zeros(0, U64)
+    return coded.indices.to_numpy().astype(np.int64), coded.dictionary
 
 
 def window_codes(code: np.ndarray, width: int) -> np.ndarray:
