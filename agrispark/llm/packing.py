@@ -20,7 +20,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from agrispark.llm import textops as T
 from agrispark.llm.common import keyed, original_id
 from agrispark.session import stored
 

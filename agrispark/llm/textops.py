@@ -11,7 +11,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 
 U64 = np.uint64
 #: Bytes that separate words: blank and \t \n \v \f \r.
