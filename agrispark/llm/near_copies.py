@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from agrispark.llm import textops as T
-from agrispark.llm.common import keyed, unzipped, zipped
+from agrispark.llm.common import keyed
 from agrispark.llm.simhash_golay import SEGMENTS, likely_indices, packed, shingle_hashes, votes
 from agrispark.operators.components import connected_components
 from agrispark.session import stored
@@ -246,11 +246,11 @@ def _with_first(pairs: DataFrame, whole: DataFrame, similarity: float, block: in
 
 
 def _grams(texts: DataFrame, shingle: int) -> DataFrame:
-    """``h, grams``: the sets, made anew from ``h, _text`` (compressed)."""
+    """``h, grams``: the sets, made anew from ``h, _text``."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, raw, at in T.chunks(unzipped(batch.column(1))):
+            for i, j, raw, at in T.chunks(batch.column(1)):
                 grams, offsets = shingle_sets(raw, at, shingle)
                 sets = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(grams.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), sets], names=["h", "grams"])
@@ -303,7 +303,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     # the sets of proposed texts alone are kept; the table of these is stored, so that Spark knows its size and broadcasts it where it is small
     proposed = stored(groups.select("h").distinct().join(classes.select("h", "low._doc", "low._tk"), "h"))
-    whole = stored(_grams(zipped(base).join(proposed, ["_doc", "_tk"]), shingle))
+    whole = stored(_grams(base.join(proposed, ["_doc", "_tk"]), shingle))
 
     # each set meets the nearest of all middles of its groups, and that of the largest group
     beside = groups.where("part is not null and part <> h").groupBy("h")
