@@ -11,8 +11,11 @@ from agrispark.llm.packing import op8_packing
 from agrispark.llm.pii import op9_pii
 from agrispark.llm.quality_rules import op3_quality_rules
 from agrispark.llm.simhash_golay import op2_simhash_golay
+from agrispark.llm.spelling import op11_spelling_variants
 from agrispark.llm.substring_dedup import op4_substring_dedup
 from agrispark.llm.suffix_dedup import op1_suffix_array_dedup
+from agrispark.llm.turn_repair import op12_turn_repair
+from agrispark.llm.url_rules import op13_url_filter
 
 QUERIES = {
     f.__name__: f
@@ -27,6 +30,9 @@ QUERIES = {
         op8_packing,
         op9_pii,
         op10_chat_format,
+        op11_spelling_variants,
+        op12_turn_repair,
+        op13_url_filter,
     )
 }
 ORACLE_SQL = ORACLES
