@@ -2,105 +2,173 @@
 
 from __future__ import annotations
 
+import heapq
+import math
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, GroupedData, Window, functions as F
 
 from agrispark.operators.components import connected_components
-from agrispark.operators.spatial import box_pairs, iou
-
-
-def assign(gain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and columns of the assignment of greatest total gain, by shortest augmenting paths with potentials."""
-    if gain.shape[0] > gain.shape[1]:
-        cols, rows = assign(gain.T)
-        return rows, cols
-    n, m = gain.shape
-    cost = -gain
-    u, v, owner = np.zeros(n), np.zeros(m), np.full(m, -1)
-    for start in range(n):
-        dist, back, done = np.full(m, np.inf), np.full(m, -1), np.zeros(m, bool)
-        row, at, base = start, -1, 0.0
+from agrispark.operators.spatial import box_pairs, iou, overlap_graph
+from agrispark.session import stored
+
+
+class Assignment:
+    """The assignment of greatest total gain over lists of pairs, grown row by row.
+
+    Pairs that are not listed gain nothing. A row that is added takes the
+    shortest augmenting path by reduced costs; it ends at a free column, or at
+    a row that goes without one. So after each addition the assignment is the
+    best of the rows so far, and memory is that of the pairs.
+    """
+
+    def __init__(self, row: np.ndarray, col: np.ndarray, gain: np.ndarray, least: float = 0.0) -> None:
+        order = np.argsort(row, kind="stable")
+        self.ends = np.concatenate([[0], np.cumsum(np.bincount(row))]).tolist()
+        self.row, self.col, self.gain, self.place = row[order].tolist(), col[order].tolist(), gain[order].tolist(), order
+        self.u, self.v = [0.0] * (len(self.ends) - 1), [0.0] * (int(col.max(initial=-1)) + 1)
+        self.of_row: dict[int, int] = {}
+        self.of_col: dict[int, int] = {}
+        self.least, self.hits = least, 0
+
+    def add(self, start: int) -> None:
+        row_of, col_of, gain, u, v = self.row, self.col, self.gain, self.u, self.v
+        mine = range(self.ends[start], self.ends[start + 1])
+        u[start] = min(0.0, min((-gain[k] - v[col_of[k]] for k in mine), default=0.0))
+        far: dict[int, float] = {}
+        via: dict[int, int] = {}
+        rows, done, heap = {start: 0.0}, {}, []
+        last, without = start, (-u[start], start)
         while True:
-            through = base + cost[row] - u[row] - v
-            better = ~done & (through < dist)
-            dist[better], back[better] = through[better], at
-            at = int(np.where(done, np.inf, dist).argmin())
-            base, done[at] = dist[at], True
-            if owner[at] < 0:
+            base = rows[last]
+            for k in range(self.ends[last], self.ends[last + 1]):
+                c = col_of[k]
+                through = base - gain[k] - u[last] - v[c]
+                if c not in done and through < far.get(c, math.inf):
+                    far[c], via[c] = through, k
+                    heapq.heappush(heap, (through, c))
+            while heap and heap[0][1] in done:
+                heapq.heappop(heap)
+            if not heap or without[0] <= heap[0][0]:
+                length, at = without[0], -1
+                break
+            length, at = heapq.heappop(heap)
+            if at not in self.of_col:
                 break
-            row = owner[at]
-        u[start] += base
-        seen = np.flatnonzero(done & (owner >= 0))
-        u[owner[seen]] += base - dist[seen]
-        v[done] -= base - dist[done]
-        while at >= 0:
-            prev = back[at]
-            owner[at] = start if prev < 0 else owner[prev]
-            at = prev
-    cols = np.flatnonzero(owner >= 0)
-    return owner[cols], cols
-
-
-def _groups(pred: DataFrame, gt: DataFrame, size: float) -> DataFrame:
-    """Overlapping pairs of one class with the component of the overlap graph they are in."""
-    pairs = box_pairs(pred, gt, size).where("class_id = b_class_id").select("pred_id", "conf", F.col("b_gt_id").alias("gt_id"), iou().alias("iou")).where("iou > 0")
-    nodes = pairs.select((F.col("pred_id") * 2).alias("u"), (F.col("gt_id") * 2 + 1).alias("v"))
-    comp = connected_components(nodes)
-    return pairs.join(comp, F.col("pred_id") * 2 == comp.id).drop("id")
-
-
-def _matched(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The best assignment of one component."""
-    p, prow = np.unique(pdf["pred_id"], return_inverse=True)
-    g, grow = np.unique(pdf["gt_id"], return_inverse=True)
-    gain = np.zeros((len(p), len(g)))
-    gain[prow, grow] = pdf["iou"]
-    i, j = assign(gain)
-    return pd.DataFrame({"pred_id": p[i], "gt_id": g[j], "iou": gain[i, j]})
-
-
-def one_to_one(pred: DataFrame, gt: DataFrame, least: float = 0.5, size: float = 1.0) -> DataFrame:
-    """The assignment of greatest total IoU, pairs of ``least`` and more: ``pred_id, gt_id, iou``.
-
-    Pairs of different classes or without overlap gain nothing, so each
-    component of the overlap graph is assigned by itself; its size follows the
-    density of boxes in a place, not the size of the layer.
+            done[at] = length
+            last = row_of[self.of_col[at]]
+            rows[last] = length
+            without = min(without, (length - u[last], last))
+        for r, d in rows.items():
+            u[r] += length - d
+        for c, d in done.items():
+            v[c] -= length - d
+        if at < 0:
+            freed = self.of_row.pop(without[1], None)
+            if freed is None:
+                return
+            self.hits -= gain[freed] >= self.least
+            at = col_of[freed]
+        while True:
+            k = via[at]
+            before = self.of_row.get(row_of[k])
+            self.of_row[row_of[k]] = self.of_col[at] = k
+            self.hits += (gain[k] >= self.least) - (before is not None and gain[before] >= self.least)
+            if before is None:
+                return
+            at = col_of[before]
+
+    def pairs(self) -> np.ndarray:
+        """Places of the assigned pairs among those given."""
+        return self.place[list(self.of_row.values())] if self.of_row else np.zeros(0, np.int64)
+
+
+def _pairs(pred: DataFrame, gt: DataFrame, size: float, on: Sequence[str]) -> DataFrame:
+    keys = [F.col(c).alias(f"_on{i}") for i, c in enumerate(on)]
+    pairs = box_pairs(pred, gt, size, on=[*on, "class_id"])
+    return pairs.select(*keys, "minx", "miny", "pred_id", "conf", F.col("b_gt_id").alias("gt_id"), iou().alias("iou")).where("iou > 0")
+
+
+def _groups(pred: DataFrame, gt: DataFrame, size: float, on: Sequence[str], split: bool) -> GroupedData:
+    """Overlapping pairs of one class in groups that can be assigned by themselves: images, or components of the overlap graph."""
+    pairs, keys = _pairs(pred, gt, size, on), [f"_on{i}" for i in range(len(on))]
+    if on and not split:
+        return pairs.groupBy(*keys)
+    node = lambda side, c: F.struct(*keys, F.lit(side).alias("side"), F.col(c).alias("id"))
+    if on:  # ids may repeat in another image
+        named = stored(pairs.select("*", node(0, "pred_id").alias("u"), node(1, "gt_id").alias("v")))
+        comp = connected_components(named.select("u", "v"))
+        return named.join(comp, named["u"] == comp.id).groupBy("component")
+    comp = overlap_graph(pairs, F.col("pred_id") * 2, F.col("gt_id") * 2 + 1, size)
+    return pairs.join(comp, F.col("pred_id") * 2 == comp.id).groupBy("component")
+
+
+def _coded(pdf: pd.DataFrame, least: float = 0.0) -> tuple[Assignment, np.ndarray]:
+    """An empty assignment of the pairs, and each pair's prediction by number."""
+    p, row = np.unique(pdf["pred_id"], return_inverse=True)
+    _, col = np.unique(pdf["gt_id"], return_inverse=True)
+    return Assignment(row, col, pdf["iou"].to_numpy(), least), row
+
+
+def one_to_one(pred: DataFrame, gt: DataFrame, least: float = 0.5, size: float = 1.0, on: Sequence[str] = (), split: bool = False) -> DataFrame:
+    """The assignment of greatest total IoU, pairs of ``least`` and more: ``pred_id, gt_id, iou``, after the columns ``on``.
+
+    on: columns that name the image whose units the boxes are in; boxes of
+    different images never meet, and ids may repeat in another one. Pairs of
+    different classes or without overlap gain nothing. An image is a group by
+    itself; with ``split``, or without images, a component of the overlap graph
+    is one. Either keeps only its overlapping pairs, as lists. Null images,
+    classes and ids match nothing.
     """
-    out = _groups(pred, gt, size).groupBy("component").applyInPandas(_matched, "pred_id long, gt_id long, iou double")
-    return out.where(F.col("iou") >= least)
+    names = [f"_on{i}" for i in range(len(on))]
+
+    def best(pdf: pd.DataFrame) -> pd.DataFrame:
+        found, row = _coded(pdf)
+        for r in range(int(row.max()) + 1):
+            found.add(r)
+        return pdf.iloc[found.pairs()][[*names, "pred_id", "gt_id", "iou"]]
+
+    kinds = "".join(f"{n} {pred.schema[c].dataType.simpleString()}, " for n, c in zip(names, on, strict=True))
+    out = _groups(pred, gt, size, on, split).applyInPandas(best, f"{kinds}pred_id long, gt_id long, iou double").where(F.col("iou") >= least)
+    return out.select(*(F.col(n).alias(c) for n, c in zip(names, on, strict=True)), "pred_id", "gt_id", "iou")
 
 
-def evaluate(pred: DataFrame, gt: DataFrame, images: list[str], confidence: float = 0.3, least: float = 0.5, size: float = 1.0) -> DataFrame:
-    """``tp, fp, fn, mean_conf`` of predictions from ``confidence`` up; those of images without truths are left out.
+def evaluate(pred: DataFrame, gt: DataFrame, images: list[str], confidence: float = 0.3, least: float = 0.5, size: float = 1.0, split: bool = False) -> DataFrame:
+    """``tp, fp, fn, mean_conf`` of predictions from ``confidence`` up, matched image by image; those of images without truths are left out.
 
     images: the columns that name an image in both layers.
     """
     kept = pred.where(F.col("conf") >= confidence).join(gt.select(*images).distinct(), images, "left_semi")
-    tp = one_to_one(kept, gt, least, size).agg(F.count(F.lit(1)).alias("tp"))
+    tp = one_to_one(kept, gt, least, size, images, split).agg(F.count(F.lit(1)).alias("tp"))
     n = kept.agg(F.count(F.lit(1)).alias("n"), F.avg("conf").alias("mean_conf")).crossJoin(gt.agg(F.count(F.lit(1)).alias("m")))
     return tp.crossJoin(n).select("tp", (F.col("n") - F.col("tp")).alias("fp"), (F.col("m") - F.col("tp")).alias("fn"), "mean_conf")  # one row each
 
 
-def pr_sweep(pred: DataFrame, gt: DataFrame, lowest: float = 0.001, steps: int = 200, least: float = 0.5, size: float = 1.0) -> DataFrame:
+def pr_sweep(pred: DataFrame, gt: DataFrame, lowest: float = 0.001, steps: int = 200, least: float = 0.5, size: float = 1.0, on: Sequence[str] = (), split: bool = False) -> DataFrame:
     """``threshold, tp, fp, fn, precision, recall`` at evenly spaced thresholds from 1 down, with one-to-one matching at each.
 
-    A component is assigned anew only where a threshold lets a box of it in;
-    the counts of each step come from small aggregates over thresholds.
+    Predictions enter their group's assignment from the most confident down,
+    each by one augmenting path, so a whole sweep costs as much as one
+    assignment; the counts of each step come from small aggregates.
     """
     levels = np.linspace(1.0, lowest, steps)
 
     def counts(pdf: pd.DataFrame) -> pd.DataFrame:
-        step = np.searchsorted(-levels, -pdf["conf"].to_numpy(), side="left")
+        found, row = _coded(pdf, least)
+        step = np.full(int(row.max()) + 1, steps)
+        np.minimum.at(step, row, np.searchsorted(-levels, -pdf["conf"].to_numpy(), side="left"))
+        order = np.argsort(step, kind="stable")
         out, before = [], 0
         for s in np.unique(step[step < steps]):
-            m = _matched(pdf[step <= s])
-            now = int((m["iou"] >= least).sum())
-            out.append((int(s), now - before))
-            before = now
+            for r in order[step[order] == s].tolist():
+                found.add(r)
+            out.append((int(s), found.hits - before))
+            before = found.hits
         return pd.DataFrame(out, columns=["step", "gained"])
 
-    tp = _groups(pred, gt, size).groupBy("component").applyInPandas(counts, "step int, gained long").groupBy("step").agg(F.sum("gained").alias("gained"))
+    tp = _groups(pred, gt, size, on, split).applyInPandas(counts, "step int, gained long").groupBy("step").agg(F.sum("gained").alias("gained"))
     spark = pred.sparkSession
     axis = spark.createDataFrame([(i, float(t)) for i, t in enumerate(levels)], "step int, threshold double")
     # the greatest step whose threshold a confidence reaches, by comparison with the exact thresholds

@@ -123,6 +123,60 @@ def mean_similarity(base: DataFrame) -> DataFrame:
     return both.select("desc_id", ((dot("u", "sum") - dot("u", "u")) / (F.col("n") - 1)).alias("mean_sim"))
 
 
+def mean_distance(base: DataFrame, block: int = 2048) -> DataFrame:
+    """Each vector's mean euclidean distance to all others: ``desc_id, mean_dist``; null where there is no other.
+
+    Rows are dealt by a hash of their id into blocks of about ``block``, and
+    each two blocks meet in one task, where a matrix product gives all their
+    distances at once; only sums for each row come out. A task holds two
+    blocks and a strip of their distances. Vectors are of one length; null
+    ones are left out, and an id given twice counts as two vectors of one mean.
+    """
+    rows = base.where(F.col("vec").isNotNull()).select("desc_id", F.col("vec").cast("array<double>").alias("vec"))
+    n = rows.count()
+    blocks = max(1, -(-n // block))
+    own = F.pmod(F.xxhash64("desc_id"), F.lit(blocks)).cast("int")
+    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+
+    def sums(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the distances between all rows of both, by row of each."""
+        down, across = np.zeros(len(x)), np.zeros(len(y))
+        xx, yy = (x * x).sum(1), (y * y).sum(1)
+        step = max(1, 2_000_000 // max(len(y), 1))
+        for s in range(0, len(x), step):
+            size = xx[s : s + step, None] + yy
+            d = size - 2 * (x[s : s + step] @ y.T)
+            a, b = np.nonzero(d < 1e-5 * size)  # too near for the product to tell
+            d[a, b] = ((x[s + a] - y[b]) ** 2).sum(1)
+            d = np.sqrt(d)
+            down[s : s + step] += d.sum(1)
+            across += d.sum(0)
+        return down, across
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.array(pdf["vec"].tolist(), float)
+        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
+        first = (pdf["own"] == i).to_numpy()
+        if i == j:
+            return pd.DataFrame({"desc_id": pdf["desc_id"], "d": sums(x, x)[0]})
+        down, across = sums(x[first], x[~first])
+        return pd.DataFrame({"desc_id": np.concatenate([pdf["desc_id"][first], pdf["desc_id"][~first]]), "d": np.concatenate([down, across])})
+
+    kind = base.schema["desc_id"].dataType.simpleString()
+    met = dealt.groupBy("i", "j").applyInPandas(meet, f"desc_id {kind}, d double")
+    times = rows.groupBy("desc_id").agg(F.count(F.lit(1)).alias("times"))
+    total = met.groupBy("desc_id").agg(F.sum("d").alias("d")).join(times, "desc_id")
+    return total.select("desc_id", F.when(F.lit(n > 1), F.col("d") / F.col("times") / F.lit(max(n - 1, 1))).alias("mean_dist"))
+
+
+def outliers(base: DataFrame, threshold: float, metric: str = "cosine") -> DataFrame:
+    """``desc_id, score`` of vectors unlike all others: a mean similarity under the threshold, or a mean distance over it."""
+    if metric == "cosine":
+        return mean_similarity(base).select("desc_id", F.col("mean_sim").alias("score")).where(F.col("score") < threshold)
+    return mean_distance(base).select("desc_id", F.col("mean_dist").alias("score")).where(F.col("score") > threshold)
+
+
 def nearest_order(points: np.ndarray, start: int = 0) -> list[int]:
     """Nearest-neighbour order from one point."""
     left, route = np.ones(len(points), bool), [start]
@@ -162,19 +216,87 @@ def two_opt(points: np.ndarray, route: list[int], near: int | None = None) -> li
     return route.tolist()
 
 
+def ranked(points: DataFrame, group: str, column: str, tie: str, most: int = 1_000_000) -> DataFrame:
+    """With ``_rank``: 0, 1, ... in each group by ``column``, then ``tie``; no task sorts a group.
+
+    Approximate quantiles cut the column's range into parts of about ``most``
+    rows (64 parts at least); a row's rank is that in its part after the sizes
+    of the group's parts before it. Rows of one value share a part.
+    """
+    parts = max(64, -(-points.count() // most))
+    cuts = sorted(set(points.approxQuantile(column, [i / parts for i in range(1, parts)], 0.5 / parts)))
+    lower = F.size(F.filter(F.array(*(F.lit(c) for c in cuts)), lambda c: c < F.col(column))) if cuts else F.lit(0)
+    dealt = points.withColumn("_part", lower)
+    sizes = dealt.groupBy(group, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each part
+    sizes = sizes.select(group, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    own = Window.partitionBy(group, "_part").orderBy(column, tie)
+    out = dealt.join(sizes, [group, "_part"]).withColumn("_rank", F.col("_before") + F.row_number().over(own) - 1)
+    return out.drop("_part", "_before")
+
+
 def zone_bands(points: DataFrame, most: int) -> DataFrame:
     """Points with the ``band`` of their zone: bands along x of at most ``most`` points; zones under 3 points are left out."""
     n = points.groupBy("zone").agg(F.count(F.lit(1)).alias("_n"))
     bands = F.ceil(F.col("_n") / most)
-    share = Window.partitionBy("zone").orderBy("x", "fid")
-    cut = points.join(n, "zone").where("_n >= 3").withColumn("band", F.floor((F.row_number().over(share) - 1) * bands / F.col("_n")))
-    return cut.select("zone", "band", "fid", "x", "y")
+    cut = ranked(points.select("zone", "fid", "x", "y"), "zone", "x", "fid").join(n, "zone").where("_n >= 3")
+    return cut.select("zone", F.floor(F.col("_rank") * bands / F.col("_n")).alias("band"), "fid", "x", "y")
 
 
 def in_sequence(routes: DataFrame) -> DataFrame:
-    """Bands one after the other: ``zone, seq, fid, x, y``."""
-    w = Window.partitionBy("zone").orderBy("band", "seq")
-    return routes.select("zone", (F.row_number().over(w) - 1).alias("seq"), "fid", "x", "y")
+    """Bands one after the other: ``zone, seq, fid, x, y``; a band starts after the sizes of those before it, so nothing is sorted."""
+    sizes = routes.groupBy("zone", "band").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("zone").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)  # a row for each band
+    sizes = sizes.select("zone", "band", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return routes.join(sizes, ["zone", "band"]).select("zone", (F.col("_before") + F.col("seq")).alias("seq"), "fid", "x", "y")
+
+
+def stitched(routes: DataFrame, height: float) -> DataFrame:
+    """Routes of zones (``zone, seq, fid, x, y``; seq 0, 1, ... in each) as one: ``seq, zone, fid, x, y``.
+
+    Zones follow each other in a serpentine: by rows of ``height`` along y, to
+    the right in the first row, back in the next (ties by zone). Each route
+    goes forward or backward, so that the links between zones are shortest
+    together (ties: forward). Only ends, size and middle of a zone are
+    gathered, a row for each zone; a point's place follows from its zone's by
+    arithmetic. Null zones are left out.
+    """
+    at = lambda f: f(F.struct("x", "y"), "seq")
+    ends = routes.where(F.col("zone").isNotNull()).groupBy("zone").agg(
+        F.count(F.lit(1)).alias("n"), ((F.min("x") + F.max("x")) / 2).alias("mx"), ((F.min("y") + F.max("y")) / 2).alias("my"), at(F.min_by).alias("a"), at(F.max_by).alias("b")
+    )
+    row = F.floor((F.col("my") - F.min("my").over(Window.partitionBy())) / height)
+    ends = ends.select("zone", "n", "a", "b", "mx", row.alias("row"))
+    order = Window.orderBy("row", F.when(F.col("row") % 2 == 0, F.col("mx")).otherwise(-F.col("mx")), "zone")  # a row for each zone
+    ends = ends.withColumns({"place": F.row_number().over(order), "first": F.sum("n").over(order) - F.col("n")})
+    kind = routes.schema["zone"].dataType.simpleString()
+
+    def turn(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("place", ignore_index=True)
+        spots = pdf[["ax", "ay", "bx", "by"]].to_numpy()
+        ways = [(s[:2], s[2:]) for s in spots], [(s[2:], s[:2]) for s in spots]  # forward, backward: where it begins and ends
+        cost, came = [0.0, 0.0], []
+        for k in range(1, len(spots)):
+            link = [[cost[p] + float(np.hypot(*(ways[p][k - 1][1] - ways[q][k][0]))) for p in (0, 1)] for q in (0, 1)]
+            came.append([int(x[1] < x[0]) for x in link])
+            cost = [min(x) for x in link]
+        back = [int(cost[1] < cost[0])]
+        for step in reversed(came):
+            back.append(step[back[-1]])
+        return pd.DataFrame({"zone": pdf["zone"], "backward": [bool(x) for x in reversed(back)]})
+
+    flat = ends.select("zone", "place", F.col("a.x").alias("ax"), F.col("a.y").alias("ay"), F.col("b.x").alias("bx"), F.col("b.y").alias("by"), F.lit(0).alias("g"))
+    ways = flat.groupBy("g").applyInPandas(lambda pdf: turn(pdf), f"zone {kind}, backward boolean")  # a row for each zone
+    placed = routes.join(ends.select("zone", "n", "first").join(ways, "zone"), "zone")
+    seq = F.col("first") + F.when(F.col("backward"), F.col("n") - 1 - F.col("seq")).otherwise(F.col("seq"))
+    return placed.select(seq.alias("seq"), "zone", "fid", "x", "y")
+
+
+def route_line(route: DataFrame) -> DataFrame:
+    """``n_points, length`` of one route whose ``seq`` counts up by one: each point meets the next in an equi-join, nothing is sorted."""
+    after = route.select((F.col("seq") - 1).alias("seq"), F.col("x").alias("nx"), F.col("y").alias("ny"))
+    step = F.sqrt(F.pow(F.col("nx") - F.col("x"), 2) + F.pow(F.col("ny") - F.col("y"), 2))
+    return route.select("seq", "x", "y").join(after, "seq", "left").agg(F.count(F.lit(1)).alias("n_points"), F.coalesce(F.sum(step), F.lit(0.0)).alias("length"))
 
 
 def zone_routes(points: DataFrame, most: int = 5000, near: int | None = None) -> DataFrame:

@@ -8,8 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from agrispark.operators.components import connected_components
-from agrispark.operators.spatial import box_pairs, overlap_ratio
+from agrispark.operators.spatial import box_pairs, overlap_graph, overlap_ratio
 
 
 def signed_area(ring: Column) -> Column:
@@ -132,7 +131,7 @@ def smallest_rectangles(points: DataFrame, key: str, parts: int = 16) -> DataFra
 def merge_to_rectangles(boxes: DataFrame, key: str, least: float = 0.1, size: float = 1.0) -> DataFrame:
     """Overlapping boxes of one class as one smallest rectangle: ``group_id, class_id, n, conf, ring``."""
     pairs = box_pairs(boxes, boxes, size).where((F.col(key) < F.col(f"b_{key}")) & (F.col("class_id") == F.col("b_class_id"))).where(overlap_ratio() >= least)
-    comp = connected_components(pairs.select(F.col(key).alias("u"), F.col(f"b_{key}").alias("v")))
+    comp = overlap_graph(pairs, key, f"b_{key}", size)
     named = boxes.join(comp, boxes[key] == comp.id, "left").withColumn("group_id", F.coalesce("component", key))
     corners = [F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x in ("minx", "maxx") for y in ("miny", "maxy")]
     points = named.select("group_id", F.explode(F.array(*corners)).alias("p")).select("group_id", "p.*")
@@ -146,7 +145,7 @@ def merge_union(boxes: DataFrame, key: str, size: float = 1.0) -> DataFrame:
     source: 'merged_union' for groups of several, else 'single'.
     """
     pairs = box_pairs(boxes, boxes, size).where(F.col(key) < F.col(f"b_{key}"))
-    comp = connected_components(pairs.select(F.col(key).alias("u"), F.col(f"b_{key}").alias("v")))
+    comp = overlap_graph(pairs, key, f"b_{key}", size)
     named = boxes.join(comp, boxes[key] == comp.id, "left")
     best = F.max_by(F.struct(key, "class_id", "conf"), F.struct(F.col("conf"), -F.col(key)))
     out = named.groupBy(F.coalesce("component", key).alias("group_id")).agg(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from agrispark.functions.geometry import inside_ring, ring_bounds
-from agrispark.operators.components import connected_components
+from agrispark.operators.components import closed_components
 
 TILE = ["tile_row", "tile_col"]
 
@@ -61,8 +61,8 @@ def segments(mask: DataFrame) -> DataFrame:
     )
     a = runs.select(*TILE, F.col("y").alias("y"), F.col("run").alias("u"), F.col("x0").alias("a0"), F.col("x1").alias("a1"))
     b = runs.select(*TILE, (F.col("y") - 1).alias("y"), F.col("run").alias("v"), F.col("x0").alias("b0"), F.col("x1").alias("b1"))
-    touch = a.join(b, [*TILE, "y"]).where("b0 <= a1 + 1 and a0 <= b1 + 1").select("u", "v")
-    comp = connected_components(touch)
+    touch = a.join(b, [*TILE, "y"]).where("b0 <= a1 + 1 and a0 <= b1 + 1").select(*TILE, "u", "v")
+    comp = closed_components(touch, TILE)
     return (
         runs.join(comp, runs.run == comp.id, "left")
         .groupBy(*TILE, F.coalesce("component", "run").alias("seg_id"))
@@ -122,8 +122,8 @@ def segment_pixels(mask: DataFrame) -> DataFrame:
     marked = marked.withColumn("_run", F.min("pix_id").over(first))
     runs = marked.groupBy(*TILE, "y", "_run").agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
     b = runs.select(*TILE, (F.col("y") - 1).alias("y"), F.col("_run").alias("v"), F.col("x0").alias("b0"), F.col("x1").alias("b1"))
-    touch = runs.join(b, [*TILE, "y"]).where("b0 <= x1 + 1 and x0 <= b1 + 1").select(F.col("_run").alias("u"), "v")
-    comp = connected_components(touch).select(F.col("id").alias("_run"), "component")
+    touch = runs.join(b, [*TILE, "y"]).where("b0 <= x1 + 1 and x0 <= b1 + 1").select(*TILE, F.col("_run").alias("u"), "v")
+    comp = closed_components(touch, TILE).select(F.col("id").alias("_run"), "component")
     return marked.join(comp, "_run", "left").withColumn("seg_id", F.coalesce("component", "_run")).drop("_g", "_run", "component")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from agrispark.operators.components import connected_components
@@ -19,18 +21,22 @@ def _in_cells(boxes: DataFrame, size: float, grow: float = 0.0) -> DataFrame:
     return boxes.withColumn("_cx", F.explode(cells("minx", "maxx", size, grow))).withColumn("_cy", F.explode(cells("miny", "maxy", size, grow)))
 
 
-def box_pairs(a: DataFrame, b: DataFrame, size: float = 1.0, grow: float = 0.0) -> DataFrame:
+def box_pairs(a: DataFrame, b: DataFrame, size: float = 1.0, grow: float = 0.0, on: Sequence[str] = ()) -> DataFrame:
     """Pairs of boxes that meet (or are within ``grow`` on each axis); b's columns get the prefix ``b_``.
 
     Both sides go to the grid cells they cover and meet in an equi-join; a
-    pair is kept only in the cell of its common corner, so once.
+    pair is kept only in the cell of its common corner, so once. on: columns
+    that both layers have and a pair shares, such as the image whose label
+    units the bounds are in; a null there meets nothing.
     """
-    left = _in_cells(a, size, grow)
-    right = _in_cells(b, size).select(*(F.col(c).alias(c if c in ("_cx", "_cy") else f"b_{c}") for c in [*b.columns, "_cx", "_cy"]))
-    both = left.join(right, ["_cx", "_cy"])
+    shared = {f"_on{i}": F.col(c) for i, c in enumerate(on)}
+    keys = ["_cx", "_cy", *shared]
+    left = _in_cells(a, size, grow).withColumns(shared)
+    right = _in_cells(b, size).withColumns(shared).select(*keys, *(F.col(c).alias(f"b_{c}") for c in b.columns))
+    both = left.join(right, keys)
     meet = (F.col("minx") - grow <= F.col("b_maxx")) & (F.col("b_minx") <= F.col("maxx") + grow) & (F.col("miny") - grow <= F.col("b_maxy")) & (F.col("b_miny") <= F.col("maxy") + grow)
     corner = (F.floor(F.greatest(F.col("minx") - grow, "b_minx") / size) == F.col("_cx")) & (F.floor(F.greatest(F.col("miny") - grow, "b_miny") / size) == F.col("_cy"))
-    return both.where(meet & corner).drop("_cx", "_cy")
+    return both.where(meet & corner).drop(*keys)
 
 
 def _area(prefix: str = "") -> Column:
@@ -90,11 +96,19 @@ def nearest(a: DataFrame, b: DataFrame, most: float, key: str, size: float = 1.0
     return a.join(near, key, "left")
 
 
+def overlap_graph(pairs: DataFrame, u: Column | str, v: Column | str, size: float = 1.0, on: Sequence[str] = ()) -> DataFrame:
+    """``id, component`` of the nodes ``u`` and ``v`` of pairs of boxes; pairs of a square of 16 cells are joined up together first."""
+    at = lambda c: F.floor(F.col(c) / (16 * size))
+    named = lambda c: F.col(c) if isinstance(c, str) else c
+    edges = pairs.select(*(F.col(c).alias(f"_on{i}") for i, c in enumerate(on)), at("minx").alias("_bx"), at("miny").alias("_by"), named(u).alias("u"), named(v).alias("v"))
+    return connected_components(edges, place=[*(f"_on{i}" for i in range(len(on))), "_bx", "_by"])
+
+
 def merge_boxes(boxes: DataFrame, key: str, least: float = 0.1, size: float = 1.0, confidence: str = "max") -> DataFrame:
     """Boxes of each component of the overlap graph as one: bounds, confidence by rule, class of the least key."""
     rule = {"max": F.max, "avg": F.avg, "min": F.min}[confidence]
     pairs = box_pairs(boxes, boxes, size).where(F.col(key) < F.col(f"b_{key}")).where(overlap_ratio() >= least)
-    comp = connected_components(pairs.select(F.col(key).alias("u"), F.col(f"b_{key}").alias("v")))
+    comp = overlap_graph(pairs, key, f"b_{key}", size)
     return (
         boxes.join(comp, boxes[key] == comp.id, "left")
         .groupBy(F.coalesce("component", key).alias("group_id"))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from agrispark.functions import geometry as P
-from agrispark.operators import labels as L, matching as A, polygons as Q, segments as G, spatial as J
+from agrispark.operators import contours as O, coverage as C, labels as L, matching as A, polygons as Q, segments as G, spatial as J
 from agrispark.plans.fixtures import view
 from agrispark.plans.register import ORACLE_SQL, half_up, query
-from agrispark.plans.registry import _BEST, _BOUNDS, _TRUTH, IOU, RATIO, _scored, a2_a3_confusion, mask_pixels
+from agrispark.plans.registry import _BEST, _BOUNDS, _SEGS, _TRUTH, IOU, RATIO, _scored, a2_a3_confusion, mask_pixels
 from agrispark.session import stored
 
 BOX = ["minx", "miny", "maxx", "maxy"]
@@ -44,6 +44,22 @@ def j6_one_to_one(spark, sf):
     return A.one_to_one(*_pair(spark, sf)).withColumn("iou", F.round("iou", 6))
 
 
+def _image_units(df):
+    """Boxes in units of their own image, which is their tile: equal coordinates come back in every image. Dividing by 16 keeps them exact."""
+    inside = lambda c, tile: (F.col(c) - F.col(tile) * 10) / 16
+    return df.withColumns({"minx": inside("minx", "tile_col"), "maxx": inside("maxx", "tile_col"), "miny": inside("miny", "tile_row"), "maxy": inside("maxy", "tile_row")})
+
+
+IMAGE = ["tile_row", "tile_col"]
+
+
+@query("j6_image_matching", f"SELECT p.tile_row, p.tile_col, m.pred_id, m.gt_id, round(m.iou, 6) AS iou FROM {_ONE.format(iou=IOU, pred='v_pred')} m JOIN v_pred p ON p.pred_id = m.pred_id")
+def j6_image_matching(spark, sf):
+    """Labels of many images in units of the image, matched image by image."""
+    pred, gt = map(_image_units, _pair(spark, sf))
+    return A.one_to_one(pred, gt, size=0.125, on=IMAGE).withColumn("iou", F.round("iou", 6))
+
+
 _GAP = "greatest(" + ", ".join(f"power(greatest(b.minx - a.{x}, a.{x} - b.maxx, 0), 2) + power(greatest(b.miny - a.{y}, a.{y} - b.maxy, 0), 2)" for x in ("minx", "maxx") for y in ("miny", "maxy")) + ")"
 
 
@@ -52,6 +68,31 @@ def j8_within_buffer(spark, sf):
     return J.within_buffer(*_pair(spark, sf), 0.25, "pred_id")
 
 
+# Along x, the outlines of grown truths and a box change their order only at these places; between two of them one upright line tells.
+_UNION = """WITH near AS (SELECT a.pred_id, a.minx AS x0, a.miny AS y0, a.maxx AS x1, a.maxy AS y1, b.minx, b.miny, b.maxx, b.maxy FROM v_pred a JOIN v_gt b
+  ON b.minx - r.b <= a.maxx AND a.minx <= b.maxx + r.b AND b.miny - r.b <= a.maxy AND a.miny <= b.maxy + r.b),
+ corner AS (SELECT DISTINCT pred_id, x0, y0, x1, y1, unnest([minx, minx, maxx, maxx]) AS x, unnest([miny, maxy, miny, maxy]) AS y FROM near),
+ level AS (SELECT DISTINCT pred_id, unnest([miny - r.b, maxy + r.b, y0, y1]) AS y FROM near),
+ place AS (SELECT pred_id, unnest([x0, x1, minx - r.b, minx, maxx, maxx + r.b]) AS x FROM near
+  UNION SELECT c.pred_id, unnest([c.x - sqrt(power(r.b, 2) - power(l.y - c.y, 2)), c.x + sqrt(power(r.b, 2) - power(l.y - c.y, 2))]) FROM corner c JOIN level l ON l.pred_id = c.pred_id AND abs(l.y - c.y) <= r.b
+  UNION SELECT pred_id, unnest([mx - side, mx + side]) FROM (SELECT c.pred_id, (c.x + d.x) / 2 AS mx, sqrt(greatest(power(r.b, 2) - power(sqrt(power(c.x - d.x, 2) + power(c.y - d.y, 2)), 2) / 4, 0)) * (d.y - c.y) / sqrt(power(c.x - d.x, 2) + power(c.y - d.y, 2)) AS side
+   FROM corner c JOIN corner d ON d.pred_id = c.pred_id AND (d.x, d.y) > (c.x, c.y) AND sqrt(power(c.x - d.x, 2) + power(c.y - d.y, 2)) <= 2 * r.b) m),
+ edge AS (SELECT DISTINCT p.pred_id, y0, y1, least(greatest(p.x, x0), x1) AS x FROM place p JOIN (SELECT DISTINCT pred_id, x0, y0, x1, y1 FROM near) n ON n.pred_id = p.pred_id),
+ line AS (SELECT * FROM (SELECT pred_id, y0, y1, (x + lead(x) OVER (PARTITION BY pred_id ORDER BY x)) / 2 AS x FROM edge) e WHERE x IS NOT NULL),
+ span AS (SELECT l.pred_id, l.x, l.y0, l.y1, n.miny - sqrt(power(r.b, 2) - power(greatest(n.minx - l.x, l.x - n.maxx, 0), 2)) AS lo, n.maxy + sqrt(power(r.b, 2) - power(greatest(n.minx - l.x, l.x - n.maxx, 0), 2)) AS hi
+  FROM line l JOIN near n ON n.pred_id = l.pred_id AND greatest(n.minx - l.x, l.x - n.maxx, 0) <= r.b),
+ walk AS (SELECT *, greatest(y0, coalesce(max(hi) OVER (PARTITION BY pred_id, x ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), y0)) AS reach FROM span),
+ whole AS (SELECT pred_id, x, bool_and(lo <= reach + 1e-12 OR reach >= y1 - 1e-12) AND max(hi) >= y1 - 1e-12 AS ok FROM walk GROUP BY pred_id, x, y1),
+ got AS (SELECT l.pred_id, bool_and(coalesce(ok, false)) AS ok FROM line l LEFT JOIN whole w ON w.pred_id = l.pred_id AND w.x = l.x GROUP BY l.pred_id)
+ SELECT p.pred_id, CASE WHEN ok THEN 1 ELSE 0 END AS inside FROM v_pred p LEFT JOIN got g ON g.pred_id = p.pred_id""".replace("r.b", "0.25::DOUBLE")
+
+
+@query("j8_within_union", _UNION)
+def j8_within_union(spark, sf):
+    """As j8_within_buffer, of all truths together."""
+    return C.within_union(*_pair(spark, sf), 0.25, "pred_id")
+
+
 @query("j10_merge_rectangles")
 def j10_merge_rectangles(spark, sf):
     return Q.merge_to_rectangles(view(spark, sf, "v_pred"), "pred_id", 0.4)
@@ -137,6 +178,29 @@ def m14_mask_rectangles(spark, sf):
     return Q.smallest_rectangles(ends.select("seg_id", F.explode(F.array(*spots)).alias("p")).select("seg_id", "p.*"), "seg_id")
 
 
+# the mask's segments are upright rectangles of pixels; a diamond of five rows in each tile is added to them
+_QUADS = f""", g AS (SELECT seg_id, x % 20 AS x0, y % 20 AS y0, (x + w - 1) % 20 AS x1, (y + h - 1) % 20 AS y1 FROM segs),
+ k AS (SELECT -1 - min(pix_id) AS seg_id FROM v_pixels WHERE abs(x % 20 - 8) + abs(y % 20 - 7) <= 2 GROUP BY tile_row, tile_col),
+ q AS (SELECT seg_id, x0 AS x1, y0 AS y1, x1 AS x2, y0 AS y2, x1 AS x3, y1 AS y3, x0 AS x4, y1 AS y4 FROM g UNION ALL SELECT seg_id, 6, 7, 8, 5, 10, 7, 8, 9 FROM k)
+ SELECT method, seg_id, {', '.join(f'round({c}{i} / 20.0::DOUBLE, 6) AS {c}{i}' for i in range(1, 5) for c in 'xy')} FROM q, (VALUES ('hull'), ('contour'), ('rectangle')) m(method) WHERE method <> 'rectangle' OR seg_id >= 0"""
+
+
+@query("m14_four_corners", _SEGS + _QUADS)
+def m14_four_corners(spark, sf):
+    """Mask segments and diamonds as boxes of four corners, by all methods (a diamond's smallest rectangle may lie either way, so it isn't asked for)."""
+    p = view(spark, sf, "v_pixels")
+    px = G.segment_pixels(mask_pixels(p)).select("seg_id", "x", "y")
+    spot = p.where("abs(x % 20 - 8) + abs(y % 20 - 7) <= 2")
+    own = F.min("pix_id").over(Window.partitionBy("tile_row", "tile_col"))
+    both = stored(px.unionByName(spot.select((-1 - own).alias("seg_id"), "x", "y")))
+    out = None
+    for method in ("hull", "contour", "rectangle"):
+        rows = both if method != "rectangle" else both.where("seg_id >= 0")
+        one = O.segment_quads(rows, method).select(F.lit(method).alias("method"), "seg_id", *(F.round(f"{c}{i}", 6).alias(f"{c}{i}") for i in range(1, 5) for c in "xy"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 _D = "sqrt(power(greatest(b.minx - a.maxx, a.minx - b.maxx, 0), 2) + power(greatest(b.miny - a.maxy, a.miny - b.maxy, 0), 2))"
 
 
@@ -212,6 +276,13 @@ def a7_average_precision(spark, sf):
     return A.average_precision(A.pr_sweep(*_pair(spark, sf))).withColumn("ap", F.round("ap", 6))
 
 
+@query("a7_image_sweep", f"{_SWEEP} SELECT round(threshold, 6) AS threshold, tp, fp, fn, round(precision, 6) AS precision, round(recall, 6) AS recall FROM sweep")
+def a7_image_sweep(spark, sf):
+    """As a7_pr_sweep, with labels in units of their images."""
+    points = A.pr_sweep(*map(_image_units, _pair(spark, sf)), size=0.125, on=IMAGE)
+    return points.select(F.round("threshold", 6).alias("threshold"), "tp", "fp", "fn", F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"))
+
+
 def _run_sql(run: int) -> str:
     kept = f"(SELECT * FROM v_pred WHERE pred_id % 2 = {run} AND conf >= 0.3 AND (tile_row, tile_col) IN (SELECT (tile_row, tile_col) FROM v_gt))"
     return f"SELECT {run} AS run, (SELECT count(*) FROM {_ONE.format(iou=IOU, pred=kept)} o) AS tp, (SELECT count(*) FROM {kept} k) AS n, (SELECT count(*) FROM v_gt) AS m, (SELECT avg(conf) FROM {kept} k) AS mean_conf"
@@ -229,6 +300,17 @@ def a8_a9_evaluate_runs(spark, sf):
     return runs.withColumn("mean_conf", F.round("mean_conf", 6))
 
 
+@query("a9_image_runs")
+def a9_image_runs(spark, sf):
+    """As a8_a9_evaluate_runs, with labels in units of their images, and matched by components within them."""
+    pred, gt = map(_image_units, _pair(spark, sf))
+    runs = [J.scores(A.evaluate(pred.where(F.col("pred_id") % 2 == r), gt, IMAGE, size=0.125, split=True)).withColumn("run", F.lit(r)) for r in (0, 1)]
+    return runs[0].unionByName(runs[1]).withColumn("mean_conf", F.round("mean_conf", 6))
+
+
+ORACLE_SQL["a9_image_runs"] = ORACLE_SQL["a8_a9_evaluate_runs"]
+
+
 _SIDE = lambda f, *at: f"{f}(" + ", ".join(f"c[{i}]" for i in at) + ")"
 _X, _Y = (1, 3, 5, 7), (2, 4, 6, 8)
 _MAP = f"""SELECT line_no AS pred_id, CAST(t[1] AS INTEGER) AS class_id, CASE WHEN k IN (1, 3) THEN CAST(t[2] AS DOUBLE) ELSE 1 END AS conf,

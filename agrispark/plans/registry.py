@@ -415,11 +415,58 @@ def f13_mean_similarity(spark, sf):
     return M.mean_similarity(view(spark, sf, "v_desc")).withColumn("mean_sim", F.round("mean_sim", 6))
 
 
+_MEAN_DISTANCE = "SELECT a.desc_id, avg(list_distance(a.vec, b.vec)) AS d FROM v_desc a JOIN v_desc b ON a.desc_id <> b.desc_id GROUP BY 1"
+
+
+@query("f13_mean_distance", f"SELECT desc_id, round(d, 6) AS mean_dist FROM ({_MEAN_DISTANCE}) t")
+def f13_mean_distance(spark, sf):
+    return M.mean_distance(view(spark, sf, "v_desc")).withColumn("mean_dist", F.round("mean_dist", 6))
+
+
+@query("f13_outliers_euclidean", f"SELECT desc_id, round(d, 6) AS score FROM ({_MEAN_DISTANCE}) t WHERE d > 1.41")
+def f13_outliers_euclidean(spark, sf):
+    return M.outliers(view(spark, sf, "v_desc"), 1.41, "euclidean").withColumn("score", F.round("score", 6))
+
+
 @query("r3_r6_zone_routes")
 def r3_r6_zone_routes(spark, sf):
     return M.zone_routes(view(spark, sf, "v_points"))
 
 
+_STITCHED = """WITH RECURSIVE r AS (SELECT zone, row_number() OVER (PARTITION BY zone ORDER BY fid) - 1 AS seq, fid, x, y FROM v_points),
+ e AS (SELECT zone, count(*) AS n, (min(x) + max(x)) / 2 AS mx, (min(y) + max(y)) / 2 AS my, arg_min(x, seq) AS ax, arg_min(y, seq) AS ay, arg_max(x, seq) AS bx, arg_max(y, seq) AS by_ FROM r GROUP BY zone),
+ w AS (SELECT *, floor((my - min(my) OVER ()) / 8) AS row_ FROM e),
+ o AS (SELECT *, row_number() OVER s AS place, sum(n) OVER s - n AS first FROM w WINDOW s AS (ORDER BY row_, CASE WHEN row_ % 2 = 0 THEN mx ELSE -mx END, zone)),
+ d AS (SELECT place, 0::DOUBLE AS f, 0::DOUBLE AS b, 'f' AS pf, 'b' AS pb, ax, ay, bx, by_ FROM o WHERE place = 1
+  UNION ALL SELECT place, least(ff, bf), least(fb, bb), CASE WHEN bf < ff THEN pb ELSE pf END || 'f', CASE WHEN bb < fb THEN pb ELSE pf END || 'b', ax, ay, bx, by_ FROM (
+   SELECT o.place, pf, pb, o.ax, o.ay, o.bx, o.by_, f + sqrt(power(d.bx - o.ax, 2) + power(d.by_ - o.ay, 2)) AS ff, b + sqrt(power(d.ax - o.ax, 2) + power(d.ay - o.ay, 2)) AS bf,
+    f + sqrt(power(d.bx - o.bx, 2) + power(d.by_ - o.by_, 2)) AS fb, b + sqrt(power(d.ax - o.bx, 2) + power(d.ay - o.by_, 2)) AS bb FROM d JOIN o ON o.place = d.place + 1) z),
+ best AS (SELECT CASE WHEN b < f THEN pb ELSE pf END AS ways FROM d ORDER BY place DESC LIMIT 1),
+ s AS (SELECT CAST(first + CASE WHEN ways[CAST(place AS INT)] = 'b' THEN n - 1 - seq ELSE seq END AS BIGINT) AS seq, r.zone, fid, x, y FROM r JOIN o ON o.zone = r.zone, best)"""
+
+
+def _by_id(spark, sf):
+    """The points of each zone in the order of their ids, as given routes."""
+    place = F.row_number().over(Window.partitionBy("zone").orderBy("fid")) - 1
+    return view(spark, sf, "v_points").select("zone", place.cast("long").alias("seq"), "fid", "x", "y")
+
+
+@query("r6_stitched", f"{_STITCHED} SELECT seq, zone, fid, x, y FROM s")
+def r6_stitched(spark, sf):
+    return M.stitched(_by_id(spark, sf), 8.0)
+
+
+@query("r6_line", f"{_STITCHED} SELECT count(*) AS n_points, round(sum(sqrt(power(x - px, 2) + power(y - py, 2))), 4) AS length FROM (SELECT x, y, lag(x) OVER (ORDER BY seq) AS px, lag(y) OVER (ORDER BY seq) AS py FROM s) t")
+def r6_line(spark, sf):
+    return M.route_line(M.stitched(_by_id(spark, sf), 8.0)).withColumn("length", F.round("length", 4))
+
+
+@query("r6_field_route")
+def r6_field_route(spark, sf):
+    """Short routes of all zones, stitched into one."""
+    return M.stitched(M.zone_routes(view(spark, sf, "v_points")), 8.0)
+
+
 @query("r1_route_length", """SELECT zone, count(*) AS n_points, round(coalesce(sum(sqrt(power(x - px, 2) + power(y - py, 2))), 0), 6) AS length FROM (SELECT zone, x, y, lag(x) OVER w AS px, lag(y) OVER w AS py FROM v_points WINDOW w AS (PARTITION BY zone ORDER BY fid)) t GROUP BY zone""")
 def r1_route_length(spark, sf):
     return M.route_length(view(spark, sf, "v_points").withColumn("seq", F.col("fid"))).withColumn("length", F.round("length", 6))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from agrispark.functions import geometry
 from agrispark.operators import composites, labels, learning, matching, polygons, segments, spatial
+from agrispark.operators.components import closed_components, connected_components
 
 BOXES = "pred_id long, class_id int, conf double, minx double, miny double, maxx double, maxy double"
 
@@ -28,11 +29,43 @@ def overlap(a, b):
     return w * h / ((a[5] - a[3]) * (a[6] - a[4]) + (b[5] - b[3]) * (b[6] - b[4]) - w * h)
 
 
+def assign(gain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the assignment of greatest total gain, by shortest augmenting paths with potentials."""
+    if gain.shape[0] > gain.shape[1]:
+        cols, rows = assign(gain.T)
+        return rows, cols
+    n, m = gain.shape
+    cost = -gain
+    u, v, owner = np.zeros(n), np.zeros(m), np.full(m, -1)
+    for start in range(n):
+        dist, back, done = np.full(m, np.inf), np.full(m, -1), np.zeros(m, bool)
+        row, at, base = start, -1, 0.0
+        while True:
+            through = base + cost[row] - u[row] - v
+            better = ~done & (through < dist)
+            dist[better], back[better] = through[better], at
+            at = int(np.where(done, np.inf, dist).argmin())
+            base, done[at] = dist[at], True
+            if owner[at] < 0:
+                break
+            row = owner[at]
+        u[start] += base
+        seen = np.flatnonzero(done & (owner >= 0))
+        u[owner[seen]] += base - dist[seen]
+        v[done] -= base - dist[done]
+        while at >= 0:
+            prev = back[at]
+            owner[at] = start if prev < 0 else owner[prev]
+            at = prev
+    cols = np.flatnonzero(owner >= 0)
+    return owner[cols], cols
+
+
 def test_assignment_is_optimal():
     r = np.random.default_rng(0)
     for n, m in [(1, 1), (3, 3), (2, 5), (5, 2), (4, 6), (6, 4)] * 5:
         gain = np.round(r.uniform(0, 1, (n, m)) * r.integers(0, 2, (n, m)), 2)
-        i, j = matching.assign(gain)
+        i, j = assign(gain)
         assert len(set(i)) == len(i) == len(set(j)) == min(n, m)
         small = gain if n <= m else gain.T
         best = max(sum(small[a, b] for a, b in enumerate(p)) for p in permutations(range(small.shape[1]), small.shape[0]))
@@ -41,7 +74,7 @@ def test_assignment_is_optimal():
 
 def brute_matches(pred, gt, least):
     gain = np.array([[overlap(p, g) for g in gt] for p in pred]).reshape(len(pred), len(gt))
-    i, j = matching.assign(gain)
+    i, j = assign(gain)
     return int((gain[i, j] >= least).sum()), gain[i, j].sum()
 
 
@@ -59,6 +92,75 @@ def test_one_to_one_and_sweep_match_whole_assignment(spark):
     assert matching.one_to_one(pred.limit(0), gt).count() == 0
 
 
+def test_lists_of_pairs_gain_as_much_as_whole_tables():
+    r = np.random.default_rng(5)
+    for n, m in [(1, 1), (7, 7), (20, 9), (9, 20), (30, 30)] * 8:
+        gain = np.round(r.uniform(0.01, 1, (n, m)), 2) * (r.random((n, m)) < r.choice([0.1, 0.3, 1.0]))
+        row, col = np.nonzero(gain)
+        if not len(row) or row.max() < n - 1:
+            continue
+        found = matching.Assignment(row, col, gain[row, col], 0.5)
+        for k in r.permutation(n).tolist():
+            found.add(k)
+        at = found.pairs()
+        i, j = assign(gain)
+        assert len(set(row[at])) == len(at) == len(set(col[at]))
+        assert gain[row[at], col[at]].sum() == pytest.approx(gain[i, j].sum())
+        assert found.hits == (gain[row[at], col[at]] >= 0.5).sum()
+
+
+def test_a_component_of_many_pairs():
+    n, r = 20_000, np.random.default_rng(6)
+    row = np.repeat(np.arange(n), 5)
+    col = np.clip(row + np.tile(np.arange(-2, 3), n), 0, n - 1)
+    _, at = np.unique(row * n + col, return_index=True)
+    row, col = row[at], col[at]
+    found = matching.Assignment(row, col, r.uniform(0.01, 1, len(row)))
+    for k in range(n):
+        found.add(k)
+    u, v = np.array(found.u), np.array(found.v)
+    assert (u <= 1e-9).all() and (-np.array(found.gain) - u[found.row] - v[found.col] > -1e-9).all()  # the dual of the same total: optimal
+    assert -(u.sum() + v.sum()) == pytest.approx(sum(found.gain[k] for k in found.of_row.values()))
+
+
+@pytest.mark.parametrize("split", [False, True])
+def test_images_are_matched_by_themselves(spark, split):
+    rows = [("a", 1, 0.9, 0.1, 0.1, 0.3, 0.3), ("b", 1, 0.8, 0.1, 0.1, 0.3, 0.3), ("b", 2, 0.7, 0.6, 0.6, 0.9, 0.9), (None, 3, 0.7, 0.6, 0.6, 0.9, 0.9), ("c", 1, 0.6, 0.1, 0.1, 0.3, 0.3)]
+    pred = spark.createDataFrame([(*r[:2], 0, *r[2:]) for r in rows], "image string, pred_id long, class_id int, conf double, minx double, miny double, maxx double, maxy double")
+    gt = spark.createDataFrame(
+        [("a", 7, 0, 0.6, 0.6, 0.9, 0.9), ("b", 7, 0, 0.1, 0.1, 0.3, 0.28), ("c", 7, 1, 0.1, 0.1, 0.3, 0.3), (None, 9, 0, 0.6, 0.6, 0.9, 0.9)],
+        "image string, gt_id long, class_id int, minx double, miny double, maxx double, maxy double",
+    )
+    assert [tuple(r)[:3] for r in matching.one_to_one(pred, gt, 0.5, on=["image"], split=split).collect()] == [("b", 1, 7)]
+    s = matching.pr_sweep(pred, gt, steps=3, on=["image"], split=split).orderBy("threshold").first()
+    assert (s.tp, s.fp, s.fn) == (1, 4, 3)
+    assert matching.one_to_one(pred.limit(0), gt, on=["image"], split=split).count() == 0
+
+
+def test_images_match_as_whole_tables_do(spark):
+    images, total = [], {}
+    for k in range(3):
+        a, pred = boxes(spark, 25, 10 + k)
+        b, gt = boxes(spark, 25, 20 + k, "gt_id")
+        total[k] = brute_matches(a, b, 0.0)[1]
+        images.append((pred.withColumn("image", F.lit(k)), gt.withColumn("image", F.lit(k))))
+    pred, gt = (images[0][i].union(images[1][i]).union(images[2][i]) for i in (0, 1))
+    for split in (False, True):
+        got = {r.image: r.s for r in matching.one_to_one(pred, gt, 0.0, on=["image"], split=split).groupBy("image").agg(F.sum("iou").alias("s")).collect()}
+        assert got == pytest.approx({k: v for k, v in total.items() if v})
+
+
+def test_local_parts_join_up(spark):
+    r = np.random.default_rng(2)
+    edges = [(int(u), int(v), int(u) // 50) for u, v in r.integers(0, 400, (300, 2))] + [(5, 5, 0), (7, None, 0)]
+    df = spark.createDataFrame(edges, "u long, v long, p int")
+    plain = sorted(map(tuple, connected_components(df).collect()))
+    assert sorted(map(tuple, connected_components(df, place=["p"]).collect())) == plain
+    home = df.where("v is not null").withColumn("v", F.expr("50 * p + v % 50"))
+    assert sorted(map(tuple, closed_components(home, ["p"]).collect())) == sorted(map(tuple, connected_components(home).collect()))
+    assert closed_components(home.limit(0), ["p"]).count() == 0 == connected_components(home.limit(0), place=["p"]).count()
+
+
 def test_images_without_truths_are_left_out(spark):
     _, pred = boxes(spark, 20, 1)
     _, gt = boxes(spark, 20, 2, "gt_id")
