@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from agrispark.operators.components import connected_components
@@ -119,6 +121,76 @@ def merge_boxes(boxes: DataFrame, key: str, least: float = 0.1, size: float = 1.
     )
 
 
+def _covered_area(box: np.ndarray, others: np.ndarray) -> float:
+    """The area of ``box`` that the union of ``others`` covers."""
+    lo, hi = np.maximum(others[:, :2], box[:2]), np.minimum(others[:, 2:], box[2:])
+    met = (hi > lo).all(axis=1)
+    if met.sum() < 2:
+        return float((hi[met] - lo[met]).prod(axis=1).sum())
+    lo, hi = lo[met], hi[met]
+    x, y = (np.unique(np.concatenate([lo[:, i], hi[:, i]])) for i in (0, 1))
+    on = np.zeros((len(x) - 1, len(y) - 1), bool)
+    for (ax, ay), (bx, by) in zip(np.column_stack([np.searchsorted(x, lo[:, 0]), np.searchsorted(y, lo[:, 1])]), np.column_stack([np.searchsorted(x, hi[:, 0]), np.searchsorted(y, hi[:, 1])]), strict=True):
+        on[ax:bx, ay:by] = True
+    return float(np.diff(x) @ on @ np.diff(y))
+
+
+def grown_groups(boxes: np.ndarray, least: float) -> np.ndarray:
+    """For each box (rows of bounds, in order) the first of its group, as groups are grown one after the other.
+
+    A group starts with the first box left and takes, in order, every box left
+    within its bounds whose common area with the union so far is at least a
+    share of the smaller of the two; bounds are taken anew until none joins.
+    """
+    n = len(boxes)
+    area = (boxes[:, 2] - boxes[:, 0]) * (boxes[:, 3] - boxes[:, 1])
+    first = np.full(n, -1)
+    for i in range(n):
+        if first[i] >= 0:
+            continue
+        first[i], members, size, grew = i, [i], area[i], True
+        while grew:
+            grew = False
+            own = boxes[members]
+            lo, hi = own[:, :2].min(axis=0), own[:, 2:].max(axis=0)
+            for k in np.flatnonzero((first < 0) & (boxes[:, :2] <= hi).all(axis=1) & (boxes[:, 2:] >= lo).all(axis=1)):
+                common = _covered_area(boxes[k], boxes[members])
+                if min(size, area[k]) > 0 and common / min(size, area[k]) >= least:
+                    first[k], grew = i, True
+                    members.append(int(k))
+                    size += area[k] - common
+    return first
+
+
+def merge_greedy(boxes: DataFrame, key: str, least: float = 0.1, size: float = 1.0, confidence: str = "max") -> DataFrame:
+    """As ``merge_boxes``, with groups grown in the order of the key: a box joins if it overlaps the union of its group so far.
+
+    The order matters: a union grows and a box may overlap it by too small a
+    share where it overlaps one member by enough. Boxes that share no area
+    never meet, so each component of that graph is replayed by itself, as one
+    group of bounds; its size follows the density of boxes in a place. ``least``
+    is over 0. Boxes without area stay alone.
+    """
+    if not 0 < least <= 1:
+        raise ValueError("the least share must be over 0 and at most 1")
+    rule = {"max": F.max, "avg": F.avg, "min": F.min}[confidence]
+    pairs = box_pairs(boxes, boxes, size).where((F.col(key) < F.col(f"b_{key}")) & (intersection() > 0))
+    comp = overlap_graph(pairs, key, f"b_{key}", size)
+    kind = boxes.schema[key].dataType.simpleString()
+
+    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(key, ignore_index=True)
+        return pd.DataFrame({"_id": pdf[key], "group_id": pdf[key].to_numpy()[grown_groups(pdf[BOX].to_numpy(float), least)]})
+
+    inside = boxes.join(comp, boxes[key] == comp.id)
+    grown = inside.groupBy("component").applyInPandas(replay, f"_id {kind}, group_id {kind}")
+    named = boxes.join(grown, boxes[key] == grown["_id"], "left").withColumn("group_id", F.coalesce("group_id", key))
+    return named.groupBy("group_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min("minx").alias("minx"), F.min("miny").alias("miny"), F.max("maxx").alias("maxx"), F.max("maxy").alias("maxy"),
+        rule("conf").alias("conf"), F.min_by("class_id", key).alias("class_id"),
+    )
+
+
 def roc_points(scored: DataFrame, score: str = "score", truth: str = "truth") -> DataFrame:
     """``score, p, n, tp, fp``: rows of each score that are true and not, and the same of accepting everything from it up."""
     by = scored.groupBy(F.col(score).alias("score")).agg(F.sum(truth).alias("p"), F.sum(1 - F.col(truth)).alias("n"))

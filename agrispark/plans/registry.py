@@ -268,6 +268,12 @@ def j9_merge_boxes(spark, sf):
     return J.merge_boxes(view(spark, sf, "v_pred"), "pred_id", 0.4)
 
 
+@query("j9_merge_greedy")
+def j9_merge_greedy(spark, sf):
+    """As j9_merge_boxes, with groups grown in order."""
+    return J.merge_greedy(view(spark, sf, "v_pred"), "pred_id", 0.1)
+
+
 @query("j12_area_filter", "SELECT pred_id, round((maxx - minx) * (maxy - miny), 6) AS area FROM v_pred WHERE (maxx - minx) * (maxy - miny) BETWEEN 0.2 AND 0.41")
 def j12_area_filter(spark, sf):
     area = (F.col("maxx") - F.col("minx")) * (F.col("maxy") - F.col("miny"))

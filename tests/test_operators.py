@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from agrispark.functions import geometry
-from agrispark.operators import composites, labels, learning, matching, polygons, segments, spatial
+from agrispark.operators import composites, labels, learning, matching, models, polygons, segments, spatial
 from agrispark.operators.components import closed_components, connected_components
 
 BOXES = "pred_id long, class_id int, conf double, minx double, miny double, maxx double, maxy double"
@@ -365,3 +365,96 @@ def test_vocabulary_finds_the_middles_of_clusters(spark):
     assert np.allclose(words[order], points.reshape(4, 50, 3).mean(axis=1))
     named = {r.desc_id: r.w for r in d.select("desc_id", learning.nearest_word(d.vec, words).alias("w")).collect()}
     assert all(named[i] == order[i // 50] for i in range(200))
+
+
+def grown_by_grid(rows, least):
+    """Groups grown in order, with areas counted in cells of 1/64 (bounds are multiples of it)."""
+    cells = [{(x, y) for x in range(int(r[3] * 64), int(r[5] * 64)) for y in range(int(r[4] * 64), int(r[6] * 64))} for r in rows]
+    left, out = list(range(len(rows))), {}
+    while left:
+        first, members, union = left[0], [left[0]], set(cells[left.pop(0)])
+        grew = True
+        while grew:
+            grew = False
+            lo, hi = [min(rows[m][i] for m in members) for i in (3, 4)], [max(rows[m][i] for m in members) for i in (5, 6)]
+            for k in [k for k in left if rows[k][3] <= hi[0] and rows[k][5] >= lo[0] and rows[k][4] <= hi[1] and rows[k][6] >= lo[1]]:
+                if len(cells[k] & union) >= least * min(len(cells[k]), len(union)):
+                    union |= cells[k]
+                    members.append(k)
+                    left.remove(k)
+                    grew = True
+        for m in members:
+            out[rows[m][0]] = rows[first][0]
+    return out
+
+
+def test_groups_grown_in_order(spark):
+    r = np.random.default_rng(12)
+    rows = []
+    for i in range(70):
+        x, y = r.integers(0, 160, 2) / 64
+        w, h = r.integers(8, 48, 2) / 64
+        rows.append((100 - i, int(r.integers(0, 2)), float(r.uniform()), float(x), float(y), float(x + w), float(y + h)))
+    df = spark.createDataFrame(rows, BOXES)
+    differ = False
+    for least in (0.1, 0.4, 1.0):
+        want = grown_by_grid(sorted(rows), least)
+        got = {g.group_id: g for g in spatial.merge_greedy(df, "pred_id", least, 0.5, "avg").collect()}
+        assert {k: g.n for k, g in got.items()} == {k: list(want.values()).count(k) for k in set(want.values())}
+        for k, g in got.items():
+            own = [x for x in rows if want[x[0]] == k]
+            assert (g.minx, g.maxy, g.class_id) == (min(x[3] for x in own), max(x[6] for x in own), next(x[1] for x in own if x[0] == k))
+            assert g.conf == pytest.approx(np.mean([x[2] for x in own]))
+        differ |= len(got) != spatial.merge_boxes(df, "pred_id", least, 0.5).count()
+    assert differ  # the order counts
+    assert spatial.merge_greedy(df.limit(0), "pred_id").count() == 0
+    with pytest.raises(ValueError):
+        spatial.merge_greedy(df, "pred_id", 0.0)
+
+
+def test_mean_distances(spark):
+    r = np.random.default_rng(1)
+    x = r.normal(size=(50, 6)) + 1000
+    x[7] = x[3] + 1e-7
+    rows = [(i, [float(v) for v in p]) for i, p in enumerate(x)] + [(99, None)]
+    df = spark.createDataFrame(rows, "desc_id long, vec array<double>")
+    d = np.sqrt(((x[:, None] - x) ** 2).sum(2)).sum(1) / 49
+    for block in (7, 1000):
+        got = {a.desc_id: a.mean_dist for a in models.mean_distance(df, block).collect()}
+        assert sorted(got) == list(range(50)) and np.allclose([got[i] for i in range(50)], d, rtol=1e-9)
+    assert models.mean_distance(df.limit(1)).first().mean_dist is None
+    assert models.mean_distance(df.limit(0)).count() == 0
+    far = models.outliers(df, float(np.sort(d)[-3]), "euclidean")
+    assert {a.desc_id for a in far.collect()} == set(np.argsort(d)[-2:].tolist())
+    plan = models.mean_distance(df, 7)._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+def test_stitched_routes_take_the_shortest_links(spark):
+    from itertools import product
+
+    r = np.random.default_rng(9)
+    zones = {z: r.uniform(0, 10, (int(r.integers(1, 6)), 2)) + [12 * (z % 3), 12 * (z // 3)] for z in range(6)}
+    rows = [(z, i, 100 * z + i, float(x), float(y)) for z, p in zones.items() for i, (x, y) in enumerate(p)]
+    df = spark.createDataFrame(rows, "zone int, seq long, fid long, x double, y double")
+    got = models.stitched(df, 12.0).orderBy("seq").collect()
+    assert [g.seq for g in got] == list(range(len(rows)))
+    order = list(dict.fromkeys(g.zone for g in got))
+    middle = {z: (p.min(0) + p.max(0)) / 2 for z, p in zones.items()}
+    line = lambda z: int((middle[z][1] - min(m[1] for m in middle.values())) // 12)
+    assert order == sorted(zones, key=lambda z: (line(z), middle[z][0] * (1 - 2 * (line(z) % 2))))
+    links = lambda ways: sum(np.hypot(*(zones[b][::s2][0] - zones[a][::s1][-1])) for (a, s1), (b, s2) in zip(ways, ways[1:], strict=False))
+    best = min(links(list(zip(order, s, strict=True))) for s in product((1, -1), repeat=6))
+    inside = sum(np.hypot(*np.diff(p, axis=0).T).sum() for p in zones.values())
+    total = models.route_line(models.stitched(df, 12.0)).first()
+    assert (total.n_points, total.length) == (len(rows), pytest.approx(inside + best))
+    assert models.stitched(df.limit(0), 12.0).count() == 0 and models.route_line(df.limit(0)).first().length == 0
+
+
+def test_ranks_from_range_parts(spark):
+    r = np.random.default_rng(4)
+    rows = [(int(z), i, float(x)) for i, (z, x) in enumerate(zip(r.integers(0, 3, 500), r.integers(0, 90, 500), strict=True))]
+    got = {g.fid: g._rank for g in models.ranked(spark.createDataFrame(rows, "zone int, fid long, x double"), "zone", "x", "fid", 40).collect()}
+    for z in range(3):
+        own = sorted((x, f) for q, f, x in rows if q == z)
+        assert [got[f] for _, f in own] == list(range(len(own)))
