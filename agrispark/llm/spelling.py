@@ -62,7 +62,7 @@ def edges(directed: DataFrame) -> DataFrame:
         F.substr("s", F.col("level") + 1, F.lit(1)).alias("letter"),
         F.when(F.col("level") == F.length("s") - 1, F.col("n")).alias("n"),
     )
-    each = each.groupBy("node", "letter").agg(F.max("n").alias("n"))
+    each = stored(each.groupBy("node", "letter").agg(F.max("n").alias("n")))
     after = each.groupBy("node").agg(F.array_join(F.array_sort(F.collect_list("letter")), "").alias("follow"))
     after = after.select(F.col("node").alias("child"), "follow")
     out = each.join(after, F.concat("node", "letter") == after["child"], "left").drop("child")
