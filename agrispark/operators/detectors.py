@@ -57,6 +57,22 @@ class Distance:
         return self._projected(features).withColumn("score", -M.mahalanobis(names, np.zeros(len(names)), self.cov)).drop(*names)
 
 
+class Plain:
+    """The negative distance under the covariance of the training rows, without scaling or projection. One pass fits it."""
+
+    def __init__(self, columns: list[str]):
+        self.columns = columns
+
+    def fit(self, features: DataFrame) -> Plain:
+        self.mean, self.cov = M.moments(features, self.columns)
+        if self.mean[0] is None:
+            raise ValueError("no rows to learn from")
+        return self
+
+    def score(self, features: DataFrame) -> DataFrame:
+        return features.withColumn("score", -M.mahalanobis(self.columns, self.mean, self.cov))
+
+
 class Mixture:
     """The best of several Gaussian mixtures; the score is the log density."""
 

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from agrispark.operators import labels as L, models as M, spatial as J
+from agrispark.operators import labels as L, models as M, segments as G, spatial as J
+from agrispark.operators.detectors import Plain
 from agrispark.plans.fixtures import view
 from agrispark.plans.register import query
-from agrispark.plans.registry import _TOK
+from agrispark.plans.registry import _MASK, _TOK, mask_pixels
 from agrispark.session import scratch
 from agrispark.sources import files as S
-from agrispark.streaming import labels as T
+from agrispark.streaming import labels as T, segments as Z, tables as W
 
 
 def _folder(spark) -> str:
@@ -159,6 +160,38 @@ def t2_scored_stream(spark, sf):
     return T.drained(scored, _folder(spark), _folder(spark), "append").select("line", "margin")
 
 
+@query("t1_tile_stream", f"""SELECT r AS tile_row, c AS tile_col, count(*) AS n, count(conf) AS n_conf, round(avg(conf), 6) AS mean_conf FROM (SELECT CAST(regexp_extract(stem, 'tile_([0-9]+)_([0-9]+)', 1) AS INTEGER) AS r, CAST(regexp_extract(stem, 'tile_([0-9]+)_([0-9]+)', 2) AS INTEGER) AS c,
+ CASE WHEN layout IN ('box_conf', 'quad_conf') THEN CAST(t[2] AS DOUBLE) END AS conf FROM {_TOK} z WHERE layout NOT IN ('bad', 'blank')) q GROUP BY 1, 2""")
+def t1_tile_stream(spark, sf):
+    """Label files named after their tiles, as a stream whose running counts by tile are merged into a table batch by batch."""
+    path = _folder(spark)
+    S.write_labels(view(spark, sf, "v_label_lines").repartition(8, "stem"), path, ["stem"])  # a folder for each stem
+    files = T.label_stream(spark, path, 40)
+    named = files.withColumn("file", F.regexp_extract("file", "stem=([^/]*)", 1))
+    counts = W.merged(T.tile_counts(named), ["tile_row", "tile_col"], _folder(spark), _folder(spark), fold_every=4)
+    return counts.withColumn("mean_conf", F.round("mean_conf", 6))
+
+
+_FEATURES = f"(SELECT min(pix_id) AS seg_id, tile_row, tile_col, avg(nir) AS nir, avg(ext_red) AS ext_red FROM v_pixels WHERE {_MASK} GROUP BY tile_row, tile_col) f"
+
+
+@query("t2_segment_stream", f"""SELECT seg_id, tile_row, tile_col, round(d, 5) AS mahal_dist, round(d, 5) <= 1.5 AS is_inlier, field FROM (SELECT seg_id, tile_row, tile_col, CASE tile_col % 3 WHEN 0 THEN 'small' WHEN 1 THEN 'mid' ELSE 'large' END AS field,
+ sqrt(greatest((power(nir - mx, 2) * cyy - 2 * (nir - mx) * (ext_red - my) * cxy + power(ext_red - my, 2) * cxx) / (cxx * cyy - cxy * cxy), 0)) AS d
+ FROM {_FEATURES}, (SELECT avg(nir) AS mx, avg(ext_red) AS my, var_pop(nir) AS cxx, var_pop(ext_red) AS cyy, covar_pop(nir, ext_red) AS cxy FROM {_FEATURES}) s) t""")
+def t2_segment_stream(spark, sf):
+    """Mask segments that arrive as files of mean bands, scored by a detector fitted before, with the field of their tile."""
+    px = view(spark, sf, "v_pixels")
+    segs = G.segment_pixels(mask_pixels(px)).groupBy("seg_id", "tile_row", "tile_col").agg(F.avg("nir").alias("nir"), F.avg("ext_red").alias("ext_red"))
+    path = _folder(spark)
+    segs.repartition(6, "seg_id").write.parquet(path)
+    detector = Plain(["nir", "ext_red"]).fit(spark.read.parquet(path))
+    field = F.expr("CASE tile_col % 3 WHEN 0 THEN 'small' WHEN 1 THEN 'mid' ELSE 'large' END").alias("field")
+    tiles = px.select("tile_row", "tile_col", field).distinct()
+    scored = Z.scored_segments(Z.segment_stream(spark, path, segs.schema, 2), detector, -1.500005, tiles)
+    out = T.drained(scored, _folder(spark), _folder(spark), "append")
+    return out.select("seg_id", "tile_row", "tile_col", F.round(-F.col("score"), 5).alias("mahal_dist"), "is_inlier", "field")
+
+
 # --- neighbour graph -------------------------------------------------------------------------------------------
 
 @query("r2_neighbour_graph", """SELECT a, b, rank FROM (SELECT p.gt_id AS a, q.gt_id AS b, row_number() OVER (PARTITION BY p.gt_id ORDER BY power((q.minx + q.maxx - p.minx - p.maxx) / 2, 2) + power((q.miny + q.maxy - p.miny - p.maxy) / 2, 2), q.gt_id) AS rank

@@ -15,6 +15,21 @@ def label_stream(spark: SparkSession, path: str, files_per_trigger: int = 1000)
     return parse_labels(lines.select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file")))
 
 
+def tile_counts(parsed: DataFrame) -> DataFrame:
+    """Running ``tile_row, tile_col, n, n_conf, mean_conf`` of the detections in files named after tiles.
+
+    Blank and bad lines, and files without a tile in their name, count in none.
+    State is one row for each tile; in update mode a batch gives the tiles it
+    touched, with their totals so far.
+    """
+    name = F.element_at(F.split("file", "/"), -1)
+    place = lambda i: F.regexp_extract(name, r"tile_(\d+)_(\d+)", i)
+    real = parsed.where(~F.col("layout").isin("blank", "bad") & (place(1) != ""))
+    return real.groupBy(place(1).cast("int").alias("tile_row"), place(2).cast("int").alias("tile_col")).agg(
+        F.count(F.lit(1)).alias("n"), F.count("conf").alias("n_conf"), F.avg("conf").alias("mean_conf")
+    )
+
+
 def class_counts(parsed: DataFrame) -> DataFrame:
     """Running ``layout, class_id, n, mean_conf``; state is one row for each layout and class, so it doesn't grow with the stream."""
     return parsed.groupBy("layout", "class_id").agg(F.count(F.lit(1)).alias("n"), F.avg("conf").alias("mean_conf"))
