@@ -120,9 +120,17 @@ def fixed_u8(value: Column, lo: float, hi: float) -> Column:
     return F.floor((F.least(F.greatest(value, F.lit(lo)), F.lit(hi)) - lo) / (hi - lo) * 255).cast("int")
 
 
-def band_refs(names: list[str | int], bands: list[str]) -> list[int]:
-    """One-based positions of bands and indices in a stack: bands first, then indices in the order of FORMULAS; numbers stay."""
-    order = {n: i for i, n in enumerate([*bands, *FORMULAS], 1)}
+#: Numbers of bands and indices in existing stacks, by place in these lists (fixed values).
+STACK_BANDS = ["RED", "GREEN", "BLUE", "EXTEND_GREEN", "EXTEND_RED", "REDEDGE", "NIR"]
+STACK_INDICES = [
+    "NDVI", "SVI", "NGRDI", "GNDVI", "RVI", "TVI", "NDRE", "CVI", "CIG", "CIRE", "DVI", "SAVI", "OSAVI", "MSAVI2", "MGRVI", "NGRVI",
+    "CIVE", "EVI", "EXG", "EXGR", "EXR", "MSVI", "NGBDI", "NPCI", "RTVICore", "SAVI2", "SIPI", "SR", "TCARI", "VARI", "VDVI", "VEG",
+]
+
+
+def band_refs(names: list[str | int], bands: list[str] | None = None) -> list[int]:
+    """One-based positions in a stack: bands by their place in ``bands``, indices from 8 up by their fixed number, numbers as they are."""
+    order = {n: i for i, n in enumerate(bands or STACK_BANDS, 1)} | {n: 7 + i for i, n in enumerate(STACK_INDICES, 1)}
     unknown = [n for n in names if not isinstance(n, int) and n not in order]
     if unknown:
         raise ValueError(f"unknown bands: {unknown}")

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from agrispark.operators import learning as E, models as M
+from agrispark.operators.ranges import exact_percentiles
 
 
 class Detector(Protocol):
@@ -101,9 +102,37 @@ class OneClass:
         return features.withColumn("score", E.one_class_score(self.columns, self.model))
 
 
+class Forest:
+    """An isolation forest; rows keep the ``key`` that its samples are drawn by."""
+
+    def __init__(self, columns: list[str], key: str, trees: int = 200, sample: int = 256):
+        self.columns, self.key, self.trees, self.sample = columns, key, trees, sample
+
+    def fit(self, features: DataFrame) -> Forest:
+        self.forest, self.size = E.fit_forest(features, self.columns, self.key, self.trees, self.sample)
+        return self
+
+    def score(self, features: DataFrame) -> DataFrame:
+        return features.join(E.forest_scores(features, self.columns, self.key, self.forest, self.size), self.key, "left")
+
+
+class ExactOneClass:
+    """The exact one-class machine, fitted on a bounded sample; a score of 0 and more is normal."""
+
+    def __init__(self, columns: list[str], key: str, nu: float = 0.001, sample: int = 2000):
+        self.columns, self.key, self.nu, self.sample = columns, key, nu, sample
+
+    def fit(self, features: DataFrame) -> ExactOneClass:
+        self.machine = E.fit_one_class_exact(features, self.columns, self.key, self.nu, self.sample)
+        return self
+
+    def score(self, features: DataFrame) -> DataFrame:
+        return features.join(E.one_class_exact_scores(features, self.columns, self.key, self.machine), self.key, "left")
+
+
 def cut_at(detector: Detector, features: DataFrame, contamination: float) -> float:
-    """The score under which a share of the training rows lies."""
-    return detector.score(features).agg(F.percentile("score", F.lit(float(contamination)))).first()[0]
+    """The score under which a share of the training rows lies; exact, in a few passes."""
+    return exact_percentiles(detector.score(features), "score", [contamination])[0]
 
 
 def score_layer(layer: DataFrame, features: DataFrame, detector: Detector, cut: float, key: str = "obj") -> DataFrame:

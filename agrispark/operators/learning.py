@@ -11,7 +11,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from agrispark.operators.models import dot, mahalanobis, moments
-from agrispark.operators.ranges import running_sums
+from agrispark.operators.ranges import exact_percentiles, running_sums
 
 # --- principal components --------------------------------------------------------------------------------------
 
@@ -43,10 +43,13 @@ def scree(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def thresholds(scored: DataFrame, column: str, shares: tuple[float, ...] = (0.95, 0.975, 0.99, 1.0)) -> DataFrame:
-    """``pct, threshold`` (exact percentiles) with the least, mean and greatest score and its population deviation."""
-    p = F.percentile(column, F.array(*(F.lit(s) for s in shares)))
-    one = scored.agg(p.alias("p"), F.min(column).alias("lo"), F.avg(column).alias("mean"), F.max(column).alias("hi"), F.stddev_pop(column).alias("sd"))
-    rows = [F.struct(F.lit(100 * s).alias("pct"), F.element_at("p", i).alias("threshold")) for i, s in enumerate(shares, 1)]
+    """``pct, threshold`` (exact percentiles) with the least, mean and greatest score and its population deviation.
+
+    Building the query finds the percentiles, in a few passes.
+    """
+    found = exact_percentiles(scored, column, list(shares))
+    one = scored.agg(F.min(column).alias("lo"), F.avg(column).alias("mean"), F.max(column).alias("hi"), F.stddev_pop(column).alias("sd"))
+    rows = [F.struct(F.lit(100 * s).alias("pct"), F.lit(x).cast("double").alias("threshold")) for s, x in zip(shares, found, strict=True)]
     return one.select(F.explode(F.array(*rows)).alias("r"), "lo", "mean", "hi", "sd").select("r.*", "lo", "mean", "hi", "sd")
 
 
@@ -111,17 +114,18 @@ def mixture_score(model, columns: list[str]) -> Column:
     )
 
 
-def bic_sweep(df: DataFrame, columns: list[str], most: int = 10) -> DataFrame:
-    """``k, bic`` of mixtures with 1..most components; one component in closed form."""
+def bic_sweep(df: DataFrame, columns: list[str], most: int = 10, iterations: int = 30) -> DataFrame:
+    """``k, bic, best`` of mixtures with 1..most components, one component in closed form; best: the least k of the lowest."""
     n, d, rows = df.count(), len(columns), []
     for k in range(1, most + 1):
         if k == 1:
             _, cov = moments(df, columns)
             ll = -0.5 * n * (d * np.log(2 * np.pi) + np.linalg.slogdet(cov + 1e-12 * np.eye(d))[1] + d)
         else:
-            _, ll = fit_mixture(df, columns, k, starts=1)
+            _, ll = fit_mixture(df, columns, k, 1, iterations)
         rows.append((k, float(-2 * ll + (k - 1 + k * d + k * d * (d + 1) // 2) * np.log(max(n, 1)))))
-    return df.sparkSession.createDataFrame(rows, "k int, bic double")
+    best = min(rows, key=lambda r: (r[1], r[0]))[0]
+    return df.sparkSession.createDataFrame([(*r, r[0] == best) for r in rows], "k int, bic double, best boolean")
 
 
 # --- isolation forest ------------------------------------------------------------------------------------------
@@ -249,6 +253,71 @@ def one_class_score(columns: list[str], m: dict) -> Column:
     return F.aggregate(F.transform(F.array(scaled), lambda x: F.aggregate(waves, F.lit(0.0), lambda a, v: a + F.cos(dot(v["d"], x) + v["s"]) * v["w"])), F.lit(0.0), lambda a, x: a + x) - m["rho"]
 
 
+def one_class_dual(kernel: np.ndarray, nu: float, tolerance: float = 1e-6) -> tuple[np.ndarray, float]:
+    """Weights and offset of the exact one-class machine of a kernel matrix: least w'Kw / 2 with weights in 0..1 that sum to nu * n.
+
+    Two weights are moved at a time, the pair that breaks the conditions of
+    the optimum most, by the step that is best for it; ends when no pair breaks
+    them by more than the tolerance.
+    """
+    n = len(kernel)
+    total = nu * n
+    w = np.clip(total - np.arange(n), 0.0, 1.0)
+    slope = kernel @ w
+    while True:
+        up, down = np.where(w < 1, slope, np.inf), np.where(w > 0, slope, -np.inf)
+        i, j = int(up.argmin()), int(down.argmax())
+        gap = slope[j] - slope[i]
+        if not gap > tolerance:
+            break
+        step = min(gap / max(kernel[i, i] + kernel[j, j] - 2 * kernel[i, j], 1e-12), 1 - w[i], w[j])
+        w[i] = 1.0 if step == 1 - w[i] else w[i] + step
+        w[j] = 0.0 if step == w[j] else w[j] - step
+        slope += step * (kernel[:, i] - kernel[:, j])
+    free = (w > 0) & (w < 1)
+    if free.any():
+        return w, float(slope[free].mean())
+    ends = slope[w >= 1].max(initial=-np.inf), slope[w <= 0].min(initial=np.inf)
+    return w, float(np.mean([e for e in ends if np.isfinite(e)]))
+
+
+def fit_one_class_exact(df: DataFrame, columns: list[str], key: str, nu: float = 0.001, sample: int = 2000, seed: int = 42) -> dict[str, np.ndarray | float]:
+    """The exact one-class machine with a radial kernel, gamma = 1 / (d * variance of all scaled values).
+
+    Scaling is by all rows (one pass). The machine is fitted on at most
+    ``sample`` rows, those of least seeded hash of ``key`` (all, if there are
+    no more): that many rows and their kernel matrix are all the driver holds.
+    Rows with nulls are left out; no rows are an error.
+    """
+    mean, cov = moments(df, columns)
+    if mean[0] is None:
+        raise ValueError("no rows to learn from")
+    sd = np.sqrt(np.where(np.diag(cov) > 0, np.diag(cov), 1.0))
+    rows = df.select(key, *(F.col(c).cast("double").alias(c) for c in columns)).na.drop(subset=columns)
+    drawn = rows.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key, *columns).limit(sample).toPandas()
+    x = (drawn[columns].to_numpy(float) - mean) / sd
+    gamma = 1 / (len(columns) * x.var()) if x.var() > 0 else 1.0
+    w, rho = one_class_dual(radial(x, x, gamma), nu)
+    return {"mean": mean, "sd": sd, "x": x[w > 0], "w": w[w > 0], "rho": rho, "gamma": gamma}
+
+
+def radial(a: np.ndarray, b: np.ndarray, gamma: float) -> np.ndarray:
+    return np.exp(-gamma * np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T, 0))
+
+
+def one_class_exact_scores(df: DataFrame, columns: list[str], key: str, machine: dict) -> DataFrame:
+    """``key, score``: the decision value, under 0 for outliers; rows with nulls have none. The support vectors go along with the task."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            x = (b[columns].to_numpy(float) - machine["mean"]) / machine["sd"]
+            parts = [radial(x[i : i + 1000], machine["x"], machine["gamma"]) @ machine["w"] for i in range(0, len(x), 1000)]
+            yield pd.DataFrame({key: b[key], "score": np.concatenate(parts) - machine["rho"] if parts else []})
+
+    return df.select(key, *columns).na.drop(subset=columns).mapInPandas(run, f"{key} {kind}, score double")
+
+
 # --- visual words ----------------------------------------------------------------------------------------------
 
 

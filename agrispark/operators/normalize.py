@@ -36,12 +36,27 @@ def pct_stretch(pixels: DataFrame, column: str, out: str, lo: float = 0.02, hi:
     return pixels.crossJoin(F.broadcast(r)).withColumn(out, F.when(b > a, v).otherwise(0).cast("int")).drop("_p")  # one row
 
 
-def global_band_stats(pixels: DataFrame, bands: list[str], fill: int = 0, tile: tuple[str, ...] = TILE) -> DataFrame:
-    """``band, lo, hi``: means of the tiles' least and greatest values, values up to ``fill`` left out."""
-    ok = lambda b: F.when(F.col(b) > fill, F.col(b))
+#: Ranges of bands of which no tile has a value (fixed values).
+FALLBACK = {"red": (0, 65535), "green": (0, 65535), "blue": (0, 65535), "ext_green": (0, 400), "ext_red": (0, 400), "rededge": (0, 400), "nir": (0, 65535)}
+
+
+def global_band_stats(
+    pixels: DataFrame, bands: list[str], fill: int = 0, tile: tuple[str, ...] = TILE, nodata: float | None = None, fallback: dict[str, tuple[float, float]] | None = None
+) -> DataFrame:
+    """``band, lo, hi``: means of the tiles' least and greatest values; values up to ``fill`` and ``nodata`` are left out.
+
+    Tiles without a value of a band don't count for it; a band without any
+    takes its range in ``fallback``, or nulls.
+    """
+
+    def ok(b: str) -> Column:
+        real = F.col(b) > fill
+        return F.when(real if nodata is None else real & (F.col(b) != nodata), F.col(b))
+
     tiles = pixels.groupBy(*tile).agg(*(f(ok(b)).alias(f"{b}_{n}") for b in bands for n, f in (("lo", F.min), ("hi", F.max))))
     one = tiles.agg(*(F.avg(f"{b}_{n}").alias(f"{b}_{n}") for b in bands for n in ("lo", "hi")))
-    rows = [F.struct(F.lit(b).alias("band"), F.col(f"{b}_lo").alias("lo"), F.col(f"{b}_hi").alias("hi")) for b in bands]
+    other = lambda b, i: F.lit(fallback[b][i] if fallback and b in fallback else None).cast("double")
+    rows = [F.struct(F.lit(b).alias("band"), *(F.coalesce(F.col(f"{b}_{n}"), other(b, i)).alias(n) for i, n in enumerate(("lo", "hi")))) for b in bands]
     return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 

@@ -40,9 +40,15 @@ def mosaic(tile_pixels: DataFrame, bands: list[str], order: str = "last") -> Dat
     return tile_pixels.groupBy("x", "y").agg(pick(F.struct(*bands), key).alias("b")).select("x", "y", "b.*")
 
 
-def covered_tiles(pixels: DataFrame, least: float = 0.2) -> DataFrame:
-    """Tiles of which at least a share has alpha: ``tile_row, tile_col, share``."""
-    share = F.avg((F.col("alpha") > 0).cast("double"))
+def covered_tiles(pixels: DataFrame, least: float = 0.2, alpha: str | None = "alpha", nodata: float | None = None, band: str = "red", white: int = 65535) -> DataFrame:
+    """Tiles of which at least a share is real: ``tile_row, tile_col, share``.
+
+    A pixel is real if its alpha is over 0; of rasters without alpha
+    (``alpha=None``) if ``band`` isn't the nodata value, or, where there is
+    none, isn't white. Nulls aren't real.
+    """
+    real = F.col(alpha) > 0 if alpha else F.col(band) != (white if nodata is None else nodata)
+    share = F.avg(F.coalesce(real.cast("double"), F.lit(0.0)))
     return pixels.groupBy(*TILE).agg(share.alias("share")).where(F.col("share") >= least)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from agrispark.functions import geometry as P
-from agrispark.operators import contours as O, coverage as C, labels as L, matching as A, polygons as Q, segments as G, spatial as J
+from agrispark.operators import contours as O, coverage as C, fusion as U, labels as L, matching as A, polygons as Q, segments as G, spatial as J
 from agrispark.plans.fixtures import view
 from agrispark.plans.register import ORACLE_SQL, half_up, query
 from agrispark.plans.registry import _BEST, _BOUNDS, _SEGS, _TRUTH, IOU, RATIO, _scored, a2_a3_confusion, mask_pixels
@@ -244,6 +244,36 @@ def u5_a12_fields(spark, sf):
     return by.rollup("field").agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn"))).select(F.coalesce("field", F.lit("all")).alias("field"), "tp", "fp", "fn")
 
 
+_B4 = "minx, miny, maxx, maxy"
+_RUN = f"""WITH RECURSIVE p AS (SELECT *, {_FIELD} AS field FROM v_pred), t AS (SELECT *, {_FIELD} AS field FROM v_gt),
+ y AS (SELECT field, pred_id, {_B4}, conf FROM p WHERE pred_id % 2 = 1),
+ s0 AS (SELECT field, pred_id, {_B4}, (margin - min(margin) OVER w) / (max(margin) OVER w - min(margin) OVER w + 1e-9) AS score FROM p WHERE pred_id % 2 = 0 WINDOW w AS (PARTITION BY field)),
+ n AS (SELECT * FROM (SELECT a.field, a.pred_id, a.minx, a.miny, a.maxx, a.maxy, a.score, b.conf, {_D} AS d, min({_D}) OVER (PARTITION BY a.field, a.pred_id) AS low FROM s0 a JOIN y b ON a.field = b.field AND {_D} <= 0.25 WHERE a.score >= 0.3) z WHERE d = low),
+ f AS (SELECT field, {_B4}, round(CASE WHEN conf + score > 0 THEN 2 * conf * score / (conf + score) ELSE 0 END, 6) AS confidence, 1 AS k, conf, score FROM n UNION ALL SELECT field, {_B4}, round(conf, 6), 0, conf, NULL FROM y),
+ u AS (SELECT *, row_number() OVER (ORDER BY field, {_B4}) AS id FROM (SELECT *, row_number() OVER (PARTITION BY field, {_B4} ORDER BY confidence DESC, k DESC, conf DESC, coalesce(score, -1) DESC) AS r FROM f) z WHERE r = 1),
+ e AS (SELECT a.id AS u, b.id AS v FROM u a JOIN u b ON a.field = b.field AND a.id <> b.id AND a.minx <= b.maxx AND b.minx <= a.maxx AND a.miny <= b.maxy AND b.miny <= a.maxy),
+ reach AS (SELECT id AS n, id AS low FROM u UNION SELECT e.v, r.low FROM reach r JOIN e ON e.u = r.n), comp AS (SELECT n, min(low) AS g FROM reach GROUP BY n),
+ layers AS (SELECT field, 'first' AS layer, pred_id AS id, {_B4} FROM y UNION ALL SELECT field, 'second', pred_id, {_B4} FROM s0
+  UNION ALL SELECT any_value(field), 'fused', g, min(minx), min(miny), max(maxx), max(maxy) FROM u JOIN comp ON comp.n = u.id GROUP BY g),
+ m AS (SELECT a.field, layer, id, arg_max(b.gt_id, ({IOU}, -b.gt_id)) AS gt_id FROM layers a JOIN t b ON a.field = b.field AND {IOU} > 0 GROUP BY 1, 2, 3 HAVING max({IOU}) >= 0.5),
+ c AS (SELECT l.field, l.layer, tp, n - tp AS fp, all_gt - met AS fn FROM (SELECT field, layer, count(*) AS n FROM layers GROUP BY 1, 2) l JOIN (SELECT field, layer, count(*) AS tp, count(DISTINCT gt_id) AS met FROM m GROUP BY 1, 2) h ON h.field = l.field AND h.layer = l.layer
+  JOIN (SELECT field, count(*) AS all_gt FROM t GROUP BY 1) q ON q.field = l.field),
+ a AS (SELECT * FROM c UNION ALL SELECT 'all', layer, sum(tp), sum(fp), sum(fn) FROM c GROUP BY layer)
+ SELECT field, layer, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, round(tp / (tp + fp)::DOUBLE, 4) AS precision, round(tp / (tp + fn)::DOUBLE, 4) AS recall, round(2 * tp / (2 * tp + fp + fn)::DOUBLE, 4) AS f1, round(tp / (tp + fp + fn)::DOUBLE, 4) AS accuracy FROM a"""
+
+
+@query("u5_fusion_run", _RUN)
+def u5_fusion_run(spark, sf):
+    """The whole fusion of two detectors on each of three fields, with the counts of both, of their fusion, and of all fields."""
+    pred, gt = (d.withColumn("field", F.expr(_FIELD)) for d in _pair(spark, sf))
+    runs = {}
+    for field in ("small", "mid", "large"):
+        p, t = pred.where(F.col("field") == field), gt.where(F.col("field") == field)
+        first, second = p.where("pred_id % 2 = 1"), p.where("pred_id % 2 = 0").select(F.col("pred_id").alias("svm_id"), *BOX, "margin")
+        runs[field] = U.fusion_run(first, second, t, 0.25)
+    return U.fusion_report(runs)
+
+
 @query("a4_confusion_shares")
 def a4_confusion_shares(spark, sf):
     total = F.col("tp") + F.col("fp") + F.col("fn")

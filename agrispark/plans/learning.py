@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from agrispark.operators import learning as E, models as M
+from agrispark.operators import detectors as D, learning as E, models as M
+from agrispark.operators.ranges import exact_percentiles
 from agrispark.plans.fixtures import view
 from agrispark.plans.register import ORACLE_SQL, query
 from agrispark.plans.registry import f11_similar
@@ -86,13 +89,13 @@ def o7_mixture(spark, sf):
     p = view(spark, sf, "v_pixels")
     model, _ = E.fit_mixture(p, COLS)
     s = p.select("pix_id", E.mixture_score(model, COLS).alias("score"))
-    cut = s.agg(F.percentile("score", F.lit(0.05)).alias("cut"))
-    return s.crossJoin(F.broadcast(cut)).select("pix_id", "score", (F.col("score") >= F.col("cut")).alias("is_inlier"))  # one row
+    cut = exact_percentiles(s, "score", [0.05])[0]
+    return s.select("pix_id", "score", (F.col("score") >= F.lit(cut)).alias("is_inlier"))
 
 
 @query("o8_bic_sweep")
 def o8_bic_sweep(spark, sf):
-    return E.bic_sweep(view(spark, sf, "v_pixels"), COLS, 5)
+    return E.bic_sweep(view(spark, sf, "v_pixels"), COLS)
 
 
 @query("o9_isolation_forest")
@@ -102,6 +105,33 @@ def o9_isolation_forest(spark, sf):
     return E.forest_scores(p, COLS, "pix_id", forest, size)
 
 
+@query("o9_forest_inliers")
+def o9_forest_inliers(spark, sf):
+    """All pixels with their score, and whether it reaches the score under which 1 % of the training rows lie."""
+    p = view(spark, sf, "v_pixels").select("pix_id", *COLS)
+    forest = D.Forest(COLS, "pix_id").fit(p)
+    cut = D.cut_at(forest, p, 0.01)
+    return forest.score(p).select("pix_id", "score", (F.col("score") >= cut).alias("is_inlier"))
+
+
+@query("o10_one_class_exact")
+def o10_one_class_exact(spark, sf):
+    """Scores of the exact machine at nu 0.001."""
+    p = view(spark, sf, "v_pixels").select("pix_id", *COLS)
+    out = D.ExactOneClass(COLS, "pix_id").fit(p).score(p)
+    return out.select("pix_id", "score", (F.col("score") >= 0).alias("is_inlier"))
+
+
+@query("o12_nu_sweep_exact")
+def o12_nu_sweep_exact(spark, sf):
+    """``nu, inliers``: the share that exact machines of rising nu accept, in one pass for all."""
+    p = view(spark, sf, "v_pixels").select("pix_id", *COLS)
+    nus = (0.001, 0.01, 0.05, 0.1, 0.2)
+    parts = [E.one_class_exact_scores(p, COLS, "pix_id", E.fit_one_class_exact(p, COLS, "pix_id", nu, 1000)).select(F.lit(nu).alias("nu"), "score") for nu in nus]
+    both = reduce(DataFrame.unionByName, parts)
+    return both.groupBy("nu").agg(F.avg((F.col("score") >= 0).cast("double")).alias("inliers"))
+
+
 @query("o10_one_class")
 def o10_one_class(spark, sf):
     p = view(spark, sf, "v_pixels")

@@ -54,6 +54,15 @@ def _u16(n: str) -> str:
     return f"CAST(floor((least(greatest({S.formula_sql(n)}, CAST({lo} AS DOUBLE)), CAST({hi} AS DOUBLE)) - CAST({lo} AS DOUBLE)) / CAST({hi - lo} AS DOUBLE) * 65535) AS INTEGER)"
 
 
+@query("s3_band_addresses", "SELECT pix_id, b.band, b.v FROM (SELECT pix_id, unnest([{'band': 7, 'v': nir}, " + ", ".join(f"{{'band': {i}, 'v': {_u16(n)}}}" for i, n in ((8, "NDVI"), (9, "SVI"), (10, "NGRDI"), (15, "CVI"))) + "]) AS b FROM v_pixels) t")
+def s3_band_addresses(spark, sf):
+    """A stack's bands and indices by the numbers that existing stacks give them."""
+    names = ["NIR", "NDVI", "SVI", "NGRDI", "CVI"]
+    value = {"NIR": F.col("nir")} | {n: S.scale_u16(S.index(n), n) for n in names[1:]}
+    rows = [F.struct(F.lit(i).alias("band"), value[n].alias("v")) for n, i in zip(names, S.band_refs(names), strict=True)]
+    return view(spark, sf, "v_pixels").select("pix_id", F.explode(F.array(*rows)).alias("b")).select("pix_id", "b.*")
+
+
 @query("n1_scale_u16", f"SELECT pix_id, {_u16('NDVI')} AS ndvi, {_u16('NGRVI')} AS ngrvi, {_u16('EVI')} AS evi, round({_u16('NDVI')} / CAST(65535 AS DOUBLE) * 2 - 1, 6) AS ndvi_back FROM v_pixels")
 def n1_scale_u16(spark, sf):
     u = lambda n: S.scale_u16(S.index(n), n)
@@ -86,6 +95,14 @@ def n6_global_band_stats(spark, sf):
     return N.global_band_stats(view(spark, sf, "v_pixels"), BANDS, 5000).select("band", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
 
 
+@query("n6_stats_fallback", " UNION ALL ".join(
+    f"SELECT '{b}' AS band, round(coalesce(avg(lo), {N.FALLBACK[b][0]}), 6) AS lo, round(coalesce(avg(hi), {N.FALLBACK[b][1]}), 6) AS hi FROM (SELECT min(CASE WHEN {b} > 15000 AND {b} <> 16777 THEN {b} END) AS lo, max(CASE WHEN {b} > 15000 AND {b} <> 16777 THEN {b} END) AS hi FROM v_pixels GROUP BY tile_row, tile_col) t" for b in BANDS))
+def n6_stats_fallback(spark, sf):
+    """With a nodata value, and fixed ranges for bands that no tile has a value of."""
+    stats = N.global_band_stats(view(spark, sf, "v_pixels"), BANDS, 15000, nodata=16777, fallback=N.FALLBACK)
+    return stats.select("band", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"))
+
+
 @query("n8_blend_stretch", """SELECT pix_id, round(least(greatest((nir - (0.1 * lo + 0.9 * glo)) / ((0.1 * hi + 0.9 * ghi) - (0.1 * lo + 0.9 * glo) + 1e-6), 0), 1), 6) AS nir_n
  FROM v_pixels JOIN (SELECT tile_row AS r, tile_col AS c, CAST(min(nir) AS DOUBLE) AS lo, CAST(max(nir) AS DOUBLE) AS hi FROM v_pixels GROUP BY 1, 2) t ON r = tile_row AND c = tile_col,
  (SELECT avg(CAST(l AS DOUBLE)) AS glo, avg(CAST(h AS DOUBLE)) AS ghi FROM (SELECT min(nir) AS l, max(nir) AS h FROM v_pixels GROUP BY tile_row, tile_col) q) g""")
@@ -124,6 +141,18 @@ def g11_covered_tiles(spark, sf):
     return G.covered_tiles(view(spark, sf, "v_pixels"), 0.6).withColumn("share", F.round("share", 6))
 
 
+@query("g11_nodata_tiles", """SELECT kind, tile_row, tile_col, round(avg(ok), 6) AS share FROM (SELECT tile_row, tile_col, 'nodata' AS kind, CASE WHEN alpha = 0 THEN 0.0 ELSE 1.0 END AS ok FROM v_pixels
+ UNION ALL SELECT tile_row, tile_col, 'white', CASE WHEN alpha = 0 OR noise % 3 = 0 THEN 0.0 ELSE 1.0 END FROM v_pixels) t GROUP BY 1, 2, 3 HAVING avg(ok) >= 0.6""")
+def g11_nodata_tiles(spark, sf):
+    """Rasters without alpha: by a nodata value, and by white where there is none."""
+    p = view(spark, sf, "v_pixels")
+    marked = p.withColumn("red", F.when(F.col("alpha") == 0, 7).otherwise(F.col("red")))
+    white = p.withColumn("red", F.when((F.col("alpha") == 0) | (F.col("noise") % 3 == 0), 65535).otherwise(F.col("red")))
+    found = {"nodata": G.covered_tiles(marked, 0.6, alpha=None, nodata=7), "white": G.covered_tiles(white, 0.6, alpha=None)}
+    both = [d.select(F.lit(k).alias("kind"), "tile_row", "tile_col", F.round("share", 6).alias("share")) for k, d in found.items()]
+    return both[0].unionByName(both[1])
+
+
 # --- masks, segments, texture ----------------------------------------------------------------------------------
 
 _MASK = f"({_u16('NGRVI')} > 0.016 * 65535)"

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from agrispark.functions import geometry
-from agrispark.operators import composites, labels, learning, matching, models, polygons, segments, spatial
+from agrispark.operators import composites, detectors, fusion, labels, learning, matching, models, polygons, ranges, segments, spatial
 from agrispark.operators.components import closed_components, connected_components
 
 BOXES = "pred_id long, class_id int, conf double, minx double, miny double, maxx double, maxy double"
@@ -458,3 +458,83 @@ def test_ranks_from_range_parts(spark):
     for z in range(3):
         own = sorted((x, f) for q, f, x in rows if q == z)
         assert [got[f] for _, f in own] == list(range(len(own)))
+
+
+def test_exact_percentiles(spark):
+    r = np.random.default_rng(7)
+    for values in (r.normal(size=3000), np.round(r.exponential(size=2000), 1), np.full(50, 3.5), np.array([1.0]), np.concatenate([10.0 ** r.uniform(-300, 300, 900), -(10.0 ** r.uniform(-9, 300, 900))]), np.array([0.0, 5e-324, 1e-320, 1.7e308, -1.7e308])):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,), (float("nan"),)], "v double")
+        shares = [0.0, 0.001, 0.25, 0.5, 0.975, 1.0]
+        with np.errstate(over="ignore"):
+            low, high = (np.quantile(values, shares, method=m) for m in ("lower", "higher"))
+        at = (len(values) - 1) * np.array(shares)
+        for few in (10, 10_000):
+            got = np.array(ranges.exact_percentiles(df, "v", shares, 16, few))
+            assert np.allclose(got, low + (high - low) * (at % 1), rtol=1e-12, atol=0) or np.isinf(high - low).any()
+            assert got[0] == values.min() and got[-1] == values.max()
+    assert ranges.exact_percentiles(df.limit(0), "v", [0.5]) == [None]
+    infinite = spark.createDataFrame([(float(v),) for v in (-np.inf, 1, 2, 3, np.inf)], "v double")
+    assert ranges.exact_percentiles(infinite, "v", [0.0, 0.5, 1.0], 4, 0) == [-np.inf, 2.0, np.inf]
+
+
+def test_exact_one_class_machine():
+    r = np.random.default_rng(3)
+    x = r.normal(size=(200, 3))
+    kernel = learning.radial(x, x, 0.4)
+    assert np.allclose(kernel, [[np.exp(-0.4 * ((a - b) ** 2).sum()) for b in x] for a in x])
+    for nu in (0.001, 0.1, 0.5):
+        w, rho = learning.one_class_dual(kernel, nu)
+        assert w.min() >= 0 and w.max() <= 1 and w.sum() == pytest.approx(nu * 200)
+        out = kernel @ w
+        assert (out[w <= 0] >= rho - 1e-5).all() and (out[w >= 1] <= rho + 1e-5).all()
+        # another solver: projected gradient steps on the same problem
+        p = np.full(200, nu)
+        for _ in range(6000):
+            p = p - 0.02 * kernel @ p
+            lo, hi = p.min() - 1, p.max()
+            for _ in range(60):
+                mid = (lo + hi) / 2
+                lo, hi = (mid, hi) if np.clip(p - mid, 0, 1).sum() > nu * 200 else (lo, mid)
+            p = np.clip(p - hi, 0, 1)
+        assert w @ kernel @ w <= p @ kernel @ p + 1e-4 * (1 + p @ kernel @ p)
+
+
+def test_exact_machine_and_forest_as_detectors(spark):
+    r = np.random.default_rng(2)
+    rows = [(i, float(a), float(b)) for i, (a, b) in enumerate(r.normal(size=(600, 2)))] + [(1000, 40.0, -40.0), (1001, None, 1.0)]
+    df = spark.createDataFrame(rows, "id long, a double, b double")
+    inner = df.where("id < 1000")
+    for detector, cut in ((detectors.ExactOneClass(["a", "b"], "id", 0.05, 300), 0.0), (detectors.Forest(["a", "b"], "id", 50), None)):
+        fitted = detector.fit(inner)
+        cut = detectors.cut_at(fitted, inner, 0.05) if cut is None else cut
+        got = {x.id: x.score for x in fitted.score(df).collect()}
+        assert got[1001] is None and got[1000] < cut and len(got) == 602
+        share = np.mean([v < cut for k, v in got.items() if k < 1000])
+        assert 0.02 < share < 0.09
+    with pytest.raises(ValueError):
+        detectors.ExactOneClass(["a", "b"], "id").fit(df.limit(0))
+
+
+def test_band_numbers_of_existing_stacks():
+    from agrispark.functions import spectral
+
+    assert spectral.band_refs(["NDVI", "SVI", "NGRDI", "VEG", "RED", "NIR", 3]) == [8, 9, 10, 39, 1, 7, 3]
+    assert sorted(spectral.STACK_INDICES) == sorted(n for n in spectral.FORMULAS if n in spectral.STACK_INDICES) and len(spectral.STACK_INDICES) == 32
+    with pytest.raises(ValueError):
+        spectral.band_refs(["NDVX"])
+
+
+def test_fusion_run_on_one_field(spark):
+    boxes_of = lambda rows, kind: spark.createDataFrame(rows, kind + ", minx double, miny double, maxx double, maxy double")
+    at = lambda x, y=0.0: (x, y, x + 1.0, y + 1.0)
+    truths = boxes_of([(1, *at(0.0)), (2, *at(10.0)), (3, *at(20.0))], "gt_id long")
+    first = boxes_of([(1, 0.9, *at(0.1)), (2, 0.2, *at(50.0)), (3, 0.3, *at(50.5))], "pred_id long, conf double")
+    second = boxes_of([(7, 5.0, *at(0.0)), (8, 4.0, *at(10.0)), (9, 0.0, *at(70.0))], "svm_id long, margin double")
+    run = fusion.fusion_run(first, second, truths, 0.5)
+    assert {r.layer: (r.tp, r.fp, r.fn) for r in run.counts.collect()} == {"first": (1, 2, 2), "second": (2, 1, 1), "fused": (1, 1, 2)}
+    layer = {r.minx: r for r in run.layer.collect()}
+    assert (layer[0.0].n, layer[0.0].source, layer[0.0].result, layer[50.0].n, layer[50.0].conf, layer[50.0].result) == (2, "both", "TP", 2, 0.3, "TN")
+    total = fusion.fusion_report({"a": run, "b": run}).where("field = 'all' and layer = 'second'").first()
+    assert (total.tp, total.fp, total.fn, total.precision) == (4, 2, 2, 0.6667)
+    none = fusion.fusion_run(first.limit(0), second.limit(0), truths, 0.5)
+    assert none.threshold is None and none.layer.count() == 0
