@@ -5,11 +5,12 @@ and a beginning of a word, and a level's edges meet the level's states
 (word, position, node, edits) in an equi-join. Two words one edit apart agree
 up to the edit or from the edit on, so there are two tries, of the words and of
 the words reversed, and a state starts at the node of a word's own first half,
-without edits. At each level it follows its own letter, and takes its one edit
-at every other letter of the node: the letter replaces the word's next one, or
-stands before it. Deletions are the insertions of the other word. A state with
-its edit spent follows its own letters alone; where it ends at the end of a
-word, that word is near. Each pair of words comes out once a direction.
+without edits. At each level it goes on to the node of its next letter, and
+takes its one edit at other letters of the node: the letter replaces the
+word's next one (from the word with the lesser letter), or stands before it.
+Deletions are the insertions of the other word. A state with its edit spent
+follows its own letters alone; where it ends at the end of a word, that word
+is near. Each pair of words is found once.
 """
 
 from __future__ import annotations
@@ -31,6 +32,11 @@ LEVELS = 48
 PRIME, BASES = (1 << 61) - 1, (1_000_003, 998_244_353)
 
 
+def lowered(text: Column) -> Column:
+    """A-Z lower-cased and nothing else; the quick way where all is ASCII."""
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
+
+
 def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 7, damage: bool = False) -> DataFrame:
     """``word, n``: the runs of letters of at least ``least`` code points, A-Z lower-cased, and how often each occurs.
 
@@ -40,7 +46,7 @@ def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows.
     """
     run = F.explode(F.regexp_extract_all(F.col(text_col), F.lit(f"([A-Za-zÀ-ÿ]{{{least},}})"), F.lit(1)))
-    runs = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("doc"), run.alias("run")).withColumn("word", F.translate("run", UPPER, LOWER))
+    runs = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("doc"), run.alias("run")).withColumn("word", lowered(F.col("run")))
     if damage:
         h = F.crc32(F.concat("doc", F.lit(":"), "word"))
         at = (h % F.length("word")).cast("int")
@@ -70,33 +76,28 @@ def edges(directed: DataFrame) -> DataFrame:
 
 
 def _step(states: DataFrame, level_edges: DataFrame) -> DataFrame:
-    """States one level down, and those that end at a word (``near_n`` not null)."""
-    size, own = F.length("s"), F.substr("s", F.col("position") + 1, F.lit(1))
-    met = states.join(level_edges.select(F.col("node").alias("at"), "letter", F.col("n").alias("end_n"), "follow"), F.col("node") == F.col("at"))
-    met = met.where((F.col("edits") == 0) | (F.col("letter") == own))
-    child = F.concat("node", "letter")
+    """States with their edit spent one level down; those that end at a word have its ``near_n``.
 
-    def state(position: Column, edits: int) -> Column:
-        ends = position == size
-        near = F.when(ends & F.lit(edits == 1), F.col("end_n")).alias("near_n")
-        return F.struct(position.alias("position"), child.alias("node"), F.lit(edits).alias("edits"), near)
+    States that can't go on, by the letters that follow, are left out at once.
+    """
+    size, here = F.length("s"), F.col("position")
+    own = F.substr("s", here + 1, F.lit(1))
+    met = states.join(level_edges.select(F.col("node").alias("at"), "letter", F.col("n").alias("end_n"), "follow"), F.col("node") == F.col("at"))
+    met = met.where((F.col("letter") == own) == (F.col("edits") == 1))
 
     def alive(position: Column) -> Column:
         return F.when(position == size, F.col("end_n").isNotNull()).otherwise(F.contains("follow", F.substr("s", position + 1, F.lit(1))))
 
-    here, next_one = F.col("position"), F.col("position") + 1
     # a letter before a run of the same letter that reaches into the first half is found from the other end
     first = size - F.floor(size / 2).cast("int")
     ours = (F.col("way") == "f") | (F.substr("s", first + 1, here - first) != F.repeat("letter", here - first))
-    same = F.col("letter") == own
-    options = F.array(
-        F.when(same & (F.col("edits") == 0), state(next_one, 0)),
-        F.when(same & (F.col("edits") == 1) & alive(next_one), state(next_one, 1)),
-        F.when(~same & (here < size) & alive(next_one), state(next_one, 1)),
-        F.when(~same & ours & alive(here), state(here, 1)),
-    )
-    out = met.select("way", "s", "n", F.explode(F.array_compact(options)).alias("o"))
-    return out.select("way", "s", "n", "o.position", "o.node", "o.edits", "o.near_n")
+    # of two words with different letters at a place, the one with the lesser letter finds the other
+    onward = ((F.col("edits") == 1) | ((here < size) & (F.col("letter") > own))) & alive(here + 1)
+    before = (F.col("edits") == 0) & ours & alive(here)
+    moves = F.when(onward & before, F.array(F.lit(0), F.lit(1))).when(onward, F.array(F.lit(1))).when(before, F.array(F.lit(0)))
+    out = met.withColumn("by", F.explode(moves)).withColumn("to", here + F.col("by"))
+    near = F.when(F.col("to") == size, F.col("end_n")).alias("near_n")
+    return out.select("way", "s", "n", F.col("to").alias("position"), F.concat("node", "letter").alias("node"), F.lit(1).alias("edits"), near)
 
 
 def trie_pairs(words: DataFrame, longest: int) -> DataFrame:
@@ -104,20 +105,22 @@ def trie_pairs(words: DataFrame, longest: int) -> DataFrame:
 
     Each level is one join of the level's states and edges, written to the
     shared folder; a node with many states is split by Spark as a skewed key,
-    as it has at most one edge a letter.
+    as it has at most one edge a letter. States without edits are at the nodes
+    of their own words, so they are named and not carried.
     """
     ways = F.explode(F.array(F.struct(F.lit("f").alias("way"), F.col("word").alias("s")), F.struct(F.lit("r").alias("way"), F.reverse("word").alias("s"))))
     directed = words.select(ways.alias("w"), "n").select("w.way", "w.s", "n")
     size, half = F.length("s"), F.floor(F.length("s") / 2).cast("int")
     start = F.when(F.col("way") == "f", half).otherwise(size - half)
-    starts = directed.select("way", "s", "n", start.alias("position"))
-    starts = stored(starts.sortWithinPartitions("position"))
+    starts = stored(directed.select("way", "s", "n", start.alias("start"), size.alias("size")).sortWithinPartitions("start"))
     table = stored(edges(directed).sortWithinPartitions("level"))
     carried, found = None, []
     for level in range(longest + 1):
-        fresh = starts.where(F.col("position") == level)
-        fresh = fresh.select("way", "s", "n", "position", F.concat("way", F.substr("s", F.lit(1), F.lit(level))).alias("node"), F.lit(0).alias("edits"))
-        states = fresh if carried is None else fresh.unionByName(carried.where("near_n is null").drop("near_n"))
+        states = starts.where((F.col("start") <= level) & (F.col("size") >= level))
+        node = F.concat("way", F.substr("s", F.lit(1), F.lit(level)))
+        states = states.select("way", "s", "n", F.lit(level).alias("position"), node.alias("node"), F.lit(0).alias("edits"))
+        if carried is not None:
+            states = states.unionByName(carried.where("near_n is null").drop("near_n"))
         carried = stored(_step(states, table.where(F.col("level") == level)))
         found.append(carried.where("near_n is not null"))
     met = reduce(DataFrame.union, found)
@@ -125,8 +128,7 @@ def trie_pairs(words: DataFrame, longest: int) -> DataFrame:
     met = met.select(turned(F.col("s")).alias("a"), "n", turned(F.substr("node", F.lit(2))).alias("b"), "near_n")
     there = F.struct(F.col("a").alias("word"), F.col("b").alias("near"), F.col("near_n").alias("near_n"))
     back = F.struct(F.col("b").alias("word"), F.col("a").alias("near"), F.col("n").alias("near_n"))
-    both = F.when(F.length("a") == F.length("b"), F.array(there)).otherwise(F.array(there, back))
-    return met.select(F.explode(both).alias("p")).select("p.*")
+    return met.select(F.explode(F.array(there, back)).alias("p")).select("p.*")
 
 
 def long_pairs(words: DataFrame, shortest: int) -> DataFrame:
