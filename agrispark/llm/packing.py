@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -58,6 +59,11 @@ def pack_histogram(counts: dict[int, int], width: int) -> list[tuple[tuple[int,
     return [(lengths, n) for _, _, lengths, n in sorted(open_packs)]
 
 
+#: Runs of white space from this length on are too deep for the faster library's pattern matcher (it gives up at some 1,000,000).
+LONG_BLANK = 100_000
+BLANKS = re.compile(rf"\s{{{LONG_BLANK}}}")
+
+
 class Encoder:
     """Ids as the ``tokenizers`` file gives them, by the faster ``tiktoken`` where the same vocabulary is there as ranks."""
 
@@ -79,10 +85,12 @@ class Encoder:
 
     def ids(self, text: str) -> np.ndarray:
         got = None
-        if self.fast is not None and not any(s in text for s in self.special):
+        if self.fast is not None and not any(s in text for s in self.special) and not (len(text) >= LONG_BLANK and BLANKS.search(text)):
             try:
                 got = self.fast.encode_ordinary(text)
-            except ValueError:  # a run that is too long for its pattern matcher
+            except BaseException as error:  # what its pattern matcher gives up on is a panic, which is no Exception
+                if not isinstance(error, ValueError) and type(error).__name__ != "PanicException":
+                    raise
                 got = None
         if got is None:
             got = self.slow.encode(text, add_special_tokens=False).ids
