@@ -118,10 +118,11 @@ def substring_dedup(
     joined by one blank. Earlier: smaller id, or same id and earlier start.
     Null ids come last and count as one document; of rows that share an id
     but not the text, equal windows at the same start keep one. Rows alike in
-    id and text are one document given twice: both get the same result. A
+    id and text are one document given twice: both get the same result; rows
+    of one id are told apart by 64 bits of their text's hash. A
     null or empty text has no words. Other columns are ignored.
     """
-    base = keyed(docs, id_col, text_col).withColumn("_tk", F.hash("_text"))  # 32 bits tell rows with the same id apart
+    base = keyed(docs, id_col, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(sketch(base, window, gram, width_bits))
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +144,7 @@ def substring_dedup(
                 )
 
     firsts = (
-        base.mapInArrow(places, "k1 long, k2 long, _doc long, at int, _tk int")
+        base.mapInArrow(places, "k1 long, k2 long, _doc long, at int, _tk long")
         .groupBy("k1", "k2")
         .agg(F.min(F.struct("_doc", "at", "_tk")).alias("p"))
         .groupBy(F.col("p._doc").alias("_doc"), F.col("p._tk").alias("_tk"))
