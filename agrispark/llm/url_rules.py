@@ -99,9 +99,9 @@ def pattern_rules(patterns: DataFrame) -> DataFrame:
 
 def token_index(rules: DataFrame, urls: DataFrame, url_col: str = "url") -> DataFrame:
     """Each rule under its token that the fewest rows of ``urls`` have (ties: the longest, then the smallest); the empty one if it has none."""
-    own = rules.select("rule", "site", "verdict", F.explode("tokens").alias("token"))
-    seen = urls.select(F.explode(tokens(F.col(url_col))).alias("token")).join(own.select("token").distinct(), "token", "left_semi")
-    seen = seen.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    own = stored(rules.select("rule", "site", "verdict", F.explode("tokens").alias("token")))
+    seen = urls.select(F.explode(tokens(F.col(url_col))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    seen = seen.join(own.select("token"), "token", "left_semi")  # counted first, so that a common token is few rows
     rank = F.struct(F.coalesce("n", F.lit(0)).alias("n"), (-F.length("token")).alias("l"), "token")
     best = own.join(seen, "token", "left").groupBy("rule", "site", "verdict").agg(F.min(rank)["token"].alias("token"))
     same = (F.col("a.rule").eqNullSafe(F.col("b.rule"))) & (F.col("a.site") == F.col("b.site")) & (F.col("a.verdict").eqNullSafe(F.col("b.verdict")))
