@@ -416,3 +416,27 @@ def test_pipeline_matches_brute_force(spark, docs):
         ids = np.frombuffer(b"".join(b for _, b in sorted(parts)), "<u4").tolist()
         text = tok.decode(ids[:-1], skip_special_tokens=False)
         assert ids[-1] == 1 and (text == docs[i] or base_spans(docs[i]) and not base_spans(text) or "[SECRET]" in text)
+
+
+def test_rules_go_by_rejections_per_second_of_what_is_left(spark):
+    import time
+
+    from agrispark.llm import quality_rules
+
+    def rule(share, seconds, start=0):
+        def judged(t):
+            time.sleep(seconds)
+            ids = np.array([int(t.raw[a:b].tobytes().split()[0]) for a, b in zip(t.at[:-1], t.at[1:], strict=True)])
+            return (ids % 100 >= start) & (ids % 100 < start + share)
+
+        return judged
+
+    # by themselves: twin 60, wide 60, other 30, slow 90, none 0; after wide, twin rejects nothing and other 30
+    rules = {"none": rule(0, 0.0), "slow": rule(90, 2.0), "twin": rule(60, 0.06), "other": rule(30, 0.06, 60), "wide": rule(60, 0.02)}
+    words = " ".join(f"w{i}" for i in range(80))
+    docs = spark.createDataFrame([(i, f"{i} {words}") for i in range(400)] + [(i, f"{i}") for i in range(400, 800)], "doc_id int, text string").coalesce(1)
+    got = quality_rules.rule_costs(docs, sample_rows=10**6, rules=rules)
+    assert [r for r, _, _ in got][:2] == ["wide", "other"] and {r for r, _, n in got if n == 0} == {"none", "twin", "slow"}
+    assert [n for _, _, n in got][:2] == [240.0, 120.0]  # rows that the base rejects count for none
+    assert quality_rules.rule_costs(docs.limit(0), rules=rules)
+    assert quality_rules.best_order([1.0, 1.0], {}) == [(0, 0.0), (1, 0.0)]
