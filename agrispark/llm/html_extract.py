@@ -40,12 +40,22 @@ BLOCKS = set(
 #: Blocks that an opening tag of the same family ends.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 STOPS = {"ul", "ol", "dl", "table", "menu", "tbody", "thead", "tfoot"}
-AGAINST = re.compile(
-    r"(?:^|[\s_-])(?:nav\w*|menu\w*|foot\w*|masthead|head|header|side\w*|banner|ads?|advert\w*|promo\w*|sponsor\w*|cookies?|consent|gdpr|notices?|alert|"
+#: Names of what is never main text, and of parts that an article may have of its own.
+NEVER = (
+    r"nav\w*|menu\w*|ads?|advert\w*|promo\w*|sponsor\w*|cookies?|consent|gdpr|notices?|alert|"
     r"comments?|respond|repl(?:y|ies)|discussion|disqus|share\w*|social|related|recommend\w*|widget|popup|modal|overlay|breadcrumbs?|login|signup|subscribe|"
-    r"newsletter|search|toolbar|pagination|pager|tags?|copyright|legal|form)(?:$|[\s_-])",
-    re.I,
+    r"newsletter|toolbar|pagination|pager|copyright"
 )
+HEADS, PARTS = r"masthead|head|header", r"foot\w*|side\w*|banner|search|tags?|legal|form"
+
+
+def _named(words: str) -> re.Pattern:
+    return re.compile(rf"(?:^|[\s_-])(?:{words})(?:$|[\s_-])", re.I)
+
+
+AGAINST, AGAINST_HEADED, AGAINST_TEXT = _named(f"{NEVER}|{HEADS}|{PARTS}"), _named(f"{NEVER}|{PARTS}"), _named(NEVER)
+#: Blocks that hold text and no other blocks.
+TEXT_BLOCKS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre"}
 FOR = re.compile(r"(?:^|[\s_-])(?:article\w*|content|main|post|entry|story|text|body)(?:$|[\s_-])", re.I)
 
 #: Features and the mean of each one's prior (fixed values).
@@ -71,6 +81,13 @@ EDGE_PRIOR, EDGE_WEIGHT = (1e-7, 0.6), 20.0
 PRIOR_PRECISION = 2.0
 
 
+def speaks_against(tag: str, names: str, in_article: bool) -> bool:
+    """Whether a block's names speak against it. In an article, a paragraph or heading may be called a header, a footer or a form, and a block that is named after the article its header."""
+    if in_article and tag in TEXT_BLOCKS:
+        return AGAINST_TEXT.search(names) is not None
+    return (AGAINST_HEADED if in_article and FOR.search(names) else AGAINST).search(names) is not None
+
+
 class Tree:
     """Nodes in page order: parent, tag, features, and the text of leaves (else None)."""
 
@@ -185,7 +202,7 @@ class Tree:
             over = self.tag[p] if p >= 0 else ""
             names = self.names[i]
             boilers[i] = tag in ("nav", "footer", "aside", "form", "dialog", "menu") or (tag == "header" and not nested) or (p >= 0 and boilers[p])
-            own = bool(names) and tag not in ("body", "html") and (nested or not article) and AGAINST.search(names) is not None
+            own = bool(names) and tag not in ("body", "html") and (nested or not article) and speaks_against(tag, names, nested)
             wrapper = not article and (holds[i] if has_main else 5 * size[i] > 4 * size[0])
             againsts[i] = own and not wrapper if article or own else p >= 0 and againsts[p]
             hiddens[i] = self.hidden[i] or (p >= 0 and hiddens[p])

@@ -100,3 +100,20 @@ def test_kinds_of_pages_not_trained_on(spark, page, want):
     read = lambda t: spark.read.parquet(f"{oracle.DATA}/sf0.01/{t}.parquet")
     model = html_extract.train(html_extract.labelled_pages(read("pages"), read("documents")))
     assert html_extract.extract_text(page, *model) == want
+
+
+@pytest.mark.parametrize("trained", [False, True])
+def test_blocks_of_an_article_keep_their_text_whatever_part_they_are_named_after(spark, trained):
+    model = PRIOR
+    if trained:
+        pages, docs = (spark.read.parquet(f"{oracle.DATA}/sf0.01/{t}.parquet") for t in ("pages", "documents"))
+        model = html_extract.train(html_extract.labelled_pages(pages, docs))
+    long = "This paragraph goes on for a while, so that it reads like the text of an article and nothing else. "
+    page = (
+        "<body><header class='site-header'>Home page of all</header><nav>Home About</nav><article><h1 class='article-header'>The first heading</h1>"
+        f"<div class='entry-header'><h2>By the author of it</h2></div><p>{long}</p><h2 class='section-header'>A second heading</h2><p class='form'>{long}forms</p>"
+        f"<p class='entry-footer'>{long}end</p><p class='advert'>Buy now {long}</p><p class='cookie-notice'>We use cookies. {long}</p><div class='comment-form'>{long}said</div>"
+        f"<div class='post-footer'>Tags: a, b</div></article><aside>Other pages</aside><div class='page-footer'><p>All rights reserved.</p></div></body>"
+    )
+    got = html_extract.extract_text(page, *model).split("\n\n")
+    assert got == [x.strip() for x in ("The first heading", "By the author of it", long, "A second heading", long + "forms", long + "end")]
