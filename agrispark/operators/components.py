@@ -83,7 +83,7 @@ def _fingerprint(edges: DataFrame) -> tuple:
     return row["n"], row["h"]
 
 
-def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_rounds: int = 60, place: Sequence[str] = ()) -> DataFrame:
+def connected_components(edges: DataFrame, u: str = "u", v: str = "v", place: Sequence[str] = ()) -> DataFrame:
     """One row ``(id, component)`` for every node of an edge; component: the smallest id reachable.
 
     Alternates large-star and small-star steps, which halve the depth of each
@@ -99,10 +99,8 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_round
     e = edges.select(*place, F.col(u).alias("u"), F.col(v).alias("v")).where("u is not null and v is not null and u <> v")
     e = _joined_up(e, place, closed=False) if place else e
     e = checkpoint(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = _fingerprint(e)
-    if before[0] == 0:
-        max_rounds = 0
-    for _ in range(max_rounds):
+    before, now = None, _fingerprint(e)
+    while now[0] and now != before:  # each round halves the depth of what isn't a star yet
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = (
@@ -117,13 +115,7 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_round
             .distinct()
         )
         e = checkpoint(small)
-        now = _fingerprint(e)
-        if now == before or now[0] == 0:
-            break
-        before = now
-    else:
-        if max_rounds:
-            raise RuntimeError(f"no fixed point after {max_rounds} rounds")
+        before, now = now, _fingerprint(e)
     return e.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("id"), "component").union(
         e.select("v").distinct().select(F.col("v").alias("id"), F.col("v").alias("component"))
     )

@@ -10,9 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, GroupedData, Window, functions as F
 
-from agrispark.operators.components import connected_components
 from agrispark.operators.spatial import box_pairs, iou, overlap_graph
-from agrispark.session import stored
 
 
 class Assignment:
@@ -96,19 +94,17 @@ def _groups(pred: DataFrame, gt: DataFrame, size: float, on: Sequence[str], spli
     pairs, keys = _pairs(pred, gt, size, on), [f"_on{i}" for i in range(len(on))]
     if on and not split:
         return pairs.groupBy(*keys)
-    node = lambda side, c: F.struct(*keys, F.lit(side).alias("side"), F.col(c).alias("id"))
-    if on:  # ids may repeat in another image
-        named = stored(pairs.select("*", node(0, "pred_id").alias("u"), node(1, "gt_id").alias("v")))
-        comp = connected_components(named.select("u", "v"))
-        return named.join(comp, named["u"] == comp.id).groupBy("component")
-    comp = overlap_graph(pairs, F.col("pred_id") * 2, F.col("gt_id") * 2 + 1, size)
-    return pairs.join(comp, F.col("pred_id") * 2 == comp.id).groupBy("component")
+    # ids may repeat in another image; two nodes of one hash only put two components into one group
+    node = lambda side, c: F.xxhash64(*keys, F.lit(side), F.col(c))
+    named = pairs.withColumns({"_u": node(0, "pred_id"), "_v": node(1, "gt_id")})
+    comp = overlap_graph(named, "_u", "_v", size, keys)
+    return named.join(comp, named["_u"] == comp.id).groupBy("component")
 
 
 def _coded(pdf: pd.DataFrame, least: float = 0.0) -> tuple[Assignment, np.ndarray]:
     """An empty assignment of the pairs, and each pair's prediction by number."""
-    p, row = np.unique(pdf["pred_id"], return_inverse=True)
-    _, col = np.unique(pdf["gt_id"], return_inverse=True)
+    images = [c for c in pdf.columns if c.startswith("_on")]
+    row, col = (pdf.groupby([*images, c], sort=False).ngroup().to_numpy() for c in ("pred_id", "gt_id"))
     return Assignment(row, col, pdf["iou"].to_numpy(), least), row
 
 

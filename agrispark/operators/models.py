@@ -391,7 +391,9 @@ def genetic_routes(points: DataFrame, islands: int = 4, size: int = 60, rounds:
 
 
 def route_length(route: DataFrame) -> DataFrame:
-    """``zone, n_points, length`` of ordered points."""
-    w = Window.partitionBy("zone").orderBy("seq")
-    step = F.sqrt(F.pow(F.col("x") - F.lag("x").over(w), 2) + F.pow(F.col("y") - F.lag("y").over(w), 2))
-    return route.withColumn("_d", step).groupBy("zone").agg(F.count(F.lit(1)).alias("n_points"), F.coalesce(F.sum("_d"), F.lit(0.0)).alias("length"))
+    """``zone, n_points, length`` of ordered points (ties by ``fid``); each meets the next one in an equi-join on its rank."""
+    placed = ranked(route.select("zone", "seq", "fid", "x", "y"), "zone", "seq", "fid")
+    after = placed.select("zone", (F.col("_rank") - 1).alias("_rank"), F.col("x").alias("nx"), F.col("y").alias("ny"))
+    step = F.sqrt(F.pow(F.col("nx") - F.col("x"), 2) + F.pow(F.col("ny") - F.col("y"), 2))
+    met = placed.join(after, ["zone", "_rank"], "left")
+    return met.groupBy("zone").agg(F.count(F.lit(1)).alias("n_points"), F.coalesce(F.sum(step), F.lit(0.0)).alias("length"))

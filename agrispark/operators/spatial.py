@@ -301,18 +301,18 @@ def auc(points: DataFrame) -> DataFrame:
     return area.select(F.when(F.col("p") * F.col("n") > 0, F.col("a") / (F.col("p") * F.col("n"))).alias("auc"))
 
 
-def neighbour_graph(points: DataFrame, key: str, k: int, size: float, most_rings: int = 12) -> DataFrame:
+def neighbour_graph(points: DataFrame, key: str, k: int, size: float) -> DataFrame:
     """Each point's k nearest others (ties by key): ``key, other, dist, rank``.
 
     Points look into the grid cells around them. A point is settled if its
     k-th neighbour is no further than the ring just searched; the rest look
-    twice as far, so only sparse places pay for wide rings. Points still open
-    after ``most_rings`` doublings are an error, never left out.
+    twice as far, so only sparse places pay for wide rings. The last ring is
+    wider than all points together, so every point is settled.
     """
-    n = points.count()
-    base = points.select(key, "x", "y")
+    base = points.select(key, "x", "y").where("x is not null and y is not null")
+    n, wide = base.agg(F.count(F.lit(1)), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"))).first()
     open_, out, rings = base, None, 1
-    for _ in range(most_rings):
+    while True:
         cell = size * rings
         at = lambda c: F.floor(F.col(c) / cell)  # noqa: B023, E731
         right = base.select(F.col(key).alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), at("x").alias("_cx"), at("y").alias("_cy"))
@@ -322,11 +322,10 @@ def neighbour_graph(points: DataFrame, key: str, k: int, size: float, most_rings
         near = left.join(right, ["_cx", "_cy"]).where(F.col("other") != F.col(key)).select(key, "other", d2.alias("_d"))
         w = Window.partitionBy(key).orderBy("_d", "other")
         ranked = checkpointed(near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
-        done = ranked.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.max("_d").alias("_far")).where((F.col("_n") >= min(k, n - 1)) & (F.col("_far") < cell * cell))
+        done = ranked.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.max("_d").alias("_far")).where((F.col("_n") >= min(k, n - 1)) & ((F.col("_far") < cell * cell) | F.lit(cell > (wide or 0))))
         settled = ranked.join(done.select(key), key, "left_semi").select(key, "other", F.sqrt("_d").alias("dist"), "rank")
         out = settled if out is None else out.unionByName(settled)
         open_ = checkpointed(open_.join(done.select(key), key, "left_anti"))
         if n < 2 or open_.isEmpty():
             return out
         rings *= 2
-    raise RuntimeError(f"points further apart than {size * rings}: take a larger cell")

@@ -8,7 +8,7 @@ from agrispark.operators import labels as L, models as M, segments as G, spatial
 from agrispark.operators.detectors import Plain
 from agrispark.plans.fixtures import view
 from agrispark.plans.register import query
-from agrispark.plans.registry import _MASK, _TOK, mask_pixels
+from agrispark.plans.registry import _MASK, _STITCHED, _TOK, mask_pixels, routes_by_id
 from agrispark.session import scratch
 from agrispark.sources import files as S
 from agrispark.streaming import labels as T, segments as Z, tables as W
@@ -66,6 +66,14 @@ def s8_route_csv(spark, sf):
     return spark.read.option("header", True).schema("sequence long, orig_fid long, x double, y double").csv(path)
 
 
+@query("s8_stitched_csv", f"{_STITCHED} SELECT seq AS sequence, fid AS orig_fid, x, y FROM s")
+def s8_stitched_csv(spark, sf):
+    """Given routes of all zones, stitched, written as CSV and read back."""
+    path = _folder(spark)
+    S.write_route(M.stitched(routes_by_id(spark, sf), 8.0), path)
+    return spark.read.option("header", True).schema("sequence long, orig_fid long, x double, y double").csv(path)
+
+
 # --- names and datasets ----------------------------------------------------------------------------------------
 
 @query("l1_collapse_classes", "SELECT line_no, '0' || substr(line, strpos(line, ' ')) AS line FROM v_label_lines WHERE trim(line) <> ''")

@@ -480,7 +480,7 @@ _STITCHED = """WITH RECURSIVE r AS (SELECT zone, row_number() OVER (PARTITION BY
  s AS (SELECT CAST(first + CASE WHEN ways[CAST(place AS INT)] = 'b' THEN n - 1 - seq ELSE seq END AS BIGINT) AS seq, r.zone, fid, x, y FROM r JOIN o ON o.zone = r.zone, best)"""
 
 
-def _by_id(spark, sf):
+def routes_by_id(spark, sf):
     """The points of each zone in the order of their ids, as given routes."""
     place = F.row_number().over(Window.partitionBy("zone").orderBy("fid")) - 1
     return view(spark, sf, "v_points").select("zone", place.cast("long").alias("seq"), "fid", "x", "y")
@@ -488,12 +488,12 @@ def _by_id(spark, sf):
 
 @query("r6_stitched", f"{_STITCHED} SELECT seq, zone, fid, x, y FROM s")
 def r6_stitched(spark, sf):
-    return M.stitched(_by_id(spark, sf), 8.0)
+    return M.stitched(routes_by_id(spark, sf), 8.0)
 
 
 @query("r6_line", f"{_STITCHED} SELECT count(*) AS n_points, round(sum(sqrt(power(x - px, 2) + power(y - py, 2))), 4) AS length FROM (SELECT x, y, lag(x) OVER (ORDER BY seq) AS px, lag(y) OVER (ORDER BY seq) AS py FROM s) t")
 def r6_line(spark, sf):
-    return M.route_line(M.stitched(_by_id(spark, sf), 8.0)).withColumn("length", F.round("length", 4))
+    return M.route_line(M.stitched(routes_by_id(spark, sf), 8.0)).withColumn("length", F.round("length", 4))
 
 
 @query("r6_field_route")

@@ -538,3 +538,34 @@ def test_fusion_run_on_one_field(spark):
     assert (total.tp, total.fp, total.fn, total.precision) == (4, 2, 2, 0.6667)
     none = fusion.fusion_run(first.limit(0), second.limit(0), truths, 0.5)
     assert none.threshold is None and none.layer.count() == 0
+
+
+def test_scree_of_four_bands(spark):
+    r = np.random.default_rng(11)
+    x = r.normal(size=(300, 4)) @ r.normal(size=(4, 4)) + 5
+    df = spark.createDataFrame([tuple(map(float, v)) for v in x], "a double, b double, c double, d double")
+    values, vectors = np.linalg.eigh(np.cov(x.T, bias=True))
+    got = learning.scree(df, list("abcd")).orderBy("component").collect()
+    share = values[::-1] / values.sum()
+    assert np.allclose([g.share for g in got], share) and np.allclose([g.cumulative for g in got], np.cumsum(share))
+    assert [g.top for g in got] == ["abcd"[int(np.abs(vectors[:, k]).argmax())] for k in (3, 2, 1, 0)]
+
+
+def test_more_nu_accepts_less(spark):
+    r = np.random.default_rng(13)
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(r.normal(size=(400, 2)))], "id long, a double, b double")
+    share = []
+    for nu in (0.01, 0.1, 0.3, 0.6):
+        out = learning.one_class_exact_scores(df, ["a", "b"], "id", learning.fit_one_class_exact(df, ["a", "b"], "id", nu, 400))
+        share.append(np.mean([x.score >= -1e-9 for x in out.collect()]))
+    assert share == sorted(share, reverse=True) and all(abs(1 - s - nu) < 0.03 for s, nu in zip(share, (0.01, 0.1, 0.3, 0.6), strict=True))
+
+
+def test_neighbours_of_far_points(spark):
+    pts = [(0, 0.0, 0.0), (1, 1.0, 0.0), (2, 1e7, 0.0), (3, -1e7, 3e6), (4, 0.0, 0.0), (5, None, 1.0)]
+    got = {}
+    for g in spatial.neighbour_graph(spark.createDataFrame(pts, "id int, x double, y double"), "id", 2, 1.0).collect():
+        got.setdefault(g.id, {})[g["rank"]] = g.other
+    for i, x, y in pts[:5]:
+        near = sorted((np.hypot(x - a, y - b), j) for j, a, b in pts[:5] if j != i)
+        assert [got[i][1], got[i][2]] == [j for _, j in near[:2]]
