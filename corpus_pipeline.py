@@ -47,10 +47,15 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item; items of under five words, which clean texts hold too, decide nothing."""
+    """Documents without a benchmark item. Items of under five words, which clean texts hold by chance, have to be a whole line of a document, word for word."""
     named = _named(docs)
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").where(F.regexp_count("text", F.lit(r"\S+")) >= 5)
-    bad = contaminated(named, items, id_col="_row")
+    words = lambda c: F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").withColumn("_words", words(F.col("text")))
+    bad = contaminated(named, items.where(F.size("_words") >= 5).drop("_words"), id_col="_row").select("_row")
+    short = items.where(F.size("_words").between(1, 4)).select("_words").distinct()
+    if not short.isEmpty():
+        lines = named.select("_row", F.explode(F.split("text", "\n")).alias("line")).select("_row", words(F.col("line")).alias("_words"))
+        bad = bad.unionByName(lines.where(F.size("_words").between(1, 4)).join(stored(short), "_words", "left_semi").select("_row"))
     return _keep(named, bad, "left_anti")
 
 
