@@ -56,3 +56,12 @@ def test_odd_rows_in_every_stage(spark, texts, name, stage):
         assert got.columns == corpus_pipeline.COLUMNS
         once = {(r.doc_id, r.lang, r.source) for r in got.collect()}
         assert (1, None, None) in once
+
+
+def test_short_benchmark_items_are_whole_lines(spark, texts, tmp_path):
+    items = [(1, "the capital  city"), (2, "yes"), (3, ""), (4, None), (5, texts[0])]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, texts[1] + "\n the capital\tcity \nmore"), (2, texts[2] + " the capital city is"), (3, "yes"), (4, "yes and no"), (5, "Yes"), (6, None), (7, "a " + texts[0]), (None, texts[3] + "\nyes")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], KIND)
+    got = corpus_pipeline.decontaminate(spark, docs, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in got) == [2, 4, 5, 6]
