@@ -11,9 +11,37 @@ from pyspark.sql import Column, DataFrame, functions as F
 from agrispark.operators.spatial import BOX, cells
 
 
-def covered(box: np.ndarray, grown: np.ndarray, buffer: float) -> bool:
+#: Shapes that are looked at together; a box that more of them cross is halved first.
+MANY = 32
+
+
+def covered(box: np.ndarray, grown: np.ndarray, buffer: float, halvings: int = 24) -> bool:
     """Whether ``box`` lies in the union of the boxes ``grown``, each with all within ``buffer`` of it (corners are round).
 
+    Shapes out of reach are left out, and one that holds the whole box settles
+    it. A box that many shapes cross is halved along its longer side, so that
+    dense places cost little more than others.
+    """
+    x0, y0, x1, y1 = box
+    a, b, c, d = grown.T
+    near = np.hypot(np.maximum(np.maximum(a - x1, x0 - c), 0), np.maximum(np.maximum(b - y1, y0 - d), 0)) <= buffer
+    grown = grown[near]
+    a, b, c, d = grown.T
+    if (np.hypot(np.maximum(np.maximum(a - x0, x1 - c), 0), np.maximum(np.maximum(b - y0, y1 - d), 0)) <= buffer).any():
+        return True
+    if len(grown) < 2:
+        return False
+    if len(grown) > MANY and halvings:
+        axis = int(y1 - y0 > x1 - x0)
+        left, right = np.array(box, float), np.array(box, float)
+        left[axis + 2] = right[axis] = (box[axis] + box[axis + 2]) / 2
+        return covered(left, grown, buffer, halvings - 1) and covered(right, grown, buffer, halvings - 1)
+    return _covered_by_lines(box, grown, buffer)
+
+
+def _covered_by_lines(box: np.ndarray, grown: np.ndarray, buffer: float) -> bool:
+    """The same for few shapes.
+
     The outlines change their order along y only at certain x: at the ends of
     a box, where an arc meets another, or where one meets a level edge. Between
     two of these it is enough to look along one upright line, in its middle:

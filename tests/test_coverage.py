@@ -42,6 +42,25 @@ def test_random_boxes_agree_with_a_grid(spark):
         assert all(got[i] == (m >= 0) for i, m in enumerate(margins) if abs(m) > 0.01)
 
 
+def test_dense_places_are_halved():
+    r = np.random.default_rng(6)
+    low = r.uniform(0, 2, (500, 2))
+    dense = np.hstack([low, low])  # points
+    found = []
+    for _ in range(60):
+        low = r.uniform(0.2, 1.2, 2)
+        box = np.hstack([low, low + r.uniform(0.05, 0.6, 2)])
+        buffer = float(r.uniform(0.05, 0.12))
+        margin = by_grid(box, dense, buffer)
+        if abs(margin) > 0.004:
+            got = covered(box, dense, buffer)
+            assert got == (margin > 0)
+            found.append(got)
+        few = dense[:20]
+        assert covered(box, few, 0.4) == (by_grid(box, few, 0.4) > 0) or abs(by_grid(box, few, 0.4)) < 0.01
+    assert 0 < sum(found) < len(found) > 20
+
+
 def test_odd_rows(spark):
     a = spark.createDataFrame([(1, 0.0, 0.0, 1.0, 1.0), (2, None, 0.0, 1.0, 1.0), (3, 9.0, 9.0, 9.5, 9.5), (1, 0.0, 0.0, 1.0, 1.0)], f"id int, {KIND}")
     b = spark.createDataFrame([(0.0, 0.0, 0.4, 1.0), (0.6, 0.0, 1.0, 1.0), (0.6, 0.0, 1.0, 1.0), (None, 0.0, 1.0, 1.0)], KIND)
