@@ -24,6 +24,8 @@ LETTERS = "\0DIKR"
 DELETE, INSERT, KEEP, REROLE = 1, 2, 3, 4
 COST = {DELETE: 3, INSERT: 2, KEEP: 0, REROLE: 2}
 DIGIT = 3
+#: Letters that a number holds at most.
+PLACES = 1024
 #: What may follow: of each state, the state after each initial.
 START, SYSTEM, USER, ASSISTANT = range(4)
 AFTER = [{"s": SYSTEM, "u": USER}, {"u": USER}, {"a": ASSISTANT}, {"u": USER}]
@@ -32,47 +34,69 @@ NEXT = [USER, USER, ASSISTANT, USER]
 BLANK = r"[^\x20\x09-\x0D]"
 
 
-def cheapest(codes: str) -> tuple[int, str]:
+def cheapest(codes: str, places: int = PLACES) -> tuple[int, str]:
     """Cost and letters of the cheapest repair of rows given by ``codes``.
 
     A code is ``d`` (has to go), or the initial ``s``, ``u``, ``a`` or ``x``
-    (any other), as a capital if the row is cut short. Numbers have some six
-    bits a row, so the work on one conversation grows with the square of its
-    rows: 10,000 rows take about a second.
+    (any other), as a capital if the row is cut short. A number has a digit
+    for every letter of a whole repair. Beyond ``places`` letters the digits of
+    the furthest are cut off, so that work and memory follow the number of
+    rows: no two ways out of a state begin with the same letter, so the cost and the
+    first digit decide between them whatever is cut; the letters are then read
+    along the decisions, which are a byte for each row and state.
     """
-    width = DIGIT * (2 * len(codes) + 4)
+    n = len(codes)
+    size = min(2 * n + 4, max(places, 1))
+    whole = size == 2 * n + 4
+    width = DIGIT * size
     low, top = (1 << width) - 1, width - DIGIT
 
     def before(edit: int, rest: int, extra: int = 0) -> int:
         letters = rest & low
         return rest - letters + (COST[edit] + extra << width) + (edit << top) + (letters >> DIGIT)
 
-    never = 1 << width + 2 * len(codes).bit_length() + 8
-    best = [0, never, never, 0]
+    # a way out of a state: its number, insertions before the row, the row's edit (0: no row), the state after it
+    Way = tuple[int, int, int, int]
 
-    def with_inserts(own: list[int]) -> list[int]:
-        user = min(own[USER], before(INSERT, own[ASSISTANT]))
-        assistant = min(own[ASSISTANT], before(INSERT, own[USER]))
-        return [min(own[START], before(INSERT, user)), min(own[SYSTEM], before(INSERT, user)), user, assistant]
+    def insert(way: Way) -> Way:
+        return before(INSERT, way[0]), way[1] + 1, way[2], way[3]
 
-    best = with_inserts(best)
-    for code in reversed(codes):
-        own = [before(DELETE, rest) for rest in best]
+    def with_inserts(own: list[Way]) -> list[Way]:
+        user = min(own[USER], insert(own[ASSISTANT]))
+        assistant = min(own[ASSISTANT], insert(own[USER]))
+        return [min(own[START], insert(user)), min(own[SYSTEM], insert(user)), user, assistant]
+
+    taken = bytearray(0 if whole else 4 * (n + 1))
+
+    def keep(row: int, ways: list[Way]) -> list[int]:
+        if not whole:
+            taken[4 * row : 4 * row + 4] = bytes(inserts << 5 | edit << 2 | after for _, inserts, edit, after in ways)
+        return [way[0] for way in ways]
+
+    never = 1 << width + 2 * n.bit_length() + 8
+    best = keep(n, with_inserts([(0, 0, 0, START), (never, 0, 0, SYSTEM), (never, 0, 0, USER), (0, 0, 0, ASSISTANT)]))
+    for row in range(n - 1, -1, -1):
+        code = codes[row]
+        own = [(before(DELETE, rest), 0, DELETE, state) for state, rest in enumerate(best)]
         if code != "d":
             cut = int(code.isupper())
             for state in range(4):
-                own[state] = min(own[state], before(REROLE, best[NEXT[state]], cut))
+                own[state] = min(own[state], (before(REROLE, best[NEXT[state]], cut), 0, REROLE, NEXT[state]))
                 kept = AFTER[state].get(code.lower())
                 if kept is not None:
-                    own[state] = min(own[state], before(KEEP, best[kept], cut))
-        best = with_inserts(own)
-    letters = best[START] & low
-    out = []
-    for at in range(top, -1, -DIGIT):
-        digit = letters >> at & 7
-        if not digit:
-            break
-        out.append(LETTERS[digit])
+                    own[state] = min(own[state], (before(KEEP, best[kept], cut), 0, KEEP, kept))
+        best = keep(row, with_inserts(own))
+    out, state = [], START
+    if whole:
+        for at in range(top, -1, -DIGIT):
+            digit = best[START] >> at & 7
+            if not digit:
+                break
+            out.append(LETTERS[digit])
+    for row in range(0 if whole else n + 1):
+        way = taken[4 * row + state]
+        out.append("I" * (way >> 5) + (LETTERS[way >> 2 & 7] if way >> 2 & 7 else ""))
+        state = way & 3
     return best[START] >> width, "".join(out)
 
 

@@ -51,6 +51,14 @@ def test_long_conversations():
     cost, audit = turn_repair.cheapest(codes)
     assert len(re.sub("I", "", audit)) == 3000 and cost > 0
     assert turn_repair.cheapest("ua" * 2000) == (0, "K" * 4000)
+    assert turn_repair.cheapest(codes, 10**6) == (cost, audit)  # with a digit for every letter
+
+
+def test_cut_digits_change_no_decision():
+    rng = random.Random(2)
+    for _ in range(300):
+        codes = "".join(rng.choice(rng.choice(("suaxSUAXd", "ua", "uua", "dUA"))) for _ in range(rng.randrange(40)))
+        assert len({turn_repair.cheapest(codes, places) for places in (1, 2, 7, 10**6)}) == 1, codes
 
 
 def test_rows_and_digests(spark):
