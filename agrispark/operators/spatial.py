@@ -63,17 +63,21 @@ def overlap_ratio() -> Column:
     return F.when(small > 0, intersection() / small).otherwise(F.lit(0.0))
 
 
-def best_match(pred: DataFrame, gt: DataFrame, size: float = 1.0) -> DataFrame:
-    """Each prediction with its truth of highest IoU (ties: least gt_id): ``pred_id, gt_id, iou``; nulls without one."""
-    pairs = box_pairs(pred, gt, size).select("pred_id", F.col("b_gt_id").alias("gt_id"), iou().alias("iou")).where("iou > 0")
-    best = pairs.groupBy("pred_id").agg(F.max_by(F.struct("gt_id", "iou"), F.struct("iou", -F.col("gt_id"))).alias("m"))
-    return pred.select("pred_id").join(best, "pred_id", "left").select("pred_id", "m.gt_id", "m.iou")
+def best_match(pred: DataFrame, gt: DataFrame, size: float = 1.0, on: Sequence[str] = ()) -> DataFrame:
+    """Each prediction with its truth of highest IoU (ties: least gt_id): ``pred_id, gt_id, iou``, after the columns ``on``; nulls without one.
+
+    on: columns that name the image whose units the boxes are in.
+    """
+    keys = [*on, "pred_id"]
+    pairs = box_pairs(pred, gt, size, on=on).select(*keys, F.col("b_gt_id").alias("gt_id"), iou().alias("iou")).where("iou > 0")
+    best = pairs.groupBy(*keys).agg(F.max_by(F.struct("gt_id", "iou"), F.struct("iou", -F.col("gt_id"))).alias("m"))
+    return pred.select(*keys).join(best, keys, "left").select(*keys, "m.gt_id", "m.iou")
 
 
-def confusion(pred: DataFrame, gt: DataFrame, least: float = 0.5, size: float = 1.0) -> DataFrame:
-    """One row ``tp, fp, fn``; several predictions may share a truth."""
-    hit = best_match(pred, gt, size).where(F.col("iou") >= least)
-    tp = hit.agg(F.count(F.lit(1)).alias("tp"), F.countDistinct("gt_id").alias("met"))
+def confusion(pred: DataFrame, gt: DataFrame, least: float = 0.5, size: float = 1.0, on: Sequence[str] = ()) -> DataFrame:
+    """One row ``tp, fp, fn``; several predictions may share a truth. on: as in ``best_match``."""
+    hit = best_match(pred, gt, size, on).where(F.col("iou") >= least)
+    tp = hit.agg(F.count(F.lit(1)).alias("tp"), F.countDistinct(*on, "gt_id").alias("met"))
     n = pred.agg(F.count(F.lit(1)).alias("n_pred")).crossJoin(gt.agg(F.count(F.lit(1)).alias("n_gt")))
     return tp.crossJoin(n).select("tp", (F.col("n_pred") - F.col("tp")).alias("fp"), (F.col("n_gt") - F.col("met")).alias("fn"))  # one row each
 

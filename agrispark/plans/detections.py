@@ -274,6 +274,15 @@ def u5_fusion_run(spark, sf):
     return U.fusion_report(runs)
 
 
+@query("a2_image_confusion")
+def a2_image_confusion(spark, sf):
+    """As a2_a3_confusion, with labels in units of their images."""
+    return J.scores(J.confusion(*map(_image_units, _pair(spark, sf)), size=0.125, on=IMAGE))
+
+
+ORACLE_SQL["a2_image_confusion"] = ORACLE_SQL["a2_a3_confusion"]
+
+
 @query("a4_confusion_shares")
 def a4_confusion_shares(spark, sf):
     total = F.col("tp") + F.col("fp") + F.col("fn")

@@ -132,6 +132,10 @@ def test_images_are_matched_by_themselves(spark, split):
         "image string, gt_id long, class_id int, minx double, miny double, maxx double, maxy double",
     )
     assert [tuple(r)[:3] for r in matching.one_to_one(pred, gt, 0.5, on=["image"], split=split).collect()] == [("b", 1, 7)]
+    best = {(r.image, r.pred_id): r.gt_id for r in spatial.best_match(pred, gt, on=["image"]).collect()}
+    assert best == {("a", 1): None, ("b", 1): 7, ("b", 2): None, (None, 3): None, ("c", 1): 7}  # classes don't count here
+    c = spatial.confusion(pred, gt, on=["image"]).first()
+    assert (c.tp, c.fp, c.fn) == (2, 3, 2)
     s = matching.pr_sweep(pred, gt, steps=3, on=["image"], split=split).orderBy("threshold").first()
     assert (s.tp, s.fp, s.fn) == (1, 4, 3)
     assert matching.one_to_one(pred.limit(0), gt, on=["image"], split=split).count() == 0
