@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from agrispark.session import checkpoint
 
@@ -32,19 +33,19 @@ def least_reachable(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
 
 def _joined_up(edges: DataFrame, place: Sequence[str], closed: bool) -> DataFrame:
     """Edges ``u, v`` (and ``place``) as stars of the parts that those of one place make, one shuffle."""
-    kind = edges.schema["u"].dataType.simpleString()
+    kind, name = to_arrow_type(edges.schema["u"].dataType), edges.schema["u"].dataType.simpleString()
 
     def stars(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         ends = np.concatenate([np.concatenate([x[i] for x in held]) for i in (0, 1)])
         nodes, at = np.unique(ends, return_inverse=True)
         root = least_reachable(at[: len(at) // 2], at[len(at) // 2 :], len(nodes))
         leaf = np.flatnonzero(root != np.arange(len(nodes)))
-        return pa.RecordBatch.from_arrays([pa.array(nodes[leaf]), pa.array(nodes[root[leaf]])], names=["u", "v"])
+        return pa.RecordBatch.from_arrays([pa.array(nodes[leaf], kind), pa.array(nodes[root[leaf]], kind)], names=["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            u, v, where = (c.to_numpy() for c in batch.columns)
+            u, v, where = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
             if size > CHUNK:  # a closed place is cut nowhere
                 first = np.flatnonzero(where != last) if closed else np.array([0])
                 cut = int(first[0]) if len(first) else len(u)
@@ -60,14 +61,14 @@ def _joined_up(edges: DataFrame, place: Sequence[str], closed: bool) -> DataFram
             yield stars(held)
 
     dealt = edges.select("u", "v", F.xxhash64(*place).alias("w")).repartition("w").sortWithinPartitions("w")
-    return dealt.mapInArrow(run, f"u {kind}, v {kind}")
+    return dealt.mapInArrow(run, f"u {name}, v {name}")
 
 
 def closed_components(edges: DataFrame, place: Sequence[str], u: str = "u", v: str = "v") -> DataFrame:
     """As ``connected_components``, of edges none of which leaves its place (``place``: columns), such as a tile.
 
     One shuffle, by place; a task holds the edges of one place (or of several
-    that together are few), so a place must be of bounded size. Ids are numbers.
+    that together are few), so a place must be of bounded size. Ids are numbers or strings.
     """
     e = edges.select(*place, F.col(u).alias("u"), F.col(v).alias("v")).where("u is not null and v is not null and u <> v")
     star = _joined_up(e, place, closed=True)
@@ -91,7 +92,7 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v", place: Se
     combine, and is cut with a reliable checkpoint. Nulls and self-loops are
     ignored; repeated edges count once. An empty table gives no rows.
 
-    place: columns that say roughly where an edge is (ids are numbers then).
+    place: columns that say roughly where an edge is (ids are numbers or strings then).
     Edges of one place are first joined up in a task, in chunks of bounded
     size, so that rounds are needed only for what reaches over several places.
     Building the query runs the rounds.

@@ -162,6 +162,9 @@ def test_local_parts_join_up(spark):
     assert sorted(map(tuple, connected_components(df, place=["p"]).collect())) == plain
     home = df.where("v is not null").withColumn("v", F.expr("50 * p + v % 50"))
     assert sorted(map(tuple, closed_components(home, ["p"]).collect())) == sorted(map(tuple, connected_components(home).collect()))
+    named = home.select(F.concat(F.lit("n"), "u").alias("u"), F.concat(F.lit("n"), "v").alias("v"), "p")
+    plain = sorted(map(tuple, connected_components(named).collect()))
+    assert sorted(map(tuple, closed_components(named, ["p"]).collect())) == plain == sorted(map(tuple, connected_components(named, place=["p"]).collect()))
     assert closed_components(home.limit(0), ["p"]).count() == 0 == connected_components(home.limit(0), place=["p"]).count()
 
 
