@@ -156,9 +156,10 @@ def judge(urls: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame:
 
 
 def default_rules(spark: SparkSession) -> DataFrame:
-    sites = spark.createDataFrame(SITES, "host string, path string, verdict string")
-    patterns = spark.createDataFrame(PATTERNS, "pattern string, verdict string")
-    return site_rules(sites).unionByName(pattern_rules(patterns))
+    def table(rows: list[tuple], *names: str) -> DataFrame:
+        return spark.range(1).select(F.inline(F.array(*(F.struct(*(F.lit(v).alias(n) for v, n in zip(row, names, strict=True))) for row in rows))))
+
+    return site_rules(table(SITES, "host", "path", "verdict")).unionByName(pattern_rules(table(PATTERNS, "pattern", "verdict")))
 
 
 def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

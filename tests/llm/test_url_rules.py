@@ -68,5 +68,6 @@ def test_native_and_sql(spark):
     sf = f"{oracle.DATA}/sf0.01"
     out = url_rules.op13_url_filter(spark, sf)
     plan = out._jdf.queryExecution().toString()
-    assert not re.search("Python|Arrow|Pandas|CartesianProduct|NestedLoop", plan)
+    rules = url_rules.default_rules(spark)._jdf.queryExecution().toString()
+    assert not re.search("Python|Arrow|Pandas|ExistingRDD|CartesianProduct|NestedLoop", plan + rules)
     assert oracle.same(out, oracle.connect(sf), ORACLES["op13_url_filter"]) == ""
