@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from agrispark.operators.chunks import in_chunks, starts
 from agrispark.operators.components import connected_components
 from agrispark.operators.ranges import running_sums
 from agrispark.session import checkpoint as checkpointed
@@ -183,11 +184,13 @@ def merge_greedy(boxes: DataFrame, key: str, least: float = 0.1, size: float = 1
     kind = boxes.schema[key].dataType.simpleString()
 
     def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key, ignore_index=True)
-        return pd.DataFrame({"_id": pdf[key], "group_id": pdf[key].to_numpy()[grown_groups(pdf[BOX].to_numpy(float), least)]})
+        rows, first = pdf[BOX].to_numpy(float), starts(pdf["component"].to_numpy())
+        ends = [*first.tolist(), len(pdf)]
+        group = np.concatenate([lo + grown_groups(rows[lo:hi], least) for lo, hi in zip(ends, ends[1:], strict=False)])
+        return pd.DataFrame({"_id": pdf[key], "group_id": pdf[key].to_numpy()[group]})
 
-    inside = boxes.join(comp, boxes[key] == comp.id)
-    grown = inside.groupBy("component").applyInPandas(replay, f"_id {kind}, group_id {kind}")
+    inside = boxes.join(comp, boxes[key] == comp.id).select("component", key, *BOX)
+    grown = in_chunks(inside, ["component"], replay, f"_id {kind}, group_id {kind}", order=[key])
     named = boxes.join(grown, boxes[key] == grown["_id"], "left").withColumn("group_id", F.coalesce("group_id", key))
     return named.groupBy("group_id").agg(
         F.count(F.lit(1)).alias("n"), F.min("minx").alias("minx"), F.min("miny").alias("miny"), F.max("maxx").alias("maxx"), F.max("maxy").alias("maxy"),
