@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, GroupedData, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
+from agrispark.operators.chunks import in_chunks
 from agrispark.operators.spatial import box_pairs, iou, overlap_graph
 
 
@@ -89,16 +90,20 @@ def _pairs(pred: DataFrame, gt: DataFrame, size: float, on: Sequence[str]) -> Da
     return pairs.select(*keys, "minx", "miny", "pred_id", "conf", F.col("b_gt_id").alias("gt_id"), iou().alias("iou")).where("iou > 0")
 
 
-def _groups(pred: DataFrame, gt: DataFrame, size: float, on: Sequence[str], split: bool) -> GroupedData:
-    """Overlapping pairs of one class in groups that can be assigned by themselves: images, or components of the overlap graph."""
+def _by_groups(pred: DataFrame, gt: DataFrame, size: float, on: Sequence[str], split: bool, call: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """``call`` on overlapping pairs of one class, in groups that can be assigned by themselves: images, or components of the overlap graph.
+
+    Many whole groups come at once: pairs of different groups share no end, so each path that an assignment takes stays in its own group.
+    """
     pairs, keys = _pairs(pred, gt, size, on), [f"_on{i}" for i in range(len(on))]
     if on and not split:
-        return pairs.groupBy(*keys)
+        return in_chunks(pairs, keys, call, schema, ["pred_id", "gt_id"])
     # ids may repeat in another image; two nodes of one hash only put two components into one group
     node = lambda side, c: F.xxhash64(*keys, F.lit(side), F.col(c))
     named = pairs.withColumns({"_u": node(0, "pred_id"), "_v": node(1, "gt_id")})
     comp = overlap_graph(named, "_u", "_v", size, keys)
-    return named.join(comp, named["_u"] == comp.id).groupBy("component")
+    inside = named.join(comp, named["_u"] == comp.id).select("component", *keys, "pred_id", "gt_id", "conf", "iou")
+    return in_chunks(inside, ["component"], call, schema, [*keys, "pred_id", "gt_id"])
 
 
 def _coded(pdf: pd.DataFrame, least: float = 0.0) -> tuple[Assignment, np.ndarray]:
@@ -127,7 +132,7 @@ def one_to_one(pred: DataFrame, gt: DataFrame, least: float = 0.5, size: float =
         return pdf.iloc[found.pairs()][[*names, "pred_id", "gt_id", "iou"]]
 
     kinds = "".join(f"{n} {pred.schema[c].dataType.simpleString()}, " for n, c in zip(names, on, strict=True))
-    out = _groups(pred, gt, size, on, split).applyInPandas(best, f"{kinds}pred_id long, gt_id long, iou double").where(F.col("iou") >= least)
+    out = _by_groups(pred, gt, size, on, split, best, f"{kinds}pred_id long, gt_id long, iou double").where(F.col("iou") >= least)
     return out.select(*(F.col(n).alias(c) for n, c in zip(names, on, strict=True)), "pred_id", "gt_id", "iou")
 
 
@@ -164,11 +169,14 @@ def pr_sweep(pred: DataFrame, gt: DataFrame, lowest: float = 0.001, steps: int =
             before = found.hits
         return pd.DataFrame(out, columns=["step", "gained"])
 
-    tp = _groups(pred, gt, size, on, split).applyInPandas(counts, "step int, gained long").groupBy("step").agg(F.sum("gained").alias("gained"))
+    tp = _by_groups(pred, gt, size, on, split, counts, "step int, gained long").groupBy("step").agg(F.sum("gained").alias("gained"))
     spark = pred.sparkSession
     axis = spark.createDataFrame([(i, float(t)) for i, t in enumerate(levels)], "step int, threshold double")
-    # the greatest step whose threshold a confidence reaches, by comparison with the exact thresholds
-    place = F.aggregate(F.array(*(F.lit(float(t)) for t in levels)), F.lit(0), lambda n, t: n + (t > F.col("conf")).cast("int"))
+    # the thresholds above a confidence, counted by comparison with the exact ones around the place that even spacing gives
+    exact, gap = F.lit(levels.tolist()), (1.0 - lowest) / (steps - 1) if steps > 1 and lowest < 1 else 0.0
+    near = F.least(F.greatest(F.floor((1.0 - F.col("conf")) / gap) - 1, F.lit(0)), F.lit(steps)).cast("int") if gap else F.lit(0)
+    above = [F.coalesce(F.get(exact, near + i) > F.col("conf"), F.lit(False)).cast("int") for i in range(3 if gap else steps)]
+    place = F.when(F.isnan("conf"), 0).otherwise(near + sum(above[1:], above[0]))
     n = pred.where(F.col("conf") >= lowest).select(place.alias("step")).groupBy("step").agg(F.count(F.lit(1)).alias("n"))
     down = Window.orderBy("step").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # as many rows as steps
     run = axis.join(F.broadcast(tp), "step", "left").join(F.broadcast(n), "step", "left").select(

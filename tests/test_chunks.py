@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from agrispark.operators import chunks, polygons, spatial
+from agrispark.operators import chunks, matching, polygons, spatial
 
 
 def test_batches_are_cut_between_groups():
@@ -68,3 +68,17 @@ def test_single_boxes_with_odd_bounds(spark):
     assert (got[2].x, got[2].y) == ([6, 6, 6, 6], [5, 5, 7, 7])
     assert got[3].n == 2
     np.testing.assert_allclose(sorted(got[3].x), sorted([20.0, 21.0, 31.0, 30.0]), atol=1.1)
+
+
+def test_matching_calls_python_by_chunks_and_counts_as_matching_each_threshold(spark):
+    pred = _layer(spark, 400)
+    gt = _layer(spark, 200).select(F.col("pred_id").alias("gt_id"), "class_id", F.col("minx") + 0.05, "miny", F.col("maxx") + 0.05, "maxy").toDF("gt_id", "class_id", "minx", "miny", "maxx", "maxy")
+    swept = matching.pr_sweep(pred, gt, lowest=0.01, steps=12)
+    for df in (swept, matching.one_to_one(pred, gt)):
+        assert "FlatMapGroupsInPandas" not in df._jdf.queryExecution().executedPlan().toString()
+    rows = {round(r.threshold, 6): (r.tp, r.fp) for r in swept.collect()}
+    assert len(rows) == 12 and max(tp for tp, _ in rows.values()) > 20
+    for t in np.linspace(1.0, 0.01, 12)[[0, 4, 11]].tolist():
+        kept = pred.where(F.col("conf") >= t)
+        tp = matching.one_to_one(kept, gt).count()
+        assert rows[round(t, 6)] == (tp, kept.count() - tp)
