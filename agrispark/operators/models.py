@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -299,17 +299,33 @@ def route_line(route: DataFrame) -> DataFrame:
     return route.select("seq", "x", "y").join(after, "seq", "left").agg(F.count(F.lit(1)).alias("n_points"), F.coalesce(F.sum(step), F.lit(0.0)).alias("length"))
 
 
+def by_places(points: np.ndarray, route: Callable[[np.ndarray], list[int]]) -> list[int]:
+    """A route of points from one of their places: copies at one place follow each other in their given order, at no length.
+
+    The work follows the places, so points that lie on each other cost nothing.
+    """
+    _, first, place = np.unique(points, axis=0, return_index=True, return_inverse=True)
+    if len(first) == len(points):
+        return route(points)
+    seen = np.argsort(first)  # places in the order in which the points name them
+    number = np.argsort(seen)[place.ravel()]
+    ends = np.cumsum(np.bincount(number))
+    copies = np.split(np.argsort(number, kind="stable"), ends[:-1])
+    return [int(i) for k in route(points[first[seen]]) for i in copies[k]]
+
+
 def zone_routes(points: DataFrame, most: int = 5000, near: int | None = None) -> DataFrame:
     """A short open route through the points of each zone: ``zone, seq, fid, x, y``; zones under 3 points have none.
 
     Zones are independent groups; one with more than ``most`` points is cut
-    into bands along x first, so that no group grows with the input.
+    into bands along x first, so that no group grows with the input. Points at
+    one place are one stop.
     """
 
     def order(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["x", "fid"]).reset_index(drop=True)
         at = pdf[["x", "y"]].to_numpy()
-        route = two_opt(at, nearest_order(at), near)
+        route = by_places(at, lambda spots: two_opt(spots, nearest_order(spots), near))
         return pdf.loc[route, ["zone", "band", "fid", "x", "y"]].assign(seq=range(len(route)))
 
     return in_sequence(zone_bands(points, most).groupBy("zone", "band").applyInPandas(order, "zone int, band long, fid long, x double, y double, seq long"))
@@ -380,7 +396,9 @@ def genetic_routes(points: DataFrame, islands: int = 4, size: int = 60, rounds:
         pdf = pdf.sort_values(["x", "fid"], ignore_index=True)
         first = pdf.iloc[0]
         rng = np.random.default_rng([seed, int(first.zone) % 2**32, int(first.band), int(first.island)])
-        route, length = evolved(pdf[["x", "y"]].to_numpy(), rng, size, rounds, patience, mutation)
+        at = pdf[["x", "y"]].to_numpy()
+        route = by_places(at, lambda spots: evolved(spots, rng, size, rounds, patience, mutation)[0].tolist())
+        length = float(np.hypot(*np.diff(at[route], axis=0).T).sum())
         stops = [{"seq": i, "fid": f, "x": x, "y": y} for i, (f, x, y) in enumerate(pdf.loc[route, ["fid", "x", "y"]].itertuples(index=False))]
         return pd.DataFrame({"zone": [first.zone], "band": [first.band], "island": [first.island], "length": [length], "stops": [stops]})
 

@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from agrispark.operators import chunks, matching, polygons, spatial
+from agrispark.operators import chunks, matching, models, polygons, spatial
 
 
 def test_batches_are_cut_between_groups():
@@ -82,3 +82,23 @@ def test_matching_calls_python_by_chunks_and_counts_as_matching_each_threshold(s
         kept = pred.where(F.col("conf") >= t)
         tp = matching.one_to_one(kept, gt).count()
         assert rows[round(t, 6)] == (tp, kept.count() - tp)
+
+
+def test_routes_stop_once_at_a_place():
+    """Twenty points at each of thirty places: routes are searched among the places, and are as long as theirs."""
+    rng = np.random.default_rng(5)
+    spots = rng.integers(0, 1000, (30, 2)) / 8
+    points = spots[rng.permutation(np.repeat(np.arange(30), 20))]
+    asked = []
+
+    def search(at):
+        asked.append(len(at))
+        return models.two_opt(at, models.nearest_order(at))
+
+    route = models.by_places(points, search)
+    length = lambda at: np.hypot(*np.diff(at, axis=0).T).sum()
+    assert asked == [30] and sorted(route) == list(range(600))
+    firsts = points[np.sort(np.unique(points, axis=0, return_index=True)[1])]
+    assert abs(length(points[route]) - length(firsts[search(firsts)])) < 1e-9
+    assert models.by_places(spots, search) == search(spots)
+    assert models.by_places(np.zeros((4, 2)), lambda at: models.evolved(at, rng, 6, 3, 2, 0.1)[0].tolist()) == [0, 1, 2, 3]
