@@ -42,20 +42,13 @@ class Distance:
         shares = np.cumsum(values) / max(values.sum(), 1e-300)
         kept = min(len(values), max(self.least, int(np.searchsorted(shares, self.share - 1e-12)) + 1))
         self.loads = vectors[:kept] / sd
-        names = self._names()
-        flat = self._projected(features).select(*names)
-        self.cov, self.shrinkage = M.ledoit_wolf(flat, names, np.zeros(kept), np.diag(values[:kept]))
+        self.cov, self.shrinkage = M.shrunk(features, M.squared(self.columns, self.mean, self.loads), np.diag(values[:kept]))
+        spread, axes = np.linalg.eigh(np.linalg.pinv(self.cov))
+        self.white = np.sqrt(np.maximum(spread, 0))[:, None] * axes.T @ self.loads
         return self
 
-    def _names(self) -> list[str]:
-        return [f"_component_{i}" for i in range(len(self.loads))]
-
-    def _projected(self, features: DataFrame) -> DataFrame:
-        return features.select("*", *(c.alias(n) for n, c in zip(self._names(), E.projected(self.columns, self.mean, self.loads), strict=True)))
-
     def score(self, features: DataFrame) -> DataFrame:
-        names = self._names()
-        return self._projected(features).withColumn("score", -M.mahalanobis(names, np.zeros(len(names)), self.cov)).drop(*names)
+        return features.withColumn("score", -F.sqrt(M.squared(self.columns, self.mean, self.white)))
 
 
 class Plain:

@@ -11,19 +11,47 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def moments(df: DataFrame, columns: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and covariance (population) in one pass; d values and d * d reach the driver."""
+def moments(df: DataFrame, columns: list[str], few: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and covariance (population, of the rows that have both values); d values and d * d for each task reach the driver.
+
+    One pass of aggregates for a ``few`` columns. Of more, d * d aggregates are more than one plan holds: a second pass
+    sums the products of centred values as matrices, task by task.
+    """
     d = len(columns)
-    one = df.agg(*(F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)), *(F.covar_pop(columns[i], columns[j]).alias(f"c{i}_{j}") for i in range(d) for j in range(i, d))).first()
+    means = [F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)]
+    if d <= few:
+        one = df.agg(*means, *(F.covar_pop(columns[i], columns[j]).alias(f"c{i}_{j}") for i in range(d) for j in range(i, d))).first()
+        mean = np.array([one[f"m{i}"] for i in range(d)])
+        return mean, np.array([[one[f"c{min(i, j)}_{max(i, j)}"] for j in range(d)] for i in range(d)])
+    one = df.agg(*means).first()
     mean = np.array([one[f"m{i}"] for i in range(d)])
-    return mean, np.array([[one[f"c{min(i, j)}_{max(i, j)}"] for j in range(d)] for i in range(d)])
+    centre = np.array([0.0 if m is None else m for m in mean])
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((3, d, d))
+        for batch in batches:
+            has = np.column_stack([c.is_valid().to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float)
+            x = np.column_stack([c.fill_null(0.0).to_numpy(zero_copy_only=False) for c in batch.columns])
+            x = np.where(has > 0, x - centre, 0.0)
+            total += np.stack([has.T @ has, x.T @ has, x.T @ x])
+        yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], names=["s"])
+
+    parts = df.select(*(F.col(c).cast("double") for c in columns)).mapInArrow(sums, "s array<double>").collect()  # a row for each task
+    n, own, both = np.sum([np.reshape(r["s"], (3, d, d)) for r in parts], axis=0)
+    n = np.where(n > 0, n, np.nan)
+    return mean, both / n - own / n * (own / n).T
 
 
 def ledoit_wolf(df: DataFrame, columns: list[str], mean: np.ndarray, cov: np.ndarray) -> tuple[np.ndarray, float]:
     """Covariance shrunk towards its mean variance, and the shrinkage; needs one more pass."""
-    d = len(columns)
     centred = [F.col(c) - float(m) for c, m in zip(columns, mean, strict=True)]
-    r = df.agg(F.avg(sum((x * x for x in centred[1:]), centred[0] * centred[0]) ** 2).alias("q"), F.count(F.lit(1)).alias("n")).first()
+    return shrunk(df, sum((x * x for x in centred[1:]), centred[0] * centred[0]), cov)
+
+
+def shrunk(df: DataFrame, square: Column, cov: np.ndarray) -> tuple[np.ndarray, float]:
+    """``ledoit_wolf`` by the squared distance of a row from the mean."""
+    d = len(cov)
+    r = df.agg(F.avg(square**2).alias("q"), F.count(F.lit(1)).alias("n")).first()
     mu = np.trace(cov) / d
     delta = ((cov - mu * np.eye(d)) ** 2).sum() / d
     beta = min(delta, (r["q"] - (cov**2).sum()) / (d * r["n"]))
@@ -31,6 +59,12 @@ def ledoit_wolf(df: DataFrame, columns: list[str], mean: np.ndarray, cov: np.nda
     return (1 - shrink) * cov + shrink * mu * np.eye(d), shrink
 
 
+def squared(columns: list[str], mean: np.ndarray, matrix: np.ndarray) -> Column:
+    """The squared length of ``matrix @ (row - mean)``, as an expression whose size doesn't grow with the matrix; null if a value is null."""
+    centred = F.transform(F.array(*(F.col(c).cast("double") for c in columns)), lambda x, i: x - F.get(F.lit([float(m) for m in mean]), i))
+    return F.aggregate(F.lit(matrix.tolist()), F.lit(0.0), lambda s, row: s + F.pow(dot(row, centred), F.lit(2.0)))
+
+
 def mahalanobis(columns: list[str], mean: np.ndarray, cov: np.ndarray) -> Column:
     """Distance as one expression over the columns; a singular covariance takes its pseudo-inverse."""
     inv = np.linalg.pinv(cov)

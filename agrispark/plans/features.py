@@ -8,6 +8,7 @@ from agrispark.functions import spectral as S
 from agrispark.operators import detectors as D, features as T, models as M
 from agrispark.plans.fixtures import view
 from agrispark.plans.register import half_up, query
+from agrispark.session import stored
 
 COLUMNS = ["nir", "red"]
 CUT = round(2 * 0.534065766 - 1, 9)  # the threshold is stated for the index scaled to 0..1
@@ -64,7 +65,7 @@ def f4_binary_patterns(spark, sf):
 @query("o17_o18_scored_layer")
 def o17_o18_scored_layer(spark, sf):
     """Square polygons scored by a detector that is fitted on all of their textures."""
-    layer, found = _rings(spark, sf), _matrix(spark, sf)
+    layer, found = _rings(spark, sf), stored(_matrix(spark, sf))  # several passes read it
     detector = D.Distance(T.feature_names(COLUMNS)).fit(found)
     return D.score_layer(layer, found, detector, D.cut_at(detector, found, 0.05)).select("obj", F.round("score", 5).alias("score"), "is_inlier")
 
