@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -111,9 +111,13 @@ def overlap_graph(pairs: DataFrame, u: Column | str, v: Column | str, size: floa
     return connected_components(edges, place=[*(f"_on{i}" for i in range(len(on))), "_bx", "_by"])
 
 
-def merge_boxes(boxes: DataFrame, key: str, least: float = 0.1, size: float = 1.0, confidence: str = "max") -> DataFrame:
-    """Boxes of each component of the overlap graph as one: bounds, confidence by rule, class of the least key."""
-    rule = {"max": F.max, "avg": F.avg, "min": F.min}[confidence]
+def merge_boxes(boxes: DataFrame, key: str, least: float = 0.1, size: float = 1.0, confidence: str | Mapping[str, str] = "max") -> DataFrame:
+    """Boxes of each component of the overlap graph as one: bounds, confidence by rule, class of the least key.
+
+    confidence: the rule of ``conf``, or columns with a rule each.
+    """
+    rules = {"max": F.max, "avg": F.avg, "min": F.min}
+    asked = {"conf": confidence} if isinstance(confidence, str) else confidence
     pairs = box_pairs(boxes, boxes, size).where(F.col(key) < F.col(f"b_{key}")).where(overlap_ratio() >= least)
     comp = overlap_graph(pairs, key, f"b_{key}", size)
     return (
@@ -121,7 +125,7 @@ def merge_boxes(boxes: DataFrame, key: str, least: float = 0.1, size: float = 1.
         .groupBy(F.coalesce("component", key).alias("group_id"))
         .agg(
             F.count(F.lit(1)).alias("n"), F.min("minx").alias("minx"), F.min("miny").alias("miny"), F.max("maxx").alias("maxx"), F.max("maxy").alias("maxy"),
-            rule("conf").alias("conf"), F.min_by("class_id", key).alias("class_id"),
+            *(rules[r]("conf").alias(c) for c, r in asked.items()), F.min_by("class_id", key).alias("class_id"),
         )
     )
 
@@ -308,31 +312,36 @@ def auc(points: DataFrame) -> DataFrame:
     return area.select(F.when(F.col("p") * F.col("n") > 0, F.col("a") / (F.col("p") * F.col("n"))).alias("auc"))
 
 
-def neighbour_graph(points: DataFrame, key: str, k: int, size: float) -> DataFrame:
+def neighbour_graph(points: DataFrame, key: str, k: int, size: float, many: int = 20_000) -> DataFrame:
     """Each point's k nearest others (ties by key): ``key, other, dist, rank``.
 
     Points look into the grid cells around them. A point is settled if its
     k-th neighbour is no further than the ring just searched; the rest look
     twice as far, so only sparse places pay for wide rings. The last ring is
-    wider than all points together, so every point is settled.
+    wider than all points together, so every point is settled. Points are dealt
+    into tasks of about ``many``, so a task's candidates don't grow with them.
     """
     base = points.select(key, "x", "y").where("x is not null and y is not null")
     n, wide = base.agg(F.count(F.lit(1)), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"))).first()
-    open_, out, rings = base, None, 1
+    open_, out, rings, left_over = base, None, 1, n
+    usual = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     while True:
         cell = size * rings
+        tasks = max(usual, -(-left_over // many))
         at = lambda c: F.floor(F.col(c) / cell)  # noqa: B023, E731
         right = base.select(F.col(key).alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), at("x").alias("_cx"), at("y").alias("_cy"))
         around = lambda c: F.explode(F.sequence(at(c) - 1, at(c) + 1))  # noqa: B023, E731
         left = open_.withColumn("_cx", around("x")).withColumn("_cy", around("y"))
         d2 = F.pow(F.col("ox") - F.col("x"), 2) + F.pow(F.col("oy") - F.col("y"), 2)
-        near = left.join(right, ["_cx", "_cy"]).where(F.col("other") != F.col(key)).select(key, "other", d2.alias("_d"))
+        both = left.repartition(tasks, "_cx", "_cy").join(right.repartition(max(usual, -(-n // many)), "_cx", "_cy"), ["_cx", "_cy"]) if tasks > usual else left.join(right, ["_cx", "_cy"])
+        near = both.where(F.col("other") != F.col(key)).select(key, "other", d2.alias("_d")).repartition(tasks, key)
         w = Window.partitionBy(key).orderBy("_d", "other")
         ranked = checkpointed(near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k))
         done = ranked.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.max("_d").alias("_far")).where((F.col("_n") >= min(k, n - 1)) & ((F.col("_far") < cell * cell) | F.lit(cell > (wide or 0))))
         settled = ranked.join(done.select(key), key, "left_semi").select(key, "other", F.sqrt("_d").alias("dist"), "rank")
         out = settled if out is None else out.unionByName(settled)
         open_ = checkpointed(open_.join(done.select(key), key, "left_anti"))
-        if n < 2 or open_.isEmpty():
+        left_over = open_.count()
+        if n < 2 or not left_over:
             return out
         rings *= 2

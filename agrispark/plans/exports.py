@@ -83,8 +83,8 @@ ORACLE_SQL["f14_feature_table"] = ORACLE_SQL["f10_tfidf"]
  SELECT group_id, max(conf) AS most, min(conf) AS least, round(avg(conf), 6) AS mean FROM v_pred JOIN comp ON comp.n = pred_id GROUP BY group_id""")
 def x3_confidence_rules(spark, sf):
     pred = view(spark, sf, "v_pred")
-    each = [J.merge_boxes(pred, "pred_id", 0.4, confidence=rule).select("group_id", F.col("conf").alias(name)) for rule, name in (("max", "most"), ("min", "least"), ("avg", "mean"))]
-    return each[0].join(each[1], "group_id").join(each[2], "group_id").select("group_id", "most", "least", half_up("mean", 6).alias("mean"))
+    merged = J.merge_boxes(pred, "pred_id", 0.4, confidence={"most": "max", "least": "min", "mean": "avg"})
+    return merged.select("group_id", "most", "least", half_up("mean", 6).alias("mean"))
 
 
 @query("x4_feature_parameters", lbp_sql("red", 2, 12))

@@ -102,3 +102,22 @@ def test_routes_stop_once_at_a_place():
     assert abs(length(points[route]) - length(firsts[search(firsts)])) < 1e-9
     assert models.by_places(spots, search) == search(spots)
     assert models.by_places(np.zeros((4, 2)), lambda at: models.evolved(at, rng, 6, 3, 2, 0.1)[0].tolist()) == [0, 1, 2, 3]
+
+
+def test_confidences_by_several_rules_come_from_one_merge(spark, monkeypatch):
+    layer, runs = _layer(spark, 300), []
+    graph = spatial.overlap_graph
+    monkeypatch.setattr(spatial, "overlap_graph", lambda *a, **k: runs.append(1) or graph(*a, **k))
+    got = {r.group_id: r for r in spatial.merge_boxes(layer, "pred_id", 0.2, confidence={"most": "max", "least": "min", "mean": "avg"}).collect()}
+    assert len(runs) == 1
+    for rule, name in (("max", "most"), ("min", "least"), ("avg", "mean")):
+        alone = {r.group_id: r.conf for r in spatial.merge_boxes(layer, "pred_id", 0.2, confidence=rule).collect()}
+        assert alone.keys() == got.keys() and all(abs(alone[g] - got[g][name]) < 1e-12 for g in alone)
+
+
+def test_neighbours_are_dealt_into_tasks_of_bounded_size(spark):
+    """With small tasks the graph is the same as with one; before, the number of tasks didn't follow the points."""
+    rng = np.random.default_rng(4)
+    points = spark.createDataFrame([(i, *p) for i, p in enumerate((rng.integers(0, 400, (500, 2)) / 8).tolist())], "id long, x double, y double")
+    rows = lambda df: sorted((r.id, r.other, r["rank"]) for r in df.collect())
+    assert rows(spatial.neighbour_graph(points, "id", 4, 2.0, many=20)) == rows(spatial.neighbour_graph(points, "id", 4, 2.0))
