@@ -173,8 +173,10 @@ def t2_scored_stream(spark, sf):
 def t1_tile_stream(spark, sf):
     """Label files named after their tiles, as a stream whose running counts by tile are merged into a table batch by batch."""
     path = _folder(spark)
-    S.write_labels(view(spark, sf, "v_label_lines").repartition(8, "stem"), path, ["stem"])  # a folder for each stem
-    files = T.label_stream(spark, path, 40)
+    lines = view(spark, sf, "v_label_lines")
+    S.write_labels(lines.repartition(8, "stem"), path, ["stem"])  # a folder for each stem
+    n = lines.agg(F.countDistinct("stem")).first()[0]
+    files = T.label_stream(spark, path, max(40, -(-n // 16)))  # a batch costs time of its own, so many files come in larger ones
     named = files.withColumn("file", F.regexp_extract("file", "stem=([^/]*)", 1))
     counts = W.merged(T.tile_counts(named), ["tile_row", "tile_col"], _folder(spark), _folder(spark), fold_every=4)
     return counts.withColumn("mean_conf", F.round("mean_conf", 6))
