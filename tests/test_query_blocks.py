@@ -2,7 +2,9 @@
 
 import numpy as np
 
-from agrispark.operators import models
+from pyspark.sql import functions as F
+
+from agrispark.operators import learning, models
 
 
 def test_blocks_give_the_same(spark):
@@ -26,3 +28,19 @@ def test_search_matches_brute_force(spark):
         for most in (1000, 9):
             got = models.similar(d.where("desc_id % 7 = 0 and desc_id < 300"), d, 5, metric, most).collect()
             assert sorted((r.query_id, r.desc_id, r["rank"]) for r in got) == sorted(want)
+
+
+def test_histogram_distances_in_tasks(spark):
+    """The same doubles as the expression, odd vectors included, and no nested-loop join."""
+    r = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in r.uniform(0, 1, 6)]) for i in range(57)] + [(57, None), (58, [0.5, None, 0.1, 0.1, 0.1, 0.1]), (59, [1.0, 2.0]), (60, [float("nan")] + [0.25] * 5)]
+    base = spark.createDataFrame(rows, "desc_id long, vec array<double>")
+    asked = base.where("desc_id % 3 = 0 OR desc_id > 56").select(base.desc_id.alias("query_id"), base.vec.alias("qvec"))
+    pair = lambda m: learning.histogram_distance(F.col("qvec"), F.col("vec"), m).alias(m)
+    want = models.against_all(asked, base).select("query_id", "desc_id", pair("chi_square"), pair("intersection"))
+    for most in (100, 8):
+        got = learning.histogram_distances(asked, base, most)
+        assert "NestedLoop" not in got._jdf.queryExecution().toString()
+        key = lambda rows: sorted(map(repr, rows))
+        assert key(got.collect()) == key(want.collect())
+    assert learning.histogram_distances(asked.limit(0), base).count() == 0
