@@ -394,6 +394,27 @@ def test_wrong_prefix_shows(spark):
         assert got[3] != right[3]
 
 
+def test_prefix_targets_stand_alone(spark):
+    """Every example holds its whole context, equals the written-out form and gives its turns and target back by itself."""
+    odd = "\\ <|end|> <|turn|>assistant\n</s>[INST]<s> [/INST] <"
+    rows = [(1, i, ("user", "assistant")[i % 2], f"turn {i} {odd}" * (i % 3)) for i in range(7)] + [(2, 0, "assistant", odd), (None, 1, "user", None), (3, None, "a\nb\\", "x"), (3, 1, "assistant", "y")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    turns = chat_format.format_turns(df)
+    made = chat_format.prefix_targets(turns)
+    short = {(r.conv_id, r.example): (r.text, r.loss_start, r.loss_end) for r in chat_format.written_out(chat_format.examples(turns)).collect()}
+    assert {(r.conv_id, r.example): (r.text, r.loss_start, r.loss_end) for r in made.where("loss_start is not null").collect()} == short and len(short) == 5
+    each = {(r.conv_id, r.example): r for r in chat_format.read_targets(made.withColumn("last", chat_format.F.lit(True))).collect()}
+    for conv in (1, 2, None, 3):
+        given = [(r[2], r[3] or "") for r in rows if r[0] == conv]
+        ends = [i for i, r in enumerate(given) if r[0] == "assistant" or i == len(given) - 1]
+        for k, end in enumerate(ends, 1):
+            r = each.pop((conv, k))
+            assert [(t.role, t.text) for t in r.turns] == given[: end + 1] and r.trained == (given[end][1] if given[end][0] == "assistant" else None)
+    assert not each
+    plan = queries.QUERIES["op10_chat_format"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "slice(" in plan
+
+
 # --- pipeline ---
 
 def test_pipeline_matches_brute_force(spark, docs):
