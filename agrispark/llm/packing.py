@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window, functions as F
 
 from agrispark.llm.common import keyed, original_id
@@ -98,8 +99,18 @@ class Encoder:
         return np.array(got, "<u4")
 
 
+def squeezed(ids: np.ndarray) -> bytes:
+    """Ids as zstd bytes after a byte that says how wide one is: two bytes where all are below 65,536, else four."""
+    wide = 2 if not len(ids) or ids.max() < 1 << 16 else 4
+    return bytes([wide]) + zstandard.ZstdCompressor(level=1).compress(ids.astype(f"<u{wide}").tobytes())
+
+
+def unsqueezed(held: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(held[1:]), f"<u{held[0]}").astype("<u4")
+
+
 def tokenized(docs: DataFrame, tokenizer: str, width: int, end_id: int, with_ids: bool) -> DataFrame:
-    """``_doc, _tk, n`` (ids with the end id), ``crcs`` of the pieces and, if wanted, ``ids`` as bytes."""
+    """``_doc, _tk, n`` (ids with the end id), ``crcs`` of the pieces and, if wanted, ``ids`` as ``squeezed`` makes them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = Encoder(tokenizer, end_id)
@@ -109,7 +120,7 @@ def tokenized(docs: DataFrame, tokenizer: str, width: int, end_id: int, with_ids
                 x = enc.ids(text.as_py())
                 n.append(len(x))
                 crcs.append([zlib.crc32(x[a : a + width].tobytes()) for a in range(0, len(x), width)])
-                ids.append(x.tobytes() if with_ids else None)
+                ids.append(squeezed(x) if with_ids else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(ids, pa.binary())],
                 names=["_doc", "_tk", "n", "crcs", "ids"],
@@ -179,14 +190,28 @@ def pack(
     r, p = ranked.alias("r"), places.alias("p")
     placed = r.join(p, (F.col("r.rest") == F.col("p.rest")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi")), "left")
     k, q = F.size("offs"), F.col("rank") - F.col("lo")
-    piece = F.explode(F.sequence(F.lit(0), F.size("crcs") - 1)).alias("piece")
+    kinds = "_doc long, n long, crcs array<long>, full long, full_base long, rest long, seq long, off long, ids array<binary>"
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Ids of documents to ids of their pieces, a part of a batch at a time."""
+        for batch in batches:
+            for a in range(0, batch.num_rows, 100):
+                part = batch.slice(a, 100)
+                held = [unsqueezed(x) for x in part.column("ids").to_pylist()]
+                pieces = [[x[b : b + width].tobytes() for b in range(0, len(x), width)] for x in held]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(pieces, pa.list_(pa.binary()))], names=part.schema.names)
+
     last = F.col("piece") >= F.col("full")
     start = F.col("piece").cast("long") * width
     length = F.when(last, F.col("rest")).otherwise(F.lit(width).cast("long"))
-    return placed.select(
-        "_doc", "n", "crcs", "full", "full_base", "ids", F.col("r.rest").alias("rest"), piece,
-        (F.col("seq_base") + F.floor(q / k)).alias("seq"), F.expr("element_at(offs, cast((rank - lo) % size(offs) as int) + 1)").alias("off"),
-    ).select(
+    placed = placed.select(
+        "_doc", "n", "crcs", "full", "full_base", F.col("r.rest").alias("rest"),
+        (F.col("seq_base") + F.floor(q / k)).alias("seq"), F.expr("element_at(offs, cast((rank - lo) % size(offs) as int) + 1)").alias("off"), "ids",
+    )
+    if with_ids:
+        placed = placed.mapInArrow(cut, kinds)
+    own = F.get("ids", F.col("piece")) if with_ids else F.col("ids")
+    return placed.select("*", F.explode(F.sequence(F.lit(0), F.size("crcs") - 1)).alias("piece")).select(
         original_id().alias(id_col),
         start.alias("start"),
         length.alias("length"),
@@ -194,8 +219,8 @@ def pack(
         F.col("n").alias("doc_tokens"),
         F.when(last, F.col("seq")).otherwise(F.col("full_base") + F.col("piece")).cast("long").alias("sequence_id"),
         F.when(last, F.col("off")).otherwise(F.lit(0).cast("long")).alias("offset"),
-        F.expr(f"substring(ids, cast(piece * {width * 4} + 1 as int), {width * 4})").alias("ids"),
-    )
+        own.alias("ids"),
+    )
 
 
 def default_tokenizer() -> str:
