@@ -88,16 +88,30 @@ def permutation_importance(df: DataFrame, columns: list[str], score, key: str, s
     return out
 
 
+def counted(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Different rows of ``columns`` (as doubles; rows with a null are left out) and how often each occurs, ``_n``.
+
+    What iterates over rows reads these instead: far fewer where values recur, as those of quantised bands do, and never more.
+    """
+    rows = df.select(*(F.col(c).cast("double").alias(c) for c in columns)).na.drop()
+    return rows.groupBy(*columns).agg(F.count(F.lit(1)).cast("double").alias("_n"))
+
+
 # --- mixtures --------------------------------------------------------------------------------------------------
 
 
 def fit_mixture(df: DataFrame, columns: list[str], k: int = 3, starts: int = 3, iterations: int = 100) -> tuple[object, float]:
-    """The best of several Gaussian mixtures and its log-likelihood."""
-    v = df.select(array_to_vector(F.array(*(F.col(c).cast("double") for c in columns))).alias("features")).persist()
+    """The best of several Gaussian mixtures and its log-likelihood; all rows count, different ones are gone through."""
+    v = counted(df, columns).select(array_to_vector(F.array(*columns)).alias("features"), "_n").persist()
     try:
-        fits = [GaussianMixture(k=k, seed=s, maxIter=iterations).fit(v) for s in range(starts)]
+        return _best_mixture(v, k, starts, iterations)
     finally:
         v.unpersist()
+
+
+def _best_mixture(v: DataFrame, k: int, starts: int, iterations: int) -> tuple[object, float]:
+    """Of weighted vectors, ``features, _n``."""
+    fits = [GaussianMixture(k=k, seed=s, maxIter=iterations, weightCol="_n").fit(v) for s in range(starts)]
     best = max(fits, key=lambda m: m.summary.logLikelihood)
     return best, float(best.summary.logLikelihood)
 
@@ -120,13 +134,17 @@ def mixture_score(model, columns: list[str]) -> Column:
 def bic_sweep(df: DataFrame, columns: list[str], most: int = 10, iterations: int = 30) -> DataFrame:
     """``k, bic, best`` of mixtures with 1..most components, one component in closed form; best: the least k of the lowest."""
     n, d, rows = df.count(), len(columns), []
-    for k in range(1, most + 1):
-        if k == 1:
-            _, cov = moments(df, columns)
-            ll = -0.5 * n * (d * np.log(2 * np.pi) + np.linalg.slogdet(cov + 1e-12 * np.eye(d))[1] + d)
-        else:
-            _, ll = fit_mixture(df, columns, k, 1, iterations)
-        rows.append((k, float(-2 * ll + (k - 1 + k * d + k * d * (d + 1) // 2) * np.log(max(n, 1)))))
+    v = counted(df, columns).select(array_to_vector(F.array(*columns)).alias("features"), "_n").persist()  # for all sizes
+    try:
+        for k in range(1, most + 1):
+            if k == 1:
+                _, cov = moments(df, columns)
+                ll = -0.5 * n * (d * np.log(2 * np.pi) + np.linalg.slogdet(cov + 1e-12 * np.eye(d))[1] + d)
+            else:
+                _, ll = _best_mixture(v, k, 1, iterations)
+            rows.append((k, float(-2 * ll + (k - 1 + k * d + k * d * (d + 1) // 2) * np.log(max(n, 1)))))
+    finally:
+        v.unpersist()
     best = min(rows, key=lambda r: (r[1], r[0]))[0]
     return df.sparkSession.createDataFrame([(*r, r[0] == best) for r in rows], "k int, bic double, best boolean")
 
@@ -210,7 +228,7 @@ def forest_scores(df: DataFrame, columns: list[str], key: str, forest: list[np.n
 def fit_one_class(df: DataFrame, columns: list[str], nu: float = 0.1, features: int = 64, steps: int = 30, seed: int = 42) -> dict[str, np.ndarray | float]:
     """A one-class machine on random Fourier features of a radial kernel, gamma = 1 / (d * variance), by averaged subgradient steps.
 
-    Every step is one pass over all rows whose partial sums (``features`` + 2
+    Every step is one pass over all different rows, each as often as it occurs, whose partial sums (``features`` + 2
     numbers a partition) are added up by Spark.
     """
     mean, cov = moments(df, columns)
@@ -221,7 +239,7 @@ def fit_one_class(df: DataFrame, columns: list[str], nu: float = 0.1, features:
     def phi(x: np.ndarray) -> np.ndarray:
         return np.cos((x - mean) / sd @ w_in + shift) * np.sqrt(2 / features)
 
-    rows = df.select(*(F.col(c).cast("double").alias(c) for c in columns)).na.drop().persist()
+    rows = counted(df, columns).persist()
     w, rho, kept = np.zeros(features), 0.0, []
     names = [f"g{i}" for i in range(features)] + ["out", "n"]
     try:
@@ -230,9 +248,9 @@ def fit_one_class(df: DataFrame, columns: list[str], nu: float = 0.1, features:
             def part(batches: Iterator[pd.DataFrame], w=w, rho=rho) -> Iterator[pd.DataFrame]:
                 s = np.zeros(features + 2)
                 for b in batches:
-                    z = phi(b.to_numpy())
-                    off = z @ w <= rho
-                    s += np.concatenate([z[off].sum(0), [off.sum(), len(b)]])
+                    z, times = phi(b[columns].to_numpy()), b["_n"].to_numpy()
+                    off = np.where(z @ w <= rho, times, 0.0)
+                    s += np.concatenate([off @ z, [off.sum(), times.sum()]])
                 yield pd.DataFrame([s], columns=names)
 
             got = np.array(rows.mapInPandas(part, ", ".join(f"{c} double" for c in names)).agg(*(F.sum(c) for c in names)).first(), float)
@@ -249,11 +267,19 @@ def fit_one_class(df: DataFrame, columns: list[str], nu: float = 0.1, features:
 
 
 def one_class_score(columns: list[str], m: dict) -> Column:
-    """Its decision value as one expression (higher: more normal), before any offset."""
-    scaled = F.array(*((F.col(c) - float(a)) / float(s) for c, a, s in zip(columns, m["mean"], m["sd"], strict=True)))
+    """Its decision value (higher: more normal), before any offset, by matrices of 2,000 rows; null where a value is null."""
     size = np.sqrt(2 / len(m["w"]))
-    waves = F.array(*(F.struct(F.array(*(F.lit(float(v)) for v in m["w_in"][:, i])).alias("d"), F.lit(float(m["shift"][i])).alias("s"), F.lit(float(m["w"][i] * size)).alias("w")) for i in range(len(m["w"]))))
-    return F.aggregate(F.transform(F.array(scaled), lambda x: F.aggregate(waves, F.lit(0.0), lambda a, v: a + F.cos(dot(v["d"], x) + v["s"]) * v["w"])), F.lit(0.0), lambda a, x: a + x) - m["rho"]
+
+    @F.pandas_udf("double")
+    def score(*values: pd.Series) -> pd.Series:
+        out = np.empty(len(values[0]))
+        for a in range(0, len(out), 2000):
+            x = np.column_stack([v.to_numpy(float)[a : a + 2000] for v in values])
+            out[a : a + 2000] = np.cos((x - m["mean"]) / m["sd"] @ m["w_in"] + m["shift"]) @ m["w"] * size - m["rho"]
+        return pd.Series(out)
+
+    has = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
+    return F.when(has, score(*(F.col(c).cast("double") for c in columns)))
 
 
 def one_class_dual(kernel: np.ndarray, nu: float, tolerance: float = 1e-6) -> tuple[np.ndarray, float]:

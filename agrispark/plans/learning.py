@@ -12,6 +12,7 @@ from agrispark.operators.ranges import exact_percentiles
 from agrispark.plans.fixtures import view
 from agrispark.plans.register import ORACLE_SQL, query
 from agrispark.plans.registry import f11_similar
+from agrispark.session import stored
 
 COLS = ["nir", "ext_red"]
 _MAHAL = """(SELECT pix_id, sqrt(greatest((dx * dx * cyy - 2 * dx * dy * cxy + dy * dy * cxx) / (cxx * cyy - cxy * cxy), 0)) AS dist FROM (SELECT pix_id, nir - mx AS dx, ext_red - my AS dy, cxx, cyy, cxy FROM v_pixels,
@@ -60,7 +61,7 @@ def o3_ledoit_wolf(spark, sf):
 
 @query("o5_thresholds", f"SELECT pct, round(quantile_cont(d, pct / 100), 4) AS threshold, round(min(d), 4) AS lo, round(avg(d), 4) AS mean, round(max(d), 4) AS hi FROM (SELECT round(dist, 5) AS d FROM {_MAHAL} m) a, (VALUES (95.0::DOUBLE), (97.5::DOUBLE), (99.0::DOUBLE), (100.0::DOUBLE)) p(pct) GROUP BY pct".replace("quantile_cont(d, pct / 100)", "CASE pct WHEN 95 THEN quantile_cont(d, 0.95) WHEN 97.5 THEN quantile_cont(d, 0.975) WHEN 99 THEN quantile_cont(d, 0.99) ELSE max(d) END"))
 def o5_thresholds(spark, sf):
-    return E.thresholds(_distances(spark, sf), "dist").select("pct", *(F.round(c, 4).alias(c) for c in ("threshold", "lo", "mean", "hi")))
+    return E.thresholds(stored(_distances(spark, sf).select("dist")), "dist").select("pct", *(F.round(c, 4).alias(c) for c in ("threshold", "lo", "mean", "hi")))
 
 
 @query("o6_o11_inliers", f"SELECT pix_id, round(dist, 5) AS mahal_dist, round(dist, 5) <= 2.5 AS is_inlier FROM {_MAHAL} m")
@@ -88,7 +89,7 @@ def o7_mixture(spark, sf):
     """Log densities under a mixture of three; the lowest 5 % are outliers."""
     p = view(spark, sf, "v_pixels")
     model, _ = E.fit_mixture(p, COLS)
-    s = p.select("pix_id", E.mixture_score(model, COLS).alias("score"))
+    s = stored(p.select("pix_id", E.mixture_score(model, COLS).alias("score")))  # several passes read it
     cut = exact_percentiles(s, "score", [0.05])[0]
     return s.select("pix_id", "score", (F.col("score") >= F.lit(cut)).alias("is_inlier"))
 
