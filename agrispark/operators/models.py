@@ -106,7 +106,7 @@ def _proposed(base: DataFrame, queries: DataFrame, k: int, metric: str) -> DataF
             if not len(own) or not len(ids):
                 continue
             v = vec.flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1)
-            step = max(1, 4_000_000 // len(own))
+            step = max(1, 1_000_000 // len(own))  # 8 MB of scores at once
             for i in range(0, len(ids), step):
                 q = points[i : i + step]
                 both = v @ q.T
