@@ -117,23 +117,26 @@ def _sets(docs: DataFrame, shingle: int) -> DataFrame:
 
 
 def _dealt(classes: DataFrame) -> DataFrame:
-    """``key, h, b0, b1``: a row for each key of each set; sets without a shingle have none."""
+    """``lead, codes, h, b0, b1``: a row for each codeword of a key's first segment, with all those of its second, so that
+    a set's bits travel once for six keys; sets without a shingle have none."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat, at = T.list_column(batch.column(3))
             some = np.flatnonzero(np.diff(at))
-            code = flat.astype(np.int64).reshape(-1, len(SEGMENTS), CODES)
-            keys = [k << 24 | code[:, a, :, None] << 12 | code[:, b, None, :] for k, (a, b) in enumerate(combinations(range(len(SEGMENTS)), 2))]
-            keys = np.stack(keys, axis=1).reshape(len(some), -1).astype(np.int32)
+            code = flat.reshape(-1, len(SEGMENTS), CODES)
+            pairs = list(combinations(range(len(SEGMENTS)), 2))
+            lead = np.stack([k << 12 | code[:, a].astype(np.int32) for k, (a, _) in enumerate(pairs)], axis=1)
+            rest = np.repeat(np.stack([code[:, b] for _, b in pairs], axis=1)[:, :, None], CODES, axis=2)
             own = [batch.column(c).to_numpy()[some] for c in range(3)]
-            for i in range(0, len(some), 2048):
-                k = keys[i : i + 2048]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(k.ravel()), *(pa.array(np.repeat(x[i : i + 2048], k.shape[1])) for x in own)], names=["key", "h", "b0", "b1"]
-                )
+            each = len(pairs) * CODES
+            ends = pa.array(np.arange(len(some) * each + 1, dtype=np.int32) * CODES)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(lead.ravel()), pa.ListArray.from_arrays(ends, pa.array(rest.ravel())), *(pa.array(np.repeat(x, each)) for x in own)],
+                names=["lead", "codes", "h", "b0", "b1"],
+            )
 
-    return classes.select("h", "b0", "b1", "codes").mapInArrow(deal, "key int, h long, b0 long, b1 long")
+    return classes.select("h", "b0", "b1", "codes").mapInArrow(deal, "lead int, codes array<short>, h long, b0 long, b1 long")
 
 
 def middle(bits: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -215,7 +218,11 @@ def _groups(dealt: DataFrame) -> DataFrame:
         if out[0]:
             yield batch_of(*(np.concatenate(c) for c in out))
 
-    return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(split, "key int, least long, part long, n int, far int, h long")
+    # a number of parts keeps them apart where they look small, as six keys are made of a row
+    parts = int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = dealt.repartition(parts, "lead").withColumn("code", F.explode("codes"))
+    keys = keys.select((F.col("lead") * 4096 + F.col("code")).alias("key"), "h", "b0", "b1")
+    return keys.sortWithinPartitions("key").mapInArrow(split, "key int, least long, part long, n int, far int, h long")
 
 
 def _with_first(pairs: DataFrame, whole: DataFrame, similarity: float, block: int) -> DataFrame:

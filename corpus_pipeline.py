@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from agrispark.llm.common import LAST
+from agrispark.llm.common import LAST, restored, zipped
 from agrispark.llm.decontaminate import contaminated
 from agrispark.llm.near_copies import near_copies
 from agrispark.llm.packing import default_tokenizer, pack
@@ -43,7 +43,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     with the least hash of its text stays."""
     first = near_copies(docs).where("_doc = first._doc and _tk = first._tk").select("_doc", "_tk").distinct()
     keyed = docs.withColumn("_doc", F.coalesce("doc_id", F.lit(LAST))).withColumn("_tk", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return keyed.join(first, ["_doc", "_tk"], "left_semi").dropDuplicates(["_doc", "_tk"]).select(*COLUMNS)
+    kept = zipped(keyed, "text").join(first, ["_doc", "_tk"], "left_semi").dropDuplicates(["_doc", "_tk"])
+    return restored(kept.select(*COLUMNS), "text")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

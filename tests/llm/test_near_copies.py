@@ -4,9 +4,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from test_llm import SF, classes, shingles
 
-from agrispark.llm import near_copies, simhash_golay
+from agrispark.llm import common, near_copies, simhash_golay
 
 
 def alike(a, b):
@@ -67,3 +68,25 @@ def test_share_of_pairs_that_meet(similarity, least):
         total += n
     print(similarity, met / total)
     assert met >= least * total
+
+
+def test_a_sets_bits_travel_once_for_six_keys(spark):
+    """A set sends 18 rows, of which its 108 keys are made after the shuffle; sets without a shingle send none."""
+    rng = np.random.default_rng(3)
+    codes = [rng.permutation(4096)[:18].tolist() for _ in range(5)]
+    rows = [(i, i + 10, i + 20, c) for i, c in enumerate(codes)] + [(5, 0, 0, [])]
+    dealt = near_copies._dealt(spark.createDataFrame(rows, "h long, b0 long, b1 long, codes array<short>"))
+    assert dealt.count() == 18 * len(codes)
+    keys = dealt.withColumn("code", F.explode("codes")).select((F.col("lead") * 4096 + F.col("code")).alias("key"), "h", "b0", "b1").collect()
+    want = [(k << 24 | x << 12 | y, i, i + 10, i + 20) for i, c in enumerate(codes) for k, (a, b) in enumerate(((0, 1), (0, 2), (1, 2))) for x in c[6 * a : 6 * a + 6] for y in c[6 * b : 6 * b + 6]]
+    assert sorted(map(tuple, keys)) == sorted(want)
+
+
+def test_zipped_texts_come_back(spark):
+    """Null, empty and odd texts too, and zipped ones are smaller in a shuffle."""
+    rows = [(0, None), (1, ""), (2, "a\x00\u00e9\U0001f600"), (3, "one two three " * 500)]
+    packed = common.zipped(spark.createDataFrame(rows, "doc_id long, text string"), "text")
+    assert packed.where("doc_id = 3").select(F.length("text")).first()[0] < 700
+    assert sorted(map(tuple, common.restored(packed, "text").collect())) == rows
+    odd = spark.sql("SELECT CAST(X'61FF62' AS STRING) AS text")
+    assert common.restored(common.zipped(odd, "text"), "text").select(F.hex("text")).first()[0] == "61FF62"
