@@ -157,21 +157,23 @@ def mean_similarity(base: DataFrame) -> DataFrame:
     return both.select("desc_id", ((dot("u", "sum") - dot("u", "u")) / (F.col("n") - 1)).alias("mean_sim"))
 
 
-def mean_distance(base: DataFrame, block: int = 2048) -> DataFrame:
+def mean_distance(base: DataFrame, block: int = 512, most: int = 1 << 16, dealt: int = 16) -> DataFrame:
     """Each vector's mean euclidean distance to all others: ``desc_id, mean_dist``; null where there is no other.
 
-    Rows are dealt by a hash of their id into blocks of about ``block``, and
-    each two blocks meet in one task, where a matrix product gives all their
-    distances at once; only sums for each row come out. A task holds two
-    blocks and a strip of their distances. Vectors are of one length; null
-    ones are left out, and an id given twice counts as two vectors of one mean.
+    Rows are dealt by a hash of their id into blocks, and each two blocks meet
+    in one task, where matrix products give all their distances, a strip at a
+    time; only sums for each row come out. Blocks have ``block`` rows until
+    there are ``dealt`` of them and grow with the table from there to ``most``
+    rows, so up to ``dealt * most`` rows each travels ``dealt`` times. A task
+    holds two blocks and a strip of their distances. Vectors are of one length;
+    null ones are left out, and an id given twice counts as two vectors of one mean.
     """
     rows = base.where(F.col("vec").isNotNull()).select("desc_id", F.col("vec").cast("array<double>").alias("vec"))
     n = rows.count()
-    blocks = max(1, -(-n // block))
+    blocks = max(1, min(-(-n // block), max(dealt, -(-n // most))))
     own = F.pmod(F.xxhash64("desc_id"), F.lit(blocks)).cast("int")
-    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+    met = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    met = met.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
 
     def sums(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of the distances between all rows of both, by row of each."""
@@ -188,17 +190,18 @@ def mean_distance(base: DataFrame, block: int = 2048) -> DataFrame:
             across += d.sum(0)
         return down, across
 
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.array(pdf["vec"].tolist(), float)
-        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        first = (pdf["own"] == i).to_numpy()
+    def meet(table: pa.Table) -> pa.Table:
+        i, j = table["i"][0].as_py(), table["j"][0].as_py()
+        vec = table["vec"].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(table.num_rows, -1)
         if i == j:
-            return pd.DataFrame({"desc_id": pdf["desc_id"], "d": sums(x, x)[0]})
-        down, across = sums(x[first], x[~first])
-        return pd.DataFrame({"desc_id": np.concatenate([pdf["desc_id"][first], pdf["desc_id"][~first]]), "d": np.concatenate([down, across])})
+            return pa.table({"desc_id": table["desc_id"], "d": sums(vec, vec)[0]})
+        first = table["own"].to_numpy() == i
+        d = np.empty(len(vec))
+        d[first], d[~first] = sums(vec[first], vec[~first])
+        return pa.table({"desc_id": table["desc_id"], "d": d})
 
     kind = base.schema["desc_id"].dataType.simpleString()
-    met = dealt.groupBy("i", "j").applyInPandas(meet, f"desc_id {kind}, d double")
+    met = met.select("i", "j", "own", "desc_id", "vec").groupBy("i", "j").applyInArrow(meet, f"desc_id {kind}, d double")
     times = rows.groupBy("desc_id").agg(F.count(F.lit(1)).alias("times"))
     total = met.groupBy("desc_id").agg(F.sum("d").alias("d")).join(times, "desc_id")
     return total.select("desc_id", F.when(F.lit(n > 1), F.col("d") / F.col("times") / F.lit(max(n - 1, 1))).alias("mean_dist"))

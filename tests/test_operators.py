@@ -437,6 +437,19 @@ def test_mean_distances(spark):
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan
 
 
+def test_blocks_of_mean_distances_grow_with_the_table(spark):
+    """A row travels as often in a larger table, so that the shuffle follows the rows."""
+    for n in (60, 240):
+        df = spark.range(n).selectExpr("id AS desc_id", "array(double(id), 0.0D) AS vec")
+        found = models.mean_distance(df, block=5, dealt=4)
+        assert "sequence(0, 3," in found._jdf.queryExecution().analyzed().toString()
+        want = [sum(abs(i - j) for j in range(n)) / (n - 1) for i in range(n)]
+        got = {r.desc_id: r.mean_dist for r in found.collect()}
+        assert [got[i] for i in range(n)] == pytest.approx(want)
+    many = models.mean_distance(df, block=5, most=30, dealt=4)  # blocks of bounded size beyond that
+    assert "sequence(0, 7," in many._jdf.queryExecution().analyzed().toString()
+
+
 def test_stitched_routes_take_the_shortest_links(spark):
     from itertools import product
 
