@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator, Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from agrispark.operators.chunks import starts, whole_groups
 from agrispark.operators.polygons import hull, rectangle
 
+#: Shapes whose corners a task keeps, so that segments of one shape are traced once.
+KEPT = 1 << 14
+
 #: The eight neighbours of a pixel, clockwise from the left (y down).
 AROUND = np.array([(-1, 0), (-1, -1), (0, -1), (1, -1), (1, 0), (1, 1), (0, 1), (-1, 1)])
 
@@ -98,7 +104,11 @@ def four_corners(pixels: np.ndarray, method: str, share: float = 0.02) -> np.nda
     The tolerance is a share of the perimeter. Where that leaves another number
     of corners than four, the smallest rectangle stands in. Fractions are cut.
     """
-    ring = outline(pixels)
+    return ring_corners(outline(pixels), method, share)
+
+
+def ring_corners(ring: np.ndarray, method: str, share: float = 0.02) -> np.ndarray:
+    """``four_corners`` of a segment whose outline is known."""
     if method != "rectangle":
         shape = hull(ring) if method == "hull" else ring
         few = simplified(shape, share * perimeter(shape))
@@ -114,15 +124,41 @@ def segment_quads(pixels: DataFrame, method: str = "contour", size: int = 20, ke
     pixels are a group of bounded size. Corners are pixel centres in the tile,
     divided by its size and clamped. Null keys and places are left out.
     """
-    if method not in ("rectangle", "hull", "contour"):
-        raise ValueError(f"unknown method: {method}")
+    return quads_by_method(pixels, [method], size, key).drop("method")
+
+
+def quads_by_method(pixels: DataFrame, methods: Sequence[str], size: int = 20, key: str = "seg_id") -> DataFrame:
+    """``method`` and ``segment_quads``' columns by each of the methods, from one outline a segment.
+
+    Segments come to Python many at once; those with the same pixels in their tiles have the same corners.
+    """
+    if unknown := set(methods) - {"rectangle", "hull", "contour"}:
+        raise ValueError(f"unknown method: {', '.join(sorted(unknown))}")
     kind = pixels.schema[key].dataType.simpleString()
     names = [f"{c}{i}" for i in range(1, 5) for c in "xy"]
 
-    def trace(pdf: pd.DataFrame) -> pd.DataFrame:
-        corners = four_corners(pdf[["x", "y"]].drop_duplicates().to_numpy(), method)
-        return pd.DataFrame([[pdf[key].iloc[0], *np.clip(corners / size, 0.0, 1.0).ravel().tolist()]], columns=[key, *names])
+    def corners(places: np.ndarray) -> np.ndarray:
+        ring = outline(np.stack([places % size, places // size], axis=1))
+        return np.array([np.clip(ring_corners(ring, m) / size, 0.0, 1.0).ravel() for m in methods])
+
+    def trace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known: dict[bytes, np.ndarray] = {}
+        for chunk in whole_groups(batches, [key]):
+            first, places, quads = starts(chunk[key].to_numpy()), chunk["place"].to_numpy(), []
+            for own in np.split(places, first[1:]):
+                own = own[np.append(True, own[1:] != own[:-1])]
+                shape = own.tobytes()
+                if shape not in known:
+                    if len(known) >= KEPT:
+                        known.clear()
+                    known[shape] = corners(own)
+                quads.append(known[shape])
+            out = pd.DataFrame(np.concatenate(quads), columns=names)
+            out.insert(0, key, np.repeat(chunk[key].to_numpy()[first], len(methods)))
+            out.insert(0, "method", np.tile(methods, len(first)))
+            yield out
 
     inside = pixels.where(F.col(key).isNotNull() & F.col("x").isNotNull() & F.col("y").isNotNull())
-    inside = inside.select(key, (F.col("x") % size).cast("int").alias("x"), (F.col("y") % size).cast("int").alias("y"))
-    return inside.groupBy(key).applyInPandas(trace, f"{key} {kind}, " + ", ".join(f"{n} double" for n in names))
+    place = (F.col("y") % size).cast("int") * size + (F.col("x") % size).cast("int")
+    inside = inside.select(key, place.alias("place")).repartition(key).sortWithinPartitions(key, "place")
+    return inside.mapInPandas(trace, f"method string, {key} {kind}, " + ", ".join(f"{n} double" for n in names))

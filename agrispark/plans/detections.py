@@ -192,13 +192,9 @@ def m14_four_corners(spark, sf):
     px = G.segment_pixels(mask_pixels(p)).select("seg_id", "x", "y")
     spot = p.where("abs(x % 20 - 8) + abs(y % 20 - 7) <= 2")
     own = F.min("pix_id").over(Window.partitionBy("tile_row", "tile_col"))
-    both = stored(px.unionByName(spot.select((-1 - own).alias("seg_id"), "x", "y")))
-    out = None
-    for method in ("hull", "contour", "rectangle"):
-        rows = both if method != "rectangle" else both.where("seg_id >= 0")
-        one = O.segment_quads(rows, method).select(F.lit(method).alias("method"), "seg_id", *(F.round(f"{c}{i}", 6).alias(f"{c}{i}") for i in range(1, 5) for c in "xy"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    both = px.unionByName(spot.select((-1 - own).alias("seg_id"), "x", "y"))
+    found = O.quads_by_method(both, ["hull", "contour", "rectangle"]).where("method <> 'rectangle' or seg_id >= 0")
+    return found.select("method", "seg_id", *(F.round(f"{c}{i}", 6).alias(f"{c}{i}") for i in range(1, 5) for c in "xy"))
 
 
 _D = "sqrt(power(greatest(b.minx - a.maxx, a.minx - b.maxx, 0), 2) + power(greatest(b.miny - a.maxy, a.miny - b.maxy, 0), 2))"

@@ -103,3 +103,20 @@ def test_small_shapes_and_odd_rows(spark):
     assert contours.segment_quads(px.limit(0)).count() == 0
     with pytest.raises(ValueError):
         contours.segment_quads(px, "circle")
+
+
+def test_many_segments_come_in_one_call(spark):
+    """All methods from one outline: the same as each segment alone, in one shuffle and one Python step."""
+    r = np.random.default_rng(8)
+    walks = [np.cumsum(r.integers(-1, 2, (int(r.integers(3, 30)), 2)), axis=0) for _ in range(40)]  # 8-connected
+    shapes = [s - s.min(0) for s in (np.unique(w, axis=0) for w in walks) if np.ptp(s, axis=0).max() < 20] * 5
+    methods = ["hull", "contour", "rectangle"]
+    rows = [(i, int(x) + 20 * i, int(y) + 40) for i, s in enumerate(shapes) for x, y in s] + [(0, int(shapes[0][0][0]), 40 + int(shapes[0][0][1]))]
+    found = contours.quads_by_method(spark.createDataFrame(rows, "seg_id long, x int, y int"), methods)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") == 1 and "FlatMapGroupsInPandas" not in plan
+    got = {(q.method, q.seg_id): tuple(q)[2:] for q in found.collect()}
+    assert len(got) == 3 * len(shapes)
+    for i, s in enumerate(shapes):
+        for m in methods:
+            assert got[m, i] == pytest.approx(np.clip(contours.four_corners(s, m) / 20, 0, 1).ravel().tolist())
